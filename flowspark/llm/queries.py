@@ -25,10 +25,17 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_pieces(_table(spark, sf_dir, "documents")))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowspark.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_store": op1_token_store,
         "op4_best_fit_packing": op4_best_fit_packing,
+        "op7_substring_dedup": op7_substring_dedup,
     }
 
 
