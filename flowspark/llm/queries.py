@@ -25,6 +25,12 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_pieces(_table(spark, sf_dir, "documents")))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowspark.llm.near_dedup import link
+
+    return link(_table(spark, sf_dir, "documents"), width=4)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowspark.llm.substring_dedup import remove_repeats
 
@@ -35,6 +41,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_token_store": op1_token_store,
         "op4_best_fit_packing": op4_best_fit_packing,
+        "op6_near_dedup": op6_near_dedup,
         "op7_substring_dedup": op7_substring_dedup,
     }
 
