@@ -102,19 +102,24 @@ class Words:
         self.doc = np.repeat(np.arange(n), self.counts)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of the bytes of each word, from prefix sums of a polynomial."""
-        out = np.empty(len(self.start), np.uint64)
-        lo = 0
-        while lo < len(self.start):
-            hi = max(lo + 1, int(np.searchsorted(self.end, self.start[lo] + CHUNK_BYTES)))
-            a, b = self.start[lo], self.end[hi - 1]
-            sums = np.zeros(b - a + 1, np.uint64)
-            np.cumsum(_BYTE_VALUES[self.data[a:b]] * _power("up", b - a), out=sums[1:])
-            s, e = self.start[lo:hi] - a, self.end[lo:hi] - a
-            h = (sums[e] - sums[s]) * _power("down", b - a + 1)[s]
-            out[lo:hi] = mix64(h ^ ((e - s).astype(np.uint64) * np.uint64(_WINDOW_BASE)))
-            lo = hi
-        return out
+        """A 64-bit hash of the bytes of each word."""
+        return span_hashes(self.data, self.start, self.end)
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, from prefix sums of a polynomial. Spans are in order and don't overlap."""
+    out = np.empty(len(start), np.uint64)
+    lo = 0
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(end, start[lo] + CHUNK_BYTES)))
+        a, b = start[lo], end[hi - 1]
+        sums = np.zeros(b - a + 1, np.uint64)
+        np.cumsum(_BYTE_VALUES[data[a:b]] * _power("up", b - a), out=sums[1:])
+        s, e = start[lo:hi] - a, end[lo:hi] - a
+        h = (sums[e] - sums[s]) * _power("down", b - a + 1)[s]
+        out[lo:hi] = mix64(h ^ ((e - s).astype(np.uint64) * np.uint64(_WINDOW_BASE)))
+        lo = hi
+    return out
 
 
 def window_hashes(h: np.ndarray, width: int) -> np.ndarray:

@@ -37,12 +37,29 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowspark.llm.common import materialize
+    from flowspark.llm.quality_rules import judge, learn, statistics
+
+    stats = materialize(statistics(_table(spark, sf_dir, "documents")), "statistics")
+    rules = learn(stats, _table(spark, sf_dir, "labels"))
+    return judge(stats, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowspark.llm.decontaminate import leaks
+
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_store": op1_token_store,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op6_near_dedup": op6_near_dedup,
         "op7_substring_dedup": op7_substring_dedup,
+        "op9_quality_rules": op9_quality_rules,
+        "op10_decontamination": op10_decontamination,
     }
 
 
