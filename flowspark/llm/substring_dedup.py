@@ -7,10 +7,10 @@ document. Windows are judged on the input; the words that any removed window cov
    the least doc_id there: a passage of a third of all documents costs a row per block, not per document.
 2. Blocks' hashes are dealt by hash, packed in binary columns (8 bytes a hash). The least doc_id of each hash wins; the
    other blocks get the hash back for the one document that they sent.
-3. Documents, with what their own block found, are joined to those answers and cut.
+3. Blocks meet the answers, find their own repeats again, and cut their documents. A block has bounded size.
 
 Steps 1 and 3 read ``docs`` twice and must see the same blocks: pass files or a materialized table. Answers carry the
-block's signature, and a mismatch raises.
+block's signature, and an answer without its block raises.
 
 Nulls: a null text has no words. A null doc_id comes before all others. Rows of one doc_id don't remove each other's
 words. Other columns are ignored. An empty table gives no rows.
@@ -23,13 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowspark.llm.common import Words, doc_windows, mix64, sub_batches
 
 WIDTH = 20
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 _LEAST = -(1 << 63)
 
 
@@ -40,19 +41,26 @@ def even_keys(spark: SparkSession, n: int) -> list[int]:
     return [keys.get(i, i) for i in range(n)]
 
 
+def signature(batch: pa.RecordBatch) -> int:
+    """Of a block: its doc_ids and texts' lengths, in any order."""
+    ids = batch.column("doc_id").fill_null(_LEAST).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), -1).to_numpy(zero_copy_only=False)
+    return int(mix64(mix64(ids.astype(np.uint64)) + sizes.astype(np.uint64)).sum() >> np.uint64(1))
+
+
 class Block:
     """The windows of a batch of documents, in order of doc_id, and which of them the block itself removes."""
 
-    def __init__(self, batch: pa.RecordBatch, width: int):
+    def __init__(self, batch: pa.RecordBatch | pa.Table, width: int):
         ids = batch.column("doc_id").fill_null(_LEAST).to_numpy(zero_copy_only=False)
         order = np.argsort(ids, kind="stable")
         self.batch = batch.take(pa.array(order))
         self.ids = ids[order]
-        self.words = Words(self.batch.column("text"))
+        text = self.batch.column("text")
+        self.words = Words(text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text)
         hashes = self.words.hashes()
         self.hashes, self.at = doc_windows(self.words, hashes, width)
         self.row = self.words.doc[self.at]
-        self.signature = int(mix64(self.ids.astype(np.uint64) * np.uint64(3) + self.words.counts.astype(np.uint64)).sum() >> np.uint64(1))
         self.sorted = np.argsort(self.hashes, kind="stable")
         h, r = self.hashes[self.sorted], self.row[self.sorted]
         new = np.ones(len(h), bool)
@@ -80,7 +88,7 @@ def _send(docs: DataFrame, width: int, keys: list[int]) -> DataFrame:
             for s, e in zip([0, *cuts], [*cuts, len(h)], strict=True):
                 if e > s:
                     own, counts = np.unique(b.ids[r[s:e]], return_counts=True)
-                    rows.append((keys[to[s]], b.signature, own.tobytes(), counts.astype(np.int32).tobytes(), h[s:e].tobytes()))
+                    rows.append((keys[to[s]], signature(batch), own.tobytes(), counts.astype(np.int32).tobytes(), h[s:e].tobytes()))
             if rows:
                 types = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["key", "block", "ids", "counts", "hashes"])
@@ -107,15 +115,14 @@ def _answer(sent: DataFrame, n: int) -> DataFrame:
             starts = np.flatnonzero(new)
             least = np.minimum.reduceat(ids[order], starts)
             late = order[ids[order] > least[np.cumsum(new) - 1]]
-            late = late[np.lexsort((h[late], ids[late]))]
+            late = late[np.argsort(blocks[late], kind="stable")]
             ids, h, blocks = ids[late], h[late], blocks[late]
-            cuts = np.flatnonzero(np.diff(ids)) + 1
-            edges = list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)], strict=True)) if len(ids) else []
-            for i in range(0, len(edges), 20_000):
-                part = edges[i : i + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([int(ids[a]) for a, _ in part], pa.int64()), pa.array([int(blocks[a]) for a, _ in part], pa.int64()), pa.array([h[a:e].tobytes() for a, e in part], pa.binary())], ["key_id", "block", "hashes"])
+            cuts = np.flatnonzero(np.diff(blocks)) + 1
+            if len(blocks):
+                parts = list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(blocks)], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array([int(blocks[a]) for a, _ in parts], pa.int64()), pa.array([ids[a:e].tobytes() for a, e in parts], pa.binary()), pa.array([h[a:e].tobytes() for a, e in parts], pa.binary())], ["block", "ids", "hashes"])
 
-    return sent.repartition(n, "key").mapInArrow(answer, "key_id long, block long, hashes binary")
+    return sent.repartition(n, "key").mapInArrow(answer, "block long, ids binary, hashes binary")
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = False) -> DataFrame:
@@ -127,54 +134,45 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = False)
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     answers = _answer(_send(docs, width, even_keys(spark, n)), n)
-    answers = answers.groupBy("key_id").agg(F.collect_list("hashes").alias("late"), F.min("block").alias("late_block"), F.max("block").alias("late_block_2"))
 
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sub_batches(batches, "text", BLOCK_BYTES):
-            b = Block(batch, width)
-            upto = np.searchsorted(b.row, np.arange(len(b.ids) + 1))
-            flags = [np.packbits(b.removed[a:e]).tobytes() for a, e in zip(upto[:-1], upto[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.batch.columns, pa.array(b.ids, pa.int64()), pa.array(np.full(len(b.ids), b.signature, np.int64)), pa.array(flags, pa.binary())], ["doc_id", "text", "key_id", "block", "flags"])
-
-    flagged = docs.mapInArrow(own, "doc_id long, text string, key_id long, block long, flags binary")
-    joined = flagged.join(answers, "key_id", "left").select("doc_id", "text", "flags", "late", F.expr("late is not null and (late_block != block or late_block_2 != block)").alias("moved"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sub_batches(batches, "text"):
-            if any(batch.column("moved").to_pylist()):
-                raise RuntimeError("the documents came in other blocks when they were read again; materialize them first")
-            w = Words(batch.column("text"))
-            counts = w.counts
-            windows = np.maximum(counts - width + 1, 0)
-            flags = np.zeros(int(windows.sum()), bool)
-            ends = np.cumsum(windows)
-            hashes = None
-            for i, (bits, late) in enumerate(zip(batch.column("flags").to_pylist(), batch.column("late").to_pylist(), strict=True)):
-                a, e = ends[i] - windows[i], ends[i]
-                flags[a:e] = np.unpackbits(np.frombuffer(bits, np.uint8), count=e - a).view(bool)
-                if late:
-                    hashes = doc_windows(w, w.hashes(), width)[0] if hashes is None else hashes
-                    flags[a:e] |= np.isin(hashes[a:e], np.frombuffer(b"".join(late), np.uint64))
-            at = (np.repeat(w.first[:-1] - (ends - windows), windows) + np.arange(len(flags)))[flags]
-            cover = np.bincount(at, minlength=len(w.start) + width + 1).astype(np.int64)
-            cover[width:] -= np.bincount(at, minlength=len(w.start) + width + 1)[:-width]
-            keep = np.cumsum(cover)[: len(w.start)] == 0
-            removed = counts - np.diff(np.concatenate(([0], np.cumsum(keep)))[w.first])
-            data = w.data.copy()
-            data[w.end] = 32
-            step = np.zeros(len(data) + 1, np.int32)
-            step[w.start[keep]] += 1
-            step[w.end[keep] + 1] -= 1
-            inside = np.cumsum(step[:-1]) > 0
-            kept = data[inside].tobytes()
-            upto = np.concatenate(([0], np.cumsum(inside)))[w.ends + 1]
-            texts = [kept[a : max(a, e - 1)] for a, e in zip([0, *upto[:-1].tolist()], upto.tolist(), strict=True)]
-            out = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts])]
-            if with_text:
-                out += [pa.array(texts, pa.binary()).cast(pa.string()), pa.array([_intervals(~keep[a:e]) for a, e in zip(w.first[:-1], w.first[1:], strict=True)], pa.list_(pa.list_(pa.int64())))]
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept_text", "removed"] if with_text else ())])
-
-    return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string, removed array<array<long>>" if with_text else ""))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, signature(batch), np.int64)), *batch.columns], ["block", "doc_id", "text"])
+
+    def cut(block: pa.Table, late: pa.Table) -> pa.Table:
+        if not block.num_rows:
+            raise RuntimeError("the documents came in other blocks when they were read again; materialize them first")
+        b = Block(block.combine_chunks().select(["doc_id", "text"]), width)
+        w, counts, flags = b.words, b.words.counts, b.removed
+        if late.num_rows:
+            h = np.frombuffer(b"".join(late.column("hashes").to_pylist()), np.uint64)
+            ids = np.frombuffer(b"".join(late.column("ids").to_pylist()), np.int64)
+            order = np.argsort(h)
+            h, ids = h[order], ids[order]
+            at = np.minimum(np.searchsorted(h, b.hashes), len(h) - 1)
+            flags = flags | ((h[at] == b.hashes) & (ids[at] == b.ids[b.row]))
+        at = b.at[flags]
+        cover = np.bincount(at, minlength=len(w.start) + width + 1).astype(np.int64)
+        cover[width:] -= np.bincount(at, minlength=len(w.start) + width + 1)[:-width]
+        keep = np.cumsum(cover)[: len(w.start)] == 0
+        removed = counts - np.diff(np.concatenate(([0], np.cumsum(keep)))[w.first])
+        data = w.data.copy()
+        data[w.end] = 32
+        step = np.zeros(len(data) + 1, np.int8)
+        step[w.start[keep]] += 1
+        step[w.end[keep] + 1] -= 1
+        inside = np.cumsum(step[:-1], dtype=np.int8) > 0
+        kept = data[inside].tobytes()
+        upto = np.concatenate(([0], np.cumsum(inside)))[w.ends + 1]
+        texts = [kept[a : max(a, e - 1)] for a, e in zip([0, *upto[:-1].tolist()], upto.tolist(), strict=True)]
+        out = [b.batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts])]
+        if with_text:
+            out += [pa.array(texts, pa.binary()).cast(pa.string()), pa.array([_intervals(~keep[a:e]) for a, e in zip(w.first[:-1], w.first[1:], strict=True)], pa.list_(pa.list_(pa.int64())))]
+        return pa.Table.from_arrays(out, ["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept_text", "removed"] if with_text else ())])
+
+    named = docs.mapInArrow(name, "block long, doc_id long, text string")
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string, removed array<array<long>>" if with_text else "")
+    return named.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(cut, schema)
 
 
 def _intervals(gone: np.ndarray) -> list[list[int]]:
