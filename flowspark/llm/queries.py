@@ -19,6 +19,19 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowspark.llm.pii import digest, find
+
+    return digest(find(_table(spark, sf_dir, "documents"))[0])
+
+
+def op3_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowspark.llm.byte_cnn import score, train
+
+    docs = _table(spark, sf_dir, "documents")
+    return score(docs, train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowspark.llm.packing import pack, token_pieces
 
@@ -55,6 +68,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_token_store": op1_token_store,
+        "op2_pii": op2_pii,
+        "op3_byte_cnn": op3_byte_cnn,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op6_near_dedup": op6_near_dedup,
         "op7_substring_dedup": op7_substring_dedup,
