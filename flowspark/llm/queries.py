@@ -38,6 +38,13 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_pieces(_table(spark, sf_dir, "documents")))
 
 
+def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowspark.llm.warc_derivatives import derive, responses
+
+    records = derive(responses(_table(spark, sf_dir, "pages")))
+    return records.select("page_id", "record_type", "record_id", "refers_to", "target_uri", "content_type", "content_length", "block_digest")
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowspark.llm.near_dedup import link
 
@@ -50,6 +57,12 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op8_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowspark.llm.edit_counts import count_edited, review_edits
+
+    return count_edited(review_edits(_table(spark, sf_dir, "documents")))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowspark.llm.common import materialize
     from flowspark.llm.quality_rules import judge, learn, statistics
@@ -71,12 +84,16 @@ def queries() -> dict[str, Query]:
         "op2_pii": op2_pii,
         "op3_byte_cnn": op3_byte_cnn,
         "op4_best_fit_packing": op4_best_fit_packing,
+        "op5_warc_derivatives": op5_warc_derivatives,
         "op6_near_dedup": op6_near_dedup,
         "op7_substring_dedup": op7_substring_dedup,
+        "op8_edit_counts": op8_edit_counts,
         "op9_quality_rules": op9_quality_rules,
         "op10_decontamination": op10_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from flowspark.llm import warc_derivatives
+
+    return {"op5_warc_derivatives": warc_derivatives.oracle_sql()}
