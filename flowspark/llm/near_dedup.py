@@ -3,9 +3,11 @@
 1. One pass over whole texts makes, per document, a MinHash signature in bands, an odd sketch (its samples folded into a
    parity bitmap), the number of shingles and a 128-bit fingerprint of the shingle set.
 2. Documents of equal sets form a class with its least doc_id; only that one goes on. Thousands of copies cost one row.
-3. Members of a band's bucket are tested against one leader first; buckets whose members are then all in one component
-   are done. What is left is tested against other leaders, and at last pair by pair, but never within a component:
-   links inside one change no component. So no link between components is lost, and no group is paired out in full.
+3. Members of a band's bucket are tested against one leader; where most pairs stay open, once more against another.
+   Buckets whose members are then all in one component are done. Documents of the others are joined on the rarest
+   shingles of their sets: a pair of the wanted similarity shares one of the first n - ceil(0.8 n) + 1 by rarity, so none
+   is lost, while near copies that differ by shingles of their own share none. Pairs within a component are left out:
+   they change no component.
 4. A pair is tested by XOR of the odd sketches, whose population count estimates the similarity (with a margin of five
    standard deviations), and confirmed on both whole texts' shingle sets.
 
@@ -22,7 +24,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowspark.llm.common import Words, discard, doc_windows, materialize, mix64, sub_batches
@@ -31,8 +33,7 @@ from flowspark.llm.components import components
 SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 48, 6
 SKETCH_BITS = 1024
-STAR_ROUNDS = 4
-#: Below so many pairs for each member of a bucket, buckets are paired out across components.
+#: With more open pairs than this for each member of a bucket, members are tested against a second leader.
 PAIRS_A_MEMBER = 4
 
 _rng = np.random.default_rng(20240117)
@@ -120,6 +121,43 @@ def _confirm(pairs: DataFrame, marks: DataFrame, texts: DataFrame, width: int, p
     return both.mapInArrow(test, "u long, v long").distinct()
 
 
+def _open(buckets: DataFrame, joined: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, doc_id, component) of all members, and (key, m, q) of the buckets with several components."""
+    named = materialize(buckets.join(joined, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component")), "named")
+    sizes = named.groupBy("key", "component").agg(F.count("*").alias("n"))
+    totals = sizes.groupBy("key").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("q"), F.count("*").alias("parts"))
+    return named, totals.where("parts > 1").select("key", "m", "q")
+
+
+def _rare_pairs(unsettled: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (u, v) of different components that share one of each other's rarest shingles.
+
+    ``unsettled``: (doc_id, component). Of each shingle's documents, those of its most frequent component are not paired
+    with each other, nor gathered: the others are joined to all.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sub_batches(batches, "text"):
+            s, at = shingle_sets(batch.column("text"), width)
+            n = np.diff(at)
+            rows = np.repeat(np.arange(len(n)), n)
+            part = batch.select(["doc_id", "component"]).take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n[rows]), pa.array(s.view(np.int64))], ["doc_id", "component", "n", "shingle"])
+
+    rows = materialize(texts.join(unsettled, "doc_id").select("doc_id", "component", "text").mapInArrow(spread, "doc_id long, component long, n long, shingle long"), "shingles")
+    common = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "shingle"))
+    ranked = rows.join(common, "shingle", "left").select("doc_id", "component", "n", "shingle", F.coalesce("df", F.lit(1)).alias("df"))
+    prefix = ranked.select("*", first.alias("rank")).where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("df") > 1)).select("doc_id", "component", "n", "shingle")
+    prefix = materialize(prefix, "prefix")
+    discard(rows)
+    by_part = prefix.groupBy("shingle", "component").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.max_by("component", "c").alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    mixed = prefix.join(by_part, "shingle")
+    fewer = mixed.where("component != main").select("shingle", F.col("doc_id").alias("u"), F.col("component").alias("cu"), F.col("n").alias("nu"))
+    pairs = fewer.join(mixed, "shingle").where((F.col("cu") != F.col("component")) & ((F.col("component") == F.col("main")) | (F.col("u") < F.col("doc_id"))) & (100 * F.least("nu", "n") >= percent * F.greatest("nu", "n")))
+    return pairs.select(F.least("u", "doc_id").alias("u"), F.greatest("u", "doc_id").alias("v")).distinct()
+
+
 def link(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text).
 
@@ -139,32 +177,19 @@ def link(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataF
     marks = materialize(marks, "marks")
 
     tested = materialize(buckets.where("doc_id != lead").select(F.col("lead").alias("u"), F.col("doc_id").alias("v")).distinct(), "tested")
-    links = materialize(_confirm(tested, marks, texts, width, percent), "links")
-    n_members = buckets.count()
-    for turn in range(1, STAR_ROUNDS + 1):
-        joined = components(links)
-        named = buckets.join(joined, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        sizes = named.groupBy("key", "component").agg(F.count("*").alias("n"))
-        open_keys = sizes.groupBy("key").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("q"), F.count("*").alias("parts")).where("parts > 1")
-        left = open_keys.agg(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).first()[0] or 0
-        if not left:
-            break
-        unsettled = materialize(named.join(open_keys.select("key"), "key", "left_semi"), "unsettled")
-        last = left <= PAIRS_A_MEMBER * n_members or turn == STAR_ROUNDS
-        if last:
-            other = unsettled.select("key", F.col("doc_id").alias("v"), F.col("component").alias("cv"))
-            pairs = unsettled.join(other, "key").where("doc_id < v and component != cv").select(F.col("doc_id").alias("u"), "v")
-        else:
-            leads = unsettled.groupBy("key").agg(F.min_by(F.struct("doc_id", "component"), F.xxhash64("doc_id", "key", F.lit(turn))).alias("l"))
-            pairs = unsettled.join(leads, "key").where("component != l.component").select(F.least("doc_id", "l.doc_id").alias("u"), F.greatest("doc_id", "l.doc_id").alias("v"))
-        pairs = materialize(pairs.distinct().join(tested, ["u", "v"], "left_anti"), "pairs")
-        more = materialize(_confirm(pairs, marks, texts, width, percent), "links")
-        links = links.union(more)
-        discard(unsettled)
-        if last:
-            joined = components(links)
-            break
-        tested = tested.union(pairs)
+    joined = components(_confirm(tested, marks, texts, width, percent))
+    named, open_keys = _open(buckets, joined)
+    left = open_keys.agg(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).first()[0] or 0
+    if left > PAIRS_A_MEMBER * buckets.count():
+        unsettled = named.join(open_keys.select("key"), "key", "left_semi")
+        leads = unsettled.groupBy("key").agg(F.min_by(F.struct("doc_id", "component"), F.xxhash64("doc_id", "key")).alias("l"))
+        pairs = unsettled.join(leads, "key").where("component != l.component").select(F.least("doc_id", "l.doc_id").alias("u"), F.greatest("doc_id", "l.doc_id").alias("v")).distinct().join(tested, ["u", "v"], "left_anti")
+        joined = components(_confirm(pairs, marks, texts, width, percent).union(joined))
+        named, open_keys = _open(buckets, joined)
+    if left:
+        unsettled = named.join(open_keys.select("key"), "key", "left_semi").select("doc_id", "component").distinct()
+        pairs = materialize(_rare_pairs(unsettled, texts, width, percent), "pairs")
+        joined = components(_confirm(pairs, marks, texts, width, percent).union(joined))
 
     found = member.join(joined, F.col("first") == F.col("node"), "left").select("doc_id", F.coalesce("component", "first").alias("found"))
     per_doc = found.groupBy("doc_id").agg(F.min("found").alias("found"))
