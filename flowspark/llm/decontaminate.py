@@ -126,6 +126,25 @@ class Benchmark:
         under[np.minimum(at + self.seed, len(under) - 1)] -= 1
         return int((np.cumsum(under[:-1]) > 0).sum())
 
+    def leaks(self, texts: pa.Array, coverage: float) -> Iterator[tuple[int, int, int, list]]:
+        """(index of the text, item_id, tokens of the item, tiles) of each pair of at least ``coverage``."""
+        w = _Tokens(texts)
+        h = w.hashes()
+        hashes, at = doc_windows(w, h, self.seed)
+        window, found = self.hits(hashes)
+        doc, item = w.doc[at[window]], self.item[found]
+        order = np.lexsort((item, doc))
+        doc, item, found = doc[order], item[order], found[order]
+        cuts = np.flatnonzero((np.diff(doc) != 0) | (np.diff(item) != 0)) + 1 if len(doc) else []
+        for a, b in zip([0, *cuts], [*cuts, len(doc)], strict=True):
+            if b > a:
+                i, d = int(item[a]), int(doc[a])
+                tokens = self.tokens[i]
+                if self.reach(found[a:b], i) >= coverage * len(tokens):
+                    tiles = tile(tokens, h[w.first[d] : w.first[d + 1]], self.seed)
+                    if sum(n for _, _, n in tiles) >= coverage * len(tokens):
+                        yield d, self.ids[i], len(tokens), tiles
+
 
 def _row(doc, item, tokens: int, tiles: list[tuple[int, int, int]]) -> tuple:
     matched = sum(n for _, _, n in tiles)
@@ -139,44 +158,51 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], list(names))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed: int = SEED, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Pairs of ``docs`` (doc_id, text) and ``benchmark`` (item_id, text) with at least ``coverage`` of the item tiled."""
+def _held(benchmark: DataFrame, most: int):
+    """The items as a broadcast variable, or None if they may take more than ``most`` bytes."""
     benchmark = benchmark.select("item_id", "text").where("text is not null")
     size = benchmark.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    if (size[0] or 0) + 64 * size[1] > broadcast_bytes:
-        return _joined(docs, benchmark, coverage, seed)
+    if (size[0] or 0) + 64 * size[1] > most:
+        return None
     rows = benchmark.orderBy("item_id", "text").collect()
-    held = docs.sparkSession.sparkContext.broadcast(([r["item_id"] for r in rows], [r["text"] for r in rows]))
+    return benchmark.sparkSession.sparkContext.broadcast(([r["item_id"] for r in rows], [r["text"] for r in rows]))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed: int = SEED, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``docs`` (with a column text) without the rows that hold a benchmark item, all columns kept."""
+    held = _held(benchmark, broadcast_bytes)
+    if held is None:
+        numbered = materialize(docs.withColumn("_k", F.monotonically_increasing_id()), "documents")
+        found = _joined(numbered.select(F.col("_k").alias("k"), F.col("_k").alias("doc_id"), "text"), benchmark, coverage, seed)
+        return numbered.join(found.select(F.col("k").alias("_k")).distinct(), "_k", "left_anti").drop("_k")
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bench = Benchmark(*held.value, seed)
+        for batch in sub_batches(batches, "text"):
+            keep = np.ones(batch.num_rows, bool)
+            keep[[d for d, *_ in bench.leaks(batch.column("text"), coverage)]] = False
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(sift, docs.schema)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed: int = SEED, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Pairs of ``docs`` (doc_id, text) and ``benchmark`` (item_id, text) with at least ``coverage`` of the item tiled."""
+    held = _held(benchmark, broadcast_bytes)
+    if held is None:
+        return _joined(docs.select(F.monotonically_increasing_id().alias("k"), "doc_id", "text"), benchmark, coverage, seed).drop("k")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench = Benchmark(*held.value, seed)
         for batch in sub_batches(batches, "text"):
-            w = _Tokens(batch.column("text"))
-            h = w.hashes()
-            hashes, at = doc_windows(w, h, seed)
-            window, found = bench.hits(hashes)
-            doc, item = w.doc[at[window]], bench.item[found]
-            order = np.lexsort((item, doc))
-            doc, item, found = doc[order], item[order], found[order]
-            cuts = np.flatnonzero((np.diff(doc) != 0) | (np.diff(item) != 0)) + 1 if len(doc) else []
-            out = []
-            for a, b in zip([0, *cuts], [*cuts, len(doc)], strict=True):
-                if b == a:
-                    continue
-                i, d = int(item[a]), int(doc[a])
-                tokens = bench.tokens[i]
-                if bench.reach(found[a:b], i) < coverage * len(tokens):
-                    continue
-                row = _row(batch.column("doc_id")[d].as_py(), bench.ids[i], len(tokens), tile(tokens, h[w.first[d] : w.first[d + 1]], seed))
-                if row[-1] >= coverage:
-                    out.append(row)
-            yield _table(out)
+            ids = batch.column("doc_id")
+            yield _table([_row(ids[d].as_py(), *rest) for d, *rest in bench.leaks(batch.column("text"), coverage)])
 
     return docs.select("doc_id", "text").mapInArrow(search, PAIRS)
 
 
 def _joined(docs: DataFrame, benchmark: DataFrame, coverage: float, seed: int) -> DataFrame:
-    """The same by joins on seeds, for a benchmark too large to broadcast. Each row gets a key of its own."""
+    """k and the pairs by joins on seeds, for a benchmark too large to broadcast; k: a key of each row of ``docs``."""
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sub_batches(batches, "text"):
@@ -194,16 +220,17 @@ def _joined(docs: DataFrame, benchmark: DataFrame, coverage: float, seed: int) -
             for d in range(batch.num_rows):
                 tokens = g[v.first[d] : v.first[d + 1]]
                 row = _row(batch.column("doc_id")[d].as_py(), batch.column("item_id")[d].as_py(), len(tokens), tile(tokens, h[w.first[d] : w.first[d + 1]], seed))
-                if row[-1] >= coverage:
-                    out.append(row)
-            yield _table(out)
+                if row[3] >= coverage * len(tokens):
+                    out.append((batch.column("k")[d].as_py(), row))
+            pairs = _table([row for _, row in out])
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), *pairs.columns], ["k", *pairs.schema.names])
 
-    own = materialize(docs.select(F.monotonically_increasing_id().alias("k"), "doc_id", "text"), "documents")
-    items = materialize(benchmark.select(F.monotonically_increasing_id().alias("k"), "item_id", F.col("text").alias("item")), "items")
+    own = materialize(docs, "documents")
+    items = materialize(benchmark.where("text is not null").select(F.monotonically_increasing_id().alias("k"), "item_id", F.col("text").alias("item")), "items")
     theirs = items.select("k", F.col("item").alias("text")).mapInArrow(seeds, "k long, hash long").withColumnRenamed("k", "i")
     totals = theirs.groupBy("i").agg(F.count("*").alias("n"))
     shared = own.select("k", "text").mapInArrow(seeds, "k long, hash long").join(theirs, "hash").groupBy("k", "i").agg(F.count("*").alias("m")).join(totals, "i")
     # n distinct seeds leave at least n + seed - 1 tokens or fewer if some repeat; each shared one can cover seed tokens
     likely = shared.where(F.col("m") * seed >= F.lit(coverage) * F.col("n")).select("k", "i")
-    both = likely.join(own, "k").join(items.withColumnRenamed("k", "i"), "i").select("doc_id", "text", "item_id", "item")
-    return both.mapInArrow(tiled, PAIRS)
+    both = likely.join(own, "k").join(items.withColumnRenamed("k", "i"), "i").select("k", "doc_id", "text", "item_id", "item")
+    return both.mapInArrow(tiled, f"k long, {PAIRS}")
