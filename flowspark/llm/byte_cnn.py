@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.llm.common import sub_batches
+from flowspark.llm.common import hashed_sample, sub_batches
 
 SEGMENT, WIDTH, STRIDE = 256, 8, 2
 EMBEDDING, FILTERS = 5, 16
@@ -59,7 +59,7 @@ def repeats(data: np.ndarray) -> np.ndarray:
 def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts, each padded to whole segments, and the number of segments of each."""
     sizes = np.array([len(t) for t in texts], np.int64)
-    n = (sizes + WIDTH) // SEGMENT + 1
+    n = (sizes + LAGS[-1] + WIDTH) // SEGMENT + 1  # zeros keep documents out of each other's reach
     data = np.zeros(int(n.sum()) * SEGMENT + WIDTH, np.uint8)
     for t, at in zip(texts, (np.cumsum(n) - n) * SEGMENT, strict=True):
         data[at : at + len(t)] = np.frombuffer(t, np.uint8)
@@ -90,23 +90,36 @@ class ByteNet:
         view = np.lib.stride_tricks.sliding_window_view(x.reshape(-1), WIDTH * _CHANNELS)
         return view[: (last - first) * SEGMENT * _CHANNELS : STRIDE * _CHANNELS]
 
-    def responses(self, data: np.ndarray, flags: np.ndarray, count: int) -> np.ndarray:
-        """The largest response of each filter in each segment."""
+    def responses(self, data: np.ndarray, flags: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The largest response of each filter in each segment, for documents of ``n`` segments."""
+        count, last = int(n.sum()), last_segments(n)
         out = np.empty((count, FILTERS), np.float32)
         for a in range(0, count, 64):
             b = min(a + 64, count)
             y = np.ascontiguousarray(self.windows(data, flags, a, b)) @ self.filters
-            out[a:b] = y.reshape(b - a, _PART, FILTERS).max(axis=1)
+            out[a:b] = within(y.reshape(b - a, _PART, FILTERS), last[a:b]).max(axis=1)
         return np.maximum(out + self.bias, 0)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
         data, n = segments(texts)
-        top = self.responses(data, repeats(data), int(n.sum()))
+        top = self.responses(data, repeats(data), n)
         return 1 / (1 + np.exp(-(pool(top, n)[0] @ self.head + self.offset).astype(np.float64)))
 
 
+def last_segments(n: np.ndarray) -> np.ndarray:
+    out = np.zeros(int(n.sum()), bool)
+    out[np.cumsum(n) - 1] = True
+    return out
+
+
+def within(y: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Responses by segment and position; those that reach beyond a document's padding get the one before."""
+    y[last, 1 - WIDTH // STRIDE :] = y[last, -(WIDTH // STRIDE)][:, None]
+    return y
+
+
 def pool(top: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per document: largest and mean of its chunks' responses; the chunks' responses; the first segment of each."""
     begin = np.cumsum(n) - n
@@ -140,7 +153,7 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 14, batch: int = 4
             flag = np.concatenate([flags[i][:-WIDTH] for i in who] + [np.zeros(WIDTH, np.float32)])
             count = int(n.sum())
             x = np.ascontiguousarray(net.windows(data, flag, 0, count))
-            y = (x @ net.filters).reshape(count, _PART, FILTERS)
+            y = within((x @ net.filters).reshape(count, _PART, FILTERS), last_segments(n))
             best = y.argmax(axis=1)
             raw = np.take_along_axis(y, best[:, None], 1)[:, 0] + net.bias
             top = np.maximum(raw, 0)
@@ -191,7 +204,7 @@ def held_out(doc_id) -> object:
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ByteNet:
     """Fit on ``labels`` (doc_id, quality) of ``docs`` (doc_id, text). At most sample_rows x 4 KB reach the driver."""
     known = labels.select("doc_id", "quality").where("doc_id is not null and quality is not null").where(~held_out("doc_id"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_rows)
+    chosen = hashed_sample(known, sample_rows, "doc_id", "quality")
     picked = [(r["doc_id"], r["quality"]) for r in chosen.collect()]
     if not picked:
         return fit([], np.zeros(0))

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 21
 _MASK = (1 << 64) - 1
@@ -46,6 +47,17 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def hashed_sample(df: DataFrame, rows: int, key: str, *others: str) -> DataFrame:
+    """At most ``rows`` rows of distinct ``key``, the first by its hash, whatever the partitions.
+
+    Hashes are thinned out by the number of rows first, so that little more than ``rows`` are sorted.
+    """
+    have = df.groupBy(key).agg(*[F.min(c).alias(c) for c in others])
+    share = min(1.0, 2 * rows / max(1, df.count()) + 2000 / max(1, df.count()))
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    return have.where(place < int(share * (1 << 30))).orderBy(place, key).limit(rows)
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """Bijective finaliser: every input bit reaches every output bit."""
     h = h ^ (h >> np.uint64(30))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.llm.common import Words, doc_windows, span_hashes, sub_batches
+from flowspark.llm.common import Words, doc_windows, hashed_sample, span_hashes, sub_batches
 
 REPEAT_WIDTH = 8
 SAMPLE_ROWS = 20_000
@@ -200,8 +200,9 @@ def learn(stats: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -
     Every fourth row by crc32 (remainder 2) is left out, for held-out figures.
     """
     known = labels.select("doc_id", "quality").where("doc_id is not null and quality is not null and crc32(cast(doc_id as string)) % 4 != 2")
-    rows = stats.join(known, "doc_id").select("quality", *(c.alias(n) for n, c in features().items()), F.xxhash64("doc_id").alias("at")).orderBy("at", *features(), "quality").limit(sample_rows)
-    return learn_list(rows.toPandas())
+    chosen = stats.sparkSession.createDataFrame(hashed_sample(known, sample_rows, "doc_id", "quality").collect(), "doc_id long, quality int")
+    rows = stats.join(F.broadcast(chosen), "doc_id").select("quality", F.xxhash64("doc_id").alias("at"), *(c.alias(n) for n, c in features().items()))
+    return learn_list(rows.toPandas().sort_values(["at", *features(), "quality"], ignore_index=True))
 
 
 def judge(stats: DataFrame, rules: DecisionList) -> DataFrame:
