@@ -148,13 +148,15 @@ def _rare_pairs(unsettled: DataFrame, texts: DataFrame, width: int, percent: int
     common = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "shingle"))
     ranked = rows.join(common, "shingle", "left").select("doc_id", "component", "n", "shingle", F.coalesce("df", F.lit(1)).alias("df"))
-    prefix = ranked.select("*", first.alias("rank")).where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("df") > 1)).select("doc_id", "component", "n", "shingle")
+    shared = F.count_if(F.col("df") > 1).over(Window.partitionBy("doc_id")).alias("r")
+    prefix = ranked.select("*", first.alias("rank"), shared).where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("df") > 1)).select("doc_id", "component", "n", "r", "shingle")
     prefix = materialize(prefix, "prefix")
     discard(rows)
     by_part = prefix.groupBy("shingle", "component").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.max_by("component", "c").alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
     mixed = prefix.join(by_part, "shingle")
-    fewer = mixed.where("component != main").select("shingle", F.col("doc_id").alias("u"), F.col("component").alias("cu"), F.col("n").alias("nu"))
-    pairs = fewer.join(mixed, "shingle").where((F.col("cu") != F.col("component")) & ((F.col("component") == F.col("main")) | (F.col("u") < F.col("doc_id"))) & (100 * F.least("nu", "n") >= percent * F.greatest("nu", "n")))
+    fewer = mixed.where("component != main").select("shingle", F.col("doc_id").alias("u"), F.col("component").alias("cu"), F.col("n").alias("nu"), F.col("r").alias("ru"))
+    most = F.least("ru", "r")  # of common shingles: those that are in no other document at all are not among them
+    pairs = fewer.join(mixed, "shingle").where((F.col("cu") != F.col("component")) & ((F.col("component") == F.col("main")) | (F.col("u") < F.col("doc_id"))) & (100 * most >= percent * (F.col("nu") + F.col("n") - most)))
     return pairs.select(F.least("u", "doc_id").alias("u"), F.greatest("u", "doc_id").alias("v")).distinct()
 
 
