@@ -6,8 +6,8 @@
 3. Members of a band's bucket are tested against one leader; where most pairs stay open, once more against another.
    Buckets whose members are then all in one component are done. Documents of the others are joined on the rarest
    shingles of their sets: a pair of the wanted similarity shares one of the first n - ceil(0.8 n) + 1 by rarity, so none
-   is lost, while near copies that differ by shingles of their own share none. Pairs within a component are left out:
-   they change no component.
+   is lost, while near copies that differ by shingles of their own share none; bitmaps of the sets bound what a pair has in common. Pairs within a component are
+   left out: they change no component.
 4. A pair is tested by XOR of the odd sketches, whose population count estimates the similarity (with a margin of five
    standard deviations), and confirmed on both whole texts' shingle sets.
 
@@ -60,7 +60,10 @@ def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2, bands, sketch) of each row; bands and sketch are null without shingles."""
+    """(doc_id, n_shingles, f1, f2, bands, sketch, bitmap) of each row; the last three are null without shingles.
+
+    ``bitmap``: a bit for each value of a hash that some shingle has.
+    """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sub_batches(batches, "text"):
@@ -71,6 +74,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
             f1, f2 = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
             bands: list = [None] * len(n)
             odd: list = [None] * len(n)
+            bitmap: list = [None] * len(n)
             if len(full):
                 f1[full] = np.add.reduceat(mix64(s ^ np.uint64(0x5851F42D4C957F2D)), starts).view(np.int64)
                 f2[full] = np.add.reduceat(mix64(s + np.uint64(0x14057B7EF767814F)), starts).view(np.int64)
@@ -84,12 +88,14 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                     keys = mix64(keys * np.uint64(31) + samples[r::ROWS])
                 bit = (samples % np.uint64(SKETCH_BITS)).astype(np.int64) + np.arange(len(full)) * SKETCH_BITS
                 parity = (np.bincount(bit.ravel(), minlength=len(full) * SKETCH_BITS) & 1).astype(np.uint8)
-                bits = np.packbits(parity).view(np.int64).reshape(len(full), -1).tolist()
-                for i, k, o in zip(full, keys.T.view(np.int64).tolist() if len(full) == 1 else np.ascontiguousarray(keys.T).view(np.int64).tolist(), bits, strict=True):
-                    bands[i], odd[i] = k, o
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1), pa.array(f2), pa.array(bands, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "f1", "f2", "bands", "sketch"])
+                own = np.zeros(len(full) * SKETCH_BITS, np.uint8)
+                own[(s % np.uint64(SKETCH_BITS)).astype(np.int64) + np.repeat(np.arange(len(full)), n[full]) * SKETCH_BITS] = 1
+                words = [np.packbits(b).view(np.int64).reshape(len(full), -1).tolist() for b in (parity, own)]
+                for i, k, o, b in zip(full, np.ascontiguousarray(keys.T).view(np.int64).tolist(), *words, strict=True):
+                    bands[i], odd[i], bitmap[i] = k, o, b
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1), pa.array(f2), pa.array(bands, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64())), pa.array(bitmap, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "f1", "f2", "bands", "sketch", "bitmap"])
 
-    return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sketch array<long>")
+    return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sketch array<long>, bitmap array<long>")
 
 
 def weakest_parity(percent: int, samples: int = BANDS * ROWS, bits: int = SKETCH_BITS) -> int:
@@ -129,7 +135,7 @@ def _open(buckets: DataFrame, joined: DataFrame) -> tuple[DataFrame, DataFrame]:
     return named, totals.where("parts > 1").select("key", "m", "q")
 
 
-def _rare_pairs(unsettled: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _rare_pairs(unsettled: DataFrame, texts: DataFrame, marks: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (u, v) of different components that share one of each other's rarest shingles.
 
     ``unsettled``: (doc_id, component). Of each shingle's documents, those of its most frequent component are not paired
@@ -148,15 +154,17 @@ def _rare_pairs(unsettled: DataFrame, texts: DataFrame, width: int, percent: int
     common = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "shingle"))
     ranked = rows.join(common, "shingle", "left").select("doc_id", "component", "n", "shingle", F.coalesce("df", F.lit(1)).alias("df"))
-    shared = F.count_if(F.col("df") > 1).over(Window.partitionBy("doc_id")).alias("r")
-    prefix = ranked.select("*", first.alias("rank"), shared).where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("df") > 1)).select("doc_id", "component", "n", "r", "shingle")
+    prefix = ranked.select("*", first.alias("rank")).where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("df") > 1)).select("doc_id", "component", "n", "shingle")
+    prefix = prefix.join(marks.select("doc_id", "bitmap"), "doc_id")
     prefix = materialize(prefix, "prefix")
     discard(rows)
     by_part = prefix.groupBy("shingle", "component").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.max_by("component", "c").alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
     mixed = prefix.join(by_part, "shingle")
-    fewer = mixed.where("component != main").select("shingle", F.col("doc_id").alias("u"), F.col("component").alias("cu"), F.col("n").alias("nu"), F.col("r").alias("ru"))
-    most = F.least("ru", "r")  # of common shingles: those that are in no other document at all are not among them
-    pairs = fewer.join(mixed, "shingle").where((F.col("cu") != F.col("component")) & ((F.col("component") == F.col("main")) | (F.col("u") < F.col("doc_id"))) & (100 * most >= percent * (F.col("nu") + F.col("n") - most)))
+    fewer = mixed.where("component != main").select("shingle", F.col("doc_id").alias("u"), F.col("component").alias("cu"), F.col("n").alias("nu"), F.col("bitmap").alias("bu"))
+    # a bit that one has and the other lacks is a shingle, at least, that they don't share
+    lacks = lambda a, b: reduce(lambda x, y: x + y, [F.bit_count(F.col(a)[i].bitwiseAND(F.bitwise_not(F.col(b)[i]))) for i in range(SKETCH_BITS // 64)])
+    most = F.least(F.col("nu") - lacks("bu", "bitmap"), F.col("n") - lacks("bitmap", "bu"))
+    pairs = fewer.join(mixed, "shingle").where((F.col("cu") != F.col("component")) & ((F.col("component") == F.col("main")) | (F.col("u") < F.col("doc_id"))) & (100 * F.least("nu", "n") >= percent * F.greatest("nu", "n"))).where(100 * most >= percent * (F.col("nu") + F.col("n") - most))
     return pairs.select(F.least("u", "doc_id").alias("u"), F.greatest("u", "doc_id").alias("v")).distinct()
 
 
@@ -174,7 +182,7 @@ def link(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataF
     shared = spread.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
     buckets = materialize(spread.join(shared, "key"), "buckets")
     ids = buckets.select("doc_id").distinct()
-    marks = linkable.select("doc_id", "sketch", "n_shingles").join(ids, "doc_id", "left_semi")
+    marks = linkable.select("doc_id", "sketch", "bitmap", "n_shingles").join(ids, "doc_id", "left_semi")
     texts = materialize(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), "texts")
     marks = materialize(marks, "marks")
 
@@ -190,7 +198,7 @@ def link(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataF
         named, open_keys = _open(buckets, joined)
     if left:
         unsettled = named.join(open_keys.select("key"), "key", "left_semi").select("doc_id", "component").distinct()
-        pairs = materialize(_rare_pairs(unsettled, texts, width, percent), "pairs")
+        pairs = materialize(_rare_pairs(unsettled, texts, marks, width, percent), "pairs")
         joined = components(_confirm(pairs, marks, texts, width, percent).union(joined))
 
     found = member.join(joined, F.col("first") == F.col("node"), "left").select("doc_id", F.coalesce("component", "first").alias("found"))

@@ -9,7 +9,7 @@ import pytest
 
 from flowspark.llm.common import Words, window_hashes
 from flowspark.llm.components import components
-from flowspark.llm.near_dedup import _rare_pairs, link, weakest_parity
+from flowspark.llm.near_dedup import _rare_pairs, link, sketches, weakest_parity
 from flowspark.llm.substring_dedup import remove_repeats
 
 from .helpers import corpus, frame, prose, words
@@ -81,7 +81,7 @@ def test_rare_pairs_lose_no_link(spark):
     rows = [r for r in corpus(3) if r[1]]
     texts = frame(spark, rows, extra=False)
     alone = spark.createDataFrame([(d, d) for d, _ in rows], "doc_id long, component long")
-    found = {(r["u"], r["v"]) for r in _rare_pairs(alone, texts, 4, 80).collect()}
+    found = {(r["u"], r["v"]) for r in _rare_pairs(alone, texts, sketches(texts, 4), 4, 80).collect()}
     sets = {d: shingles(t, 4) for d, t in rows}
     for a in sets:
         for b in sets:
