@@ -99,14 +99,16 @@ def count_edited(docs: DataFrame, path: str | None = None) -> DataFrame:
         encoder = Encoder(path)
 
         def count(text: str) -> int:
-            return sum(len(x) for x in encoder.runs([w for w in re.split(f"[{SPACE}]+", text) if w]))
+            runs = [w for w in re.split(f"[{SPACE}]+", text) if w]
+            distinct = list(dict.fromkeys(runs))
+            known = dict(zip(distinct, encoder.lengths(distinct).tolist(), strict=True))
+            return sum(known[r] for r in runs)
 
         for batch in sub_batches(batches, "text", 1 << 22):
             slots = [_SLOT.findall(t or "") for t in batch.column("text").to_pylist()]
             words = [s.strip(SPACE) for own in slots for s in own]
             codes, distinct = pd.factorize(np.array(words, dtype=object)) if words else (np.zeros(0, np.int64), [])
-            lengths = np.array([len(x) for x in encoder.runs(list(distinct))], np.int64)
-            tokens = lengths[codes] if len(words) else np.zeros(0, np.int64)
+            tokens = encoder.lengths(list(distinct))[codes] if len(words) else np.zeros(0, np.int64)
             rows, at = [], 0
             for doc, own, edits in zip(batch.column("doc_id").to_pylist(), slots, batch.column("edits").to_pylist(), strict=True):
                 n = len(own)

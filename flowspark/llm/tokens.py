@@ -2,7 +2,7 @@
 
 The tokenizer's own rules never join characters across white space, so a text's ids are the ids of its runs of other
 characters, one after the other. Each distinct run of a batch is encoded once; frequent ones are kept between batches
-in a dictionary of bounded size.
+in a store of bounded size.
 """
 
 from __future__ import annotations
@@ -16,8 +16,7 @@ import pandas as pd
 import pyarrow as pa
 
 TOKENIZER = "word_bpe_49k.json"
-CACHE_ENTRIES = 500_000
-CACHED_LENGTH = 20
+CACHE_ENTRIES = 900_000
 #: Runs of these letters, perhaps with a comma or full stop at the end, are one or two pre-tokens; many are encoded as one text.
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?")
 _OTHER_SPACE = "\n\t\r\v\f"
@@ -30,7 +29,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class Encoder:
-    """Ids of texts as numpy arrays. ``path``: a file of the tokenizers library that drops white space."""
+    """Ids of texts as numpy arrays. ``path``: a file of the tokenizers library that drops white space.
+
+    Known runs are numbers into one array of ids; a full store starts anew.
+    """
 
     def __init__(self, path: str | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -38,37 +40,61 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path or tokenizer_path())
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, np.ndarray] = {}
-        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
-        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-
-    def runs(self, runs: list[str]) -> list[np.ndarray]:
-        """Ids of each distinct run of characters other than ASCII white space."""
-        missing = [r for r in runs if r not in self.known]
-        fresh = {}
-        plain = [r for r in missing if _PLAIN.fullmatch(r)]
-        for i in range(0, len(plain), 4000):
-            fresh.update(self.together(plain[i : i + 4000]))
-        missing = [r for r in missing if r not in fresh]
-        for i in range(0, len(missing), 20_000):
-            part = missing[i : i + 20_000]
-            fresh.update((r, np.array(e.ids, np.uint32)) for r, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
-        out = [fresh[r] if r in fresh else self.known[r] for r in runs]
-        if len(self.known) + len(fresh) > CACHE_ENTRIES:
-            self.known.clear()
-        self.known.update((r, ids) for r, ids in fresh.items() if len(r) <= CACHED_LENGTH)
-        return out
-
-    def together(self, runs: list[str]) -> dict[str, np.ndarray]:
-        """Ids of plain runs from one call: ids that end a word part them. Nothing if the words don't come out even."""
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 2, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.stored = 0
+        self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.begin, self.length = np.zeros(1 << 17, np.int64), np.zeros(1 << 17, np.int64)
+
+    def _store(self, runs: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        n, m = self.stored, len(runs)
+        while n + m > len(self.begin):
+            self.begin, self.length = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.length, 2 * len(self.length))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.begin[n : n + m] = self.used + np.cumsum(lengths) - lengths
+        self.length[n : n + m] = lengths
+        self.used += len(ids)
+        self.stored += m
+        self.known.update(zip(runs, range(n, n + m), strict=True))
+
+    def _plain(self, runs: list[str]) -> bool:
+        """Encode plain runs in one call: ids that end a word part them. False if the words don't come out even."""
         (whole,) = self.tokenizer.encode_batch_fast([" ".join(runs)], add_special_tokens=False)
         ids = np.array(whole.ids, np.uint32)
         last = np.flatnonzero(self.ends[ids]) + 1
         upto = np.cumsum([1 if r[-1] not in ".," else 2 for r in runs])
         if len(last) != upto[-1] or last[-1] != len(ids):
-            return {}
-        cuts = [0, *last[upto - 1].tolist()]
-        return {r: ids[a:b] for r, a, b in zip(runs, cuts[:-1], cuts[1:], strict=True)}
+            return False
+        self._store(runs, ids, np.diff(last[upto - 1], prepend=0))
+        return True
+
+    def numbers(self, runs: list[str]) -> np.ndarray:
+        """The number of each distinct run of characters other than ASCII white space in the store."""
+        if len(self.known) > CACHE_ENTRIES:
+            self.clear()
+        known = self.known
+        missing = [r for r in runs if r not in known]
+        plain = [r for r in missing if _PLAIN.fullmatch(r)]
+        for i in range(0, len(plain), 4000):
+            self._plain(plain[i : i + 4000])
+        missing = [r for r in missing if r not in known]
+        for i in range(0, len(missing), 20_000):
+            part = missing[i : i + 20_000]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            self._store(part, np.array([x for e in ids for x in e], np.uint32), np.array([len(e) for e in ids], np.int64))
+        return np.fromiter(map(known.__getitem__, runs), np.int64, len(runs))
+
+    def lengths(self, runs: list[str]) -> np.ndarray:
+        """The number of ids of each distinct run."""
+        at = self.numbers(runs)
+        return self.length[at]
 
     def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and the number of ids of each text. A null text has none."""
@@ -84,19 +110,17 @@ class Encoder:
         if not words:
             return np.zeros(0, np.uint32), counts
         codes, distinct = pd.factorize(np.array(words, dtype=object))
-        pieces = self.runs(list(distinct))
-        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        flat = np.concatenate(pieces)
-        begin = np.cumsum(lengths) - lengths
+        at = self.numbers(list(distinct))
+        begin, lengths = self.begin[at], self.length[at]
         n = lengths[codes]
         total = np.cumsum(n)
-        ids = flat[np.arange(total[-1]) + np.repeat(begin[codes] - (total - n), n)]
+        ids = self.flat[np.arange(total[-1]) + np.repeat(begin[codes] - (total - n), n)]
         bound = np.concatenate(([0], total))
         upto = np.cumsum(counts)
         return ids, bound[upto] - bound[upto - counts]
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str | None, most: int = 1 << 22) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def encoded(batches: Iterator[pa.RecordBatch], path: str | None, most: int = 6 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """For Arrow batches with a column ``text``: slices, their ids and the number of ids of each row."""
     from flowspark.llm.common import sub_batches
 
