@@ -51,7 +51,7 @@ def crossing_point(prev: Point, cur: Point, off_prev: Column, off_cur: Column) -
 def fast_enough(prev: Point, cur: Point, unit_normal: Point, dt: Column, least: float) -> Column:
     """Speed across the line, in pixels a second."""
     step = F.when(dt > 0, dt).otherwise(1 / 25)
-    return F.abs((cur[0] - prev[0]) * unit_normal[0] + (cur[1] - prev[1]) * unit_normal[1]) / step >= least
+    return F.round(F.abs((cur[0] - prev[0]) * unit_normal[0] + (cur[1] - prev[1]) * unit_normal[1]) / step, 6) >= least
 
 
 def in_polygon(p: Point, ring: Column) -> Column:
