@@ -3,8 +3,8 @@
 1. One pass over whole texts makes, per document, a MinHash signature in bands, an odd sketch (its samples folded into a
    parity bitmap), the number of shingles and a 128-bit fingerprint of the shingle set.
 2. Documents of equal sets form a class with its least doc_id; only that one goes on. Thousands of copies cost one row.
-3. Members of a band's bucket are tested against one leader; where most pairs stay open, once more against another.
-   Buckets whose members are then all in one component are done. Documents of the others are joined on the rarest
+3. Members of a band's bucket are tested against its first and its last document; other bands have other ones. Buckets
+   whose members are then all in one component are done. Documents of the others are joined on the rarest
    shingles of their sets: a pair of the wanted similarity shares one of the first n - ceil(0.8 n) + 1 by rarity, so none
    is lost, while near copies that differ by shingles of their own share none; bitmaps of the sets bound what a pair has in common. Pairs within a component are
    left out: they change no component.
@@ -33,8 +33,6 @@ from flowspark.llm.components import components
 SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 48, 6
 SKETCH_BITS = 1024
-#: With more open pairs than this for each member of a bucket, members are tested against a second leader.
-PAIRS_A_MEMBER = 4
 
 _rng = np.random.default_rng(20240117)
 _A = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -127,12 +125,11 @@ def _confirm(pairs: DataFrame, marks: DataFrame, texts: DataFrame, width: int, p
     return both.mapInArrow(test, "u long, v long").distinct()
 
 
-def _open(buckets: DataFrame, joined: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, doc_id, component) of all members, and (key, m, q) of the buckets with several components."""
+def _open(buckets: DataFrame, joined: DataFrame) -> DataFrame:
+    """(doc_id, component) of the members of buckets with several components."""
     named = materialize(buckets.join(joined, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component")), "named")
-    sizes = named.groupBy("key", "component").agg(F.count("*").alias("n"))
-    totals = sizes.groupBy("key").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("q"), F.count("*").alias("parts"))
-    return named, totals.where("parts > 1").select("key", "m", "q")
+    several = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
+    return named.join(several, "key", "left_semi").select("doc_id", "component").distinct()
 
 
 def _rare_pairs(unsettled: DataFrame, texts: DataFrame, marks: DataFrame, width: int, percent: int) -> DataFrame:
@@ -179,27 +176,19 @@ def link(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataF
     member = materialize(linkable.select("doc_id", "n_shingles", "f1", "f2").join(classes, ["n_shingles", "f1", "f2"]).select("doc_id", "first").distinct(), "classes")
     firsts = linkable.join(classes.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
     spread = firsts.select("doc_id", F.explode("bands").alias("key")).distinct()
-    shared = spread.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = spread.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("tail")).where("lead < tail")
     buckets = materialize(spread.join(shared, "key"), "buckets")
     ids = buckets.select("doc_id").distinct()
     marks = linkable.select("doc_id", "sketch", "bitmap", "n_shingles").join(ids, "doc_id", "left_semi")
     texts = materialize(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), "texts")
     marks = materialize(marks, "marks")
 
-    tested = materialize(buckets.where("doc_id != lead").select(F.col("lead").alias("u"), F.col("doc_id").alias("v")).distinct(), "tested")
+    leaders = buckets.select("doc_id", F.explode(F.array("lead", "tail")).alias("leader")).where("doc_id != leader")
+    tested = leaders.select(F.least("doc_id", "leader").alias("u"), F.greatest("doc_id", "leader").alias("v")).distinct()
     joined = components(_confirm(tested, marks, texts, width, percent))
-    named, open_keys = _open(buckets, joined)
-    left = open_keys.agg(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).first()[0] or 0
-    if left > PAIRS_A_MEMBER * buckets.count():
-        unsettled = named.join(open_keys.select("key"), "key", "left_semi")
-        leads = unsettled.groupBy("key").agg(F.min_by(F.struct("doc_id", "component"), F.xxhash64("doc_id", "key")).alias("l"))
-        pairs = unsettled.join(leads, "key").where("component != l.component").select(F.least("doc_id", "l.doc_id").alias("u"), F.greatest("doc_id", "l.doc_id").alias("v")).distinct().join(tested, ["u", "v"], "left_anti")
-        joined = components(_confirm(pairs, marks, texts, width, percent).union(joined))
-        named, open_keys = _open(buckets, joined)
-    if left:
-        unsettled = named.join(open_keys.select("key"), "key", "left_semi").select("doc_id", "component").distinct()
-        pairs = materialize(_rare_pairs(unsettled, texts, marks, width, percent), "pairs")
-        joined = components(_confirm(pairs, marks, texts, width, percent).union(joined))
+    unsettled = _open(buckets, joined)
+    pairs = materialize(_rare_pairs(unsettled, texts, marks, width, percent), "pairs")
+    joined = components(_confirm(pairs, marks, texts, width, percent).union(joined))
 
     found = member.join(joined, F.col("first") == F.col("node"), "left").select("doc_id", F.coalesce("component", "first").alias("found"))
     per_doc = found.groupBy("doc_id").agg(F.min("found").alias("found"))
