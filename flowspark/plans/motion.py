@@ -163,7 +163,7 @@ def line_relations(spark, sf):
     "cep05_candidate_crossings",
     f"""WITH {OBS}, t AS (SELECT *, {_OFF} AS o, lag({_OFF}) OVER w AS po, lag(x) OVER w AS px, lag(y) OVER w AS py FROM obs WINDOW w AS ({_TRACK})),
 c AS (SELECT *, px + po / (po - o) * (x - px) AS cx, py + po / (po - o) * (y - py) AS cy FROM t WHERE po * o < 0)
-SELECT track_id, n, CASE WHEN o > 0 THEN 'enter' ELSE 'exit' END AS direction, round(cx, 6) AS cross_x, round(cy, 6) AS cross_y FROM c WHERE ((cx - 0.1) * 0.8::DOUBLE + (cy - 0.45) * 0.1::DOUBLE) / 0.65::DOUBLE BETWEEN 0 AND 1
+SELECT track_id, n, CASE WHEN o > 0 THEN 'enter' ELSE 'exit' END AS direction, round(cx, 6) AS cross_x, round(cy, 6) AS cross_y FROM c WHERE round(((cx - 0.1) * 0.8::DOUBLE + (cy - 0.45) * 0.1::DOUBLE) / 0.65::DOUBLE, 9) BETWEEN 0 AND 1
  AND round(abs((x - px) * -0.1::DOUBLE + (y - py) * 0.8::DOUBLE) / sqrt(0.65::DOUBLE) / 0.2::DOUBLE, 6) >= 0.5""",
 )
 def candidates(spark, sf):
@@ -174,7 +174,7 @@ def candidates(spark, sf):
     rows = rows.withColumns({"po": g.offset(prev, p1, n), "o": g.offset(cur, p1, n)}).where("po * o < 0")
     cx, cy = g.crossing_point(prev, cur, F.col("po"), F.col("o"))
     met = rows.where(g.fast_enough(prev, cur, g.unit(n), F.lit(0.2), 0.5)).withColumns({"cx": cx, "cy": cy})
-    return met.where(g.projection((F.col("cx"), F.col("cy")), p1, p2).between(0, 1)).select("track_id", "n", F.when(F.col("o") > 0, "enter").otherwise("exit").alias("direction"), F.round("cx", 6).alias("cross_x"), F.round("cy", 6).alias("cross_y"))
+    return met.where(F.round(g.projection((F.col("cx"), F.col("cy")), p1, p2), 9).between(0, 1)).select("track_id", "n", F.when(F.col("o") > 0, "enter").otherwise("exit").alias("direction"), F.round("cx", 6).alias("cross_x"), F.round("cy", 6).alias("cross_y"))
 
 
 @query("geo15_adaptive_pixel", f"WITH {OBS} SELECT track_id, n, greatest(30.0::DOUBLE, 0.3::DOUBLE * greatest(x * 200, y * 200)) AS least FROM obs")
