@@ -6,6 +6,8 @@ over whole batches; a document is never cut.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -163,6 +165,13 @@ def doc_windows(words: Words, h: np.ndarray, width: int) -> tuple[np.ndarray, np
     return hashes[at], at
 
 
+def tidy() -> None:
+    """Give freed memory back to the system at the end of a task: Python workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def sub_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices with about ``most`` bytes of text each, one document at least; texts stay whole."""
     for batch in batches:
@@ -172,3 +181,4 @@ def sub_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUN
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
             if b > a:
                 yield batch.slice(a, b - a)
+    tidy()

@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 
 TOKENIZER = "word_bpe_49k.json"
-CACHE_ENTRIES = 900_000
+CACHE_ENTRIES = 250_000
 #: Runs of these letters, perhaps with a comma or full stop at the end, are one or two pre-tokens; many are encoded as one text.
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?")
 _OTHER_SPACE = "\n\t\r\v\f"
@@ -31,7 +31,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 class Encoder:
     """Ids of texts as numpy arrays. ``path``: a file of the tokenizers library that drops white space.
 
-    Known runs are numbers into one array of ids; a full store starts anew.
+    Known runs are numbers into one array of ids; a full store keeps those of the last batch.
     """
 
     def __init__(self, path: str | None = None):
@@ -64,6 +64,15 @@ class Encoder:
         self.stored += m
         self.known.update(zip(runs, range(n, n + m), strict=True))
 
+    def _keep(self, runs: list[str]) -> None:
+        """Start anew with these known runs."""
+        at = np.fromiter(map(self.known.__getitem__, runs), np.int64, len(runs))
+        n = self.length[at]
+        ends = np.cumsum(n)
+        ids = self.flat[np.repeat(self.begin[at] - (ends - n), n) + np.arange(n.sum())]
+        self.clear()
+        self._store(runs, ids, n)
+
     def _plain(self, runs: list[str]) -> bool:
         """Encode plain runs in one call: ids that end a word part them. False if the words don't come out even."""
         (whole,) = self.tokenizer.encode_batch_fast([" ".join(runs)], add_special_tokens=False)
@@ -78,7 +87,7 @@ class Encoder:
     def numbers(self, runs: list[str]) -> np.ndarray:
         """The number of each distinct run of characters other than ASCII white space in the store."""
         if len(self.known) > CACHE_ENTRIES:
-            self.clear()
+            self._keep([r for r in runs if r in self.known])
         known = self.known
         missing = [r for r in runs if r not in known]
         plain = [r for r in missing if _PLAIN.fullmatch(r)]
@@ -120,7 +129,7 @@ class Encoder:
         return ids, bound[upto] - bound[upto - counts]
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str | None, most: int = 6 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def encoded(batches: Iterator[pa.RecordBatch], path: str | None, most: int = 3 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """For Arrow batches with a column ``text``: slices, their ids and the number of ids of each row."""
     from flowspark.llm.common import sub_batches
 
