@@ -26,9 +26,10 @@ def converted(history: Column, seed: int = 1) -> Column:
 
 def trend(history: Column, most: int = 24) -> Column:
     """The next value on the line from the first to the last of at most ``most`` values, not below 0."""
-    h = F.slice(history, -F.least(F.size(history), F.lit(most)), F.least(F.size(history), F.lit(most)))
+    some = F.greatest(F.lit(1), F.least(F.size(history), F.lit(most)))
+    h = F.slice(history, -some, some)
     n = F.size(h)
-    last, first = F.element_at(h, -1).cast("double"), F.element_at(h, 1).cast("double")
+    last, first = F.get(h, n - 1).cast("double"), F.get(h, F.lit(0)).cast("double")
     return F.when(n == 0, 0.0).when(n == 1, F.greatest(F.lit(0.0), last)).otherwise(F.greatest(F.lit(0.0), last + (last - first) / (n - 1)))
 
 

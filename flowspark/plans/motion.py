@@ -288,3 +288,30 @@ def increasing(spark, sf):
     n = F.col("n")
     rows = tables.observations(spark, sf).select("track_id", "n", F.when(n % 7 == 0, float("nan")).when(n % 5 == 0, F.col("t") - 1).otherwise(F.col("t")).alias("t")).where(~F.isnan("t"))
     return rows.withColumn("p", F.lag("t").over(Window.partitionBy("track_id").orderBy("n"))).where("p is null or t > p").select("track_id", "n")
+
+
+def _device_lines(n: int = 32):
+    from flowspark.operators.crossing import Line
+
+    return {f"cam-{i}": Line([(0.05, 0.45), (0.95, 0.55)], (0.5, 0.9), 1280, 720, [(0.0, 0.1), (0.9, 0.1), (0.9, 0.95), (0.0, 0.95)] if i % 2 else None, "enter" if i % 5 == 0 else None) for i in range(n)}
+
+
+def _crossing_input(spark, sf):
+    """Smoother tracks than the raw values: positions are means of the last five, in pixels, on a common clock."""
+    w = Window.partitionBy("track_id").orderBy("n").rowsBetween(-4, 0)
+    o = tables.observations(spark, sf)
+    return o.select("device_id", F.col("track_id").cast("string").alias("track_id"), "class_name", (F.avg("x").over(w) * 1280).alias("x"), (F.avg("y").over(w) * 720).alias("y"), F.lit(40.0).alias("w"), F.lit(40.0).alias("h"), F.round("t", 3).alias("t_mono"), (F.round("t", 3) + 1_700_000_000).alias("t_wall"))
+
+
+@query("cep_crossing_events")
+def crossing_events(spark, sf):
+    from flowspark.operators.crossing import Rules, crossings
+
+    return crossings(_crossing_input(spark, sf), _device_lines(), Rules(hold_frames=1, min_motion=0.5))
+
+
+@query("cep_reject_reasons")
+def reject_reasons(spark, sf):
+    from flowspark.operators.crossing import Rules, crossings
+
+    return crossings(_crossing_input(spark, sf), _device_lines(), Rules(hold_frames=1, min_motion=0.5), rejected=True).groupBy("device_id", "reason").agg(F.count("*").alias("n"))

@@ -103,14 +103,14 @@ def read_points_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_seed_json(spark: SparkSession, path: str, excluded_prefix: str = "_") -> DataFrame:
     """A JSON object of name -> record as rows; names with the prefix are comments."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     pairs = raw.select(F.explode(F.from_json("value", "map<string, struct<category:string, point_id:string, longitude:double, latitude:double>>")).alias("name", "r"))
     return pairs.where(~F.startswith("name", F.lit(excluded_prefix))).select("name", "r.*")
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, value) of a text log of one file: line numbers follow the file."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(F.posexplode(F.split("value", "\r?\n")).alias("i", "value")).where("value != ''").select((F.col("i") + 1).cast("long").alias("line_no"), "value")
 
 
