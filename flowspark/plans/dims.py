@@ -137,11 +137,11 @@ def strf3(spark, sf):
     return tables.devices(spark, sf).select("device_key", text.entrance_type(F.col("category"), "both-way", "entry", "exit").alias("entrance_type"))
 
 
-_CATEGORIES = "['城墙出入口便道监控', '东门入口便道', '西门出口卡口', '车道', '人行', '其他', '北侧摄像头A', '南侧人流', '摄像头B'][device_key % 9 + 1]"
+_CATEGORIES = "['广场出入口便道监控', '东门入口便道', '西门出口卡口', '车道', '人行', '其他', '北侧摄像头A', '南侧人流', '摄像头B'][device_key % 9 + 1]"
 
 
 def _category():
-    names = ("城墙出入口便道监控", "东门入口便道", "西门出口卡口", "车道", "人行", "其他", "北侧摄像头A", "南侧人流", "摄像头B")
+    names = ("广场出入口便道监控", "东门入口便道", "西门出口卡口", "车道", "人行", "其他", "北侧摄像头A", "南侧人流", "摄像头B")
     return F.get(F.array(*[F.lit(c) for c in names]), (F.col("device_key") % 9).cast("int"))
 
 
@@ -158,9 +158,9 @@ def strf13(spark, sf):
     return rows.select("device_key", text.slot(F.lit(None).cast("string"), F.col("c"), F.col("cam"), F.lit("北")).alias("slot"))
 
 
-@query("strf6_gate_key", f"WITH {DEVICES}, c AS (SELECT device_key, ['永泰 东门1口', 'GAJK-26和阳南门出口路', '武定门', '无', 'ab大同北门x'][device_key % 5 + 1] AS name FROM dev) SELECT device_key, regexp_extract(replace(name, ' ', ''), '[一-龥]{{2}}(?:东|西|南|北|正|大)?门', 0) AS gate FROM c")
+@query("strf6_gate_key", f"WITH {DEVICES}, c AS (SELECT device_key, ['东湖 东门1口', 'AB-26长安南门出口路', '广武门', '无', 'ab平安北门x'][device_key % 5 + 1] AS name FROM dev) SELECT device_key, regexp_extract(replace(name, ' ', ''), '[一-龥]{{2}}(?:东|西|南|北|正|大)?门', 0) AS gate FROM c")
 def strf6(spark, sf):
-    names = F.array(*[F.lit(n) for n in ("永泰 东门1口", "GAJK-26和阳南门出口路", "武定门", "无", "ab大同北门x")])
+    names = F.array(*[F.lit(n) for n in ("东湖 东门1口", "AB-26长安南门出口路", "广武门", "无", "ab平安北门x")])
     return tables.devices(spark, sf).select("device_key", text.gate_key(F.get(names, (F.col("device_key") % 5).cast("int"))).alias("gate"))
 
 

@@ -111,7 +111,7 @@ def test_forecast(spark):
 
 
 def test_text_functions(spark):
-    row = spark.createDataFrame([("城墙出入口便道", "rtsp://10.0.0.1/a/b?c=1", "1, 2,x", "1,2,3")], "c string, u string, bad string, good string")
+    row = spark.createDataFrame([("广场出入口便道", "rtsp://10.0.0.1/a/b?c=1", "1, 2,x", "1,2,3")], "c string, u string, bad string, good string")
     out = row.select(text.entrance_type(F.col("c")).alias("e"), text.play_url(F.col("u"), "http://h/").alias("p"), text.coordinates(F.col("bad"), 3).alias("b"), text.coordinates(F.col("good"), 3).alias("g"), text.swap_host(F.col("u"), "x:1").alias("s")).first()
     assert (out["e"], out["p"], out["b"], out["g"], out["s"]) == ("出入口", "http://h/a/b?c=1/index.m3u8", None, [1.0, 2.0, 3.0], "rtsp://x:1/a/b?c=1")
 
