@@ -151,17 +151,20 @@ def _rare_pairs(unsettled: DataFrame, texts: DataFrame, marks: DataFrame, width:
     common = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "shingle"))
     ranked = rows.join(common, "shingle", "left").select("doc_id", "component", "n", "shingle", F.coalesce("df", F.lit(1)).alias("df"))
-    prefix = ranked.select("*", first.alias("rank")).where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("df") > 1)).select("doc_id", "component", "n", "shingle")
+    prefix = ranked.select("*", first.alias("rank")).where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("df") > 1)).select("doc_id", "component", (F.col("n") - F.col("rank") + 1).alias("rest"), "n", "shingle")
     prefix = prefix.join(marks.select("doc_id", "bitmap"), "doc_id")
     prefix = materialize(prefix, "prefix")
     discard(rows)
     by_part = prefix.groupBy("shingle", "component").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.max_by("component", "c").alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
     mixed = prefix.join(by_part, "shingle")
-    fewer = mixed.where("component != main").select("shingle", F.col("doc_id").alias("u"), F.col("component").alias("cu"), F.col("n").alias("nu"), F.col("bitmap").alias("bu"))
+    fewer = mixed.where("component != main").select("shingle", F.col("doc_id").alias("u"), F.col("component").alias("cu"), F.col("n").alias("nu"), F.col("rest").alias("ru"), F.col("bitmap").alias("bu"))
     # a bit that one has and the other lacks is a shingle, at least, that they don't share
     lacks = lambda a, b: reduce(lambda x, y: x + y, [F.bit_count(F.col(a)[i].bitwiseAND(F.bitwise_not(F.col(b)[i]))) for i in range(SKETCH_BITS // 64)])
+    enough = lambda most: 100 * most >= percent * (F.col("nu") + F.col("n") - most)
+    # from the first shingle that two have in common on, the rest of either bounds what is in common
+    after = F.least("ru", "rest")
     most = F.least(F.col("nu") - lacks("bu", "bitmap"), F.col("n") - lacks("bitmap", "bu"))
-    pairs = fewer.join(mixed, "shingle").where((F.col("cu") != F.col("component")) & ((F.col("component") == F.col("main")) | (F.col("u") < F.col("doc_id"))) & (100 * F.least("nu", "n") >= percent * F.greatest("nu", "n"))).where(100 * most >= percent * (F.col("nu") + F.col("n") - most))
+    pairs = fewer.join(mixed, "shingle").where((F.col("cu") != F.col("component")) & ((F.col("component") == F.col("main")) | (F.col("u") < F.col("doc_id"))) & enough(after)).where(enough(most))
     return pairs.select(F.least("u", "doc_id").alias("u"), F.greatest("u", "doc_id").alias("v")).distinct()
 
 
