@@ -65,9 +65,11 @@ def recent_points(obs: DataFrame, n: int = 30) -> DataFrame:
 
 
 def moving_average(values: DataFrame, keys: list[str], order: str, value: str, keep: float = 0.9) -> DataFrame:
-    """Exponential moving average of each key, in order: bounded by a key's rows."""
-    rows = values.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, value))).alias("s"))
-    return rows.select(*keys, F.aggregate("s", F.lit(None).cast("double"), lambda a, x: F.when(a.isNull(), x[value].cast("double")).otherwise(keep * a + (1 - keep) * x[value])).alias("average"))
+    """Exponential moving average of each key at its last row: a weighted sum, so that tasks add up parts of a key."""
+    last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order))) - 1
+    ranked = values.select(*keys, F.col(value).cast("double").alias("_v"), last.alias("_age"), (F.count("*").over(Window.partitionBy(*keys)) - 1).alias("_oldest"))
+    weight = F.when(F.col("_age") == F.col("_oldest"), F.pow(F.lit(keep), "_age")).otherwise((1 - keep) * F.pow(F.lit(keep), "_age"))
+    return ranked.groupBy(*keys).agg(F.sum(F.col("_v") * weight).alias("average"))
 
 
 def counter_steps(samples: DataFrame, keys: list[str], order: str, column: str) -> DataFrame:
