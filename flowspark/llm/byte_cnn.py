@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.llm.common import hashed_sample, sub_batches
+from flowspark.llm.common import hashed_sample, small_batches, sub_batches
 
 SEGMENT, WIDTH, STRIDE = 256, 8, 2
 EMBEDDING, FILTERS = 5, 16
@@ -237,5 +237,5 @@ def score(docs: DataFrame, net: ByteNet, threshold: float = THRESHOLD, keep: tup
             yield pa.RecordBatch.from_arrays([*out, pa.array(net.score(texts), pa.float64())], [c for c in names if c in keep or c == "doc_id"] + ["score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for c in names if c in keep or c == "doc_id" for f in docs.schema if f.name == c)
-    scored = docs.select(*names).mapInArrow(run, f"{fields}, score double")
+    scored = small_batches(docs).select(*names).mapInArrow(run, f"{fields}, score double")
     return scored.select("doc_id", *[c for c in keep if c != "doc_id"], held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

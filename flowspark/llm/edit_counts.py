@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.llm.common import sub_batches
+from flowspark.llm.common import small_batches, sub_batches
 
 SPACE = " \t\n\v\f\r"
 _SLOT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
@@ -122,7 +122,7 @@ def count_edited(docs: DataFrame, path: str | None = None) -> DataFrame:
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "n_tokens", "n_tokens_edited", "n_slots", "n_edits", "n_reencoded_chars"])
 
-    return docs.select("doc_id", "text", "edits").mapInArrow(run, COUNTS)
+    return small_batches(docs).select("doc_id", "text", "edits").mapInArrow(run, COUNTS)
 
 
 def review_edits(docs: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.llm.common import materialize
+from flowspark.llm.common import materialize, small_batches
 
 CAPACITY = 4096
 END_ID = 1
@@ -49,7 +49,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID
             names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else ())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(cut, PIECES + (", ids array<long>" if with_ids else ""))
+    return small_batches(docs).select("doc_id", "text").mapInArrow(cut, PIECES + (", ids array<long>" if with_ids else ""))
 
 
 class OpenBins:

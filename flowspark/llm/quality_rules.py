@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.llm.common import Words, doc_windows, hashed_sample, span_hashes, sub_batches
+from flowspark.llm.common import Words, doc_windows, hashed_sample, small_batches, span_hashes, sub_batches
 
 REPEAT_WIDTH = 8
 SAMPLE_ROWS = 20_000
@@ -76,7 +76,7 @@ def statistics(docs: DataFrame) -> DataFrame:
             }
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(out[c].astype(np.int64)) for c in COUNTS)], ["doc_id", *COUNTS])
 
-    return docs.select("doc_id", "text").mapInArrow(count, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
+    return small_batches(docs).select("doc_id", "text").mapInArrow(count, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def _later(h: np.ndarray, doc: np.ndarray) -> np.ndarray:

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowspark.llm.common import Words, doc_windows, mix64, sub_batches
+from flowspark.llm.common import Words, doc_windows, mix64, small_batches, sub_batches
 
 WIDTH = 20
 BLOCK_BYTES = 4 << 20
@@ -130,7 +130,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = False)
 
     ``kept_text``: the kept words joined by a space; ``removed``: maximal intervals of removed words, end exclusive.
     """
-    docs = docs.select("doc_id", "text")
+    docs = small_batches(docs).select("doc_id", "text")
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     answers = _answer(_send(docs, width, even_keys(spark, n)), n)
