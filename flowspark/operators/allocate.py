@@ -80,3 +80,8 @@ def scores(plan: DataFrame, moves: DataFrame, total: int) -> DataFrame:
     far = F.when(F.col("far") == 0, 1.0).otherwise(F.col("far"))
     efficiency = 1.0 - F.col("work") / (total * far) if total > 0 else F.lit(1.0)
     return covered.join(F.broadcast(moved)).select("coverage", efficiency.alias("efficiency")).withColumn("score", 0.7 * F.least("coverage", F.lit(1.0)) + 0.3 * F.greatest(F.lit(0.0), "efficiency"))
+
+
+def next_round(plan: DataFrame) -> DataFrame:
+    """The plan's regions with the targets as the officers of the next round."""
+    return plan.withColumn("officers", F.col("target")).drop("target")

@@ -220,3 +220,89 @@ def str11(spark, sf):
 @query("flt12_device_type", f"WITH {REGIONS}, {DEVICES} SELECT device_key FROM dev WHERE category IN ('walkway', 'checkpoint')")
 def flt12(spark, sf):
     return tables.devices(spark, sf).where(F.col("category").isin("walkway", "checkpoint")).select("device_key")
+
+
+@query("src16_synthetic_episodes")
+def src16(spark, sf):
+    return tables.synthetic_episodes(spark, 32, 240, [1 + (h % 12) / 4 for h in range(24)])
+
+
+@query("join05_outbox_journal", f"WITH {INGEST}, o AS (SELECT event_id, event_id % 4 AS attempts FROM ing WHERE event_id % 6 = 0), j AS (SELECT event_id, device_id FROM ing WHERE event_id % 4 <> 2) SELECT event_id, device_id, attempts FROM o JOIN j USING (event_id)")
+def join05(spark, sf):
+    rows = tables.ingest(spark, sf)
+    outbox = rows.where("event_id % 6 = 0").select("event_id", (F.col("event_id") % 4).alias("attempts"))
+    return outbox.join(rows.where("event_id % 4 != 2").select("event_id", "device_id"), "event_id").select("event_id", "device_id", "attempts")
+
+
+@query("sort03_latest_gaps", f"WITH {INGEST}, g AS (SELECT device_id, us, us - lag(us) OVER (PARTITION BY device_id ORDER BY us) AS gap FROM val) SELECT device_id, us::BIGINT AS us FROM g WHERE gap > 3600000000 ORDER BY us DESC, device_id LIMIT 25")
+def sort03(spark, sf):
+    gaps = liveness.timeouts(tables.valid(spark, sf), 3600, 0).where("recovered_us is not null")
+    return gaps.select("device_id", F.col("recovered_us").alias("us")).orderBy(F.desc("us"), "device_id").limit(25)
+
+
+@query("sort07_one_officer_each", f"WITH {DEVICES}, {REGIONS}, c AS (SELECT region, count(*) AS crowd FROM dev GROUP BY region), p AS (SELECT region, row_number() OVER (ORDER BY crowd DESC, ordinal) AS place FROM c JOIN reg USING (region)) SELECT region, (place <= 3)::INT AS target FROM p")
+def sort07(spark, sf):
+    from flowspark.operators import allocate
+
+    crowd = tables.devices(spark, sf).groupBy("region").agg(F.count("*").cast("double").alias("demand"))
+    return allocate.targets(tables.regions(spark, sf).join(crowd, "region").select("ordinal", "region", "demand"), 3).select("region", "target")
+
+
+@query("sort09_least_loaded", f"WITH {DEVICES} SELECT region, arg_min(device_key, load * 1000000 + device_key) AS device_key FROM dev GROUP BY region")
+def sort09(spark, sf):
+    return tables.devices(spark, sf).groupBy("region").agg(F.min_by("device_key", F.struct("load", "device_key")).alias("device_key"))
+
+
+@query("geo01_pixels", f"WITH {OBS} SELECT track_id, n, round(x * 1280, 6) AS px, round(y * 720, 6) AS py FROM obs")
+def geo01(spark, sf):
+    return tables.observations(spark, sf).select("track_id", "n", F.round(F.col("x") * 1280, 6).alias("px"), F.round(F.col("y") * 720, 6).alias("py"))
+
+
+@query("geo14_endpoint_stagnation", f"WITH {OBS}, d AS (SELECT track_id, n, sqrt(pow(x - 0.1, 2) + pow(y - 0.5, 2)) AS a, sqrt(pow(x - 0.9, 2) + pow(y - 0.5, 2)) AS b FROM obs) SELECT track_id, n, NOT coalesce((round(a, 9) < 0.3 AND lag(round(a, 9)) OVER w < 0.3) OR (round(b, 9) < 0.3 AND lag(round(b, 9)) OVER w < 0.3), false) AS passes FROM d WINDOW w AS (PARTITION BY track_id ORDER BY n)")
+def geo14(spark, sf):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("track_id").orderBy("n")
+    near = lambda x: F.round(F.hypot(F.col("x") - x, F.col("y") - 0.5), 9) < 0.3
+    stuck = (near(0.1) & F.lag(near(0.1)).over(w)) | (near(0.9) & F.lag(near(0.9)).over(w))
+    return tables.observations(spark, sf).select("track_id", "n", (~F.coalesce(stuck, F.lit(False))).alias("passes"))
+
+
+@query("mdl02_vehicle_passengers")
+def mdl02(spark, sf):
+    from flowspark.operators import forecast
+
+    rows = tables.valid(spark, sf)
+    one = forecast.series(rows, rows.agg(F.max("us")).first()[0], kind="Vehicle")
+    return one.select(F.posexplode(forecast.converted(F.col("history"))).alias("slot", "persons"))
+
+
+@query("mdl10_next_officers")
+def mdl10(spark, sf):
+    from flowspark.operators import allocate
+
+    crowd = tables.devices(spark, sf).groupBy("region").agg(F.count("*").alias("crowd"))
+    plan = allocate.targets(allocate.demand(tables.regions(spark, sf).join(crowd, "region"), 120.0).select("ordinal", "region", "officers", "demand"), 35)
+    return allocate.next_round(plan).select("region", "officers")
+
+
+@query("str05_rearchived_hours", f"WITH {HOURS} SELECT device_id, stat_date, hour, vehicle_in FROM hrs WHERE stat_date IN ('2024-01-05', '2024-01-09')")
+def str05(spark, sf):
+    rows = tables.valid(spark, sf)
+    dirty = spark.createDataFrame([("2024-01-05",), ("2024-01-09",)], "stat_date string")
+    touched = rows.withColumn("stat_date", F.date_format("occurred_at", "yyyy-MM-dd")).join(F.broadcast(dirty), "stat_date", "left_semi").drop("stat_date")
+    return counters.hourly(touched).select("device_id", "stat_date", "hour", "vehicle_in")
+
+
+@query("str14_frame_anomalies")
+def str14(spark, sf):
+    """Frames made of the reports: dark, noisy or plain by their counts."""
+    from flowspark.operators import frames
+
+    r = tables.reports(spark, sf)
+    size = 32 * 24 * 3
+    noise = F.unhex(F.substring(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(size // 32)), lambda i: F.sha2(F.concat_ws("-", "report_id", i), 256)), ""), 1, 2 * size))
+    plain = F.unhex(F.repeat(F.lit("7f7f7f"), size // 3))
+    dark = F.unhex(F.repeat(F.lit("000000"), size // 3))
+    pixels = F.when(F.col("roi_vehicles") < 6, dark).when(F.col("roi_vehicles") < 12, noise).otherwise(plain)
+    return frames.anomalies(r.select("device_id", F.col("report_id").alias("n"), F.lit(32).alias("width"), F.lit(24).alias("height"), pixels.alias("pixels"))).groupBy("anomaly").agg(F.count("*").alias("n"))

@@ -164,3 +164,13 @@ def synthetic_events(spark: SparkSession, devices: int, hours: int, weights: lis
     )
     each = counted.where("n > 0").select("d", "h", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
     return each.select(F.concat_ws("-", "d", "h", "i").alias("event_id"), F.concat(F.lit("cam-"), F.col("d").cast("string")).alias("device_id"), F.get(F.array(*[F.lit(t) for t in EVENT_TYPES]), F.pmod(F.xxhash64("d", "h", "i"), F.lit(4)).cast("int")).alias("event_type"), "h")
+
+
+def synthetic_episodes(spark: SparkSession, devices: int, periods: int, weights: list[float], chance: float = 0.02, seed: int = 11) -> DataFrame:
+    """Congestion episodes of 2 to 5 periods; their chance rises with the hour's weight. (device_id, period, congested)"""
+    table_ = F.array(*[F.lit(float(w)) for w in weights])
+    slots = spark.range(devices * periods).select((F.col("id") % devices).alias("d"), F.floor(F.col("id") / devices).alias("p"))
+    u = F.xxhash64("d", "p", F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
+    starts = slots.where(u < F.get(table_, (F.col("p") % len(weights)).cast("int")) * chance)
+    spans = starts.select("d", F.explode(F.sequence(F.col("p"), F.col("p") + 1 + F.pmod(F.xxhash64("p", "d"), F.lit(4)))).alias("p")).distinct().withColumn("congested", F.lit(True))
+    return slots.join(spans, ["d", "p"], "left").select(F.concat(F.lit("cam-"), F.col("d").cast("string")).alias("device_id"), F.col("p").alias("period"), F.coalesce("congested", F.lit(False)).alias("congested"))
