@@ -4,10 +4,10 @@
    parity bitmap), the number of shingles and a 128-bit fingerprint of the shingle set.
 2. Documents of equal sets form a class with its least doc_id; only that one goes on. Thousands of copies cost one row.
 3. Members of a band's bucket are tested against its first and its last document; other bands have other ones. Buckets
-   whose members are then all in one component are done. Documents of the others are joined on the rarest
-   shingles of their sets: a pair of the wanted similarity shares one of the first n - ceil(0.8 n) + 1 by rarity, so none
-   is lost, while near copies that differ by shingles of their own share none; bitmaps of the sets bound what a pair has in common. Pairs within a component are
-   left out: they change no component.
+   whose members are then all in one component are done. Documents of the others are joined on the rarest shingles of
+   their sets: a pair of the wanted similarity shares one of the first n - ceil(0.8 n) + 1 by rarity, so none is lost,
+   while near copies that differ by shingles of their own share none. What comes after the first common shingle, and
+   bitmaps of the sets, bound what a pair has in common. Pairs within a component are left out: they change none.
 4. A pair is tested by XOR of the odd sketches, whose population count estimates the similarity (with a margin of five
    standard deviations), and confirmed on both whole texts' shingle sets.
 
@@ -129,7 +129,9 @@ def _open(buckets: DataFrame, joined: DataFrame) -> DataFrame:
     """(doc_id, component) of the members of buckets with several components."""
     named = materialize(buckets.join(joined, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component")), "named")
     several = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
-    return named.join(several, "key", "left_semi").select("doc_id", "component").distinct()
+    unsettled = materialize(named.join(several, "key", "left_semi").select("doc_id", "component").distinct(), "unsettled")
+    discard(named)
+    return unsettled
 
 
 def _rare_pairs(unsettled: DataFrame, texts: DataFrame, marks: DataFrame, width: int, percent: int) -> DataFrame:
@@ -165,7 +167,9 @@ def _rare_pairs(unsettled: DataFrame, texts: DataFrame, marks: DataFrame, width:
     after = F.least("ru", "rest")
     most = F.least(F.col("nu") - lacks("bu", "bitmap"), F.col("n") - lacks("bitmap", "bu"))
     pairs = fewer.join(mixed, "shingle").where((F.col("cu") != F.col("component")) & ((F.col("component") == F.col("main")) | (F.col("u") < F.col("doc_id"))) & enough(after)).where(enough(most))
-    return pairs.select(F.least("u", "doc_id").alias("u"), F.greatest("u", "doc_id").alias("v")).distinct()
+    found = materialize(pairs.select(F.least("u", "doc_id").alias("u"), F.greatest("u", "doc_id").alias("v")).distinct(), "pairs")
+    discard(prefix)
+    return found
 
 
 def link(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -190,8 +194,10 @@ def link(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataF
     tested = leaders.select(F.least("doc_id", "leader").alias("u"), F.greatest("doc_id", "leader").alias("v")).distinct()
     joined = components(_confirm(tested, marks, texts, width, percent))
     unsettled = _open(buckets, joined)
-    pairs = materialize(_rare_pairs(unsettled, texts, marks, width, percent), "pairs")
+    pairs = _rare_pairs(unsettled, texts, marks, width, percent)
     joined = components(_confirm(pairs, marks, texts, width, percent).union(joined))
+    for done in (buckets, marks, texts, unsettled, pairs):
+        discard(done)
 
     found = member.join(joined, F.col("first") == F.col("node"), "left").select("doc_id", F.coalesce("component", "first").alias("found"))
     per_doc = found.groupBy("doc_id").agg(F.min("found").alias("found"))
