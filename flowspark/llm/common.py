@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 21
+#: Bytes that are hashed at once; their powers stay in memory.
+HASH_BYTES = 1 << 18
 BATCH_ROWS = 2500
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -91,7 +93,7 @@ def _power(kind: str, n: int) -> np.ndarray:
     have = _powers.get(kind)
     if have is None or len(have) < n:
         base = _BASE if kind == "up" else pow(_BASE, -1, 1 << 64)
-        factors = np.full(max(n, CHUNK_BYTES + 1), base, np.uint64)
+        factors = np.full(max(n, HASH_BYTES + 1), base, np.uint64)
         factors[0] = 1
         _powers[kind] = have = np.cumprod(factors, dtype=np.uint64)
     return have[:n]
@@ -135,7 +137,7 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     out = np.empty(len(start), np.uint64)
     lo = 0
     while lo < len(start):
-        hi = max(lo + 1, int(np.searchsorted(end, start[lo] + CHUNK_BYTES)))
+        hi = max(lo + 1, int(np.searchsorted(end, start[lo] + HASH_BYTES)))
         a, b = start[lo], end[hi - 1]
         sums = np.zeros(b - a + 1, np.uint64)
         np.cumsum(_BYTE_VALUES[data[a:b]] * _power("up", b - a), out=sums[1:])

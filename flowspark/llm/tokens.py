@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 
 TOKENIZER = "word_bpe_49k.json"
-CACHE_ENTRIES = 180_000
+CACHE_ENTRIES = 150_000
 #: Runs of these letters, perhaps with a comma or full stop at the end, are one or two pre-tokens; many are encoded as one text.
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?")
 _OTHER_SPACE = "\n\t\r\v\f"
@@ -129,7 +129,7 @@ class Encoder:
         return ids, bound[upto] - bound[upto - counts]
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str | None, most: int = 5 << 19) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def encoded(batches: Iterator[pa.RecordBatch], path: str | None, most: int = 3 << 19) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """For Arrow batches with a column ``text``: slices, their ids and the number of ids of each row."""
     from flowspark.llm.common import sub_batches
 
