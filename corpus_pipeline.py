@@ -14,10 +14,9 @@ from flowspark.llm.common import discard, materialize
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the byte network accepts. It learns from the labels' training part."""
-    from flowspark.llm.byte_cnn import score, train
+    from flowspark.llm.byte_cnn import accept, train
 
-    net = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, net, keep=tuple(docs.columns)).where("predicted = 1").select(*docs.columns)
+    return accept(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -226,16 +226,24 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     return fit([b for _, _, b in rows], np.array([q for _, q, _ in rows], np.float32))
 
 
-def score(docs: DataFrame, net: ByteNet, threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of each row of ``docs``; with the columns ``keep`` of the input too."""
-    names = list(dict.fromkeys(["doc_id", "text", *keep]))
+def score(docs: DataFrame, net: ByteNet, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of each row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sub_batches(batches, "text"):
             texts = pc.fill_null(batch.column("text").cast(pa.large_binary()), b"").to_pylist()
-            out = [batch.column(c) for c in names if c in keep or c == "doc_id"]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(net.score(texts), pa.float64())], [c for c in names if c in keep or c == "doc_id"] + ["score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(net.score(texts), pa.float64())], ["doc_id", "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for c in names if c in keep or c == "doc_id" for f in docs.schema if f.name == c)
-    scored = small_batches(docs).select(*names).mapInArrow(run, f"{fields}, score double")
-    return scored.select("doc_id", *[c for c in keep if c != "doc_id"], held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accept(docs: DataFrame, net: ByteNet, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` (with a column text) that score at least ``threshold``, all columns kept."""
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sub_batches(batches, "text"):
+            texts = pc.fill_null(batch.column("text").cast(pa.large_binary()), b"").to_pylist()
+            yield batch.filter(pa.array(net.score(texts) >= threshold))
+
+    return small_batches(docs).mapInArrow(sift, docs.schema)

@@ -121,6 +121,10 @@ def test_byte_network(spark):
     assert all(out[d]["held_out"] == (zlib.crc32(str(d).encode()) % 4 == 2) for d, _, _ in labels)
     assert np.mean([a == b for a, b in held]) > 0.9
     assert out[9001]["score"] == out[9002]["score"]
+    kept = byte_cnn.accept(docs, net)
+    assert kept.columns == docs.columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(d) for d, r in out.items() if r["predicted"])
+    assert byte_cnn.accept(docs.limit(0), net).count() == 0
 
 
 def test_byte_network_reads_whole_texts():
