@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -177,15 +178,23 @@ def doc_windows(words: Words, h: np.ndarray, width: int) -> tuple[np.ndarray, np
     return hashes[at], at
 
 
-def tidy() -> None:
-    """Give freed memory back to the system at the end of a task: Python workers live on between stages."""
+def tidy(encoders: bool = True) -> None:
+    """Give freed memory back to the system at the end of a task: Python workers live on between stages.
+
+    ``encoders``: drop what tasks that encode text keep for each other.
+    """
+    tokens = sys.modules.get("flowspark.llm.tokens")
+    if encoders and tokens is not None:
+        tokens.shared.cache_clear()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def sub_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+def sub_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYTES, encoders: bool = True) -> Iterator[pa.RecordBatch]:
     """Slices with about ``most`` bytes of text each, one document at least; texts stay whole."""
+    if encoders:
+        tidy()
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         group = np.cumsum(sizes + 1) // most
@@ -193,4 +202,4 @@ def sub_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUN
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
             if b > a:
                 yield batch.slice(a, b - a)
-    tidy()
+    tidy(encoders)

@@ -94,9 +94,9 @@ def count_edited(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Token counts before and after the edits of ``docs`` (doc_id, text, edits: array of (start, stop, text))."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from flowspark.llm.tokens import Encoder
+        from flowspark.llm.tokens import shared
 
-        encoder = Encoder(path)
+        encoder = shared(path)
 
         def count(text: str) -> int:
             runs = [w for w in re.split(f"[{SPACE}]+", text) if w]
@@ -104,7 +104,7 @@ def count_edited(docs: DataFrame, path: str | None = None) -> DataFrame:
             known = dict(zip(distinct, encoder.lengths(distinct).tolist(), strict=True))
             return sum(known[r] for r in runs)
 
-        for batch in sub_batches(batches, "text"):
+        for batch in sub_batches(batches, "text", encoders=False):
             slots = [_SLOT.findall(t or "") for t in batch.column("text").to_pylist()]
             words = [s.strip(SPACE) for own in slots for s in own]
             codes, distinct = pd.factorize(np.array(words, dtype=object)) if words else (np.zeros(0, np.int64), [])

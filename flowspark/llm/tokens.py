@@ -7,6 +7,7 @@ in a store of bounded size.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 from collections.abc import Iterator
@@ -16,7 +17,7 @@ import pandas as pd
 import pyarrow as pa
 
 TOKENIZER = "word_bpe_49k.json"
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 400_000
 #: Runs of these letters, perhaps with a comma or full stop at the end, are one or two pre-tokens; many are encoded as one text.
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?")
 _OTHER_SPACE = "\n\t\r\v\f"
@@ -31,7 +32,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 class Encoder:
     """Ids of texts as numpy arrays. ``path``: a file of the tokenizers library that drops white space.
 
-    Known runs are numbers into one array of ids; a full store keeps those of the last batch.
+    Known runs are numbers into one array of ids; a full store keeps the more frequent half.
     """
 
     def __init__(self, path: str | None = None):
@@ -49,29 +50,33 @@ class Encoder:
         self.known: dict[str, int] = {}
         self.stored = 0
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.begin, self.length = np.zeros(1 << 17, np.int64), np.zeros(1 << 17, np.int64)
+        self.begin, self.length, self.hits = (np.zeros(1 << 17, t) for t in (np.int64, np.int64, np.int32))
 
     def _store(self, runs: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         n, m = self.stored, len(runs)
         while n + m > len(self.begin):
-            self.begin, self.length = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.length, 2 * len(self.length))
+            self.begin, self.length, self.hits = (np.resize(a, 2 * len(a)) for a in (self.begin, self.length, self.hits))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         self.flat[self.used : self.used + len(ids)] = ids
         self.begin[n : n + m] = self.used + np.cumsum(lengths) - lengths
         self.length[n : n + m] = lengths
+        self.hits[n : n + m] = 0
         self.used += len(ids)
         self.stored += m
         self.known.update(zip(runs, range(n, n + m), strict=True))
 
-    def _keep(self, runs: list[str]) -> None:
-        """Start anew with these known runs."""
-        at = np.fromiter(map(self.known.__getitem__, runs), np.int64, len(runs))
-        n = self.length[at]
+    def _keep_frequent(self) -> None:
+        """Start anew with the half of the known runs that most batches had."""
+        words = np.array(list(self.known), dtype=object)
+        at = np.fromiter(self.known.values(), np.int64, len(words))
+        order = np.argsort(-self.hits[at], kind="stable")[: len(words) // 2]
+        at, hits, n = at[order], self.hits[at[order]], self.length[at[order]]
         ends = np.cumsum(n)
         ids = self.flat[np.repeat(self.begin[at] - (ends - n), n) + np.arange(n.sum())]
         self.clear()
-        self._store(runs, ids, n)
+        self._store(words[order].tolist(), ids, n)
+        self.hits[: len(hits)] = hits // 2
 
     def _plain(self, runs: list[str]) -> bool:
         """Encode plain runs in one call: ids that end a word part them. False if the words don't come out even."""
@@ -87,7 +92,7 @@ class Encoder:
     def numbers(self, runs: list[str]) -> np.ndarray:
         """The number of each distinct run of characters other than ASCII white space in the store."""
         if len(self.known) > CACHE_ENTRIES:
-            self._keep([r for r in runs if r in self.known])
+            self._keep_frequent()
         known = self.known
         missing = [r for r in runs if r not in known]
         plain = [r for r in missing if _PLAIN.fullmatch(r)]
@@ -98,7 +103,9 @@ class Encoder:
             part = missing[i : i + 20_000]
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
             self._store(part, np.array([x for e in ids for x in e], np.uint32), np.array([len(e) for e in ids], np.int64))
-        return np.fromiter(map(known.__getitem__, runs), np.int64, len(runs))
+        at = np.fromiter(map(known.__getitem__, runs), np.int64, len(runs))
+        self.hits[at] += 1
+        return at
 
     def lengths(self, runs: list[str]) -> np.ndarray:
         """The number of ids of each distinct run."""
@@ -129,11 +136,15 @@ class Encoder:
         return ids, bound[upto] - bound[upto - counts]
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str | None, most: int = 3 << 19) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+@functools.lru_cache(1)
+def shared(path: str | None) -> Encoder:
+    """The encoder of this Python worker, kept between tasks that encode; tasks of other kinds drop it."""
+    return Encoder(path)
+
+
+def encoded(batches: Iterator[pa.RecordBatch], path: str | None, most: int = 1 << 22) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """For Arrow batches with a column ``text``: slices, their ids and the number of ids of each row."""
     from flowspark.llm.common import sub_batches
 
-    encoder = None
-    for batch in sub_batches(batches, "text", most):
-        encoder = encoder or Encoder(path)
-        yield batch, *encoder.batch(batch.column("text").to_pylist())
+    for batch in sub_batches(batches, "text", most, encoders=False):
+        yield batch, *shared(path).batch(batch.column("text").to_pylist())
