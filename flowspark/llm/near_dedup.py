@@ -134,6 +134,15 @@ def _open(buckets: DataFrame, joined: DataFrame) -> DataFrame:
     return unsettled
 
 
+def _main_parts(prefix: DataFrame) -> DataFrame:
+    """(shingle, main) of shingles with several components: the most frequent one, of equally frequent ones the greatest.
+
+    It is read on both sides of a join, so that it must not depend on the order of rows.
+    """
+    parts = prefix.groupBy("shingle", "component").agg(F.count("*").alias("c"))
+    return parts.groupBy("shingle").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+
+
 def _rare_pairs(unsettled: DataFrame, texts: DataFrame, marks: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (u, v) of different components that share one of each other's rarest shingles.
 
@@ -157,8 +166,7 @@ def _rare_pairs(unsettled: DataFrame, texts: DataFrame, marks: DataFrame, width:
     prefix = prefix.join(marks.select("doc_id", "bitmap"), "doc_id")
     prefix = materialize(prefix, "prefix")
     discard(rows)
-    by_part = prefix.groupBy("shingle", "component").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.max_by("component", "c").alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    mixed = prefix.join(by_part, "shingle")
+    mixed = prefix.join(_main_parts(prefix), "shingle")
     fewer = mixed.where("component != main").select("shingle", F.col("doc_id").alias("u"), F.col("component").alias("cu"), F.col("n").alias("nu"), F.col("rest").alias("ru"), F.col("bitmap").alias("bu"))
     # a bit that one has and the other lacks is a shingle, at least, that they don't share
     lacks = lambda a, b: reduce(lambda x, y: x + y, [F.bit_count(F.col(a)[i].bitwiseAND(F.bitwise_not(F.col(b)[i]))) for i in range(SKETCH_BITS // 64)])

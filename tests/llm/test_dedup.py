@@ -9,7 +9,7 @@ import pytest
 
 from flowspark.llm.common import Words, window_hashes
 from flowspark.llm.components import components
-from flowspark.llm.near_dedup import _rare_pairs, link, sketches, weakest_parity
+from flowspark.llm.near_dedup import _main_parts, _rare_pairs, link, sketches, weakest_parity
 from flowspark.llm.substring_dedup import remove_repeats
 
 from .helpers import corpus, frame, prose, words
@@ -89,6 +89,15 @@ def test_rare_pairs_lose_no_link(spark):
                 assert (a, b) in found
 
 
+def test_main_part_does_not_depend_on_the_order_of_rows(spark):
+    """Ties are the usual case; whatever comes last, the same component is left out."""
+    rows = [(s, c) for s in range(60) for c in (1, 2)] + [(99, 5), (99, 5), (99, 8), (100, 3)]
+    want = {**dict.fromkeys(range(60), 2), 99: 5}
+    for some in (rows, rows[::-1], sorted(rows, key=lambda r: r[1]), sorted(rows, key=lambda r: -r[1])):
+        prefix = spark.createDataFrame(some, "shingle long, component long")
+        assert {r["shingle"]: r["main"] for r in _main_parts(prefix).collect()} == want
+
+
 def test_repeated_rows_and_empty_tables(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")]
     got = sorted((r["doc_id"], r["component_id"]) for r in link(frame(spark, rows), 4).collect())
