@@ -57,6 +57,12 @@ def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return s, np.searchsorted(d, np.arange(len(w.counts) + 1))
 
 
+def fingerprints(s: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of the fingerprints of the sets of ``s`` that begin at ``starts``, none of them empty."""
+    halves = (mix64(s ^ np.uint64(0x5851F42D4C957F2D)), mix64(s + np.uint64(0x14057B7EF767814F)))
+    return tuple(np.add.reduceat(h, starts).view(np.int64) for h in halves)
+
+
 def sketches(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, n_shingles, f1, f2, bands, sketch, bitmap) of each row; the last three are null without shingles.
 
@@ -74,8 +80,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
             odd: list = [None] * len(n)
             bitmap: list = [None] * len(n)
             if len(full):
-                f1[full] = np.add.reduceat(mix64(s ^ np.uint64(0x5851F42D4C957F2D)), starts).view(np.int64)
-                f2[full] = np.add.reduceat(mix64(s + np.uint64(0x14057B7EF767814F)), starts).view(np.int64)
+                f1[full], f2[full] = fingerprints(s, starts)
                 x = (s >> np.uint64(32)).astype(np.uint32)
                 least = np.empty((len(_A), len(full)), np.uint32)
                 for j in range(len(_A)):
@@ -146,7 +151,7 @@ def _main_parts(prefix: DataFrame) -> DataFrame:
 def _rare_pairs(unsettled: DataFrame, texts: DataFrame, marks: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (u, v) of different components that share one of each other's rarest shingles.
 
-    ``unsettled``: (doc_id, component). Of each shingle's documents, those of its most frequent component are not paired
+    ``unsettled``: (doc_id, component). A doc_id with several texts is paired by each of them. Of each shingle's documents, those of its most frequent component are not paired
     with each other, nor gathered: the others are joined to all.
     """
 
@@ -155,17 +160,26 @@ def _rare_pairs(unsettled: DataFrame, texts: DataFrame, marks: DataFrame, width:
             s, at = shingle_sets(batch.column("text"), width)
             n = np.diff(at)
             rows = np.repeat(np.arange(len(n)), n)
-            part = batch.select(["doc_id", "component"]).take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n[rows]), pa.array(s.view(np.int64))], ["doc_id", "component", "n", "shingle"])
-
-    rows = materialize(texts.join(unsettled, "doc_id").select("doc_id", "component", "text").mapInArrow(spread, "doc_id long, component long, n long, shingle long"), "shingles")
+            full = np.flatnonzero(n)
+            whole = np.full(len(s), -1)  # what is of the whole text stands at its first shingle only
+            whole[at[:-1][full]] = np.arange(len(full))
+            whole = pa.array(whole, mask=whole < 0)
+            halves = fingerprints(s, at[:-1][full]) if len(full) else (np.zeros(0, np.int64),) * 2
+            own = [c.take(pa.array(full)) for c in (batch.column("doc_id"), batch.column("component"))] + [pa.array(f) for f in halves]
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(rows)), pa.array(n[rows]), pa.array(s.view(np.int64)), *[c.take(whole) for c in own]], ["row", "n", "shingle", "doc_id", "component", "f1", "f2"])
+
+    # a key for each distinct text: texts of one doc_id have ranks and prefixes of their own
+    keyed = texts.join(unsettled, "doc_id").select("doc_id", "component", "text").distinct().withColumn("row", F.monotonically_increasing_id())
+    all_shingles = materialize(keyed.mapInArrow(spread, "row long, n long, shingle long, doc_id long, component long, f1 long, f2 long"), "shingles")
+    rows = all_shingles.select("row", "n", "shingle")
+    bitmaps = marks.select("doc_id", "f1", "f2", "bitmap").dropDuplicates(["doc_id", "f1", "f2"])
+    whole = all_shingles.where("doc_id is not null").select("row", "doc_id", "component", "f1", "f2").join(bitmaps, ["doc_id", "f1", "f2"]).select("row", "doc_id", "component", "bitmap")
     common = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "shingle"))
-    ranked = rows.join(common, "shingle", "left").select("doc_id", "component", "n", "shingle", F.coalesce("df", F.lit(1)).alias("df"))
-    prefix = ranked.select("*", first.alias("rank")).where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("df") > 1)).select("doc_id", "component", (F.col("n") - F.col("rank") + 1).alias("rest"), "n", "shingle")
-    prefix = prefix.join(marks.select("doc_id", "bitmap"), "doc_id")
-    prefix = materialize(prefix, "prefix")
-    discard(rows)
+    first = F.row_number().over(Window.partitionBy("row").orderBy("df", "shingle"))
+    ranked = rows.join(common, "shingle", "left").select("row", "n", "shingle", F.coalesce("df", F.lit(1)).alias("df"))
+    prefix = ranked.select("*", first.alias("rank")).where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("df") > 1)).select("row", (F.col("n") - F.col("rank") + 1).alias("rest"), "n", "shingle")
+    prefix = materialize(prefix.join(whole, "row").drop("row"), "prefix")
+    discard(all_shingles)
     mixed = prefix.join(_main_parts(prefix), "shingle")
     fewer = mixed.where("component != main").select("shingle", F.col("doc_id").alias("u"), F.col("component").alias("cu"), F.col("n").alias("nu"), F.col("rest").alias("ru"), F.col("bitmap").alias("bu"))
     # a bit that one has and the other lacks is a shingle, at least, that they don't share
@@ -194,17 +208,21 @@ def link(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataF
     shared = spread.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("tail")).where("lead < tail")
     buckets = materialize(spread.join(shared, "key"), "buckets")
     ids = buckets.select("doc_id").distinct()
-    marks = linkable.select("doc_id", "sketch", "bitmap", "n_shingles").join(ids, "doc_id", "left_semi")
+    marks = linkable.select("doc_id", "f1", "f2", "sketch", "bitmap", "n_shingles").join(ids, "doc_id", "left_semi")
     texts = materialize(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), "texts")
     marks = materialize(marks, "marks")
 
+    # a doc_id of several classes holds them together
+    least = member.groupBy("doc_id").agg(F.min("first").alias("u"), F.max("first").alias("last")).where("u < last").select("doc_id", "u")
+    held = materialize(member.join(least, "doc_id").where("first != u").select("u", F.col("first").alias("v")).distinct(), "held")
+
     leaders = buckets.select("doc_id", F.explode(F.array("lead", "tail")).alias("leader")).where("doc_id != leader")
     tested = leaders.select(F.least("doc_id", "leader").alias("u"), F.greatest("doc_id", "leader").alias("v")).distinct()
-    joined = components(_confirm(tested, marks, texts, width, percent))
+    joined = components(_confirm(tested, marks, texts, width, percent).union(held))
     unsettled = _open(buckets, joined)
     pairs = _rare_pairs(unsettled, texts, marks, width, percent)
     joined = components(_confirm(pairs, marks, texts, width, percent).union(joined))
-    for done in (buckets, marks, texts, unsettled, pairs):
+    for done in (buckets, marks, texts, held, unsettled, pairs):
         discard(done)
 
     found = member.join(joined, F.col("first") == F.col("node"), "left").select("doc_id", F.coalesce("component", "first").alias("found"))

@@ -98,6 +98,36 @@ def test_main_part_does_not_depend_on_the_order_of_rows(spark):
         assert {r["shingle"]: r["main"] for r in _main_parts(prefix).collect()} == want
 
 
+def _near(rng, n, share):
+    """Two texts of n words of their own whose 4-shingles have a similarity of ``share`` or a little more."""
+    a = [f"w{rng.random()}" for _ in range(n)]
+    keep = -(-2 * share * (n - 3) // (1 + share))
+    return " ".join(a), " ".join([*a[: int(keep) + 3], *[f"w{rng.random()}" for _ in range(n - int(keep) - 3)]])
+
+
+def test_rare_pairs_of_repeated_and_several_texts(spark):
+    """A doc_id's repeated rows, or other texts of it, take no place in the prefix of a text."""
+    rng = random.Random(8)
+    rows, want = [], set()
+    for d in range(0, 60, 2):
+        a, b = _near(rng, 103, 0.8)
+        rows += [(d, a), (d + 1, b)]
+        rows += {0: [(d, a), (d, a), (d + 1, b)], 2: [(d, prose(rng, 300)), (d + 1, prose(rng, 300))], 4: [(d, a.upper()), (d + 1, b)]}[d % 6]
+        want.add((d, d + 1))
+    alone = spark.createDataFrame([(d, d) for d in range(60)], "doc_id long, component long")
+    found = {(r["u"], r["v"]) for r in _rare_pairs(alone, frame(spark, rows, extra=False), sketches(frame(spark, rows), 4), 4, 80).collect()}
+    assert want <= found
+
+
+def test_rows_of_one_document_hold_its_classes_together(spark):
+    rng = random.Random(9)
+    a, b, c = (prose(rng, 40) for _ in range(3))
+    near = " ".join([*b.split()[:38], "other", "end"])
+    rows = [(2, a), (3, b), (5, a), (5, b), (7, b), (8, near), (9, c), (9, c), (9, near)]
+    got = {(r["doc_id"], r["component_id"]) for r in link(frame(spark, rows), 4).collect()}
+    assert got == {(d, 2) for d in (2, 3, 5, 7, 8, 9)}
+
+
 def test_repeated_rows_and_empty_tables(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")]
     got = sorted((r["doc_id"], r["component_id"]) for r in link(frame(spark, rows), 4).collect())
