@@ -212,6 +212,15 @@ def _joined(docs: DataFrame, benchmark: DataFrame, coverage: float, seed: int) -
             keys = batch.column("k").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([pa.array(keys[pairs[0].astype(np.int64)]), pa.array(pairs[1].view(np.int64))], ["k", "hash"])
 
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sub_batches(batches, "text"):
+            w = _Tokens(batch.column("text"))
+            hashes, at = doc_windows(w, w.hashes(), seed)
+            pairs, c = np.unique(np.stack([w.doc[at].astype(np.uint64), hashes]), axis=1, return_counts=True) if len(at) else (np.zeros((2, 0), np.uint64), np.zeros(0, np.int64))
+            item = pairs[0].astype(np.int64)
+            keys = batch.column("k").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[item]), pa.array(pairs[1].view(np.int64)), pa.array(c.astype(np.int64)), pa.array(w.counts[item].astype(np.int64))], ["i", "hash", "c", "n"])
+
     def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sub_batches(batches, "text"):
             w, v = _Tokens(batch.column("text")), _Tokens(batch.column("item"))
@@ -227,10 +236,9 @@ def _joined(docs: DataFrame, benchmark: DataFrame, coverage: float, seed: int) -
 
     own = materialize(docs, "documents")
     items = materialize(benchmark.where("text is not null").select(F.monotonically_increasing_id().alias("k"), "item_id", F.col("text").alias("item")), "items")
-    theirs = items.select("k", F.col("item").alias("text")).mapInArrow(seeds, "k long, hash long").withColumnRenamed("k", "i")
-    totals = theirs.groupBy("i").agg(F.count("*").alias("n"))
-    shared = own.select("k", "text").mapInArrow(seeds, "k long, hash long").join(theirs, "hash").groupBy("k", "i").agg(F.count("*").alias("m")).join(totals, "i")
-    # n distinct seeds leave at least n + seed - 1 tokens or fewer if some repeat; each shared one can cover seed tokens
+    theirs = items.select("k", F.col("item").alias("text")).mapInArrow(places, "i long, hash long, c long, n long")
+    shared = own.select("k", "text").mapInArrow(seeds, "k long, hash long").join(theirs, "hash").groupBy("k", "i").agg(F.sum("c").alias("m"), F.max("n").alias("n"))
+    # m places of shared seeds in an item of n tokens: each can cover seed tokens
     likely = shared.where(F.col("m") * seed >= F.lit(coverage) * F.col("n")).select("k", "i")
     both = likely.join(own, "k").join(items.withColumnRenamed("k", "i"), "i").select("k", "doc_id", "text", "item_id", "item")
     return both.mapInArrow(tiled, f"k long, {PAIRS}")

@@ -218,6 +218,18 @@ def test_decontamination(spark, most):
     assert decontaminate.leaks(df, bench.limit(0), broadcast_bytes=most).count() == 0
 
 
+@pytest.mark.parametrize("most", [1 << 24, 1])
+def test_decontamination_of_items_that_repeat_themselves(spark, most):
+    """A few distinct seeds that cover many places of an item are found on both paths."""
+    rng = random.Random(12)
+    phrase = " ".join(f"p{i}" for i in range(5))
+    bench = spark.createDataFrame([(1, " ".join([phrase] * 20) + " " + " ".join(f"q{rng.randrange(10**9)}" for _ in range(60))), (2, prose(rng, 40))], "item_id long, text string")
+    docs = frame(spark, [(10, prose(rng, 20) + " " + " ".join([phrase] * 20)), (11, prose(rng, 90))])
+    got = [(r["doc_id"], r["item_id"], r["matched"]) for r in decontaminate.leaks(docs, bench, broadcast_bytes=most).collect()]
+    assert len(got) == 1 and got[0][:2] == (10, 1) and got[0][2] >= 100
+    assert [r["doc_id"] for r in decontaminate.clean(docs, bench, broadcast_bytes=most).collect()] == [11]
+
+
 HTML = "<html><head><title>A  &amp; B</title><script>var x = '<p>';</script></head><body><!-- gone --><p>One &lt;two&gt;<br>three</p><a href='/x'>l</a></body></html>"
 
 
