@@ -71,7 +71,7 @@ def derive(records: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFram
         line("source-content-length", F.octet_length("payload")),
         line("source-payload-digest", F.col("payload_digest")),
         line("source-block-digest", F.col("block_digest")),
-        line("title", F.substring(F.regexp_replace(F.regexp_extract("payload", TITLE, 1), r"[ \t\r\n]+", " "), 1, 200)),
+        line("title", F.regexp_replace(F.regexp_extract("payload", TITLE, 1), r"[ \t\r\n]+", " ")),
         line("outlinks", F.regexp_count("payload", F.lit(LINKS))),
         line("text-digest", digest(F.col("text"))),
     )

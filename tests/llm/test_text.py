@@ -260,6 +260,13 @@ def test_warc_derivatives(spark, tmp_path):
     assert warc_derivatives.derive(warc_derivatives.responses(pages.limit(0))).count() == 0
 
 
+def test_warc_metadata_holds_the_whole_title(spark):
+    title = "".join(f"Wört {i} " for i in range(400)) + "end"
+    pages = spark.createDataFrame([(1, "u", f"<title>{title}</title>")], "page_id long, url string, html string")
+    meta = warc_derivatives.derive(warc_derivatives.responses(pages)).where("record_type = 'metadata'").first()
+    assert f"title: {title}\r\n" in meta["block"] and meta["content_length"] == len(meta["block"].encode())
+
+
 def test_warc_sql(spark, tmp_path):
     spark.createDataFrame([(1, "u", HTML), (2, None, None), (3, "v", " \n\t<p> a \r\n <div>b</div>&amp;lt;")], "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages"))
     con = duckdb.connect()
