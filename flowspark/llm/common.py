@@ -65,10 +65,10 @@ def discard(df: DataFrame) -> None:
 def hashed_sample(df: DataFrame, rows: int, key: str, *others: str) -> DataFrame:
     """At most ``rows`` rows of distinct ``key``, the first by its hash, whatever the partitions.
 
-    Hashes are thinned out by the number of rows first, so that little more than ``rows`` are sorted.
+    Hashes are thinned out by the number of keys first, so that little more than ``rows`` are sorted.
     """
     have = df.groupBy(key).agg(*[F.min(c).alias(c) for c in others])
-    share = min(1.0, 2 * rows / max(1, df.count()) + 2000 / max(1, df.count()))
+    share = min(1.0, (2 * rows + 2000) / max(1, have.count()))
     place = F.pmod(F.xxhash64(key), F.lit(1 << 30))
     return have.where(place < int(share * (1 << 30))).orderBy(place, key).limit(rows)
 

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowspark.llm import byte_cnn, decontaminate, pii, quality_rules, warc_derivatives
+from flowspark.llm.common import hashed_sample
 
 from .helpers import corpus, frame, prose, words
 
@@ -127,6 +128,13 @@ def test_byte_network(spark):
     assert byte_cnn.accept(docs.limit(0), net).count() == 0
 
 
+def test_sample_of_repeated_keys_is_full(spark):
+    labels = spark.range(4000 * 40).select((F.col("id") % 4000).alias("doc_id"), F.lit(1).alias("quality"))
+    got = [r["doc_id"] for r in hashed_sample(labels, 500, "doc_id", "quality").collect()]
+    assert len(got) == len(set(got)) == 500
+    assert got == [r["doc_id"] for r in hashed_sample(labels.distinct(), 500, "doc_id", "quality").collect()]
+
+
 def test_byte_network_reads_whole_texts():
     net = byte_cnn.ByteNet.start()
     a, b = b"x" * 50_000, b"x" * 49_990 + b"!!!!!!!!!!"
