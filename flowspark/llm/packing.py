@@ -2,9 +2,9 @@
 
 ``token_pieces`` encodes whole texts and cuts only documents longer than a sequence. ``pack`` places the pieces by
 best-fit decreasing: within a partition pieces come by falling length, and a segment tree over remaining capacities
-finds the tightest open bin in logarithmic time. Partitions are groups of a hash of the piece, so that no key can make
-one large; each holds tens of thousands of pieces, and only its last few bins stay open. Only lengths travel: the
-tokens are joined to their places by ``sequences`` where they are wanted.
+finds the tightest open bin in logarithmic time. Partitions are groups of a hash of the piece's number in a written
+table, so that no key and no repeated row can make one large; each holds tens of thousands of pieces, and only its last
+few bins stay open. Only lengths travel, unless the pieces come with their ids, as ``sequences`` needs them.
 
 Nulls: a null text is an empty document (its end id alone). A null doc_id is a value like others. Repeated rows are
 documents of their own. Other columns of the input are ignored. An empty table gives no rows.
@@ -99,10 +99,13 @@ class OpenBins:
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, pieces_a_partition: int = PIECES_A_PARTITION) -> DataFrame:
     """``pieces`` (with doc_id, piece, length at most ``capacity``) with sequence_id and offset of each."""
-    pieces = materialize(pieces, "pieces")
-    groups = max(1, -(-pieces.count() // pieces_a_partition))
-    keys = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in pieces.columns]
-    dealt = pieces.repartition(groups, F.xxhash64(*keys)).sortWithinPartitions(F.desc("length"), *keys)
+    names = list(pieces.columns)
+    number = "_number"
+    while number in names:
+        number += "_"
+    numbered = materialize(pieces.withColumn(number, F.monotonically_increasing_id()), "pieces")
+    groups = max(1, -(-numbered.count() // pieces_a_partition))
+    dealt = numbered.repartition(groups, F.xxhash64(number)).sortWithinPartitions(F.desc("length"), number).drop(number)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -116,7 +119,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, pieces_a_partition: int =
     return dealt.mapInArrow(place, f"{out}, sequence_id long, offset long")
 
 
-def sequences(pieces: DataFrame, placed: DataFrame) -> DataFrame:
-    """The token ids of each sequence: ``pieces`` with ids joined to their places. A sequence has bounded length."""
-    joined = pieces.select("doc_id", "piece", "ids").join(placed.select("doc_id", "piece", "sequence_id", "offset"), ["doc_id", "piece"])
-    return joined.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("parts")).select("sequence_id", F.flatten("parts.ids").alias("ids"))
+def sequences(placed: DataFrame) -> DataFrame:
+    """The token ids of each sequence, from ``pack`` of pieces with their ids. A sequence has bounded length."""
+    return placed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("parts")).select("sequence_id", F.flatten("parts.ids").alias("ids"))

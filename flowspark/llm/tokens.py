@@ -1,26 +1,27 @@
 """Token ids of whole texts by a public tokenizer, many documents at a time.
 
 The tokenizer's own rules never join characters across white space, so a text's ids are the ids of its runs of other
-characters, one after the other. Each distinct run of a batch is encoded once; frequent ones are kept between batches
-in a store of bounded size.
+characters, one after the other; nor does it join letters with the marks after them, so the ids of letters and marks are
+those of the two. Each distinct part of a batch is encoded once, letters by the library's merge model alone (the steps
+before it map each letter by itself); frequent parts are kept between batches in a store of bounded size.
 """
 
 from __future__ import annotations
 
 import functools
 import os
-import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 
 TOKENIZER = "word_bpe_49k.json"
 CACHE_ENTRIES = 400_000
-#: Runs of these letters, perhaps with a comma or full stop at the end, are one or two pre-tokens; many are encoded as one text.
-_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?")
-_OTHER_SPACE = "\n\t\r\v\f"
+#: Letters whose composed and lower-case forms are single letters, and marks that may follow them.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_MARKS = ".,;:!?$%&*#"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -32,28 +33,29 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 class Encoder:
     """Ids of texts as numpy arrays. ``path``: a file of the tokenizers library that drops white space.
 
-    Known runs are numbers into one array of ids; a full store keeps the more frequent half.
+    ``special_as_text``: encode the strings of special tokens as ordinary text; as the library does, they give their
+    ids otherwise. Known parts are numbers into one array of ids; a full store keeps the more frequent half.
     """
 
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, special_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or tokenizer_path())
-        self.tokenizer.encode_special_tokens = True
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 2, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.model = self.tokenizer.model
+        letters = [chr(c) for r in (range(97, 123), range(0xDF, 0xF7), range(0xF8, 0x100)) for c in r]
+        self.letters = {ord(c): "".join(p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(c)) for c in letters}
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.stored = 0
+        self.known: dict[str, int] = {"": 0}
+        self.stored = 1
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
         self.begin, self.length, self.hits = (np.zeros(1 << 17, t) for t in (np.int64, np.int64, np.int32))
 
-    def _store(self, runs: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        n, m = self.stored, len(runs)
+    def _store(self, parts: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        n, m = self.stored, len(parts)
         while n + m > len(self.begin):
             self.begin, self.length, self.hits = (np.resize(a, 2 * len(a)) for a in (self.begin, self.length, self.hits))
         while self.used + len(ids) > len(self.flat):
@@ -64,73 +66,82 @@ class Encoder:
         self.hits[n : n + m] = 0
         self.used += len(ids)
         self.stored += m
-        self.known.update(zip(runs, range(n, n + m), strict=True))
+        self.known.update(zip(parts, range(n, n + m), strict=True))
 
     def _keep_frequent(self) -> None:
-        """Start anew with the half of the known runs that most batches had."""
-        words = np.array(list(self.known), dtype=object)
-        at = np.fromiter(self.known.values(), np.int64, len(words))
+        """Start anew with the half of the known parts that most batches had."""
+        words = np.array(list(self.known), dtype=object)[1:]
+        at = np.fromiter(self.known.values(), np.int64, len(words) + 1)[1:]
         order = np.argsort(-self.hits[at], kind="stable")[: len(words) // 2]
         at, hits, n = at[order], self.hits[at[order]], self.length[at[order]]
-        ends = np.cumsum(n)
-        ids = self.flat[np.repeat(self.begin[at] - (ends - n), n) + np.arange(n.sum())]
+        ids = self._gather(at)
         self.clear()
         self._store(words[order].tolist(), ids, n)
-        self.hits[: len(hits)] = hits // 2
-
-    def _plain(self, runs: list[str]) -> bool:
-        """Encode plain runs in one call: ids that end a word part them. False if the words don't come out even."""
-        (whole,) = self.tokenizer.encode_batch_fast([" ".join(runs)], add_special_tokens=False)
-        ids = np.array(whole.ids, np.uint32)
-        last = np.flatnonzero(self.ends[ids]) + 1
-        upto = np.cumsum([1 if r[-1] not in ".," else 2 for r in runs])
-        if len(last) != upto[-1] or last[-1] != len(ids):
-            return False
-        self._store(runs, ids, np.diff(last[upto - 1], prepend=0))
-        return True
-
-    def numbers(self, runs: list[str]) -> np.ndarray:
-        """The number of each distinct run of characters other than ASCII white space in the store."""
-        if len(self.known) > CACHE_ENTRIES:
-            self._keep_frequent()
+        self.hits[1 : 1 + len(hits)] = hits // 2
+
+    def _gather(self, at: np.ndarray) -> np.ndarray:
+        """The ids of parts by number, in a row."""
+        n = self.length[at]
+        ends = np.cumsum(n)
+        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[at] - (ends - n), n)]
+
+    def _numbers(self, parts: list[str], letters: np.ndarray) -> np.ndarray:
+        """The number of each distinct part in the store; ``letters``: whether a part is lower-case letters alone."""
         known = self.known
-        missing = [r for r in runs if r not in known]
-        plain = [r for r in missing if _PLAIN.fullmatch(r)]
-        for i in range(0, len(plain), 4000):
-            self._plain(plain[i : i + 4000])
-        missing = [r for r in missing if r not in known]
-        for i in range(0, len(missing), 20_000):
-            part = missing[i : i + 20_000]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            self._store(part, np.array([x for e in ids for x in e], np.uint32), np.array([len(e) for e in ids], np.int64))
-        at = np.fromiter(map(known.__getitem__, runs), np.int64, len(runs))
+        for plain in (True, False):
+            missing = [p for p, own in zip(parts, (letters == plain).tolist(), strict=True) if own and p not in known]
+            for i in range(0, len(missing), 20_000):
+                some = missing[i : i + 20_000]
+                if plain:
+                    ids = [[t.id for t in self.model.tokenize(p.translate(self.letters))] for p in some]
+                else:
+                    ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+                self._store(some, np.fromiter(chain.from_iterable(ids), np.uint32), np.array([len(e) for e in ids], np.int64))
+        at = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
         self.hits[at] += 1
         return at
 
+    def _runs(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the two parts - letters or all, and marks - of each distinct run without ASCII white space."""
+        if len(self.known) > CACHE_ENTRIES:
+            self._keep_frequent()
+        bare = pc.utf8_rtrim(runs, _MARKS)
+        plain = pc.match_substring_regex(bare, f"^[{_LETTERS}]+$")
+        first = pc.if_else(plain, pc.utf8_lower(bare), runs).dictionary_encode()
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        codes = first.indices.to_numpy(zero_copy_only=False)
+        letters = np.zeros(len(first.dictionary), bool)
+        letters[codes] = is_plain
+        one = self._numbers(first.dictionary.to_pylist(), letters)[codes]
+        two = np.zeros(len(runs), np.int64)
+        with_marks = np.flatnonzero(is_plain & (pc.binary_length(bare).to_numpy(zero_copy_only=False) < pc.binary_length(runs).to_numpy(zero_copy_only=False)))
+        if len(with_marks):
+            at = pa.array(with_marks)
+            marks = pa.array([r[n:] for r, n in zip(runs.take(at).to_pylist(), pc.utf8_length(bare.take(at)).to_pylist(), strict=True)]).dictionary_encode()
+            two[with_marks] = self._numbers(marks.dictionary.to_pylist(), np.zeros(len(marks.dictionary), bool))[marks.indices.to_numpy(zero_copy_only=False)]
+        return one, two
+
     def lengths(self, runs: list[str]) -> np.ndarray:
         """The number of ids of each distinct run."""
-        at = self.numbers(runs)
-        return self.length[at]
+        one, two = self._runs(pa.array(runs, pa.string()))
+        return self.length[one] + self.length[two]
 
-    def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def batch(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and the number of ids of each text. A null text has none."""
-        words: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            if t:
-                for c in _OTHER_SPACE:
-                    t = t.replace(c, " ")
-                own = t.split(" ")
-                counts[i] = len(own)
-                words += own
-        if not words:
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.large_string())
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        runs = split.flatten().dictionary_encode()
+        if not len(runs):
             return np.zeros(0, np.uint32), counts
-        codes, distinct = pd.factorize(np.array(words, dtype=object))
-        at = self.numbers(list(distinct))
-        begin, lengths = self.begin[at], self.length[at]
-        n = lengths[codes]
+        codes = runs.indices.to_numpy(zero_copy_only=False)
+        one, two = self._runs(runs.dictionary.cast(pa.large_string()))
+        n = self.length[one] + self.length[two]
+        own = self._gather(np.stack([one, two], axis=1).ravel())  # of each distinct run, in a row
+        begin, n = (np.cumsum(n) - n)[codes], n[codes]
         total = np.cumsum(n)
-        ids = self.flat[np.arange(total[-1]) + np.repeat(begin[codes] - (total - n), n)]
+        ids = own[np.arange(total[-1]) + np.repeat(begin - (total - n), n)]
         bound = np.concatenate(([0], total))
         upto = np.cumsum(counts)
         return ids, bound[upto] - bound[upto - counts]
@@ -147,4 +158,4 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str | None, most: int = 1 <
     from flowspark.llm.common import sub_batches
 
     for batch in sub_batches(batches, "text", most, encoders=False):
-        yield batch, *shared(path).batch(batch.column("text").to_pylist())
+        yield batch, *shared(path).batch(batch.column("text"))

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import zlib
 
 import numpy as np
@@ -18,7 +19,6 @@ from .helpers import corpus, frame
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -29,13 +29,40 @@ def test_encoder_equals_the_tokenizer(plain):
     assert ids.tolist() == [i for t in texts for i in plain(t)]
 
 
-@pytest.mark.parametrize("n", [0, 1, 4095, 4096, 4097, 9000])
+def test_special_tokens_as_text(plain):
+    ids, _ = Encoder(special_as_text=True).batch(["a <|endoftext|> b"])
+    assert 49_407 in plain("a <|endoftext|> b") and 49_407 not in ids
+
+
+def test_a_full_store_keeps_ids_right(plain, monkeypatch):
+    monkeypatch.setattr("flowspark.llm.tokens.CACHE_ENTRIES", 50)
+    encoder = Encoder()
+    for k in range(6):
+        texts = [f"wort{chr(97 + i % 26)}{'x' * (i % 7)}, le{'a' * (k % 3)}!" for i in range(60)]
+        ids, _ = encoder.batch(texts)
+        assert ids.tolist() == [i for t in texts for i in plain(t)]
+
+
+@pytest.mark.parametrize("n", [0, 1, 2047, 2048, 2049, 9000])
 @pytest.mark.parametrize("high", [1, 3, 400, 49_408, 1 << 32])
 def test_codec_round_trip(n, high):
     ids = np.random.default_rng(n + high).integers(0, high, n, dtype=np.uint64).astype(np.uint32)
     assert (token_codec.decode(token_codec.encode(ids)) == ids).all()
 
 
+def test_codec_predicts():
+    """Ids that depend on the two before take far less than their order-0 entropy."""
+    rng = np.random.default_rng(5)
+    after = rng.integers(0, 300, (300, 4))
+    ids = np.zeros(60_000, np.uint32)
+    for i in range(1, len(ids)):
+        ids[i] = after[ids[i - 1], rng.integers(0, 4)]
+    p = np.bincount(ids) / len(ids)
+    entropy = -(p[p > 0] * np.log2(p[p > 0])).sum()
+    frame_ = token_codec.encode(ids)
+    assert (token_codec.decode(frame_) == ids).all() and 8 * len(frame_) / len(ids) < 0.8 * entropy
+
+
 def test_codec_learns_and_notices_damage():
     ids = np.tile(np.arange(50, dtype=np.uint32), 400)
     frame_ = token_codec.encode(ids)
@@ -86,10 +113,11 @@ def test_pieces_and_packing(spark, plain):
 
 
 def test_sequences(spark, plain):
-    docs = frame(spark, [(i, f"word{i} " * (i * 40)) for i in range(30)])
+    rows = [(i, f"word{i} " * (i * 40)) for i in range(30)] + [(3, "again"), (3, "again"), (None, "no id"), (None, "no id")]
+    docs = frame(spark, rows)
     pieces = token_pieces(docs, capacity=256, with_ids=True)
-    out = {r["sequence_id"]: r["ids"] for r in sequences(pieces, pack(pieces.drop("ids"), capacity=256)).collect()}
-    assert sum(map(len, out.values())) == sum(len(plain(f"word{i} " * (i * 40))) + 1 for i in range(30))
+    out = {r["sequence_id"]: r["ids"] for r in sequences(pack(pieces, capacity=256)).collect()}
+    assert sum(map(len, out.values())) == sum(len(plain(t)) + 1 for _, t in rows)
     assert max(map(len, out.values())) <= 256
 
 
