@@ -29,10 +29,14 @@ COUNTS = "doc_id long, n_tokens long, n_tokens_edited long, n_slots long, n_edit
 
 
 class CountTree:
-    """Slots of one document with sums of code points and tokens."""
+    """Slots of one document with sums of code points and tokens. ``count``: the tokens of each of a list of slots."""
 
     def __init__(self, slots: list[str], tokens: np.ndarray, count):
-        self.slots, self.count = slots, count
+        self.count, self.reencoded = count, 0
+        self._build(slots, tokens)
+
+    def _build(self, slots: list[str], tokens: np.ndarray) -> None:
+        self.slots = slots
         self.size = 1 << max(1, (max(1, len(slots)) - 1).bit_length())
         self.chars = np.zeros(2 * self.size, np.int64)
         self.tokens = np.zeros(2 * self.size, np.int64)
@@ -43,7 +47,6 @@ class CountTree:
             for sums in (self.chars, self.tokens):
                 sums[level // 2 : level] = sums[level : 2 * level : 2] + sums[level + 1 : 2 * level : 2]
             level //= 2
-        self.reencoded = 0
 
     def total(self) -> int:
         return int(self.tokens[1])
@@ -69,25 +72,35 @@ class CountTree:
             i //= 2
 
     def edit(self, start: int, end: int, text: str) -> None:
-        """Replace code points ``start`` to ``end`` of the text as it is now."""
+        """Replace code points ``start`` to ``end`` of the text as it is now.
+
+        The touched slots are split anew. New slots take the places of the old ones and of empty ones after them; where
+        these don't suffice, the tree is laid out again with as many empty ones, and nothing else is encoded.
+        """
         length = int(self.chars[1])
         start = min(max(0, start), length)
         end = min(max(start, end), length)
-        if not length:
-            if not self.slots:
-                self.slots = [""]
-            self._set(0, text, self.count(text))
-            self.reencoded += len(text)
-            return
-        first, begin = self.find(max(0, start - 1))  # the slot on the left, whose last word may grow
-        last, _ = self.find(end)
-        old = "".join(self.slots[first : last + 1])
-        new = old[: start - begin] + text + old[end - begin :]
-        self._set(first, new, self.count(new))
-        for slot in range(first + 1, last + 1):
-            if self.slots[slot]:
-                self._set(slot, "", 0)
+        first, last, new = 0, len(self.slots) - 1, text
+        if length:
+            first, begin = self.find(max(0, start - 1))  # the slot on the left, whose last word may grow
+            last, _ = self.find(end)
+            old = "".join(self.slots[first : last + 1])
+            new = old[: start - begin] + text + old[end - begin :]
+        own = _SLOT.findall(new)
+        tokens = self.count(own)
         self.reencoded += len(new)
+        stop = last + 1
+        while stop - first < len(own) and stop < len(self.slots) and not self.slots[stop]:
+            stop += 1
+        if len(own) > stop - first:
+            spare = np.zeros(len(own), np.int64)
+            kept = self.tokens[self.size : self.size + len(self.slots)]
+            self._build(self.slots[:first] + own + [""] * len(own) + self.slots[stop:], np.concatenate((kept[:first], tokens, spare, kept[stop:])))
+            return
+        for i in range(stop - first):
+            slot = own[i] if i < len(own) else ""
+            if slot or self.slots[first + i]:
+                self._set(first + i, slot, int(tokens[i]) if slot else 0)
 
 
 def count_edited(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -98,17 +111,14 @@ def count_edited(docs: DataFrame, path: str | None = None) -> DataFrame:
 
         encoder = shared(path)
 
-        def count(text: str) -> int:
-            runs = [w for w in re.split(f"[{SPACE}]+", text) if w]
-            distinct = list(dict.fromkeys(runs))
-            known = dict(zip(distinct, encoder.lengths(distinct).tolist(), strict=True))
-            return sum(known[r] for r in runs)
+        def count(slots: list[str]) -> np.ndarray:
+            words = [s.strip(SPACE) for s in slots]
+            codes, distinct = pd.factorize(np.array(words, dtype=object)) if words else (np.zeros(0, np.int64), [])
+            return encoder.lengths(list(distinct))[codes] if words else np.zeros(0, np.int64)
 
         for batch in sub_batches(batches, "text", encoders=False):
             slots = [_SLOT.findall(t or "") for t in batch.column("text").to_pylist()]
-            words = [s.strip(SPACE) for own in slots for s in own]
-            codes, distinct = pd.factorize(np.array(words, dtype=object)) if words else (np.zeros(0, np.int64), [])
-            tokens = encoder.lengths(list(distinct))[codes] if len(words) else np.zeros(0, np.int64)
+            tokens = count([s for own in slots for s in own])
             rows, at = [], 0
             for doc, own, edits in zip(batch.column("doc_id").to_pylist(), slots, batch.column("edits").to_pylist(), strict=True):
                 n = len(own)

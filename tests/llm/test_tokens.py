@@ -8,7 +8,8 @@ import pytest
 from tokenizers import Tokenizer
 
 from flowspark.llm import token_codec
-from flowspark.llm.edit_counts import count_edited
+from flowspark.llm.edit_counts import _SLOT as SLOT
+from flowspark.llm.edit_counts import SPACE, CountTree, count_edited
 from flowspark.llm.packing import OpenBins, pack, sequences, token_pieces
 from flowspark.llm.token_store import read_store, round_trip, write_store
 from flowspark.llm.tokens import Encoder, tokenizer_path
@@ -22,8 +23,13 @@ def plain():
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
+PARTS = ["a", "B", "é", "É", "ß", "İ", "ñ", "\u0301", "µ", "ª", "×", "'s", "'t", "'", "...", ",", "!?", "$", "#", "1", "\u0663", "\u4e2d", " ", " ", "\xa0", "\u2003", "\x1c", "\x85", "\n", "\t", "\x0b", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "\ufb01", "Σ", "ς", "\U0001f600", "</w>", "Ÿ"]
+
+
 def test_encoder_equals_the_tokenizer(plain):
+    rng = random.Random(3)
     texts = [t for _, t in corpus()] + ["don't I'LL 12,5 <|endoftext|>", "é ́x İstanbul ﬁ ŉ ΣΑΣ", "汉字 かな \U0001f600", "\x1c\x85  a"]
+    texts += ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
     ids, counts = Encoder().batch(texts)
     assert counts.tolist() == [len(plain(t)) for t in texts]
     assert ids.tolist() == [i for t in texts for i in plain(t)]
@@ -153,3 +159,35 @@ def test_edit_counts(spark, plain):
     long_doc = max(corpus(), key=lambda r: len(r[1] or ""))[0]
     assert got[long_doc]["n_reencoded_chars"] < 300
     assert count_edited(df.limit(0)).count() == 0
+
+
+def test_edits_at_one_place(plain):
+    """Edits inside a long insertion encode their own slots again, not the insertion."""
+    encoder, rng = Encoder(), random.Random(4)
+    text = "one two three four"
+    slots = SLOT.findall(text)
+    count = lambda own: encoder.lengths([s.strip(SPACE) for s in own]) if own else np.zeros(0, np.int64)
+    tree = CountTree(slots, count(slots), count)
+    edits = [(8, 8, " neu" * 25_000)] + [(rng.randrange(100_000),) * 2 + (rng.choice(("x", " y ", "")),) for _ in range(40)] + [(50_000, 50_006, ""), (3, 100_000, " gone "), (0, 10**6, ""), (0, 0, "new a b c")]
+    for k, (a, b, new) in enumerate(edits):
+        a, b = min(a, len(text)), min(b, len(text))
+        text = text[:a] + new + text[b:]
+        before = tree.reencoded
+        tree.edit(a, b, new)
+        assert tree.reencoded - before <= len(new) + 40
+        assert "".join(tree.slots) == text and (k % 8 and k < 40 or tree.total() == len(plain(text)))
+
+
+def test_edits_of_any_kind(plain):
+    encoder, rng = Encoder(), random.Random(8)
+    count = lambda own: encoder.lengths([s.strip(SPACE) for s in own]) if own else np.zeros(0, np.int64)
+    for _ in range(60):
+        text = "".join(rng.choice(PARTS) for _ in range(rng.randint(0, 30)))
+        slots = SLOT.findall(text)
+        tree = CountTree(slots, count(slots), count)
+        for _ in range(12):
+            a, b = sorted((rng.randint(0, len(text)), rng.randint(0, len(text))))
+            new = "".join(rng.choice(PARTS) for _ in range(rng.randint(0, 8)))
+            text = text[:a] + new + text[b:]
+            tree.edit(a, b, new)
+            assert "".join(tree.slots) == text and tree.total() == len(plain(text))
