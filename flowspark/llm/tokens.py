@@ -11,7 +11,7 @@ from __future__ import annotations
 import functools
 import os
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def _strings(a: pa.Array) -> list[str]:
+    return a.to_numpy(zero_copy_only=False).tolist()
+
+
 class Encoder:
     """Ids of texts as numpy arrays. ``path``: a file of the tokenizers library that drops white space.
 
@@ -88,16 +92,17 @@ class Encoder:
     def _numbers(self, parts: list[str], letters: np.ndarray) -> np.ndarray:
         """The number of each distinct part in the store; ``letters``: whether a part is lower-case letters alone."""
         known = self.known
+        at = np.fromiter(map(known.get, parts, repeat(-1)), np.int64, len(parts))
         for plain in (True, False):
-            missing = [p for p, own in zip(parts, (letters == plain).tolist(), strict=True) if own and p not in known]
+            missing = np.flatnonzero((at < 0) & (letters == plain)).tolist()
             for i in range(0, len(missing), 20_000):
-                some = missing[i : i + 20_000]
+                some = [parts[k] for k in missing[i : i + 20_000]]
                 if plain:
                     ids = [[t.id for t in self.model.tokenize(p.translate(self.letters))] for p in some]
                 else:
                     ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+                at[missing[i : i + 20_000]] = self.stored + np.arange(len(some))
                 self._store(some, np.fromiter(chain.from_iterable(ids), np.uint32), np.array([len(e) for e in ids], np.int64))
-        at = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
         self.hits[at] += 1
         return at
 
@@ -112,13 +117,13 @@ class Encoder:
         codes = first.indices.to_numpy(zero_copy_only=False)
         letters = np.zeros(len(first.dictionary), bool)
         letters[codes] = is_plain
-        one = self._numbers(first.dictionary.to_pylist(), letters)[codes]
+        one = self._numbers(_strings(first.dictionary), letters)[codes]
         two = np.zeros(len(runs), np.int64)
         with_marks = np.flatnonzero(is_plain & (pc.binary_length(bare).to_numpy(zero_copy_only=False) < pc.binary_length(runs).to_numpy(zero_copy_only=False)))
         if len(with_marks):
             at = pa.array(with_marks)
-            marks = pa.array([r[n:] for r, n in zip(runs.take(at).to_pylist(), pc.utf8_length(bare.take(at)).to_pylist(), strict=True)]).dictionary_encode()
-            two[with_marks] = self._numbers(marks.dictionary.to_pylist(), np.zeros(len(marks.dictionary), bool))[marks.indices.to_numpy(zero_copy_only=False)]
+            marks = pa.array([r[n:] for r, n in zip(_strings(runs.take(at)), pc.utf8_length(bare.take(at)).to_numpy().tolist(), strict=True)]).dictionary_encode()
+            two[with_marks] = self._numbers(_strings(marks.dictionary), np.zeros(len(marks.dictionary), bool))[marks.indices.to_numpy(zero_copy_only=False)]
         return one, two
 
     def lengths(self, runs: list[str]) -> np.ndarray:
