@@ -29,9 +29,11 @@ _WINDOW_BASE = 0xD1342543DE82EF95 | 1
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset (tests, local mode)."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one where that is unset, in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="flowspark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -39,10 +41,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 def small_batches(df: DataFrame) -> DataFrame:
     """``df``, after the session's Arrow batches are bounded for rows with whole texts: a batch stands in memory twice."""
-    conf = df.sparkSession.conf
+    conf = df.sparkSession.conf  # read when a plan is made: smaller settings of the session's own stay
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16MB")
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, str((1 << 31) - 1), "2147483647b"):
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16MB")
     return df
 
 
@@ -62,6 +65,14 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def hashed_sample(df: DataFrame, rows: int, key: str, *others: str) -> DataFrame:
     """At most ``rows`` rows of distinct ``key``, the first by its hash, whatever the partitions.
 

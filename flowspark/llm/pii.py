@@ -1,13 +1,15 @@
 """Personal data by weak supervision, in DataFrame operations only.
 
 Base spans are what four patterns match (email, ip, card, phone), checked by number of digits, Luhn sum and byte range.
-The method adds spans. Candidates are long tokens of letters and digits (kind ``secret``) and grouped digits (kind
-``number``) outside the base spans. Labelers vote on each - pattern, gazetteer and context labelers, yes, no or
-abstain -, expectation-maximisation over the counts of vote patterns estimates how reliable each labeler is, and a
-logistic span classifier is fitted to the posterior, on votes and shape of the candidate. Its threshold decides.
+The method adds spans. Candidates are broad: long tokens of letters and digits (kind ``secret``), digits alone or in
+groups (kind ``number``: dates, versions and amounts too) and runs of capitalized words (kind ``name``). Labelers vote
+on each - patterns, a checksum, gazetteers and contexts; yes, no or abstain -, expectation-maximisation over the counts of
+vote patterns estimates how often each labeler says yes on true and on false candidates, and a logistic span classifier
+is fitted to the posterior, on votes and on shapes that no labeler sees. Its threshold decides; base spans come first.
 
-Votes and shapes have few values: however large the corpus, at most ``most_patterns()`` counted rows reach the driver;
-counts cover all documents. Matches leave the documents as rows of lengths, never with the text.
+Votes and shapes have few values: however large the corpus, at most ``most_patterns()`` counted rows reach the driver,
+in practice some hundreds; counts cover all documents. Matches leave the documents as rows of lengths, never with the
+text.
 
 Nulls: a null text has no spans. Null doc_ids are carried. Repeated rows are documents of their own. Other columns are
 ignored. A corpus without candidates fits no classifier and adds nothing.
@@ -18,13 +20,14 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowspark.llm.common import materialize
+from flowspark.llm.common import free_name, materialize
 
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("secret", "number")
+ADDED = ("secret", "number", "name")
 ORDER = {k: i for i, k in enumerate((*BASE, *ADDED))}
 #: Possessive loops and starts at the edge of a run give the plain patterns' matches in linear time, without recursion.
 PATTERNS = {
@@ -32,21 +35,27 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "secret": r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{12,}+",
-    "number": r"(?<![A-Za-z0-9.+-])\(?[0-9]{2,5}\)?(?:[\x20./-][0-9]{2,5}){2,4}+(?![0-9])",
+    "secret": r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{8,}+",
+    "number": r"(?<![A-Za-z0-9_.+@-])\(?[0-9]++\)?(?:[\x20./:-][0-9]++)*+(?![A-Za-z0-9_@])",
+    "name": r"(?<![A-Za-zÀ-ÿ])(?!(?:Dear|Mrs?|Ms|Dr|Herr|Frau|Liebe|Lieber|Monsieur|Madame|Cher|Chère|Señora?|Don|Doña) )[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]++(?: [A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]++)++",
 }
-NEEDS = {"email": "@", "phone": "+"}
-CREDENTIAL_WORDS = ("token", "password", "passwd", "pwd", "secret", "key", "api", "auth", "bearer", "credential")
-CONTACT_WORDS = ("tel", "phone", "call", "fax", "mobile", "ssn", "iban", "account", "contact")
-PLAIN_WORDS = ("version", "license", "licence", "copyright", "page", "chapter", "isbn", "build", "http")
+NEEDS = {"email": "@", "phone": r"\+", "name": "[a-zß-öø-ÿ] [A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]"}
+# Gazetteers of English, German, French and Spanish words.
+CREDENTIAL_WORDS = ("token", "password", "passwd", "pwd", "secret", "key", "api", "auth", "bearer", "credential", "login", "passwort", "kennwort", "schlüssel", "mot de passe", "clé", "jeton", "contraseña", "clave")
+CONTACT_WORDS = ("tel", "phone", "call", "fax", "mobile", "ssn", "iban", "account", "contact", "telefon", "anruf", "konto", "mobil", "téléphone", "portable", "compte", "teléfono", "móvil", "cuenta", "llamar")
+PLAIN_WORDS = ("version", "license", "licence", "copyright", "page", "chapter", "isbn", "build", "http", "lizenz", "seite", "kapitel", "chapitre", "página", "capítulo", "licencia", "by-nc", "by-sa", "year", "jahr", "année", "año", "price", "preis", "prix", "precio", "figure", "table")
+PERSON_WORDS = ("mr", "mrs", "ms", "dr", "dear", "name", "herr", "frau", "liebe", "lieber", "monsieur", "madame", "cher", "chère", "señor", "señora", "don", "doña", "nombre", "nom")
+GIVEN_NAMES = ("Anna", "Maria", "Peter", "Paul", "John", "James", "Mary", "Robert", "Michael", "William", "David", "Sarah", "Emma", "Laura", "Thomas", "Martin", "Julia", "Hans", "Klaus", "Jürgen", "Wolfgang", "Sabine", "Petra", "Monika", "Ursula", "Heike", "Stefan", "Andreas", "Jean", "Pierre", "Marie", "Michel", "Claire", "Sophie", "François", "Nicolas", "Camille", "Chloé", "Luc", "Hélène", "José", "Juan", "Carlos", "Luis", "Ana", "Carmen", "Pedro", "Miguel", "Lucía", "Sofía", "Javier", "Elena")
+TITLE_WORDS = ("License", "Licence", "Public", "General", "Apache", "Commons", "Version", "University", "Street", "Chapter", "Table", "Figure", "The", "This", "These", "All", "Rights", "Reserved", "Copyright", "Creative", "Software", "Inc", "Foundation")
 CONTEXT = 24
-LABELERS = ("format", "mix", "named", "plain", "assigned")
-EM_ROUNDS, FIT_ROUNDS, THRESHOLD = 40, 300, 0.5
+LABELERS = ("format", "checksum", "mix", "named", "plain", "assigned")
+SHAPES = {"size": 4, "share": 4, "letters": 4, "groups": 4, "edge": 4}
+EM_ROUNDS, FIT_ROUNDS, THRESHOLD = 60, 400, 0.5
 
 
 def most_patterns() -> int:
-    """Rows that the vote and shape columns can take: three votes of each labeler, four lengths, four shares, kinds."""
-    return 3 ** len(LABELERS) * 4 * 4 * len(ADDED)
+    """Rows that the vote and shape columns can take: three votes of each labeler, four values of each shape, kinds."""
+    return 3 ** len(LABELERS) * math.prod(SHAPES.values()) * len(ADDED)
 
 
 def _matches(kind: str) -> Column:
@@ -54,7 +63,7 @@ def _matches(kind: str) -> Column:
     text = F.col("text")
     segs, hits = F.split(text, PATTERNS[kind], -1), F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
     found = F.transform(hits, lambda h, i: F.struct(F.lit(ORDER[kind]).alias("k"), i.alias("i"), F.length(F.get(segs, i)).alias("seg"), h.alias("hit"), F.right(F.get(segs, i), F.lit(CONTEXT)).alias("left")))
-    some = F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else text.rlike("[0-9]")
+    some = text.rlike(NEEDS.get(kind, "[0-9]"))
     return F.when(some, found)
 
 
@@ -66,60 +75,73 @@ def _passes() -> Column:
     """Whether a base match holds."""
     d = _digits(F.col("hit"))
     n = F.length(d)
-    doubled = F.array(*[F.lit(x) for x in (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)])
-    luhn = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-        F.lit(0),
-        lambda a, i: a + F.when((n - i) % 2 == 1, F.get(doubled, F.substring(d, i, F.lit(1)).cast("int"))).otherwise(F.substring(d, i, F.lit(1)).cast("int")),
-    )
     parts = F.transform(F.split("hit", r"\."), lambda p: F.ltrim(p, F.lit("0")))
     in_range = F.forall(parts, lambda p: (F.length(p) < 3) | ((F.length(p) == 3) & (p <= "255")))
-    return F.when(F.col("k") == ORDER["ip"], in_range).when(F.col("k") == ORDER["card"], F.when(n.between(14, 19), luhn % 10 == 0).otherwise(False)).when(F.col("k") == ORDER["phone"], n.between(10, 15)).otherwise(True)
+    return F.when(F.col("k") == ORDER["ip"], in_range).when(F.col("k") == ORDER["card"], F.when(n.between(14, 19), _luhn(d)).otherwise(False)).when(F.col("k") == ORDER["phone"], n.between(10, 15)).otherwise(True)
+
+
+def _luhn(d: Column) -> Column:
+    n = F.length(d)
+    doubled = F.array(*[F.lit(x) for x in (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)])
+    digit = lambda i: F.substring(d, i, F.lit(1)).cast("int")
+    total = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0), lambda a, i: a + F.when((n - i) % 2 == 1, F.get(doubled, digit(i))).otherwise(digit(i)))
+    return total % 10 == 0
 
 
 def _votes() -> dict[str, Column]:
     """1: personal, 0: not, -1: abstains."""
-    hit, left = F.col("hit"), F.lower("left")
-    n_digits = F.length(_digits(hit))
-    letters = F.length(F.regexp_replace(hit, "[^A-Za-z]", ""))
-    has = lambda words: left.rlike("|".join(words))
-    known = hit.rlike(r"^(?:[A-Z]{4}[0-9A-Z]{16}|[0-9a-f]{16,}|(?:[A-Za-z0-9]{2,8}[_-])[A-Za-z0-9]{16,})$") | hit.rlike(r"^\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}$") | hit.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$")
-    dull = hit.rlike(r"^[A-Za-z-]+[0-9]{1,2}$") | hit.rlike(r"^[0-9]{4}[./-][0-9]{2}[./-][0-9]{2}$") | hit.rlike(r"^[0-9]{2}[./-][0-9]{2}[./-][0-9]{4}$")
+    hit, left, k = F.col("hit"), F.lower("left"), F.col("k")
+    secret, number, name = (k == ORDER[x] for x in ADDED)
+    digits = _digits(hit)
+    n_digits = F.length(digits)
+    n_letters = F.length(F.regexp_replace(hit, "[^A-Za-z]", ""))
+    any_of = lambda words, c: c.rlike(r"(?<![\p{L}])(?:" + "|".join(words) + r")(?![\p{L}])")
+    known = hit.rlike(r"^(?:[A-Z]{4}[0-9A-Z]{16}|(?=[0-9]*[a-f])[0-9a-f]{16,}|[A-Za-z0-9]{2,8}[_-][A-Za-z0-9]{16,})$") | hit.rlike(r"^\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}$") | hit.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$")
+    date = hit.rlike(r"^(?:[0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{2,4}|[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?|(?:1[89]|20)[0-9]{2})$")
+    dull = date | hit.rlike(r"^[A-Za-z-]+[0-9]{1,2}$") | hit.rlike(r"^[0-9]{1,6}(?:\.[0-9]{1,3}){0,2}$")
     return {
         "format": F.when(known, 1).when(dull, 0).otherwise(-1),
-        "mix": F.when((n_digits >= 4) & (letters >= 4) | (letters == 0) & n_digits.between(9, 15), 1).when(n_digits <= 2, 0).otherwise(-1),
-        "named": F.when(has(CREDENTIAL_WORDS) & (F.col("k") == ORDER["secret"]) | has(CONTACT_WORDS), 1).otherwise(-1),
-        "plain": F.when(has(PLAIN_WORDS), 0).otherwise(-1),
-        "assigned": F.when(left.rlike("[=:][ \"']*$"), 1).when(left.rlike("(?:[a-z] |/)$"), 0).otherwise(-1),
+        "checksum": F.when(number & n_digits.between(14, 19) & ~_luhn(digits), 0).otherwise(-1),
+        "mix": F.when(secret & (n_digits >= 4) & (n_letters >= 4), 1).when(secret & (n_digits <= 2), 0).when(number & n_digits.between(9, 13), 1).when(number & (n_digits < 7), 0).otherwise(-1),
+        "named": F.when(secret & any_of(CREDENTIAL_WORDS, left) | number & any_of(CONTACT_WORDS, left) | name & (any_of(PERSON_WORDS, left) | any_of(GIVEN_NAMES, hit)), 1).when(name & any_of(TITLE_WORDS, hit), 0).otherwise(-1),
+        "plain": F.when(any_of(PLAIN_WORDS, left), 0).otherwise(-1),
+        "assigned": F.when(~name & left.rlike("[=:][ \"']*$"), 1).when(number & left.rlike(r"[\p{L}] $"), 0).when(name & left.rlike(r"(?:^|[.!?\n] ?)$"), 0).otherwise(-1),
     }
 
 
 def _shape() -> dict[str, Column]:
-    hit = F.col("hit")
-    share = F.length(_digits(hit)) / F.length(hit)
+    hit, left = F.col("hit"), F.col("left")
+    size, share = F.length(hit), F.length(_digits(hit)) / F.length(hit)
+    upper, lower = hit.rlike(r"\p{Lu}"), hit.rlike(r"\p{Ll}")
     return {
-        "size": F.when(F.length(hit) < 14, 0).when(F.length(hit) < 20, 1).when(F.length(hit) < 32, 2).otherwise(3),
+        "size": F.when(size < 9, 0).when(size < 16, 1).when(size < 32, 2).otherwise(3),
         "share": F.when(share < 0.15, 0).when(share < 0.4, 1).when(share < 0.8, 2).otherwise(3),
+        "letters": F.when(upper & lower, 3).when(upper, 2).when(lower, 1).otherwise(0),
+        "groups": F.least(F.length(F.regexp_replace(hit, r"[\p{L}0-9]", "")), F.lit(3)),
+        "edge": F.when(left == "", 0).when(left.rlike(r"\s$"), 1).when(left.rlike(r"[=:\"']$"), 2).otherwise(3),
     }
 
 
-FEATURES = (*LABELERS, "size", "share", "k")
+FEATURES = (*LABELERS, *SHAPES, "k")
 
 
 @dataclass
 class SpanModel:
-    """What was learned: the prior, each labeler's rates of a yes on true and on false candidates, and the classifier."""
+    """What was learned.
+
+    ``priors``: the share of true candidates of each kind; ``on_true``, ``on_false``: each labeler's rate of a yes among
+    its votes on true and on false candidates; ``weights``: the classifier's, by a feature's value within a kind.
+    """
 
-    prior: float
-    on_true: list[float]
-    on_false: list[float]
-    weights: dict[tuple[str, int], float]
-    offset: float
+    priors: dict[int, float]
+    on_true: dict[str, float]
+    on_false: dict[str, float]
+    weights: dict[tuple[int, str, int], float]
 
     def probability(self) -> Column:
-        z = F.lit(self.offset)
-        for (name, value), w in self.weights.items():
-            z = z + F.when(F.col(name) == value, w).otherwise(0.0)
+        z = F.lit(0.0)
+        for (k, name, value), w in self.weights.items():
+            z = z + F.when((F.col("k") == k) & (F.col(name) == value), w).otherwise(0.0)
         return 1 / (1 + F.exp(-z))
 
 
@@ -127,45 +149,35 @@ def learn(patterns: list[tuple[tuple[int, ...], int]]) -> SpanModel | None:
     """From (FEATURES values, count) rows, over all candidates of the corpus."""
     if not patterns:
         return None
-    m, total = len(LABELERS), sum(c for _, c in patterns)
-    prior, yes, no = 0.5, [0.8] * m, [0.2] * m
-    post: list[float] = []
+    f, c = np.array([f for f, _ in patterns]), np.array([n for _, n in patterns], float)
+    votes, kinds, total = f[:, : len(LABELERS)], f[:, -1], c.sum()
+    of_kind = {int(k): kinds == k for k in np.unique(kinds)}
+    cast, yes = votes >= 0, votes == 1
+    prior, on_true, on_false = np.full(len(c), 0.3), np.full(len(LABELERS), 0.8), np.full(len(LABELERS), 0.2)
+    strength = 0.02 * total + 4  # of the belief that a vote is right four times in five
     for _ in range(EM_ROUNDS):
-        post = []
-        for f, _ in patterns:
-            a, b = math.log(prior), math.log(1 - prior)
-            for j in range(m):
-                if f[j] >= 0:
-                    a += math.log(yes[j] if f[j] else 1 - yes[j])
-                    b += math.log(no[j] if f[j] else 1 - no[j])
-            post.append(1 / (1 + math.exp(min(500, b - a))))
-        strength = 0.02 * total + 4  # of the belief that a vote is right four times in five
-        prior = min(0.98, max(0.02, (sum(p * c for p, (_, c) in zip(post, patterns, strict=True)) + 1) / (total + 2)))
-        for j in range(m):
-            t = [(p, c, f[j]) for p, (f, c) in zip(post, patterns, strict=True) if f[j] >= 0]
-            yes[j] = (sum(p * c for p, c, v in t if v) + 0.8 * strength) / (sum(p * c for p, c, _ in t) + strength)
-            no[j] = (sum((1 - p) * c for p, c, v in t if v) + 0.2 * strength) / (sum((1 - p) * c for p, c, _ in t) + strength)
-    weights = {(n, v): 0.0 for f, _ in patterns for n, v in zip(FEATURES, f, strict=True)}
-    offset = 0.0
+        likely = [np.where(cast, np.where(yes, np.log(r), np.log(1 - r)), 0).sum(axis=1) for r in (on_true, on_false)]
+        post = 1 / (1 + np.exp(np.clip(np.log(1 - prior) + likely[1] - np.log(prior) - likely[0], -500, 500)))
+        for who in of_kind.values():
+            prior[who] = (post[who] @ c[who] + 0.3 * 4) / (c[who].sum() + 4)
+        on_true, on_false = ((((p * c) @ yes) + mean * strength) / (((p * c) @ cast) + strength) for p, mean in ((post, 0.8), (1 - post, 0.2)))
+    names = sorted({(int(k), n, int(v)) for row, k in zip(f, kinds, strict=True) for n, v in zip(FEATURES[:-1], row, strict=False)})
+    at = {key: i for i, key in enumerate(names)}
+    x = np.zeros((len(c), len(names)))
+    for i, (row, k) in enumerate(zip(f, kinds, strict=True)):
+        x[i, [at[int(k), n, int(v)] for n, v in zip(FEATURES[:-1], row, strict=False)]] = 1
+    share = sum(np.where(who, c / c[who].sum(), 0) for who in of_kind.values())  # kinds weigh alike, however rare
+    w = np.zeros(len(names))
     for step in range(FIT_ROUNDS):
-        rate = 2.0 / (1 + step / 50)
-        grad, g0 = dict.fromkeys(weights, 0.0), 0.0
-        for p, (f, c) in zip(post, patterns, strict=True):
-            z = offset + sum(weights[key] for key in zip(FEATURES, f, strict=True))
-            d = (1 / (1 + math.exp(-max(-40.0, min(40.0, z)))) - p) * c / total
-            g0 += d
-            for key in zip(FEATURES, f, strict=True):
-                grad[key] += d
-        offset -= rate * g0
-        for key in weights:
-            weights[key] -= rate * (grad[key] + 1e-4 * weights[key])
-    return SpanModel(prior, yes, no, weights, offset)
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+        w -= 2.0 / (1 + step / 100) * (((p - post) * share) @ x + 1e-4 * w)
+    return SpanModel({k: float(prior[who][0]) for k, who in of_kind.items()}, dict(zip(LABELERS, on_true.tolist(), strict=True)), dict(zip(LABELERS, on_false.tolist(), strict=True)), dict(zip(names, w.tolist(), strict=True)))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """A row for each checked base match and each candidate: row, doc_id, k, start, end, votes and shape.
+    """A row for each checked base match and each candidate outside of these: row, doc_id, k, start, end, votes, shapes.
 
-    A match that fails its check, and a document without any, has a null k. ``row`` numbers the rows of ``docs``.
+    Other matches, and documents without any, have a null k. ``row`` numbers the rows of ``docs``.
     """
     found = F.filter(F.concat(*[F.coalesce(_matches(k), F.array().cast("array<struct<k:int,i:int,seg:int,hit:string,left:string>>")) for k in ORDER]), lambda x: x.isNotNull())
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", found.alias("found"))
@@ -175,6 +187,11 @@ def candidates(docs: DataFrame) -> DataFrame:
     end = F.sum(F.col("seg") + F.length("hit")).over(over)
     placed = rows.select("row", "doc_id", "k", "hit", "left", (end - F.length("hit")).alias("start"), end.alias("end"))
     passed = placed.withColumn("k", F.when((F.col("k") >= len(BASE)) | _passes(), F.col("k")))
+    base = F.col("k") < len(BASE)
+    before = F.max(F.when(base, F.col("end"))).over(Window.partitionBy("row").orderBy("start", "end", "k"))
+    after = F.min(F.when(base, F.col("start"))).over(Window.partitionBy("row").orderBy(F.desc("start"), F.desc("end"), F.desc("k")))
+    inside = F.coalesce(before > F.col("start"), F.lit(False)) | F.coalesce(after < F.col("end"), F.lit(False))
+    passed = passed.withColumn("inside", inside).withColumn("k", F.when(base | ~F.col("inside"), F.col("k")))
     return passed.select("row", "doc_id", "k", "start", "end", *[v.cast("int").alias(n) for n, v in {**_votes(), **_shape()}.items()])
 
 
@@ -195,8 +212,7 @@ def find(docs: DataFrame) -> tuple[DataFrame, SpanModel | None]:
         F.sort_array(F.collect_list(F.when(F.col("k") < len(BASE), span))).alias("base"),
         F.sort_array(F.collect_list(F.when((F.col("k") >= len(BASE)) & likely, span))).alias("added"),
     )
-    clear = F.filter("added", lambda a: ~F.exists("base", lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"])))
-    return per_row.select("row", "doc_id", "base", clear.alias("added")), model
+    return per_row, model
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -213,9 +229,9 @@ def redact(docs: DataFrame, mask: str = "[{}]") -> DataFrame:
 
     Overlapping spans are merged under the kind of the first.
     """
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    numbered = materialize(docs.select(F.monotonically_increasing_id().alias("_row"), *docs.columns), "documents")
-    found, _ = find(numbered.select(F.col("_row").alias("doc_id"), "text"))
+    row, mark = free_name(docs, "row"), free_name(docs, "spans")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
+    found, _ = find(numbered.select(F.col(row).alias("doc_id"), "text"))
     names = F.array(*[F.lit(mask.format(k)) for k in ORDER])
     spans = F.array_sort(F.concat("base", "added"))
     merged = F.aggregate(
@@ -223,10 +239,10 @@ def redact(docs: DataFrame, mask: str = "[{}]") -> DataFrame:
         F.array().cast("array<struct<start:bigint,k:int,end:bigint>>"),
         lambda acc, s: F.when((F.size(acc) > 0) & (s["start"] < F.get(acc, F.size(acc) - 1)["end"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.get(acc, F.size(acc) - 1)["start"].alias("start"), F.get(acc, F.size(acc) - 1)["k"].alias("k"), F.greatest(F.get(acc, F.size(acc) - 1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s))),
     )
-    marks = found.where(F.size(spans) > 0).select(F.col("doc_id").alias("_row"), merged.alias("_spans"))
+    marks = found.where(F.size(spans) > 0).select(F.col("doc_id").alias(row), merged.alias(mark))
     at = lambda a, i: F.get(a, i)
-    s, t = F.col("_spans"), F.col("text")
+    s, t = F.col(mark), F.col("text")
     pieces = F.transform(s, lambda x, i: F.concat(F.substring(t, (F.coalesce(at(s, i - 1)["end"], F.lit(0)) + 1).cast("int"), (x["start"] - F.coalesce(at(s, i - 1)["end"], F.lit(0))).cast("int")), at(names, x["k"])))
     tail = F.substring(t, (at(s, F.size(s) - 1)["end"] + 1).cast("int"), F.length(t))
     text = F.when(s.isNull(), t).otherwise(F.concat(F.array_join(pieces, ""), tail))
-    return numbered.join(marks, "_row", "left").select("doc_id", text.alias("text"), *others).select(*docs.columns)
+    return numbered.join(marks, row, "left").withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])
