@@ -2,11 +2,11 @@
 
 A document is cut into segments of 256 bytes; two neighbours make a chunk, so that chunks overlap by half. Input
 channels are a learned embedding of each byte and a flag for bytes that repeat what stood a few bytes before. Learned
-filters run over all positions, their responses are max-pooled within chunks; the largest and the mean response of the
-document's chunks go into one logistic unit.
+filters of 8 bytes run over every second position, their responses are max-pooled within chunks; the largest and the
+mean response of the document's chunks go into one logistic unit.
 
-Training takes at most ``sample_rows`` labelled documents, the first by a hash of doc_id, and at most
-``TRAIN_SEGMENTS`` evenly spaced segments of each; scoring reads every byte of every document.
+Training takes at most ``sample_rows`` labelled documents, the first by a hash of doc_id, each as a whole; scoring reads
+every byte of every document. Of the rows of one doc_id, the least text teaches.
 
 Nulls: a null text scores as an empty one. Null doc_ids are carried, and never teach; nor do null labels. Repeated rows
 score alike. Other columns are ignored. Without labels of both kinds every document scores the share of label 1, or
@@ -29,8 +29,9 @@ from flowspark.llm.common import hashed_sample, small_batches, sub_batches
 SEGMENT, WIDTH, STRIDE = 256, 8, 2
 EMBEDDING, FILTERS = 5, 16
 LAGS = range(2, 33)
-SAMPLE_ROWS = 4000
-TRAIN_SEGMENTS = 16
+SAMPLE_ROWS = 2500
+#: Segments whose filter positions are in memory at once.
+TILE = 64
 THRESHOLD = 0.7
 _PART = SEGMENT // STRIDE
 _CHANNELS = EMBEDDING + 1
@@ -94,8 +95,8 @@ class ByteNet:
         """The largest response of each filter in each segment, for documents of ``n`` segments."""
         count, last = int(n.sum()), last_segments(n)
         out = np.empty((count, FILTERS), np.float32)
-        for a in range(0, count, 64):
-            b = min(a + 64, count)
+        for a in range(0, count, TILE):
+            b = min(a + TILE, count)
             y = np.ascontiguousarray(self.windows(data, flags, a, b)) @ self.filters
             out[a:b] = within(y.reshape(b - a, _PART, FILTERS), last[a:b]).max(axis=1)
         return np.maximum(out + self.bias, 0)
@@ -152,10 +153,13 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 14, batch: int = 4
             data = np.concatenate([parts[i][0][:-WIDTH] for i in who] + [np.zeros(WIDTH, np.uint8)])
             flag = np.concatenate([flags[i][:-WIDTH] for i in who] + [np.zeros(WIDTH, np.float32)])
             count = int(n.sum())
-            x = np.ascontiguousarray(net.windows(data, flag, 0, count))
-            y = within((x @ net.filters).reshape(count, _PART, FILTERS), last_segments(n))
-            best = y.argmax(axis=1)
-            raw = np.take_along_axis(y, best[:, None], 1)[:, 0] + net.bias
+            last = last_segments(n)
+            best, raw = np.empty((count, FILTERS), np.int64), np.empty((count, FILTERS), np.float32)
+            for a in range(0, count, TILE):
+                b = min(a + TILE, count)
+                y = within((np.ascontiguousarray(net.windows(data, flag, a, b)) @ net.filters).reshape(b - a, _PART, FILTERS), last[a:b])
+                best[a:b] = y.argmax(axis=1)
+                raw[a:b] = np.take_along_axis(y, best[a:b, None], 1)[:, 0] + net.bias
             top = np.maximum(raw, 0)
             z, chunk, begin = pool(top, n)
             p = 1 / (1 + np.exp(-(z @ net.head + net.offset)))
@@ -176,14 +180,16 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 14, batch: int = 4
             g_top[1:] += (g_chunk * ~own)[:-1]
             g_top *= raw > 0
             g["bias"] = g_top.sum(0)
-            at = (np.arange(count)[:, None] * _PART + best).reshape(-1)
-            won = x[at].reshape(count, FILTERS, -1)
-            g["filters"] = np.einsum("cfk,cf->kf", won, g_top)
-            g_x = (g_top[:, :, None] * net.filters.T[None]).reshape(count * FILTERS, WIDTH, _CHANNELS)[:, :, :EMBEDDING]
-            byte = data[(at * STRIDE)[:, None] + np.arange(WIDTH)]
-            g_e = np.zeros_like(net.embedding)
-            np.add.at(g_e, byte.reshape(-1), g_x.reshape(-1, EMBEDDING))
-            g["embedding"] = g_e
+            g["filters"], g["embedding"] = np.zeros_like(net.filters), np.zeros_like(net.embedding)
+            for a in range(0, count, 8 * TILE):
+                b = min(a + 8 * TILE, count)
+                at = ((np.arange(a, b)[:, None] * _PART + best[a:b]) * STRIDE)[:, :, None] + np.arange(WIDTH)
+                byte, g_part = data[at], g_top[a:b]
+                won = np.concatenate((net.embedding[byte], flag[at][..., None]), axis=3).reshape(b - a, FILTERS, -1)
+                g["filters"] += np.einsum("cfk,cf->kf", won, g_part)
+                g_x = (g_part[:, :, None] * net.filters.T[None]).reshape(-1, _CHANNELS)[:, :EMBEDDING]
+                for e in range(EMBEDDING):
+                    g["embedding"][:, e] += np.bincount(byte.reshape(-1), g_x[:, e], 256)
             step += 1
             for k in names:
                 m, v = moments[k]
@@ -202,27 +208,15 @@ def held_out(doc_id) -> object:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ByteNet:
-    """Fit on ``labels`` (doc_id, quality) of ``docs`` (doc_id, text). At most sample_rows x 4 KB reach the driver."""
+    """Fit on ``labels`` (doc_id, quality) of ``docs`` (doc_id, text). At most sample_rows whole texts reach the driver."""
     known = labels.select("doc_id", "quality").where("doc_id is not null and quality is not null").where(~held_out("doc_id"))
     chosen = hashed_sample(known, sample_rows, "doc_id", "quality")
     picked = [(r["doc_id"], r["quality"]) for r in chosen.collect()]
     if not picked:
         return fit([], np.zeros(0))
     ids = docs.sparkSession.createDataFrame(picked, "doc_id long, quality int")
-
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cut = []
-            for t in pc.fill_null(batch.column("text").cast(pa.large_binary()), b"").to_pylist():
-                m = len(t) // SEGMENT
-                if m > TRAIN_SEGMENTS:
-                    at = np.linspace(0, m - 1, TRAIN_SEGMENTS).astype(int) * SEGMENT
-                    t = b"".join(t[a : a + SEGMENT] for a in at)
-                cut.append(t)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(cut, pa.binary())], ["doc_id", "quality", "bytes"])
-
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").mapInArrow(sample, "doc_id long, quality int, bytes binary").collect()
-    rows = sorted(((r["doc_id"], r["quality"], bytes(r["bytes"])) for r in rows))[:sample_rows]
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = sorted((r["doc_id"], r["quality"], (r["text"] or "").encode()) for r in found.collect())
     return fit([b for _, _, b in rows], np.array([q for _, q, _ in rows], np.float32))
 
 

@@ -24,6 +24,8 @@ from flowspark.llm.common import Words, doc_windows, hashed_sample, small_batche
 
 REPEAT_WIDTH = 8
 SAMPLE_ROWS = 20_000
+#: Of a list, and of a rule: so many stay readable.
+MOST_RULES, MOST_CONDITIONS = 12, 4
 SYMBOLS = "#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_digits", "n_marks", "n_distinct_words")
 _KIND = np.zeros(256, np.uint8)
@@ -163,7 +165,7 @@ def _best(x: dict[str, np.ndarray], bad: np.ndarray, inside: np.ndarray) -> tupl
     return best, found
 
 
-def learn_list(sample: pd.DataFrame, most_rules: int = 12, most_conditions: int = 4, precision: float = 0.8) -> DecisionList:
+def learn_list(sample: pd.DataFrame, most_rules: int = MOST_RULES, most_conditions: int = MOST_CONDITIONS, precision: float = 0.8) -> DecisionList:
     """Sequential covering of the rows with quality 0. ``sample``: quality and the features, in a fixed order."""
     names = list(features())
     n = len(sample)
@@ -194,15 +196,17 @@ def learn_list(sample: pd.DataFrame, most_rules: int = 12, most_conditions: int
     return out
 
 
-def learn(stats: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DecisionList:
+def learn(stats: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, most_rules: int = MOST_RULES, most_conditions: int = MOST_CONDITIONS) -> DecisionList:
     """A list from a sample of at most ``sample_rows`` labelled rows, the first by a hash of doc_id.
 
-    Every fourth row by crc32 (remainder 2) is left out, for held-out figures.
+    Every fourth row by crc32 (remainder 2) is left out, for held-out figures. Of the rows of one doc_id, that of the
+    least counts teaches.
     """
     known = labels.select("doc_id", "quality").where("doc_id is not null and quality is not null and crc32(cast(doc_id as string)) % 4 != 2")
     chosen = stats.sparkSession.createDataFrame(hashed_sample(known, sample_rows, "doc_id", "quality").collect(), "doc_id long, quality int")
-    rows = stats.join(F.broadcast(chosen), "doc_id").select("quality", F.xxhash64("doc_id").alias("at"), *(c.alias(n) for n, c in features().items()))
-    return learn_list(rows.toPandas().sort_values(["at", *features(), "quality"], ignore_index=True))
+    own = stats.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(*COUNTS)).alias("s")).select("doc_id", "quality", "s.*")
+    rows = own.select("quality", F.xxhash64("doc_id").alias("at"), *(c.alias(n) for n, c in features().items()))
+    return learn_list(rows.toPandas().sort_values(["at", *features(), "quality"], ignore_index=True), most_rules, most_conditions)
 
 
 def judge(stats: DataFrame, rules: DecisionList) -> DataFrame:
