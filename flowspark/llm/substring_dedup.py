@@ -5,12 +5,15 @@ document. Windows are judged on the input; the words that any removed window cov
 
 1. Each task hashes the windows of blocks of whole documents. A hash that a block holds many times is sent once, with
    the least doc_id there: a passage of a third of all documents costs a row per block, not per document.
-2. Blocks' hashes are dealt by hash, packed in binary columns (8 bytes a hash). The least doc_id of each hash wins; the
-   other blocks get the hash back for the one document that they sent.
+2. Blocks' hashes are dealt by hash, packed in binary columns (8 bytes a hash), and sorted by portions of the hash: a
+   task holds the hashes of one portion at a time, and there are as many portions as keep each to ``PORTION_BYTES`` of
+   text, however large the input. The least doc_id of each hash wins; the other blocks get the hash back for the one
+   document that they sent.
 3. Blocks meet the answers, find their own repeats again, and cut their documents. A block has bounded size.
 
 Steps 1 and 3 read ``docs`` twice and must see the same blocks: pass files or a materialized table. Answers carry the
-block's signature, and an answer without its block raises.
+block's signature, and an answer without its block raises. Windows are equal if their 64-bit hashes are: among n
+windows about n * n / 2**65 pairs are taken for equal wrongly, one in 30 GB of text, some millions of 10**13 windows.
 
 Nulls: a null text has no words. A null doc_id comes before all others. Rows of one doc_id don't remove each other's
 words. Other columns are ignored. An empty table gives no rows.
@@ -19,6 +22,7 @@ words. Other columns are ignored. An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +35,7 @@ from flowspark.llm.common import Words, doc_windows, mix64, small_batches, sub_b
 
 WIDTH = 20
 BLOCK_BYTES = 4 << 20
+PORTION_BYTES = 48 << 20
 _LEAST = -(1 << 63)
 
 
@@ -73,38 +78,34 @@ class Block:
         self.removed[self.sorted] = again
 
 
-def _send(docs: DataFrame, width: int, keys: list[int]) -> DataFrame:
+def _send(docs: DataFrame, width: int, keys: list[int], portions: int) -> DataFrame:
     n = len(keys)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sub_batches(batches, "text", BLOCK_BYTES):
             b = Block(batch, width)
             h, r = b.hashes[b.first], b.row[b.first]
-            to = ((h >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
+            to = ((h >> np.uint64(32)) % np.uint64(n * portions)).astype(np.int64)
             order = np.lexsort((r, to))
             h, r, to = h[order], r[order], to[order]
             cuts = np.flatnonzero(np.diff(to)) + 1
-            rows = []
+            rows, own_signature = [], signature(batch)
             for s, e in zip([0, *cuts], [*cuts, len(h)], strict=True):
                 if e > s:
                     own, counts = np.unique(b.ids[r[s:e]], return_counts=True)
-                    rows.append((keys[to[s]], signature(batch), own.tobytes(), counts.astype(np.int32).tobytes(), h[s:e].tobytes()))
+                    rows.append((keys[to[s] % n], int(to[s]) // n, own_signature, own.tobytes(), counts.astype(np.int32).tobytes(), h[s:e].tobytes()))
             if rows:
-                types = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["key", "block", "ids", "counts", "hashes"])
+                types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["key", "portion", "block", "ids", "counts", "hashes"])
 
-    return docs.mapInArrow(send, "key int, block long, ids binary, counts binary, hashes binary")
+    return docs.mapInArrow(send, "key int, portion int, block long, ids binary, counts binary, hashes binary")
 
 
 def _answer(sent: DataFrame, n: int) -> DataFrame:
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_key: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids = np.repeat(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["counts"], np.int32))
-                by_key.setdefault(row["key"], []).append((row["block"], ids, np.frombuffer(row["hashes"], np.uint64)))
-        while by_key:
-            _, parts = by_key.popitem()
+        rows = (row for batch in batches for row in batch.to_pylist())
+        for _, portion in itertools.groupby(rows, key=lambda row: row["portion"]):
+            parts = [(row["block"], np.repeat(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["counts"], np.int32)), np.frombuffer(row["hashes"], np.uint64)) for row in portion]
             h = np.concatenate([x[2] for x in parts])
             ids = np.concatenate([x[1] for x in parts])
             blocks = np.repeat(np.array([x[0] for x in parts], np.int64), [len(x[1]) for x in parts])
@@ -122,10 +123,10 @@ def _answer(sent: DataFrame, n: int) -> DataFrame:
                 parts = list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(blocks)], strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array([int(blocks[a]) for a, _ in parts], pa.int64()), pa.array([ids[a:e].tobytes() for a, e in parts], pa.binary()), pa.array([h[a:e].tobytes() for a, e in parts], pa.binary())], ["block", "ids", "hashes"])
 
-    return sent.repartition(n, "key").mapInArrow(answer, "block long, ids binary, hashes binary")
+    return sent.repartition(n, "key").sortWithinPartitions("portion").mapInArrow(answer, "block long, ids binary, hashes binary")
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = False, portion_bytes: int = PORTION_BYTES) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, kept_text, removed]) of ``docs`` (doc_id, text).
 
     ``kept_text``: the kept words joined by a space; ``removed``: maximal intervals of removed words, end exclusive.
@@ -133,7 +134,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = False)
     docs = small_batches(docs).select("doc_id", "text")
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    answers = _answer(_send(docs, width, even_keys(spark, n)), n)
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    answers = _answer(_send(docs, width, even_keys(spark, n), 1 + size // (n * portion_bytes)), n)
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sub_batches(batches, "text", BLOCK_BYTES):
