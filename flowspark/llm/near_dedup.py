@@ -13,8 +13,11 @@
 
 With 48 bands of 6 rows, a pair of similarity 0.8 shares no bucket with a probability of 5e-7.
 
-Nulls: a null or empty text has no shingles and is linked with nothing. A row without a doc_id is linked with nothing
-and kept. Rows of one doc_id are one document with the links of all. Other columns are ignored.
+Links rest on 64-bit hashes of shingles, classes on 128-bit sums of them.
+
+Nulls: a null or empty text has no shingles and is linked with nothing. For ``link``, a row without a doc_id is linked
+with nothing and kept, and rows of one doc_id are one document with the links of all. For ``keep_first`` each row is a
+document. Other columns are ignored. Tables that the result of ``link`` reads stay in the shared folder.
 """
 
 from __future__ import annotations
@@ -27,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowspark.llm.common import Words, discard, doc_windows, materialize, mix64, small_batches, sub_batches
+from flowspark.llm.common import Words, discard, doc_windows, free_name, materialize, mix64, small_batches, sub_batches
 from flowspark.llm.components import components
 
 SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 48, 6
 SKETCH_BITS = 1024
+#: Rows of one shingle that a task pairs with others; more are dealt to several.
+SHARE_ROWS = 500
 
 _rng = np.random.default_rng(20240117)
 _A = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -140,19 +145,22 @@ def _open(buckets: DataFrame, joined: DataFrame) -> DataFrame:
 
 
 def _main_parts(prefix: DataFrame) -> DataFrame:
-    """(shingle, main) of shingles with several components: the most frequent one, of equally frequent ones the greatest.
+    """(shingle, main, shares) of shingles with several components: the most frequent one, of equals the greatest.
 
-    It is read on both sides of a join, so that it must not depend on the order of rows.
+    ``shares``: among how many the shingle's rows are dealt. All this is read on both sides of a join, so that it must
+    not depend on the order of rows.
     """
     parts = prefix.groupBy("shingle", "component").agg(F.count("*").alias("c"))
-    return parts.groupBy("shingle").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    own = parts.groupBy("shingle").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("parts"), F.sum("c").alias("c")).where("parts > 1")
+    return own.select("shingle", "main", (1 + F.floor(F.col("c") / SHARE_ROWS)).cast("int").alias("shares"))
 
 
 def _rare_pairs(unsettled: DataFrame, texts: DataFrame, marks: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (u, v) of different components that share one of each other's rarest shingles.
 
-    ``unsettled``: (doc_id, component). A doc_id with several texts is paired by each of them. Of each shingle's documents, those of its most frequent component are not paired
-    with each other, nor gathered: the others are joined to all.
+    ``unsettled``: (doc_id, component). A doc_id with several texts is paired by each of them. Of each shingle's
+    documents, those of its most frequent component are not paired with each other, nor gathered: the others are joined
+    to all. The rows of a frequent shingle are dealt to several tasks, and the others go to each of these.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,15 +188,15 @@ def _rare_pairs(unsettled: DataFrame, texts: DataFrame, marks: DataFrame, width:
     prefix = ranked.select("*", first.alias("rank")).where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("df") > 1)).select("row", (F.col("n") - F.col("rank") + 1).alias("rest"), "n", "shingle")
     prefix = materialize(prefix.join(whole, "row").drop("row"), "prefix")
     discard(all_shingles)
-    mixed = prefix.join(_main_parts(prefix), "shingle")
-    fewer = mixed.where("component != main").select("shingle", F.col("doc_id").alias("u"), F.col("component").alias("cu"), F.col("n").alias("nu"), F.col("rest").alias("ru"), F.col("bitmap").alias("bu"))
+    mixed = prefix.join(_main_parts(prefix), "shingle").withColumn("share", F.pmod(F.xxhash64("doc_id"), F.col("shares")).cast("int"))
+    fewer = mixed.where("component != main").select("shingle", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("doc_id").alias("u"), F.col("component").alias("cu"), F.col("n").alias("nu"), F.col("rest").alias("ru"), F.col("bitmap").alias("bu"))
     # a bit that one has and the other lacks is a shingle, at least, that they don't share
     lacks = lambda a, b: reduce(lambda x, y: x + y, [F.bit_count(F.col(a)[i].bitwiseAND(F.bitwise_not(F.col(b)[i]))) for i in range(SKETCH_BITS // 64)])
     enough = lambda most: 100 * most >= percent * (F.col("nu") + F.col("n") - most)
     # from the first shingle that two have in common on, the rest of either bounds what is in common
     after = F.least("ru", "rest")
     most = F.least(F.col("nu") - lacks("bu", "bitmap"), F.col("n") - lacks("bitmap", "bu"))
-    pairs = fewer.join(mixed, "shingle").where((F.col("cu") != F.col("component")) & ((F.col("component") == F.col("main")) | (F.col("u") < F.col("doc_id"))) & enough(after)).where(enough(most))
+    pairs = fewer.join(mixed, ["shingle", "share"]).where((F.col("cu") != F.col("component")) & ((F.col("component") == F.col("main")) | (F.col("u") < F.col("doc_id"))) & enough(after)).where(enough(most))
     found = materialize(pairs.select(F.least("u", "doc_id").alias("u"), F.greatest("u", "doc_id").alias("v")).distinct(), "pairs")
     discard(prefix)
     return found
@@ -228,3 +236,21 @@ def link(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataF
     found = member.join(joined, F.col("first") == F.col("node"), "left").select("doc_id", F.coalesce("component", "first").alias("found"))
     per_doc = found.groupBy("doc_id").agg(F.min("found").alias("found"))
     return all_rows.select("doc_id", "n_shingles").join(per_doc, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("found", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("found", "doc_id"), F.lit(True)).alias("kept"))
+
+
+def keep_first(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row of ``docs`` (with columns doc_id and text) of each group of near duplicates, all columns kept.
+
+    Every row is a document, also where doc_ids repeat or are null; of each group the row of the least doc_id stays.
+    """
+    if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+        own = free_name(docs, "kept")
+        kept = link(docs, width, percent).where("kept").select(F.col("doc_id").alias(own))
+        return docs.join(kept, F.col("doc_id") == F.col(own), "left_semi")
+    row = free_name(docs, "row")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
+    rows = numbered.select(F.col(row).alias("doc_id"), "text")
+    groups = link(rows, width, percent).select(F.col("doc_id").alias(row), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(row).alias("row"))
+    kept = numbered.select(row, "doc_id").join(groups, row).groupBy("component_id").agg(F.min(order)["row"].alias(row))
+    return numbered.join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
