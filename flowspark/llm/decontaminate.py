@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.llm.common import Words, doc_windows, materialize, small_batches, sub_batches, window_hashes
+from flowspark.llm.common import Words, doc_windows, free_name, materialize, small_batches, sub_batches, window_hashes
 
 SEED = 5
 COVERAGE = 0.5
@@ -72,26 +72,40 @@ def _runs(free: np.ndarray, length: int) -> np.ndarray:
     return np.flatnonzero(sums[length:] - sums[:-length] == length) if len(free) >= length else np.zeros(0, np.int64)
 
 
+def _left(at: np.ndarray, tokens: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The token before each place, and whether there is an unmarked one."""
+    some = (at > 0) & free[at - 1]
+    return np.where(some, tokens[at - 1], 0), some
+
+
 def _matches(item, text, free_i, free_t, length) -> list[tuple[int, int, int]]:
-    """Maximal unmarked matches of at least ``length`` tokens, longest first, then by place."""
+    """Maximal unmarked matches of at least ``length`` tokens, longest first, then by place.
+
+    Only pairs that begin a match are made: those whose tokens before differ, so that a word repeated in both takes no
+    more than their two lengths.
+    """
     at_i, at_t = _runs(free_i, length), _runs(free_t, length)
     if not len(at_i) or not len(at_t):
         return []
     h_i, h_t = window_hashes(item, length)[at_i], window_hashes(text, length)[at_t]
-    order = np.argsort(h_i, kind="stable")
-    left, right = np.searchsorted(h_i[order], h_t, "left"), np.searchsorted(h_i[order], h_t, "right")
-    out, done = [], set()
-    for k in np.flatnonzero(right > left):
-        for i in at_i[order[left[k] : right[k]]].tolist():
-            t = int(at_t[k])
-            if (i - 1, t - 1) in done:  # inside a longer match on the same diagonal
-                done.add((i, t))
+    (left_i, some_i), (left_t, some_t) = _left(at_i, item, free_i), _left(at_t, text, free_t)
+    order = np.lexsort((left_i, some_i, h_i))
+    at_i, h_i, left_i, some_i = at_i[order], h_i[order], left_i[order], some_i[order]
+    begin, end = np.searchsorted(h_i, h_t, "left"), np.searchsorted(h_i, h_t, "right")
+    out = []
+    for k in np.flatnonzero(end > begin):
+        a, b, t = int(begin[k]), int(end[k]), int(at_t[k])
+        starts = at_i[a:b]
+        if some_t[k]:
+            first = a + int(np.searchsorted(some_i[a:b], True))  # those with a token before come last, by that token
+            lo, hi = (first + int(np.searchsorted(left_i[first:b], left_t[k], side)) for side in ("left", "right"))
+            if hi - lo == b - a:
                 continue
-            done.add((i, t))
-            n = length
-            while i + n < len(item) and t + n < len(text) and free_i[i + n] and free_t[t + n] and item[i + n] == text[t + n]:
-                n += 1
-            out.append((i, t, n))
+            starts = np.concatenate((at_i[a:lo], at_i[hi:b]))
+        for i in starts.tolist():
+            n = min(len(item) - i, len(text) - t)
+            unlike = np.flatnonzero((item[i + length : i + n] != text[t + length : t + n]) | ~free_i[i + length : i + n] | ~free_t[t + length : t + n])
+            out.append((i, t, length + int(unlike[0]) if len(unlike) else n))
     return sorted(out, key=lambda m: (-m[2], m[0], m[1]))
 
 
@@ -172,9 +186,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, see
     """``docs`` (with a column text) without the rows that hold a benchmark item, all columns kept."""
     held = _held(benchmark, broadcast_bytes)
     if held is None:
-        numbered = materialize(docs.withColumn("_k", F.monotonically_increasing_id()), "documents")
-        found = _joined(numbered.select(F.col("_k").alias("k"), F.col("_k").alias("doc_id"), "text"), benchmark, coverage, seed)
-        return numbered.join(found.select(F.col("k").alias("_k")).distinct(), "_k", "left_anti").drop("_k")
+        row = free_name(docs, "row")
+        numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
+        found = _joined(numbered.select(F.col(row).alias("k"), F.col(row).alias("doc_id"), "text"), benchmark, coverage, seed)
+        return numbered.join(found.select(F.col("k").alias(row)).distinct(), row, "left_anti").drop(row)
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench = Benchmark(*held.value, seed)

@@ -9,7 +9,7 @@ import pytest
 
 from flowspark.llm.common import Words, window_hashes
 from flowspark.llm.components import components
-from flowspark.llm.near_dedup import _main_parts, _rare_pairs, link, sketches, weakest_parity
+from flowspark.llm.near_dedup import _main_parts, _rare_pairs, keep_first, link, sketches, weakest_parity
 from flowspark.llm.substring_dedup import remove_repeats
 
 from .helpers import corpus, frame, prose, words
@@ -181,3 +181,28 @@ def test_substring_dedup(spark):
 def test_substring_dedup_of_nothing(spark):
     assert remove_repeats(frame(spark, [])).count() == 0
     assert [tuple(r) for r in remove_repeats(frame(spark, [(1, None)])).collect()] == [(1, 0, 0, hashlib.sha256(b"").hexdigest())]
+
+
+def test_substring_dedup_by_portions(spark):
+    """Many portions of hashes, one passage in most documents: the same result, a portion at a time."""
+    rng = random.Random(11)
+    passage = prose(rng, 45)
+    rows = [(d, f"{prose(rng, 30)} {passage if d % 3 else ''} {prose(rng, 30)}") for d in range(120)]
+    out = remove_repeats(frame(spark, rows), portion_bytes=100).collect()
+    assert sorted(tuple(r) for r in out) == sorted(brute_removal(rows, 20))
+
+
+def test_a_frequent_shingle_is_dealt_to_several(spark, monkeypatch):
+    monkeypatch.setattr("flowspark.llm.near_dedup.SHARE_ROWS", 3)
+    rows = [r for r in corpus(3) if r[1]]
+    got = {r["doc_id"]: r["component_id"] for r in link(frame(spark, rows), 4).collect()}
+    assert got == {d: c for d, (_, c) in brute_links(rows, 4).items()}
+
+
+def test_keep_first_of_repeated_and_null_ids(spark):
+    rng = random.Random(12)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(1, a), (1, a), (2, a + " tail"), (None, b), (None, b), (3, b), (4, c), (4, "other words here"), (5, None), (5, None), (None, "")]
+    got = sorted(((r["doc_id"], r["text"]) for r in keep_first(frame(spark, rows).withColumnRenamed("key", "row")).collect()), key=str)
+    assert got == sorted([(1, a), (3, b), (4, c), (4, "other words here"), (5, None), (5, None), (None, "")], key=str)
+    assert keep_first(frame(spark, [])).count() == 0

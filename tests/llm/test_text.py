@@ -321,3 +321,44 @@ def test_warc_sql(spark, tmp_path):
     made = warc_derivatives.derive(warc_derivatives.responses(spark.read.parquet(str(tmp_path / "pages"))))
     cols = ["page_id", "record_type", "record_id", "refers_to", "target_uri", "content_type", "content_length", "block_digest"]
     assert sorted(map(str, (tuple(r) for r in made.select(*cols).collect()))) == sorted(map(str, con.sql(warc_derivatives.oracle_sql()).project(", ".join(cols)).fetchall()))
+
+
+def test_tiling_of_a_repeated_word_is_quick():
+    import time
+
+    begin = time.monotonic()
+    tiles = decontaminate.tile(np.full(2000, 7, np.uint64), np.full(100_000, 7, np.uint64))
+    assert sum(n for _, _, n in tiles) == 2000 and time.monotonic() - begin < 20
+
+
+def test_byte_network_forward_pass():
+    """Scores equal a plain loop over positions."""
+    net = byte_cnn.ByteNet.start()
+    rng = np.random.default_rng(1)
+    net.bias = rng.normal(0, 0.1, net.bias.shape).astype(np.float32)
+    net.offset = 0.3
+    texts = [b"", b"short", rng.integers(0, 256, 700, dtype=np.uint8).tobytes(), b"abcdefgh" * 90, b"x" * 300, ("größer " * 60).encode()]
+    for text, got in zip(texts, net.score(texts), strict=True):
+        n = (len(text) + 40) // 256 + 1
+        data = np.zeros(n * 256 + 8, np.uint8)
+        data[: len(text)] = np.frombuffer(text, np.uint8)
+        eight = [bytes(np.concatenate((data, np.zeros(8, np.uint8)))[i : i + 8]) for i in range(len(data))]
+        flag = [float(eight[i] != bytes(8) and any(i >= lag and eight[i] == eight[i - lag] for lag in range(2, 33))) for i in range(len(data))]
+        top = np.zeros((n, 16))
+        for s in range(n):
+            places = range(0, 256 if s < n - 1 else 256 - 6, 2)
+            y = [np.concatenate([np.append(net.embedding[data[p]], flag[p]) for p in range(256 * s + at, 256 * s + at + 8)]) @ net.filters for at in places]
+            top[s] = np.maximum(np.max(y, axis=0) + net.bias, 0)
+        chunk = [np.maximum(top[s], top[s + 1]) if s + 1 < n else top[s] for s in range(n)]
+        z = np.concatenate((np.max(chunk, axis=0), np.mean(chunk, axis=0))) @ net.head + net.offset
+        assert abs(1 / (1 + np.exp(-z)) - got) < 1e-4
+
+
+def test_training_on_repeated_rows_and_clashing_names(spark):
+    rows, labels = labelled(120)
+    marks = spark.createDataFrame([*labels, *labels[:40]], "doc_id long, quality int, toxic int")
+    once, twice = frame(spark, rows), frame(spark, [*rows, *rows[:50], *rows[:50]])
+    a, b = byte_cnn.train(once, marks), byte_cnn.train(twice.withColumnRenamed("kept", "quality"), marks)
+    assert (a.filters == b.filters).all() and (a.head == b.head).all()
+    stats = quality_rules.statistics(once), quality_rules.statistics(twice)
+    assert str(quality_rules.learn(stats[0], marks)) == str(quality_rules.learn(stats[1], marks))
