@@ -2,17 +2,36 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
 
-@pandas_udf(DoubleType())
-def half_even(x: pd.Series, digits: pd.Series) -> pd.Series:
-    """Python's round on the binary value; neither round nor bround gives it. For presentation only."""
-    return pd.Series([None if v is None or v != v else round(v, int(d)) for v, d in zip(x, digits, strict=True)], dtype="float64")
+def _halves(x: Column) -> tuple[Column, Column]:
+    """Two numbers of half the digits that sum to ``x`` exactly."""
+    c = x * 134217729.0
+    high = c - (c - x)
+    return high, x - high
+
+
+def half_even(x: Column, digits: int) -> Column:
+    """Python's round: by the exact binary value, ties to the even one.
+
+    bround decides on the decimal text of a number. Where that ends in a 5 one place further, the error of its product
+    with a power of ten, taken exactly in halves, tells whether the binary value lies above or below.
+    """
+    scale = float(10 ** (digits + 1))
+    p = x * scale
+    k = F.rint(p)
+    (xh, xl), (sh, sl) = _halves(x), _halves(F.lit(scale))
+    above = (p - k) + (((xh * sh - p) + xh * sl + xl * sh) + xl * sl)
+    close = (F.abs(k) % 10 == 5) & (F.abs(p - k) < 1e-3) & (F.abs(k) < float(1 << 52))
+    to = lambda n: n / 10 / float(10**digits)
+    return F.when(F.isnan(x), x).when(close & (above > 0), to(k + 5)).when(close & (above < 0), to(k - 5)).otherwise(F.bround(x, digits))
+
+
+def digest_number(*parts: Column | str) -> Column:
+    """52 bits of a digest of the parts as a number, which other engines can compute too."""
+    return F.conv(F.left(F.md5(F.concat_ws("-", *parts)), F.lit(13)), 16, 10).cast("long")
 
 
 def pairwise_sum(a: Column, b: Column) -> Column:
@@ -48,8 +67,14 @@ def tolerant_json(text: Column, schema: str) -> Column:
     return F.from_json(text, schema, {"mode": "PERMISSIVE"})
 
 
+def tolerant_style(text: Column) -> Column:
+    """A style as a map, given as JSON text: null for null, empty and broken texts, and for JSON that is no object."""
+    return F.when(F.try_parse_json(text).isNotNull() & F.trim(text).startswith("{"), F.from_json(text, "map<string,string>"))
+
+
 def sorted_json(*columns: str) -> Column:
-    return F.to_json(F.struct(*sorted(columns)))
+    """The columns as compact JSON with sorted names, nulls included. Sort the fields of nested structs alike."""
+    return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
 
 
 def merged_maps(a: Column, b: Column) -> Column:

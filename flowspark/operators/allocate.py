@@ -18,37 +18,27 @@ def demand(regions: DataFrame, predicted_total: float, alpha: float = 0.3, beta:
     return regions.withColumns({"predicted": predicted_total * share, "demand": F.when(nothing, 1.0).otherwise(alpha * F.col("crowd") + beta * predicted_total * share)})
 
 
-def split(demands: list[float], total: int, least: int) -> list[int]:
-    """Whole targets that sum to ``total``: a base each, the rest in proportion, corrected from the largest demand on."""
-    m = len(demands)
-    by_size = sorted(range(m), key=lambda i: -demands[i])
-    if total < m:
-        return [int(i in by_size[:total]) for i in range(m)]
-    base = min(least, total // m)
-    rest, asked = total - m * base, sum(demands)
-    if asked <= 0:
-        return [base + rest // m + (i < rest % m) for i in range(m)]
-    out = [base + round(rest * d / asked) for d in demands]
-    turn = 0
-    while sum(out) != total:
-        i = by_size[turn % m]
-        turn += 1
-        if sum(out) < total:
-            out[i] += 1
-        elif out[i] > base:
-            out[i] -= 1
-    return out
-
-
 def targets(demands: DataFrame, total: int, least: int = 1) -> DataFrame:
-    """``demands`` (region, ordinal, demand, ...) with target. Regions are few: they are one group."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in demands.schema) + ", target int"
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ordinal", ignore_index=True)
-        return rows.assign(target=split(rows["demand"].tolist(), total, least))
-
-    return demands.groupBy(F.lit(0).alias("_one")).applyInPandas(run, schema)
+    """``demands`` (ordinal, demand, ...) with whole targets that sum to ``total``.
+
+    A base each and the rest in proportion, rounded half to even; what rounding left over is given to, or taken from,
+    one region each from the largest demand on, never below the base. With fewer officers than regions, the largest
+    demands get one each; without any demand the rest is dealt evenly by ordinal. Regions are few: the windows over all
+    of them run in one task.
+    """
+    every = Window.partitionBy()
+    m = F.count("*").over(every)
+    asked = F.sum("demand").over(every)
+    known = demands.withColumns({"_m": m, "_asked": asked, "_rank": F.row_number().over(Window.orderBy(F.desc("demand"), "ordinal")), "_place": F.row_number().over(Window.orderBy("ordinal"))})
+    base = F.least(F.lit(least), F.floor(F.lit(total) / F.col("_m")))
+    rest = total - F.col("_m") * base
+    even = F.floor(rest / F.col("_m")) + F.when(F.col("_place") <= rest % F.col("_m"), 1).otherwise(0)
+    known = known.withColumn("_base", base).withColumn("_raw", base + F.when(F.col("_asked") > 0, F.rint(rest * F.col("demand") / F.col("_asked"))).otherwise(even).cast("int"))
+    known = known.withColumn("_left", total - F.sum("_raw").over(every))
+    above = F.sum((F.col("_raw") > F.col("_base")).cast("int")).over(Window.orderBy("_rank"))
+    change = F.when(F.col("_rank") <= F.col("_left"), 1).when((F.col("_raw") > F.col("_base")) & (above <= -F.col("_left")), -1).otherwise(0)
+    target = F.when(F.lit(total) < F.col("_m"), (F.col("_rank") <= total).cast("int")).otherwise(F.col("_raw") + change)
+    return known.withColumn("target", target.cast("int")).select(*demands.columns, "target")
 
 
 def movements(plan: DataFrame, limit: int) -> DataFrame:

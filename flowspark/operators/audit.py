@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowspark.functions.text import MARKERS, METRICS, metric, rejections
 
+#: Fixed value: the log format.
 HEADER = r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\.\d+) \|\s*(\w+)\s*\|\s*([^ ]+) - (.*)$"
 
 
@@ -16,8 +17,11 @@ def parsed(lines: DataFrame) -> DataFrame:
     return lines.select("line_no", F.col("value").rlike(HEADER).alias("matched"), part(1).alias("time"), part(2).alias("level"), F.regexp_replace(part(3), r":[^:]*$", "").alias("function"), part(4).alias("message")).withColumn("device", F.nullif(F.regexp_extract("message", r"^\[([^]]+)\]", 1), F.lit("")))
 
 
-def totals(rows: DataFrame) -> DataFrame:
-    return rows.agg(F.count("*").alias("lines"), F.count_if("matched").alias("parsed"), F.sort_array(F.collect_list(F.when(~F.col("matched"), F.col("line_no")))).alias("unmatched"))
+def totals(rows: DataFrame, first: int = 20) -> DataFrame:
+    """Lines, parsed ones, and the first unmatched line numbers."""
+    counted = rows.agg(F.count("*").alias("lines"), F.count_if("matched").alias("parsed"))
+    odd = rows.where(~F.col("matched")).select("line_no").orderBy("line_no").limit(first)
+    return counted.join(F.broadcast(odd.agg(F.sort_array(F.collect_list("line_no")).alias("unmatched"))))
 
 
 def markers(rows: DataFrame, references: int = 4) -> DataFrame:

@@ -15,12 +15,26 @@ def small(dim: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(dim) if dim.limit(rows + 1).count() <= rows else dim
 
 
+def or_else(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """``rows``, or ``others`` where there are none; decided when the query runs."""
+    some = rows.limit(1).agg(F.count("*").alias("_some"))
+    return rows.unionByName(others.join(F.broadcast(some.where("_some = 0")), how="left_semi"))
+
+
 def by_name(points: DataFrame, dim: DataFrame, name: str = "name") -> DataFrame:
     """Left join on names without spaces."""
     right = dim.withColumn("_key", normalized(F.col(name))).drop(name)
     return points.withColumn("_key", normalized(F.col(name))).join(small(right), "_key", "left").drop("_key")
 
 
+def by_name_or_id(points: DataFrame, dim: DataFrame, key: str = "key", name: str = "name", identity: str = "id") -> DataFrame:
+    """Left join on a key that is a name or an id of ``dim``; a name wins. Both are one equi-join."""
+    cols = [c for c in dim.columns if c != key]
+    index = dim.select(F.explode(F.array(F.struct(F.lit(0).alias("_o"), F.col(name).alias("_k")), F.struct(F.lit(1).alias("_o"), F.col(identity).cast("string").alias("_k")))).alias("_i"), *cols).select("_i.*", *cols).where("_k is not null and _k != ''")
+    first = index.groupBy("_k").agg(F.min_by(F.struct(*cols), F.struct("_o", F.col(identity).cast("string"))).alias("_s")).select("_k", "_s.*")
+    return points.join(small(first), F.col(key) == F.col("_k"), "left").drop("_k")
+
+
 def nearest(points: DataFrame, regions: DataFrame) -> DataFrame:
     """The region with the least squared distance; the first by ordinal of equal ones. ``regions`` are few: one array."""
     listed = regions.agg(F.sort_array(F.collect_list(F.struct("ordinal", "region", "center_x", "center_y"))).alias("_regions"))

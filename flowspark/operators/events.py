@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowspark.functions.arrays import sorted_json
+
 EVENT_TYPES = ("VehicleEnter", "VehicleExit", "PersonEnter", "PersonExit")
 PERSON_CLASSES, VEHICLE_CLASSES = ("person", "bicycle", "motorcycle"), ("car", "truck", "bus")
 
@@ -74,12 +76,13 @@ def conflicts(events: DataFrame, digest: Column, key: str = "event_id") -> DataF
 
 
 def content_digest(*columns: str) -> Column:
-    """SHA-256 of the columns as compact JSON with sorted names."""
-    return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
+    """SHA-256 of the columns as compact JSON with sorted names; nulls are written as such."""
+    return F.sha2(sorted_json(*columns), 256)
 
 
 def identity_digest(device: str, kind: str, iso: Column) -> Column:
-    return F.sha2(F.concat_ws("|", device, kind, iso), 256)
+    """SHA-256 of the three as a compact JSON array; nulls are written as such."""
+    return F.sha2(F.to_json(F.array(F.col(device), F.col(kind), iso), {"ignoreNullFields": "false"}), 256)
 
 
 def head_of_queue(pending: DataFrame, key: str, order: str, due: Column) -> DataFrame:

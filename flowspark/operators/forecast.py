@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.functions.arrays import pairwise_sum
+from flowspark.functions.arrays import digest_number, pairwise_sum
 
 STEP_US = 60_000_000
 
@@ -21,7 +21,7 @@ def series(events: DataFrame, now_us: Column | int, minutes: int = 15, steps: in
 
 def converted(history: Column, seed: int = 1) -> Column:
     """Vehicles as persons: 2 to 5 each, by a hash of place and number."""
-    return F.transform(history, lambda n, i: F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0).cast("bigint"), lambda a, j: a + F.when(j <= n, F.pmod(F.xxhash64(i, j, F.lit(seed)), F.lit(4)) + 2).otherwise(0)))
+    return F.transform(history, lambda n, i: F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0).cast("bigint"), lambda a, j: a + F.when(j <= n, digest_number(i, j, F.lit(seed)) % 4 + 2).otherwise(0)))
 
 
 def trend(history: Column, most: int = 24) -> Column:

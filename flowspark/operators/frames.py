@@ -6,9 +6,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -56,20 +56,31 @@ def measures(pixels: np.ndarray, before: np.ndarray | None, limits: Limits) -> t
 
 
 def anomalies(frames: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """(device_id, n, anomaly, brightness, noise) of frames (device_id, n, width, height, pixels)."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        before, out = None, []
-        for r in rows.sort_values("n").itertuples():
-            size = r.width * r.height * 3
-            if size <= 0 or r.pixels is None or len(r.pixels) != size:
-                out.append((r.device_id, r.n, None, None, None))
-                continue
-            kind, m, before = measures(np.frombuffer(r.pixels, np.uint8).reshape(r.height, r.width, 3), before, limits)
-            out.append((r.device_id, r.n, kind, m["brightness"], m.get("noise")))
-        return pd.DataFrame(out, columns=["device_id", "n", "anomaly", "brightness", "noise"])
-
-    return frames.groupBy("device_id").applyInPandas(run, "device_id string, n long, anomaly string, brightness double, noise double")
+    """(device_id, n, anomaly, brightness, noise) of frames (device_id, n, width, height, pixels).
+
+    Each frame comes with the last whole one before it of its device, so that a task holds a batch of frames only.
+    """
+
+    whole = (F.col("width") > 0) & (F.col("height") > 0) & (F.length("pixels") == F.col("width") * F.col("height") * 3)
+    earlier = Window.partitionBy("device_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(whole, F.struct("width", "height", "pixels")), ignorenulls=True).over(earlier)
+    paired = frames.select("device_id", "n", "width", "height", F.when(whole, F.col("pixels")).alias("pixels"), last.alias("b")).select("device_id", "n", "width", "height", "pixels", F.col("b.width").alias("bw"), F.col("b.height").alias("bh"), F.col("b.pixels").alias("bp"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if r["pixels"] is None:
+                    out.append((None, None, None))
+                    continue
+                picture = lambda p, h, w: np.frombuffer(p, np.uint8).reshape(h, w, 3)
+                before = measures(picture(r["bp"], r["bh"], r["bw"]), None, limits)[2] if r["bp"] is not None else None
+                kind, m, _ = measures(picture(r["pixels"], r["height"], r["width"]), before, limits)
+                out.append((kind, m["brightness"], m.get("noise")))
+            types = (pa.string(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("device_id"), batch.column("n"), *(pa.array([o[i] for o in out], t) for i, t in enumerate(types))], ["device_id", "n", "anomaly", "brightness", "noise"])
+
+    return paired.mapInArrow(run, "device_id string, n long, anomaly string, brightness double, noise double")
 
 
 def timestamp90k(b: bytes) -> int:

@@ -31,6 +31,11 @@ DEVICES = """dev AS (SELECT s_suppkey AS device_key, CASE WHEN s_suppkey % 7 = 0
 REGIONS = "reg AS (SELECT r_regionkey AS ordinal, r_name AS region, r_regionkey * 7.0::DOUBLE - 14.0 AS center_x, r_regionkey * 3.5::DOUBLE - 7.0 AS center_y, (r_regionkey * 2 + 3)::INT AS officers FROM region)"
 
 
+def digest_number(*parts: str) -> str:
+    """SQL of ``arrays.digest_number``."""
+    return f"('0x' || left(md5(concat_ws('-', {', '.join(parts)})), 13))::BIGINT"
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def keep(f: Query) -> Query:
         QUERIES[name] = f

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flowspark.functions import arrays, text
 from flowspark.functions.timing import micros
 from flowspark.operators import allocate, audit, enrich, forecast, reconcile
-from flowspark.plans.base import DEVICES, INGEST, OBS, REGIONS, query
+from flowspark.plans.base import DEVICES, INGEST, OBS, REGIONS, digest_number, query
 from flowspark.sources import tables
 
 _NORM = "replace(name, ' ', '')"
@@ -20,12 +21,12 @@ def join01(spark, sf):
     return enrich.by_name(points, dev.select("name", "device_key", "category")).select("point_key", "device_key", "category")
 
 
-@query("join02_device_stats", f"WITH {INGEST}, k AS (SELECT 'cam-' || i::VARCHAR AS device_id FROM range(0, 40) t(i)), c AS (SELECT device_id, count(*) AS n FROM val WHERE event_id % 3 = 0 GROUP BY ALL), l AS (SELECT device_id, max(event_id) AS last_id FROM val WHERE event_id % 5 = 0 GROUP BY ALL) SELECT device_id, coalesce(n, 0) AS n, last_id FROM k LEFT JOIN c USING (device_id) LEFT JOIN l USING (device_id)")
+@query("join02_device_stats", f"WITH {INGEST}, k AS (SELECT 'cam-' || i::VARCHAR AS device_id FROM range(0, 40) t(i)), c AS (SELECT device_id, count(*) AS n FROM val GROUP BY ALL), l AS (SELECT device_id, max(event_id) AS last_id FROM val GROUP BY ALL) SELECT device_id, coalesce(n, 0) AS n, last_id FROM k LEFT JOIN c USING (device_id) LEFT JOIN l USING (device_id)")
 def join02(spark, sf):
     rows = tables.valid(spark, sf)
     known = spark.range(40).select(F.concat(F.lit("cam-"), F.col("id").cast("string")).alias("device_id"))
-    counts = rows.where("event_id % 3 = 0").groupBy("device_id").agg(F.count("*").alias("n"))
-    last = rows.where("event_id % 5 = 0").groupBy("device_id").agg(F.max("event_id").alias("last_id"))
+    counts = rows.groupBy("device_id").agg(F.count("*").alias("n"))
+    last = rows.groupBy("device_id").agg(F.max("event_id").alias("last_id"))
     return enrich.with_counters(known, counts, last)
 
 
@@ -200,12 +201,13 @@ def map02(spark, sf):
     return audit.reject_totals(rows)
 
 
-@query("arr01_03_series", f"WITH {INGEST}, h AS (SELECT device_id, list(us // 1000000 % 10 ORDER BY us, event_id) AS a FROM val GROUP BY device_id) SELECT device_id, list_sum([x * 2 FOR x IN a])::BIGINT AS doubled, list_sum([a[i] FOR i IN range(1, len(a) + 1) IF (i - 1) % 3 = 0])::BIGINT AS third, a[-1]::BIGINT AS first_reversed FROM h")
+@query("arr01_03_series", f"WITH {INGEST}, h AS (SELECT device_id, stat_date, list(us // 1000000 % 10 ORDER BY us, event_id) AS a FROM val GROUP BY device_id, stat_date) SELECT device_id, stat_date, list_sum([x * 2 FOR x IN a])::BIGINT AS doubled, list_sum([a[i] FOR i IN range(1, len(a) + 1) IF (i - 1) % 3 = 0])::BIGINT AS third, a[-1]::BIGINT AS first_reversed FROM h")
 def arr(spark, sf):
     v = (F.floor(F.col("us") / 1_000_000) % 10).alias("v")
-    rows = tables.valid(spark, sf).groupBy("device_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("us", "event_id", v))), lambda s: s["v"]).alias("a"))
+    day = F.date_format("occurred_at", "yyyy-MM-dd").alias("stat_date")  # a series of a day each, however long the history
+    rows = tables.valid(spark, sf).groupBy("device_id", day).agg(F.transform(F.sort_array(F.collect_list(F.struct("us", "event_id", v))), lambda s: s["v"]).alias("a"))
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
-    return rows.select("device_id", total(arrays.pairwise_sum(F.col("a"), F.col("a"))).alias("doubled"), total(arrays.every_third(F.col("a"))).alias("third"), F.get(F.reverse("a"), F.lit(0)).alias("first_reversed"))
+    return rows.select("device_id", "stat_date", total(arrays.pairwise_sum(F.col("a"), F.col("a"))).alias("doubled"), total(arrays.every_third(F.col("a"))).alias("third"), F.get(F.reverse("a"), F.lit(0)).alias("first_reversed"))
 
 
 @query("arr04_merged_intervals", f"WITH {OBS}, i AS (SELECT track_id, n, n * 1.0::DOUBLE AS a, n + CASE WHEN n % 4 = 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS b FROM obs), f AS (SELECT *, CASE WHEN a <= lag(b) OVER (PARTITION BY track_id ORDER BY n) + 1e-9 THEN 0 ELSE 1 END AS new FROM i) SELECT track_id, sum(new)::INT AS intervals FROM f GROUP BY track_id")
@@ -272,40 +274,49 @@ def set05(spark, sf):
     return rows.where("event_id % 7 = 0").join(rows.select("device_id").distinct(), "device_id", "left_anti").agg((F.count("*") == 0).alias("subset"))
 
 
-@query("set06_live_ids", f"WITH {INGEST}, a AS (SELECT DISTINCT device_id FROM val WHERE event_id % 400 = 0), b AS (SELECT DISTINCT device_id FROM val WHERE event_id % 300 = 0) SELECT device_id, device_id IN (SELECT device_id FROM b) AS running FROM a")
+@query("set06_live_ids", f"WITH {INGEST}, m AS (SELECT max(us) AS now FROM val), a AS (SELECT DISTINCT device_id FROM val, m WHERE now - us <= 86400000000), b AS (SELECT DISTINCT device_id FROM val, m WHERE now - us <= 21600000000) SELECT device_id, device_id IN (SELECT device_id FROM b) AS running FROM a")
 def set06(spark, sf):
     rows = tables.valid(spark, sf)
-    live, running = (rows.where(f"event_id % {m} = 0").select("device_id").distinct() for m in (400, 300))
+    age = rows.join(F.broadcast(rows.agg(F.max("us").alias("now")))).select("device_id", (F.col("now") - F.col("us")).alias("age"))
+    live, running = (age.where(F.col("age") <= hours * 3_600_000_000).select("device_id").distinct() for hours in (24, 6))
     return live.join(running.withColumn("running", F.lit(True)), "device_id", "left").select("device_id", F.coalesce("running", F.lit(False)).alias("running"))
 
 
 @query("sort10_first_samples", f"WITH {INGEST} SELECT device_id, event_id FROM val QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY event_id) <= 4")
 def sort10(spark, sf):
-    rows = tables.valid(spark, sf).groupBy("device_id").agg(F.slice(F.sort_array(F.collect_list("event_id")), 1, 4).alias("ids"))
-    return rows.select("device_id", F.explode("ids").alias("event_id"))
+    place = F.row_number().over(Window.partitionBy("device_id").orderBy("event_id"))
+    return tables.valid(spark, sf).withColumn("r", place).where("r <= 4").select("device_id", "event_id")
 
 
-_SERIES = "m AS (SELECT max(us) // 900000000 AS l FROM val), g AS (SELECT i FROM range(0, 30) t(i)), ser AS (SELECT i, count(val.event_id) AS n FROM g CROSS JOIN m LEFT JOIN val ON us // 900000000 = l - 29 + i GROUP BY i)"
+SERIES = "m AS (SELECT max(us) // 900000000 AS l FROM val), g AS (SELECT i FROM range(0, 30) t(i)), ser AS (SELECT i, count(val.event_id) AS n FROM g CROSS JOIN m LEFT JOIN val ON us // 900000000 = l - 29 + i GROUP BY i)"
 
 
-@query("mdl01_interval_series", f"WITH {INGEST}, {_SERIES} SELECT i::INT AS slot, n FROM ser")
+@query("mdl01_interval_series", f"WITH {INGEST}, {SERIES} SELECT i::INT AS slot, n FROM ser")
 def mdl01(spark, sf):
     rows = tables.valid(spark, sf)
     one = forecast.series(rows, rows.agg(F.max("us")).first()[0])
     return one.select(F.posexplode("history").alias("slot", "n"))
 
 
-@query("mdl03_trend_forecast", f"WITH {INGEST}, {_SERIES}, q AS (SELECT min(n) FILTER (WHERE i = 6) AS a, min(n) FILTER (WHERE i = 29) AS b FROM ser) SELECT round(greatest(0, b + (b - a) / 23.0::DOUBLE), 6) AS forecast FROM q")
+@query("mdl03_trend_forecast", f"WITH {INGEST}, {SERIES}, q AS (SELECT min(n) FILTER (WHERE i = 6) AS a, min(n) FILTER (WHERE i = 29) AS b FROM ser) SELECT round(greatest(0, b + (b - a) / 23.0::DOUBLE), 6) AS forecast FROM q")
 def mdl03(spark, sf):
     rows = tables.valid(spark, sf)
     return forecast.series(rows, rows.agg(F.max("us")).first()[0]).select(F.round(forecast.trend(F.col("history")), 6).alias("forecast"))
 
 
-@query("mdl05_total_forecast")
+def _passengers(n: str) -> str:
+    return f"CASE WHEN {n} = 0 THEN 0 ELSE list_sum([{digest_number('i', 'j', '1')} % 4 + 2 FOR j IN range(1, {n} + 1)]) END"
+
+
+PASSENGERS = f"veh AS (SELECT g.i, count(val.event_id) AS n FROM g CROSS JOIN m LEFT JOIN val ON us // 900000000 = l - 29 + g.i AND event_type LIKE 'Vehicle%' GROUP BY g.i), pas AS (SELECT i, ({_passengers('n')})::BIGINT AS persons FROM veh)"
+
+
+@query("mdl05_total_forecast", f"WITH {INGEST}, {SERIES}, {PASSENGERS}, per AS (SELECT g.i, count(val.event_id) AS n FROM g CROSS JOIN m LEFT JOIN val ON us // 900000000 = l - 29 + g.i AND event_type LIKE 'Person%' GROUP BY g.i), tot AS (SELECT i, persons + n AS n FROM pas JOIN per USING (i)) SELECT array_to_string(list(n ORDER BY i), ',') AS history, round(greatest(0, min(n) FILTER (WHERE i = 29) + (min(n) FILTER (WHERE i = 29) - min(n) FILTER (WHERE i = 6)) / 23.0::DOUBLE), 6) AS predicted_total FROM tot")
 def mdl05(spark, sf):
     rows = tables.valid(spark, sf)
     now = rows.agg(F.max("us")).first()[0]
-    return forecast.total_persons(forecast.series(rows, now, kind="Vehicle"), forecast.series(rows, now, kind="Person"))
+    out = forecast.total_persons(forecast.series(rows, now, kind="Vehicle"), forecast.series(rows, now, kind="Person"))
+    return out.select(F.array_join(F.col("history").cast("array<string>"), ",").alias("history"), F.round("predicted_total", 6).alias("predicted_total"))
 
 
 _DEMAND = f"{DEVICES}, {REGIONS}, c AS (SELECT region, count(*) AS crowd FROM dev GROUP BY region), dem AS (SELECT reg.*, crowd, 120.0::DOUBLE * crowd / sum(crowd) OVER () AS predicted, 0.3::DOUBLE * crowd + 0.7::DOUBLE * 120.0::DOUBLE * crowd / sum(crowd) OVER () AS demand FROM reg JOIN c USING (region))"
@@ -325,7 +336,10 @@ def _plan(spark, sf):
     return allocate.targets(_demand(spark, sf).select("ordinal", "region", "center_x", "center_y", "officers", "demand"), 35)
 
 
-@query("mdl07_staff_targets")
+TARGETS = f"{_DEMAND}, raw AS (SELECT *, row_number() OVER (ORDER BY demand DESC, ordinal) AS rk, 1 + round_even(30 * demand / sum(demand) OVER (), 0)::INT AS r FROM dem), lef AS (SELECT *, 35 - sum(r) OVER () AS d, sum((r > 1)::INT) OVER (ORDER BY rk) AS above FROM raw), tar AS (SELECT *, (r + CASE WHEN rk <= d THEN 1 WHEN r > 1 AND above <= -d THEN -1 ELSE 0 END)::INT AS target FROM lef)"
+
+
+@query("mdl07_staff_targets", f"WITH {TARGETS} SELECT region, officers, target FROM tar")
 def mdl07(spark, sf):
     return _plan(spark, sf).select("region", "officers", "target")
 
@@ -383,7 +397,7 @@ def _log(spark, sf):
     return tables.table(spark, sf, "events").select((n + 1).alias("line_no"), F.when(n % 50 == 7, "broken line").otherwise(line).alias("value"))
 
 
-@query("src11_log_totals", "SELECT count(*) AS lines, count(*) FILTER (WHERE event_id % 50 <> 7) AS parsed, string_agg((event_id + 1)::VARCHAR, ',' ORDER BY event_id) FILTER (WHERE event_id % 50 = 7) AS unmatched FROM events")
+@query("src11_log_totals", "SELECT count(*) AS lines, count(*) FILTER (WHERE event_id % 50 <> 7) AS parsed, array_to_string(list_slice(list(event_id + 1 ORDER BY event_id) FILTER (WHERE event_id % 50 = 7), 1, 20), ',') AS unmatched FROM events")
 def src11(spark, sf):
     return audit.totals(audit.parsed(_log(spark, sf))).withColumn("unmatched", F.array_join("unmatched", ","))
 
@@ -431,7 +445,11 @@ def dt10(spark, sf):
     return tables.valid(spark, sf).groupBy("device_id").agg(F.date_format(F.max("occurred_at"), "yyyy-MM-dd").alias("last_active"), F.max(micros("occurred_at")).alias("us"))
 
 
-@query("src15_synthetic_events")
+_TERM = "exp(-mean + k * ln(mean) - lgamma(k + 1))"
+_POISSON = f"sl AS (SELECT i % 32 AS d, i // 32 AS h FROM range(0, 32 * 72) t(i)), mn AS (SELECT d, h, (1 + (h % 24 % 12) / 4.0::DOUBLE) * 2.0::DOUBLE AS mean, {digest_number('d', 'h', '7')} / 4503599627370496.0::DOUBLE AS u FROM sl), cu AS (SELECT d, h, u, k, sum({_TERM}) OVER (PARTITION BY d, h ORDER BY k) AS c FROM mn, range(0, 90) r(k)), cn AS (SELECT d, h, count(*) FILTER (WHERE u > c) AS n FROM cu GROUP BY d, h), ev AS (SELECT d, h, unnest(range(1, n + 1)) AS i FROM cn)"
+
+
+@query("src15_synthetic_events", f"WITH {_POISSON} SELECT concat_ws('-', d, h, i) AS event_id, 'cam-' || d::VARCHAR AS device_id, ['VehicleEnter', 'VehicleExit', 'PersonEnter', 'PersonExit'][{digest_number('d', 'h', 'i')} % 4 + 1] AS event_type, h FROM ev")
 def src15(spark, sf):
     weights = [1 + (h % 12) / 4 for h in range(24)]
     return tables.synthetic_events(spark, 32, 72, weights, 2.0)

@@ -50,14 +50,16 @@ def set03(spark, sf):
     return events.conflicts(tables.duplicated(spark, sf), events.content_digest("device_id", "event_type"))
 
 
-@query("prj01_content_digest", f"""WITH {INGEST} SELECT event_id, sha256('{{"device_id":"' || device_id || '","event_type":"' || event_type || '"}}') AS digest FROM ing""")
+@query("prj01_content_digest", f"""WITH {INGEST} SELECT event_id, sha256('{{"device_id":"' || device_id || '","event_type":' || CASE WHEN event_id % 9 = 0 THEN 'null' ELSE '"' || event_type || '"' END || '}}') AS digest FROM ing""")
 def prj01(spark, sf):
-    return tables.ingest(spark, sf).select("event_id", events.content_digest("event_type", "device_id").alias("digest"))
+    rows = tables.ingest(spark, sf).withColumn("event_type", F.when(F.col("event_id") % 9 != 0, F.col("event_type")))
+    return rows.select("event_id", events.content_digest("event_type", "device_id").alias("digest"))
 
 
-@query("prj02_identity_digest", f"WITH {INGEST} SELECT event_id, sha256(device_id || '|' || event_type || '|' || strftime(occurred_at, '%Y-%m-%dT%H:%M:%S')) AS digest FROM ing")
+@query("prj02_identity_digest", f"""WITH {INGEST} SELECT event_id, sha256('["' || device_id || '",' || CASE WHEN event_id % 9 = 0 THEN 'null' ELSE '"' || event_type || '"' END || ',"' || strftime(occurred_at, '%Y-%m-%dT%H:%M:%S') || '"]') AS digest FROM ing""")
 def prj02(spark, sf):
-    return tables.ingest(spark, sf).select("event_id", events.identity_digest("device_id", "event_type", F.date_format("occurred_at", "yyyy-MM-dd'T'HH:mm:ss")).alias("digest"))
+    rows = tables.ingest(spark, sf).withColumn("event_type", F.when(F.col("event_id") % 9 != 0, F.col("event_type")))
+    return rows.select("event_id", events.identity_digest("device_id", "event_type", F.date_format("occurred_at", "yyyy-MM-dd'T'HH:mm:ss")).alias("digest"))
 
 
 @query("prj03_deltas", f"WITH {INGEST} SELECT event_id, stream, delta, 'day_' || stream || CASE WHEN delta = 1 THEN '_in' ELSE '_out' END AS day_field, stream || CASE WHEN delta = 1 THEN '_in' ELSE '_out' END AS interval_field FROM val")

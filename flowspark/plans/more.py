@@ -6,16 +6,17 @@ from pyspark.sql import functions as F
 
 from flowspark.functions import arrays, text
 from flowspark.operators import alerts, congestion, counters, enrich, liveness
-from flowspark.plans.base import DEVICES, HOURS, INGEST, OBS, REGIONS, REPORTS, query
+from flowspark.plans.base import DEVICES, HOURS, INGEST, OBS, REGIONS, REPORTS, digest_number, query
+from flowspark.plans.dims import PASSENGERS, SERIES, TARGETS
 from flowspark.plans.motion import _SUPPRESSED
 from flowspark.sources import sinks, tables
 
 
-@query("src03_snapshot_scan", f"WITH {INGEST}, m AS (SELECT max(event_id) - 100 AS top FROM ing) SELECT event_id, device_id FROM ing, m WHERE event_id <= top AND event_id % 2 = 0")
+@query("src03_snapshot_scan", f"WITH {INGEST}, m AS (SELECT max(event_id) - 100 AS top FROM ing) SELECT event_id, device_id FROM ing, m WHERE event_id <= top")
 def src03(spark, sf):
     rows = tables.ingest(spark, sf)
     top = rows.agg((F.max("event_id") - 100).alias("top"))
-    return rows.join(F.broadcast(top)).where("event_id <= top and event_id % 2 = 0").select("event_id", "device_id")
+    return rows.join(F.broadcast(top)).where("event_id <= top").select("event_id", "device_id")
 
 
 @query("src06_permissive_json", "SELECT event_id, CASE WHEN event_id % 6 <> 0 THEN json_extract(props, '$.k')::INT END AS k, event_id % 6 = 0 AS corrupt FROM events")
@@ -25,11 +26,11 @@ def src06(spark, sf):
     return tables.table(spark, sf, "events").select("event_id", parsed.alias("p")).select("event_id", "p.k", F.col("p.corrupt").isNotNull().alias("corrupt"))
 
 
-@query("join03_registry_fallback", f"WITH {DEVICES} SELECT device_key, name FROM dev")
+@query("join03_registry_fallback", f"WITH {DEVICES} SELECT 'empty' AS registry, device_key, name FROM dev UNION ALL SELECT 'filled', device_key, name FROM dev WHERE device_key % 3 = 0")
 def join03(spark, sf):
     dev = tables.devices(spark, sf).select("device_key", "name")
-    dim = dev.where("device_key < 0")
-    return dev if dim.isEmpty() else dim
+    out = [enrich.or_else(dev.where(c), dev).select(F.lit(name).alias("registry"), "device_key", "name") for name, c in (("empty", "device_key < 0"), ("filled", "device_key % 3 = 0"))]
+    return out[0].union(out[1])
 
 
 @query("join11_contained_or_key", f"WITH {DEVICES}, n AS (SELECT DISTINCT nation AS short FROM dev WHERE length(nation) >= 3 AND nation <> 'NATION_3') SELECT device_key, coalesce(arg_max(short, length(short)), 'key-' || any_value(region)) AS card FROM dev LEFT JOIN n ON contains(name, short) GROUP BY device_key")
@@ -124,9 +125,9 @@ def mth03(spark, sf):
     return tables.table(spark, sf, "events").select("event_id", F.ceil(v / 7).alias("up"), F.floor(n / 7).alias("part"), (n % 7).alias("rest"), F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.round(v))).cast("long").alias("kept"))
 
 
-@query("mth02_half_even")
+@query("mth02_half_even", "SELECT event_id, round_even(value / 7, 3) AS rounded FROM events")
 def mth02(spark, sf):
-    return tables.table(spark, sf, "events").select("event_id", arrays.half_even(F.col("value") / 7, F.lit(3)).alias("rounded"))
+    return tables.table(spark, sf, "events").select("event_id", arrays.half_even(F.col("value") / 7, 3).alias("rounded"))
 
 
 @query("agg16_offline_totals", f"WITH {REPORTS}, {INGEST} SELECT (SELECT count(*) FROM val WHERE event_type = 'VehicleEnter') AS vehicle_in, (SELECT count(*) FROM val WHERE event_type = 'PersonEnter') AS person_in, (SELECT count(*) FROM rep WHERE roi_vehicles >= 22) AS alarms")
@@ -153,7 +154,10 @@ def arr05(spark, sf):
 
 @query("arr07_forecast_series", f"WITH {OBS} SELECT track_id, least(5, count(*))::INT + 1 AS points, 1.5::DOUBLE AS last FROM obs GROUP BY track_id")
 def arr07(spark, sf):
-    rows = tables.observations(spark, sf).groupBy("track_id").agg(F.slice(F.collect_list("x"), 1, 5).alias("h"))
+    from pyspark.sql import Window
+
+    first = F.row_number().over(Window.partitionBy("track_id").orderBy("n"))
+    rows = tables.observations(spark, sf).withColumn("r", first).where("r <= 5").groupBy("track_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "x"))), lambda s: s["x"]).alias("h"))
     past, ahead = arrays.with_forecast(F.col("h"), F.lit(1.5))
     return rows.select("track_id", F.size(past).alias("points"), F.element_at(ahead, -1).alias("last"))
 
@@ -222,7 +226,10 @@ def flt12(spark, sf):
     return tables.devices(spark, sf).where(F.col("category").isin("walkway", "checkpoint")).select("device_key")
 
 
-@query("src16_synthetic_episodes")
+_EPISODES = f"sl AS (SELECT i % 32 AS d, i // 32 AS p FROM range(0, 32 * 240) t(i)), st AS (SELECT d, p FROM sl WHERE {digest_number('d', 'p', '11')} / 4503599627370496.0::DOUBLE < (1 + (p % 24 % 12) / 4.0::DOUBLE) * 0.02::DOUBLE), sp AS (SELECT DISTINCT d, unnest(range(p, p + 2 + {digest_number('p', 'd')} % 4)) AS p FROM st)"
+
+
+@query("src16_synthetic_episodes", f"WITH {_EPISODES} SELECT 'cam-' || sl.d::VARCHAR AS device_id, sl.p AS period, sp.d IS NOT NULL AS congested FROM sl LEFT JOIN sp ON sl.d = sp.d AND sl.p = sp.p")
 def src16(spark, sf):
     return tables.synthetic_episodes(spark, 32, 240, [1 + (h % 12) / 4 for h in range(24)])
 
@@ -268,7 +275,7 @@ def geo14(spark, sf):
     return tables.observations(spark, sf).select("track_id", "n", (~F.coalesce(stuck, F.lit(False))).alias("passes"))
 
 
-@query("mdl02_vehicle_passengers")
+@query("mdl02_vehicle_passengers", f"WITH {INGEST}, {SERIES}, {PASSENGERS} SELECT i::INT AS slot, persons FROM pas")
 def mdl02(spark, sf):
     from flowspark.operators import forecast
 
@@ -277,7 +284,7 @@ def mdl02(spark, sf):
     return one.select(F.posexplode(forecast.converted(F.col("history"))).alias("slot", "persons"))
 
 
-@query("mdl10_next_officers")
+@query("mdl10_next_officers", f"WITH {TARGETS} SELECT region, target AS officers FROM tar")
 def mdl10(spark, sf):
     from flowspark.operators import allocate
 
@@ -306,3 +313,34 @@ def str14(spark, sf):
     dark = F.unhex(F.repeat(F.lit("000000"), size // 3))
     pixels = F.when(F.col("roi_vehicles") < 6, dark).when(F.col("roi_vehicles") < 12, noise).otherwise(plain)
     return frames.anomalies(r.select("device_id", F.col("report_id").alias("n"), F.lit(32).alias("width"), F.lit(24).alias("height"), pixels.alias("pixels"))).groupBy("anomaly").agg(F.count("*").alias("n"))
+
+
+@query("src05_prefix_scan", f"WITH {INGEST} SELECT event_id, device_id FROM ing WHERE device_id LIKE 'cam-1%'")
+def src05(spark, sf):
+    return tables.by_prefix(tables.ingest(spark, sf), "device_id", "cam-1").select("event_id", "device_id")
+
+
+@query("map03_index_by_name_and_id", f"WITH {DEVICES}, k AS (SELECT device_key AS asked, CASE device_key % 3 WHEN 0 THEN name WHEN 1 THEN device_key::VARCHAR ELSE 'none-' || device_key::VARCHAR END AS key FROM dev) SELECT asked, device_key, category FROM k LEFT JOIN dev ON key = name OR key = device_key::VARCHAR")
+def map03(spark, sf):
+    dev = tables.devices(spark, sf).select("device_key", "name", "category")
+    n = F.col("device_key")
+    asked = dev.select(n.alias("asked"), F.when(n % 3 == 0, F.col("name")).when(n % 3 == 1, n.cast("string")).otherwise(F.concat(F.lit("none-"), n.cast("string"))).alias("key"))
+    return enrich.by_name_or_id(asked, dev, identity="device_key").select("asked", "device_key", "category")
+
+
+@query("jsn04_tolerant_style", """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN (json_extract(props, '$.k'))::VARCHAR END AS k, event_id % 5 = 0 AS parsed FROM events""")
+def jsn04(spark, sf):
+    n = F.col("event_id") % 5
+    raw = F.when(n == 0, F.col("props")).when(n == 1, "{broken").when(n == 2, "").when(n == 3, "[1, 2]")
+    style = arrays.tolerant_style(raw)
+    return tables.table(spark, sf, "events").select("event_id", style.alias("s")).select("event_id", F.element_at("s", "k").alias("k"), F.col("s").isNotNull().alias("parsed"))
+
+
+@query("enr01_02_device_lookups", f"WITH {DEVICES}, {INGEST}, a AS (SELECT DISTINCT device_id, substr(device_id, 5)::BIGINT + 1 AS device_key FROM ing), n AS (SELECT a.device_id, replace(name, ' ', '') AS point FROM a JOIN dev USING (device_key)) SELECT device_id, category, longitude, latitude, coalesce(region, 'unknown') AS region FROM n LEFT JOIN (SELECT *, CASE WHEN device_key % 4 <> 0 THEN replace(name, ' ', '') END AS k FROM dev) d ON point = k")
+def enr01_02(spark, sf):
+    """Category, place and region of each device that sent events, by its point's name without spaces."""
+    dev = tables.devices(spark, sf)
+    seen = tables.ingest(spark, sf).select("device_id").distinct().withColumn("device_key", F.substring("device_id", 5, 20).cast("long") + 1)
+    points = seen.join(enrich.small(dev.select("device_key", F.regexp_replace("name", " ", "").alias("name"))), "device_key").drop("device_key")
+    known = dev.where("device_key % 4 != 0").select("name", "category", "longitude", "latitude", "region")
+    return enrich.by_name(points, known).select("device_id", "category", "longitude", "latitude", F.coalesce("region", F.lit("unknown")).alias("region"))

@@ -75,4 +75,4 @@ def newest(rows: DataFrame, order: str, n: int) -> DataFrame:
 def write_report(events: DataFrame, statistics: DataFrame, path: str) -> None:
     """An offline report: events as JSON, statistics as CSV."""
     events.write.mode("overwrite").json(f"{path}/events")
-    statistics.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/statistics")
+    statistics.write.mode("overwrite").option("header", True).csv(f"{path}/statistics")

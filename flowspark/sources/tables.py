@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowspark.functions.arrays import digest_number
 from flowspark.functions.timing import micros
 
 EVENT_TYPES = ("VehicleEnter", "VehicleExit", "PersonEnter", "PersonExit")
@@ -114,8 +115,17 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.posexplode(F.split("value", "\r?\n")).alias("i", "value")).where("value != ''").select((F.col("i") + 1).cast("long").alias("line_no"), "value")
 
 
-def read_jdbc(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:
-    return spark.read.format("jdbc").options(url=url, query=query, **options).load()
+def read_jdbc(spark: SparkSession, url: str, query: str, partition: tuple[str, str, str, int] | None = None, **options: str) -> DataFrame:
+    """Rows of a query; ``partition``: a column, its least and greatest value, and how many parts are read at once."""
+    if partition is None:
+        return spark.read.format("jdbc").options(url=url, query=query, **options).load()
+    column, least, most, parts = partition
+    return spark.read.format("jdbc").options(url=url, dbtable=f"({query}) q", partitionColumn=column, lowerBound=least, upperBound=most, numPartitions=parts, **options).load()
+
+
+def by_prefix(rows: DataFrame, key: str, prefix: str) -> DataFrame:
+    """Rows whose key begins with ``prefix``; the scan gets the filter."""
+    return rows.where(F.startswith(key, F.lit(prefix)))
 
 
 def read_rules(path: str) -> dict:
@@ -156,21 +166,22 @@ def synthetic_events(spark: SparkSession, devices: int, hours: int, weights: lis
     table_ = F.array(*[F.lit(float(w)) for w in weights])
     slots = spark.range(devices * hours).select((F.col("id") % devices).alias("d"), F.floor(F.col("id") / devices).alias("h"))
     mean = slots.withColumn("mean", F.get(table_, (F.col("h") % 24).cast("int")) * rate)
-    u = (F.xxhash64("d", "h", F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)).alias("u")
-    steps = F.sequence(F.lit(0), F.lit(60))
-    counted = mean.withColumn("u", u).withColumn(
-        "n",
-        F.aggregate(steps, F.struct(F.lit(0).alias("n"), F.exp(-F.col("mean")).alias("p"), F.exp(-F.col("mean")).alias("c")), lambda a, i: F.when(F.col("u") > a["c"], F.struct((a["n"] + 1).alias("n"), (a["p"] * F.col("mean") / (a["n"] + 1)).alias("p"), (a["c"] + a["p"] * F.col("mean") / (a["n"] + 1)).alias("c"))).otherwise(a))["n"],
-    )
+    u = digest_number("d", "h", F.lit(seed)) / float(1 << 52)
+    # beyond ten deviations and forty nothing is left of 52 bits; the terms are summed by their logarithms
+    steps = F.sequence(F.lit(0), F.ceil(F.col("mean") + 10 * F.sqrt("mean") + 40))
+    term = lambda a: a["l"] + F.log(F.col("mean")) - F.log(a["n"] + 1)
+    start = F.struct(F.lit(0).cast("long").alias("n"), (-F.col("mean")).alias("l"), F.exp(-F.col("mean")).alias("c"))
+    more = lambda a: F.struct((a["n"] + 1).alias("n"), term(a).alias("l"), (a["c"] + F.exp(term(a))).alias("c"))
+    counted = mean.withColumn("u", u).withColumn("n", F.when(F.col("mean") > 0, F.aggregate(steps, start, lambda a, i: F.when(F.col("u") > a["c"], more(a)).otherwise(a))["n"]).otherwise(0))
     each = counted.where("n > 0").select("d", "h", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
-    return each.select(F.concat_ws("-", "d", "h", "i").alias("event_id"), F.concat(F.lit("cam-"), F.col("d").cast("string")).alias("device_id"), F.get(F.array(*[F.lit(t) for t in EVENT_TYPES]), F.pmod(F.xxhash64("d", "h", "i"), F.lit(4)).cast("int")).alias("event_type"), "h")
+    return each.select(F.concat_ws("-", "d", "h", "i").alias("event_id"), F.concat(F.lit("cam-"), F.col("d").cast("string")).alias("device_id"), F.get(F.array(*[F.lit(t) for t in EVENT_TYPES]), (digest_number("d", "h", "i") % 4).cast("int")).alias("event_type"), "h")
 
 
 def synthetic_episodes(spark: SparkSession, devices: int, periods: int, weights: list[float], chance: float = 0.02, seed: int = 11) -> DataFrame:
     """Congestion episodes of 2 to 5 periods; their chance rises with the hour's weight. (device_id, period, congested)"""
     table_ = F.array(*[F.lit(float(w)) for w in weights])
     slots = spark.range(devices * periods).select((F.col("id") % devices).alias("d"), F.floor(F.col("id") / devices).alias("p"))
-    u = F.xxhash64("d", "p", F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
+    u = digest_number("d", "p", F.lit(seed)) / float(1 << 52)
     starts = slots.where(u < F.get(table_, (F.col("p") % len(weights)).cast("int")) * chance)
-    spans = starts.select("d", F.explode(F.sequence(F.col("p"), F.col("p") + 1 + F.pmod(F.xxhash64("p", "d"), F.lit(4)))).alias("p")).distinct().withColumn("congested", F.lit(True))
+    spans = starts.select("d", F.explode(F.sequence(F.col("p"), F.col("p") + 1 + digest_number("p", "d") % 4)).alias("p")).distinct().withColumn("congested", F.lit(True))
     return slots.join(spans, ["d", "p"], "left").select(F.concat(F.lit("cam-"), F.col("d").cast("string")).alias("device_id"), F.col("p").alias("period"), F.coalesce("congested", F.lit(False)).alias("congested"))

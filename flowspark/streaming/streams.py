@@ -30,23 +30,42 @@ def first_within(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return events.withColumn("at", F.col("occurred_at").cast("timestamp")).withWatermark("at", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def append_new(path: str, key: str = "event_id"):
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+class ConflictError(ValueError):
+    """An id came with other content than before."""
+
+
+def append_new(path: str, key: str = "event_id", conflicts: str | None = None):
     """A foreachBatch sink that appends rows of new ids to a ledger at ``path``.
 
     The batch's number names a partition that is overwritten, so that a batch that runs again changes nothing. Ids
     come once in a batch, and are anti-joined with the ledger of other batches; rows without an id are all appended.
+    An id with other content than in the ledger or in the same batch raises before anything is written, or, where
+    ``conflicts`` names a folder, its row goes there and the first content stays.
     """
 
     def sink(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         cols = [c for c in batch.columns if c != key]
-        once = batch.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*cols)).alias("_s")).select(key, "_s.*").select(*batch.columns)
-        try:
-            have = spark.read.parquet(path).where(F.col("batch") != number).select(key)
-            once = once.join(have, key, "left_anti")
-        except Exception as e:  # the ledger's first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        content = F.sha2(F.to_json(F.struct(*sorted(cols)), {"ignoreNullFields": "false"}), 256).alias("_d")
+        known = batch.where(F.col(key).isNotNull())
+        once = known.groupBy(key).agg(F.min(F.struct(*cols)).alias("_s")).select(key, "_s.*").select(*batch.columns)
+        first = once.select(key, content)
+        if _exists(spark, path):
+            ledger = spark.read.parquet(path).where(F.col("batch") != number)
+            first = ledger.where(F.col(key).isNotNull()).select(key, content).unionByName(first.join(ledger.select(key), key, "left_anti"))
+            once = once.join(ledger.select(key), key, "left_anti")
+        odd = known.withColumn("_d", content).join(first.withColumnRenamed("_d", "_f"), key).where("_d != _f").drop("_d", "_f")
+        if conflicts is None:
+            some = odd.select(key).limit(3).collect()
+            if some:
+                raise ConflictError(f"ids with other content than before, such as {[r[0] for r in some]}")
+        else:
+            odd.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(conflicts)
         rows = once.unionByName(batch.where(F.col(key).isNull())).withColumn("batch", F.lit(number))
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 

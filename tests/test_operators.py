@@ -92,9 +92,16 @@ def test_coverage_gap(spark):
 
 
 def test_allocation(spark):
-    assert allocate.split([30, 10], 10, 1) == [7, 3]
-    assert allocate.split([5, 1, 9], 2, 1) == [1, 0, 1] and allocate.split([0, 0, 0], 7, 1) == [3, 2, 2]
-    assert all(sum(allocate.split([random.Random(s).random() for _ in range(5)], 17, 2)) == 17 for s in range(50))
+    def split(demands, total, least):
+        rows = spark.createDataFrame([(i, float(d)) for i, d in enumerate(demands)], "ordinal long, demand double")
+        return [r["target"] for r in allocate.targets(rows, total, least).orderBy("ordinal").collect()]
+
+    assert split([30, 10], 10, 1) == [7, 3]
+    assert split([5, 1, 9], 2, 1) == [1, 0, 1] and split([0, 0, 0], 7, 1) == [3, 2, 2]
+    for s in range(12):
+        rng = random.Random(s)
+        out = split([rng.random() for _ in range(5)], 17 + s, 2)
+        assert sum(out) == 17 + s and min(out) >= 2
     plan = spark.createDataFrame([(0, "a", 0.0, 0.0, 9, 1.0, 5), (1, "b", 1.0, 0.0, 1, 1.0, 4), (2, "c", 5.0, 0.0, 1, 1.0, 2)], "ordinal long, region string, center_x double, center_y double, officers int, demand double, target int")
     moves = [(r["from_region"], r["to_region"], r["count"]) for r in allocate.movements(plan, 10).collect()]
     assert moves == [("a", "b", 3), ("a", "c", 1)]
@@ -119,7 +126,7 @@ def test_text_functions(spark):
 def test_array_functions(spark):
     row = spark.createDataFrame([([" A", "B", "A", None], [1.0, 2.0], 0.0005, "{bad")], "l array<string>, s array<double>, v double, j string")
     a, b = arrays.with_forecast(F.col("s"), F.lit(9.0))
-    out = row.select(arrays.lane_range(F.col("l"), "A", F.lit(4)).alias("a"), arrays.lane_range(F.col("l"), "cam B", F.lit(5)).alias("h"), a.alias("x"), b.alias("y"), arrays.half_even(F.col("v"), F.lit(3)).alias("r"), arrays.tolerant_json(F.col("j"), "k int")["k"].alias("j")).first()
+    out = row.select(arrays.lane_range(F.col("l"), "A", F.lit(4)).alias("a"), arrays.lane_range(F.col("l"), "cam B", F.lit(5)).alias("h"), a.alias("x"), b.alias("y"), arrays.half_even(F.col("v"), 3).alias("r"), arrays.tolerant_json(F.col("j"), "k int")["k"].alias("j")).first()
     assert (out["a"], out["h"], out["x"], out["y"], out["j"]) == ("1-3", "3-5", [1.0, 2.0, None], [None, None, 9.0], None)
     assert out["r"] == round(0.0005, 3)
 

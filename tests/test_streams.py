@@ -57,10 +57,14 @@ def test_ledger_takes_each_id_once(spark, folder):
     df = spark.createDataFrame(rows(40), SCHEMA)
     again = df.where("event_id % 10 = 0").withColumn("event_type", events.F.lit("PersonExit"))
     put(spark, f"{folder}/in", [df, again, df.limit(5)])
-    sink = streams.append_new(f"{folder}/ledger")
+    sink = streams.append_new(f"{folder}/ledger", conflicts=f"{folder}/conflicts")
     drain(streams.read(spark, f"{folder}/in", SCHEMA, files=1), f"{folder}/c", sink=sink)
     out = spark.read.parquet(f"{folder}/ledger")
     assert out.count() == 40 and out.select("event_id").distinct().count() == 40
+    odd = spark.read.parquet(f"{folder}/conflicts")
+    assert {r["event_id"] for r in odd.collect()} == {r["event_id"] for r in again.join(df, ["event_id", "event_type"], "left_anti").collect()}
+    with pytest.raises(streams.ConflictError):
+        streams.append_new(f"{folder}/ledger")(again, 9)
     sink(df, 0)  # a batch that runs again
     assert spark.read.parquet(f"{folder}/ledger").count() == 40
 
