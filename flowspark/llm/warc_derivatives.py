@@ -1,17 +1,19 @@
 """WARC derivatives: linked metadata and plain-text conversion records for response records.
 
-All in SQL functions, a row at a time: no shuffle. ``responses`` wraps a table of pages as response records;
-``derive`` gives each response a ``metadata`` record (its source headers, digests and counts, as warc-fields) and a
-``conversion`` record (its text), both with WARC-Refers-To the response and digests of their own. ``serialize`` and
-``write_warc`` make WARC 1.1 text of any of these.
+All in SQL functions, a row at a time: no shuffle. ``read_warc`` reads the records of WARC files, ``responses`` wraps a
+table of pages as response records; ``derive`` gives each response a ``metadata`` record (its source's status and headers
+as they came, digests and counts, as warc-fields) and a ``conversion`` record (its text), both with WARC-Refers-To the
+response and digests of their own. ``serialize`` and ``write_warc`` make WARC 1.1 text of any of these.
 
-Nulls: a null payload is an empty one; a null target URI or content type leaves that header out. Repeated rows give
+Text is UTF-8 throughout. Of entities, the five of XML and &nbsp; are decoded; others stay as they are.
+
+Nulls: a null payload is an empty one, null http_headers leave their lines out; a null target URI or content type leaves that header out. Repeated rows give
 repeated records with equal ids. Columns named in ``keep`` are carried. An empty table gives no records.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WARC_DATE = "2024-01-01T00:00:00Z"
@@ -47,7 +49,7 @@ def plain_text(html: Column) -> Column:
 def responses(pages: DataFrame, date: str = WARC_DATE, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """Response records of ``pages`` (page_id, url, html)."""
     payload = F.coalesce("html", F.lit(""))
-    head = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.octet_length(payload).cast("string"), F.lit(CRLF * 2))
+    head = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.octet_length(payload).cast("string"))
     return pages.select(
         *keep,
         record_id(F.lit("response"), F.col("page_id"), F.col("url"), payload).alias("record_id"),
@@ -57,20 +59,42 @@ def responses(pages: DataFrame, date: str = WARC_DATE, keep: tuple[str, ...] = (
         F.lit(date).alias("date"),
         F.lit("application/http; msgtype=response").alias("content_type"),
         F.lit("text/html; charset=utf-8").alias("http_content_type"),
+        head.alias("http_headers"),
         payload.alias("payload"),
-        F.concat(head, payload).alias("block"),
+        F.concat(head, F.lit(CRLF * 2), payload).alias("block"),
     ).withColumn("payload_digest", digest(F.col("payload"))).withColumn("block_digest", digest(F.col("block")))
 
 
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """Records of WARC 1.1 files of text, gzipped or not: their headers as columns, and their blocks.
+
+    Of responses, also ``http_headers`` (status line and headers as they came), ``http_content_type`` and ``payload``.
+    ``complete``: whether the block has the length that its header states; one that holds a record of its own hasn't.
+    """
+    raw = spark.read.option("lineSep", f"{CRLF * 2}WARC/1.1{CRLF}").text(path).withColumn("value", F.regexp_replace("value", r"^WARC/1\.1\r\n", ""))
+    gap = F.locate(CRLF * 2, F.col("value"))
+    parted = raw.where(gap > 0).select(F.substring("value", F.lit(1), gap + 1).alias("head"), F.encode(F.substring("value", gap + 4, F.length("value")), "UTF-8").alias("rest"))
+    named = lambda name, of="head": F.nullif(F.regexp_extract(of, rf"(?im)^{name}: *([^\r\n]*)", 1), F.lit(""))
+    length = F.coalesce(named("Content-Length").cast("int"), F.lit(0))
+    names = (("record_type", "WARC-Type"), ("record_id", "WARC-Record-ID"), ("refers_to", "WARC-Refers-To"), ("target_uri", "WARC-Target-URI"), ("date", "WARC-Date"), ("content_type", "Content-Type"))
+    rows = parted.select(*[named(header).alias(name) for name, header in names], F.decode(F.substring("rest", F.lit(1), length), "UTF-8").alias("block"), (F.length("rest") >= length).alias("complete"))
+    cut = F.locate(CRLF * 2, F.col("block"))
+    response = (F.col("record_type") == "response") & (cut > 0)
+    rows = rows.withColumns({"http_headers": F.when(response, F.substring("block", F.lit(1), cut - 1)), "payload": F.when(response, F.substring("block", cut + 4, F.length("block")))})
+    return rows.withColumns({"http_content_type": named("Content-Type", "http_headers"), "payload_digest": digest(F.col("payload")), "block_digest": digest(F.col("block"))})
+
+
 def derive(records: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """A metadata and a conversion record for each response record; other records are passed over."""
     own = records.where("record_type = 'response'").withColumn("text", plain_text(F.col("payload")))
     line = lambda name, c: F.when(c.isNotNull(), F.concat(F.lit(f"{name}: "), c.cast("string"), F.lit(CRLF))).otherwise("")
+    headers = F.split("http_headers", CRLF)
     fields = F.concat(
         line("source-content-type", F.col("http_content_type")),
         line("source-content-length", F.octet_length("payload")),
         line("source-payload-digest", F.col("payload_digest")),
         line("source-block-digest", F.col("block_digest")),
+        F.when(F.col("http_headers").isNull(), "").otherwise(F.concat(line("source-status", headers[0]), F.array_join(F.transform(F.slice(headers, F.lit(2), F.size(headers)), lambda h: F.concat(F.lit("source-header: "), h, F.lit(CRLF))), ""))),
         line("title", F.regexp_replace(F.regexp_extract("payload", TITLE, 1), r"[ \t\r\n]+", " ")),
         line("outlinks", F.regexp_count("payload", F.lit(LINKS))),
         line("text-digest", digest(F.col("text"))),
@@ -104,7 +128,6 @@ def oracle_sql() -> str:
     text = f"regexp_replace(regexp_replace({text}, '{BREAKS}', chr(10), 'g'), '<[^>]*>', '', 'g')"
     for entity, char in ENTITIES:
         text = f"replace({text}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
-    text = text.replace("'&#39;'", "'&#39;'")
     text = rf"regexp_replace(regexp_replace(regexp_replace({text}, '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
     crlf = "chr(13) || chr(10)"
     uuid = "'<urn:uuid:' || substr({0}, 1, 8) || '-' || substr({0}, 9, 4) || '-' || substr({0}, 13, 4) || '-' || substr({0}, 17, 4) || '-' || substr({0}, 21, 12) || '>'"
@@ -115,7 +138,8 @@ q AS (SELECT *, sha256('response|' || coalesce(page_id::VARCHAR, '') || '|' || c
 r AS (SELECT *, {uuid.format('h')} AS rid FROM q),
 f AS (SELECT *, 'source-content-type: text/html; charset=utf-8' || {crlf} || 'source-content-length: ' || strlen(payload)::VARCHAR || {crlf}
   || 'source-payload-digest: sha256:' || sha256(payload) || {crlf} || 'source-block-digest: sha256:' || sha256(block) || {crlf}
-  || 'title: ' || substr(regexp_replace(regexp_extract(payload, '{TITLE}', 1), '[ \\t\\r\\n]+', ' ', 'g'), 1, 200) || {crlf}
+  || 'source-status: HTTP/1.1 200 OK' || {crlf} || 'source-header: Content-Type: text/html; charset=utf-8' || {crlf} || 'source-header: Content-Length: ' || strlen(payload)::VARCHAR || {crlf}
+  || 'title: ' || regexp_replace(regexp_extract(payload, '{TITLE}', 1), '[ \\t\\r\\n]+', ' ', 'g') || {crlf}
   || 'outlinks: ' || len(regexp_extract_all(payload, '{LINKS}'))::VARCHAR || {crlf} || 'text-digest: sha256:' || sha256(text) || {crlf} AS fields FROM r),
 d AS (SELECT page_id, 'metadata' AS record_type, sha256('metadata|' || rid) AS h, rid AS refers_to, url AS target_uri, 'application/warc-fields' AS content_type, fields AS block FROM f
   UNION ALL SELECT page_id, 'conversion', sha256('conversion|' || rid), rid, url, 'text/plain; charset=utf-8', text FROM f)

@@ -304,9 +304,33 @@ def test_warc_derivatives(spark, tmp_path):
         assert data[at - 4 : at] == b"\r\n\r\n"
         seen += 1
     assert seen == 12
+    back = warc_derivatives.read_warc(spark, str(tmp_path / "w"))
+    assert back.count() == 12 and back.where("complete").count() == 12
+    source = {(r["record_id"], r["target_uri"], r["payload"], r["http_headers"], r["block_digest"]) for r in records.collect()}
+    read = back.where("record_type = 'response'")
+    assert {(r["record_id"], r["target_uri"], r["payload"], r["http_headers"], r["block_digest"]) for r in read.collect()} == source
+    again = warc_derivatives.derive(read, keep=())
+    assert {(r["record_id"], r["refers_to"], r["block"]) for r in again.collect()} == {(r["record_id"], r["refers_to"], r["block"]) for r in rows}
+    assert "source-status: HTTP/1.1 200 OK\r\nsource-header: Content-Type: text/html; charset=utf-8\r\n" in meta
     assert warc_derivatives.derive(warc_derivatives.responses(pages.limit(0))).count() == 0
 
 
+def test_warc_files_of_others(spark, tmp_path):
+    """Headers of any case and order are kept as they came; very long pages, and records without HTTP, come whole."""
+    html = "<p>" + "wort " * 200_000
+    http = f"HTTP/1.1 404 Not Found\r\nX-Own: ü 1\r\ncontent-type: text/html\r\n\r\n{html}"
+    records = [("response", "<urn:a>", http), ("warcinfo", "<urn:b>", "software: x\r\n"), ("response", "<urn:c>", "")]
+    (tmp_path / "w").mkdir()
+    data = "".join(f"WARC/1.1\r\nContent-Length: {len(b.encode())}\r\nWARC-Record-ID: {i}\r\nwarc-type: {k}\r\n\r\n{b}\r\n\r\n" for k, i, b in records)
+    (tmp_path / "w" / "one.warc").write_bytes(data.encode())
+    got = {r["record_id"]: r for r in warc_derivatives.read_warc(spark, str(tmp_path / "w")).collect()}
+    assert {(r["record_type"], i, r["block"]) for i, r in got.items()} == set(records) and all(r["complete"] for r in got.values())
+    assert got["<urn:a>"]["payload"] == html and got["<urn:a>"]["http_content_type"] == "text/html"
+    made = warc_derivatives.derive(warc_derivatives.read_warc(spark, str(tmp_path / "w")), keep=()).where("refers_to = '<urn:a>'").collect()
+    fields = next(r["block"] for r in made if r["record_type"] == "metadata")
+    assert "source-status: HTTP/1.1 404 Not Found\r\nsource-header: X-Own: ü 1\r\nsource-header: content-type: text/html\r\n" in fields
+
+
 def test_warc_metadata_holds_the_whole_title(spark):
     title = "".join(f"Wört {i} " for i in range(400)) + "end"
     pages = spark.createDataFrame([(1, "u", f"<title>{title}</title>")], "page_id long, url string, html string")
