@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 
 TOKENIZER = "word_bpe_49k.json"
 CACHE_ENTRIES = 400_000
+#: Runs below this number are encoded as they are.
+FEW = 64
 #: Letters whose composed and lower-case forms are single letters, and marks that may follow them.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _MARKS = ".,;:!?$%&*#"
@@ -128,6 +130,8 @@ class Encoder:
 
     def lengths(self, runs: list[str]) -> np.ndarray:
         """The number of ids of each distinct run."""
+        if len(runs) < FEW:  # not worth parting
+            return self.length[self._numbers(runs, np.zeros(len(runs), bool))]
         one, two = self._runs(pa.array(runs, pa.string()))
         return self.length[one] + self.length[two]
 
