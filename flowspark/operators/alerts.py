@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowspark.operators.folds import fold_sorted
+
 RULES = "rule_id string, category string, metric string, threshold double, level string, message string"
 
 
@@ -20,21 +24,23 @@ def crossed(metrics: DataFrame, rules: DataFrame, keys: list[str], names: list[s
 def suppressed(alerts: DataFrame, keys: list[str], seconds: int, order: str = "us") -> DataFrame:
     """The first alert of each key, then the first one at least ``seconds`` after the last that was emitted.
 
-    Greedy from each emitted alert: a fold along a key. Keys are cut where a gap of ``seconds`` parts them, which
-    restarts the fold, so that a hot key is folded piece by piece.
+    Greedy from each emitted alert: a fold along a key, which holds one batch of it and the last emitted time. Alerts
+    without a time are all emitted.
     """
-    w = Window.partitionBy(*keys).orderBy(order)
-    quiet = F.when(F.col(order) - F.lag(order).over(w) < seconds * 1_000_000, 0).otherwise(1)
-    pieces = alerts.withColumn("_q", quiet).withColumn("_piece", F.sum("_q").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    cols = [c for c in alerts.columns if c not in (*keys, order)]
-    listed = pieces.groupBy(*keys, "_piece").agg(F.sort_array(F.collect_list(F.struct(order, *cols))).alias("_s"))
-    first = F.get("_s", F.lit(0))
-    emitted = F.aggregate(
-        F.slice("_s", 2, F.greatest(F.size("_s"), F.lit(1))),
-        F.struct(first[order].alias("last"), F.array(first).alias("out")),
-        lambda a, x: F.when(x[order] - a["last"] >= seconds * 1_000_000, F.struct(x[order].alias("last"), F.concat(a["out"], F.array(x)).alias("out"))).otherwise(a),
-    )["out"]
-    return listed.select(*keys, F.explode(emitted).alias("_e")).select(*keys, "_e.*")
+    rows = alerts.select(*keys, order, *[c for c in alerts.columns if c not in (*keys, order)])
+
+    def fold(key: tuple, part: pa.Table, last: int | None) -> tuple[pa.Table, int | None]:
+        untimed = part[order].null_count
+        us = part[order].slice(untimed).to_numpy()
+        kept = list(range(untimed))
+        i = 0 if last is None else int(np.searchsorted(us, last + seconds * 1_000_000))
+        while i < len(us):
+            last = int(us[i])
+            kept.append(untimed + i)
+            i = int(np.searchsorted(us, last + seconds * 1_000_000))
+        return part.take(kept), last
+
+    return fold_sorted(rows, keys, rows.columns[len(keys) :], fold, rows.schema)
 
 
 def message(template: str, **columns: Column) -> Column:

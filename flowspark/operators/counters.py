@@ -97,3 +97,24 @@ def passage_index(scores: DataFrame, score: str = "score") -> DataFrame:
     """100 less the mean score in hundredths, rounded half up and kept in 0 to 100, with its level."""
     index = F.greatest(F.lit(0), F.least(F.lit(100), F.round(100 - 100 * F.avg(score)).cast("int")))
     return scores.agg(index.alias("passage_index")).withColumn("level", F.when(F.col("passage_index") > 85, "smooth").when(F.col("passage_index") > 70, "slow").otherwise("congested"))
+
+
+def late_marks(late: DataFrame) -> DataFrame:
+    """Hours that late events touched, with a version that every further late event raises."""
+    hours = late.select("device_id", F.date_format("occurred_at", "yyyy-MM-dd").alias("stat_date"), F.hour("occurred_at").alias("hour"))
+    return hours.groupBy("device_id", "stat_date", "hour").agg(F.count("*").alias("version"))
+
+
+def unacknowledged(marks: DataFrame, done: DataFrame) -> DataFrame:
+    """Marks whose version no acknowledgement in ``done`` (of the marks' columns) names.
+
+    An hour that was archived while another late event came in keeps its mark: only the version archived is cleared.
+    """
+    return marks.join(done.select(*marks.columns).distinct(), marks.columns, "left_anti")
+
+
+def archived_again(facts: DataFrame, marks: DataFrame) -> DataFrame:
+    """The marked hours counted again from all facts, with the version that the counts hold and acknowledge."""
+    at = {"stat_date": F.date_format("occurred_at", "yyyy-MM-dd"), "hour": F.hour("occurred_at")}
+    touched = facts.withColumns(at).join(marks, ["device_id", "stat_date", "hour"])
+    return touched.groupBy("device_id", "stat_date", "hour", "version").agg(*four_counts())

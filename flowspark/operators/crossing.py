@@ -13,10 +13,14 @@ from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field, fields
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from flowspark.functions.geometry import clip_intervals, point_in_ring
+from flowspark.operators.folds import fold_sorted
 
 PERSONS, VEHICLES = ("person", "bicycle", "motorcycle"), ("car", "truck", "bus")
 EVENTS = "device_id string, track_id string, event_type string, direction string, t_cross double, x double, y double"
@@ -366,19 +370,19 @@ def crossings(observations: DataFrame, lines: dict[str, Line], rules: Rules = Ru
     """Crossing events (or refusals) of observations (OBSERVED) of the devices that have a line.
 
     A device's tracks depend on each other and its clock runs on, so a device is one sequence. Sessions that a pause
-    longer than all windows parts are independent, and are dealt apart.
+    longer than all windows parts are independent, and are dealt apart. A session is folded frame by frame: a task
+    holds a batch of observations and the device's state, as the stream form does.
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy("device_id").orderBy("t_mono")
     apart = max(rules.counted_ttl, rules.longest_gap, rules.idle)
     new = F.coalesce((F.col("t_mono") - F.lag("t_mono").over(w) > apart).cast("int"), F.lit(0))
     parted = observations.where(F.col("device_id").isin(*lines)).withColumn("_new", new).withColumn("_session", F.sum("_new").over(w)).drop("_new")
+    schema = REJECTS if rejected else EVENTS
+    out = to_arrow_schema(StructType.fromDDL(schema))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        device = str(rows["device_id"].iloc[0])
-        events, refused = run_device(Device(), rows, lines[device], rules)
-        schema = REJECTS if rejected else EVENTS
-        return pd.DataFrame(refused if rejected else events, columns=[c.split()[0] for c in schema.split(", ")])
+    def fold(key: tuple, part: pa.Table, dev: Device | None) -> tuple[pa.Table, Device]:
+        dev = dev or Device()
+        found = run_device(dev, part.to_pandas(), lines[key[0]], rules)[int(rejected)]
+        return pa.table([pa.array(c, f.type) for c, f in zip(list(zip(*found)) or [[]] * len(out), out)], out), dev
 
-    return parted.groupBy("device_id", "_session").applyInPandas(run, REJECTS if rejected else EVENTS)
+    return fold_sorted(parted, ["device_id", "_session"], ["t_mono", *(c for c in OBSERVED[1:] if c != "t_mono")], fold, schema, together="t_mono")

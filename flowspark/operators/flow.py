@@ -6,17 +6,36 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: a slice of time in intervals; one in so many rows is copied
+SLICE = 64
+
+
+def _sliced(rows: DataFrame, keys: list[str], seconds: int) -> tuple[DataFrame, Window]:
+    """``rows`` dealt by key and slice of time, and the window of the trailing interval within a slice.
+
+    Rows within ``seconds`` of a slice's end come to the next slice too, as copies, so that no task orders a key's
+    whole history. Leave copies (``_copy`` = 1) out of the result.
+    """
+    reach = seconds * 1_000_000
+    at = F.pmod(F.col("us"), F.lit(SLICE * reach))
+    copies = F.explode(F.when(at >= SLICE * reach - reach, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    start = F.col("us") - at + F.col("_copy") * F.lit(SLICE * reach)
+    dealt = rows.select("*", copies.alias("_copy")).withColumn("_slice", start)
+    return dealt, Window.partitionBy(*keys, "_slice").orderBy("us").rangeBetween(-reach, 0)
+
+
 def trailing(events: DataFrame, keys: list[str], seconds: int = 60, most: int = 4096) -> DataFrame:
     """Events of each key within the closed interval [t - seconds, t] of each event."""
-    w = Window.partitionBy(*keys).orderBy("us").rangeBetween(-seconds * 1_000_000, 0)
-    return events.withColumn("flow", F.least(F.lit(most), F.count("*").over(w)).cast("long"))
+    rows, w = _sliced(events, keys, seconds)
+    return rows.withColumn("flow", F.least(F.lit(most), F.count("*").over(w)).cast("long")).where("_copy = 0").drop("_copy", "_slice")
 
 
 def directional(events: DataFrame, seconds: int = 60) -> DataFrame:
     """The four directions' counts in the trailing interval, per minute."""
-    w = Window.partitionBy("device_id").orderBy("us").rangeBetween(-seconds * 1_000_000, 0)
+    rows, w = _sliced(events.select("event_id", "device_id", "event_type", "us"), ["device_id"], seconds)
     names = {"v_in": "VehicleEnter", "v_out": "VehicleExit", "p_in": "PersonEnter", "p_out": "PersonExit"}
-    return events.select("event_id", "device_id", *[(F.count_if(F.col("event_type") == t).over(w) * 60.0 / seconds).alias(n) for n, t in names.items()])
+    counted = rows.select("event_id", "device_id", "_copy", *[(F.count_if(F.col("event_type") == t).over(w) * 60.0 / seconds).alias(n) for n, t in names.items()])
+    return counted.where("_copy = 0").drop("_copy")
 
 
 def at_reports(events: DataFrame, reports: DataFrame, seconds: int = 60) -> DataFrame:
@@ -25,8 +44,8 @@ def at_reports(events: DataFrame, reports: DataFrame, seconds: int = 60) -> Data
     Events and reports are one ordered stream for a range window: no join, no product.
     """
     both = events.select("device_id", "us", F.lit(1).alias("is_event"), F.lit(None).cast("long").alias("report_id")).union(reports.select("device_id", "us", F.lit(0), "report_id"))
-    w = Window.partitionBy("device_id").orderBy("us").rangeBetween(-seconds * 1_000_000, 0)
-    return both.withColumn("flow", F.sum("is_event").over(w).cast("long")).where("report_id is not null").select("report_id", "device_id", "flow")
+    rows, w = _sliced(both, ["device_id"], seconds)
+    return rows.withColumn("flow", F.sum("is_event").over(w).cast("long")).where("report_id is not null and _copy = 0").select("report_id", "device_id", "flow")
 
 
 def _track(order: str = "n"):

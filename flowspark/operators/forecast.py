@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +37,24 @@ def trend(history: Column, most: int = 24) -> Column:
     return F.when(n == 0, 0.0).when(n == 1, F.greatest(F.lit(0.0), last)).otherwise(F.greatest(F.lit(0.0), last + (last - first) / (n - 1)))
 
 
+def by_model(model: Callable[[list[np.ndarray]], np.ndarray]) -> Callable[[Column], Column]:
+    """A forecast by ``model``, which gives the quantiles of the next value for a batch of histories, a row each.
+
+    Their mean, not below 0, is the forecast. Where the model raises or gives no finite value, the trend stands in.
+    """
+
+    @F.pandas_udf("double")
+    def predict(histories: pd.Series) -> pd.Series:
+        try:
+            quantiles = np.asarray(model([np.asarray(h, float) for h in histories]), float)
+            mean = np.maximum(0.0, quantiles.reshape(len(histories), -1).mean(axis=1))
+        except Exception:  # noqa: BLE001 a model that fails must not take the forecast with it
+            mean = np.full(len(histories), np.nan)
+        return pd.Series(mean).where(np.isfinite(mean), None)
+
+    return lambda history: F.coalesce(predict(F.coalesce(history.cast("array<double>"), F.array().cast("array<double>"))), trend(history))
+
+
 def total_persons(vehicles: DataFrame, persons: DataFrame, model=trend) -> DataFrame:
     """History of persons with vehicles' passengers, and the forecast by ``model``, a function of the history column."""
     both = vehicles.select(converted(F.col("history")).alias("v")).join(F.broadcast(persons.select(F.col("history").alias("p"))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowspark.functions import arrays, text
-from flowspark.operators import alerts, congestion, counters, enrich, liveness
+from flowspark.operators import alerts, congestion, counters, delivery, enrich, events, liveness
 from flowspark.plans.base import DEVICES, HOURS, INGEST, OBS, REGIONS, REPORTS, digest_number, query
 from flowspark.plans.dims import PASSENGERS, SERIES, TARGETS
 from flowspark.plans.motion import _SUPPRESSED
@@ -293,12 +293,33 @@ def mdl10(spark, sf):
     return allocate.next_round(plan).select("region", "officers")
 
 
-@query("str05_rearchived_hours", f"WITH {HOURS} SELECT device_id, stat_date, hour, vehicle_in FROM hrs WHERE stat_date IN ('2024-01-05', '2024-01-09')")
+@query("str05_rearchived_hours", f"""WITH {HOURS}, m AS (SELECT max(us) // 3600000000 AS h FROM val),
+late AS (SELECT device_id, stat_date, hour, count(*) AS version FROM val, m WHERE us // 3600000000 < h - 24 AND us // 3600000000 >= h - 240 GROUP BY ALL),
+done AS (SELECT device_id, stat_date, hour, version - (hour % 2) AS version FROM late WHERE hour % 3 > 0)
+SELECT device_id, stat_date, hour, late.version, vehicle_in, vehicle_out, person_in, person_out FROM late JOIN hrs USING (device_id, stat_date, hour)
+WHERE NOT EXISTS (SELECT 1 FROM done WHERE done.device_id = late.device_id AND done.stat_date = late.stat_date AND done.hour = late.hour AND done.version = late.version)""")
 def str05(spark, sf):
+    """Late hours archived again: two hours of three are acknowledged, the odd ones of those in a version before."""
     rows = tables.valid(spark, sf)
-    dirty = spark.createDataFrame([("2024-01-05",), ("2024-01-09",)], "stat_date string")
-    touched = rows.withColumn("stat_date", F.date_format("occurred_at", "yyyy-MM-dd")).join(F.broadcast(dirty), "stat_date", "left_semi").drop("stat_date")
-    return counters.hourly(touched).select("device_id", "stat_date", "hour", "vehicle_in")
+    now = rows.agg(F.floor(F.max("us") / 3_600_000_000).alias("h"))
+    late = events.split_late(rows.join(F.broadcast(now)), F.floor(F.col("us") / 3_600_000_000), F.col("h") - 24, F.col("h") - 240).where("route = 'late'")
+    marks = counters.late_marks(late)
+    done = marks.where("hour % 3 > 0").withColumn("version", F.expr("version - hour % 2"))
+    return counters.archived_again(rows, counters.unacknowledged(marks, done))
+
+
+@query("snk02_due_heads", f"""WITH {INGEST}, tried AS (SELECT event_id, device_id, us, event_id % 4 AS attempts, us + (event_id % 4) * 1000000 AS last_us FROM ing WHERE event_id % 7 > 0),
+p AS (SELECT *, CASE WHEN attempts > 0 THEN last_us + least(60, pow(2, least(attempts, 6)))::BIGINT * 1000000 ELSE 0 END AS due_us, row_number() OVER (PARTITION BY device_id ORDER BY event_id) AS r FROM tried),
+m AS (SELECT median(us) AS now FROM ing) SELECT device_id, event_id, attempts, due_us FROM p, m WHERE r = 1 AND due_us <= now""")
+def snk02(spark, sf):
+    """Heads of the devices' queues that are due; attempts follow from the id, and every seventh event has arrived."""
+    rows = tables.ingest(spark, sf).select("event_id", "device_id", "us")
+    n, arrived = F.col("event_id") % 4, F.col("event_id") % 7 == 0
+    tries = F.transform(F.sequence(F.lit(1), F.greatest(n, arrived.cast("long"), F.lit(1))), lambda k: F.col("us") + k * 1_000_000)
+    log = rows.where((n > 0) | arrived).select("event_id", F.explode(tries).alias("at_us"), arrived.alias("ok"))
+    now = rows.agg(F.expr("percentile(us, 0.5)").alias("now"))
+    heads = delivery.due_heads(rows.join(F.broadcast(now)), log, F.col("now"))
+    return heads.select("device_id", "event_id", "attempts", "due_us")
 
 
 @query("str14_frame_anomalies")

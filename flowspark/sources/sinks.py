@@ -72,7 +72,8 @@ def newest(rows: DataFrame, order: str, n: int) -> DataFrame:
     return rows.orderBy(F.desc(order)).limit(max(0, min(n, 1000)))
 
 
-def write_report(events: DataFrame, statistics: DataFrame, path: str) -> None:
-    """An offline report: events as JSON, statistics as CSV."""
-    events.write.mode("overwrite").json(f"{path}/events")
+def write_report(path: str, events: DataFrame, statistics: DataFrame, **more: DataFrame) -> None:
+    """An offline report: statistics as CSV; events and ``more`` (alarms, anomalies, summary, trace) as JSON, a folder each."""
+    for name, rows in {"events": events, **more}.items():
+        rows.write.mode("overwrite").json(f"{path}/{name}")
     statistics.write.mode("overwrite").option("header", True).csv(f"{path}/statistics")

@@ -94,6 +94,31 @@ def recompute_hours(facts_path: str, archive_path: str):
     return sink
 
 
+def archive_again(facts_path: str, late_path: str, done_path: str, archive_path: str):
+    """A foreachBatch sink of late events: hours whose version isn't acknowledged are archived, then acknowledged.
+
+    The batch's late events are kept under its number. Versions are counts of late events, read before the facts, so
+    that what comes in between leaves its hour marked. A round that dies before the acknowledgement archives again.
+    """
+    from flowspark.operators.counters import archived_again, late_marks, unacknowledged
+    from flowspark.sources.sinks import merge_hours
+
+    def sink(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        late = batch.select("device_id", "occurred_at").withColumn("batch", F.lit(number))
+        late.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(late_path)
+        marks = late_marks(spark.read.parquet(late_path))
+        if _exists(spark, done_path):
+            marks = unacknowledged(marks, spark.read.parquet(done_path))
+        staged = f"{late_path.rstrip('/')}-marks"
+        marks.write.mode("overwrite").parquet(staged)
+        marks = spark.read.parquet(staged)
+        merge_hours(archived_again(spark.read.parquet(facts_path), marks).drop("version"), archive_path)
+        marks.write.mode("append").parquet(done_path)
+
+    return sink
+
+
 def crossings(observations: DataFrame, lines: dict[str, crossing.Line], rules: crossing.Rules = crossing.Rules()) -> DataFrame:
     """Crossing events with each device's state between micro-batches. Late frames of a device are left out."""
 

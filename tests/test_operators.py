@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowspark.functions import arrays, geometry, text, timing
-from flowspark.operators import alerts, allocate, congestion, counters, enrich, events, flow, forecast, frames, liveness
+from flowspark.operators import alerts, allocate, congestion, counters, delivery, enrich, events, flow, forecast, frames, liveness
 from flowspark.sources import sinks, tables
 
 
@@ -73,6 +73,54 @@ def test_congestion_score(spark):
     assert abs(out["score"] - 0.8) < 1e-12 and out["congested"]
 
 
+def test_suppression_of_one_key_over_many_batches(spark):
+    """A key that never pauses, more rows than an Arrow batch holds, equal times, null keys and times."""
+    rows = [("a", micros(t // 2), 2**60 + t) for t in range(25_000)] + [(None, micros(t), t) for t in range(0, 90, 10)] + [("a", None, 1), ("a", None, None)]
+    got = alerts.suppressed(spark.createDataFrame(rows, "rule_id string, us long, n long"), ["rule_id"], 60).collect()
+    a = sorted((r["us"], r["n"]) for r in got if r["rule_id"] == "a" and r["us"] is not None)
+    assert a == [(micros(t), 2**60 + 2 * t) for t in range(0, 12_500, 60)]
+    assert sorted(r["us"] for r in got if r["rule_id"] is None) == [0, micros(60)]
+    assert sum(r["us"] is None for r in got) == 2
+
+
+def test_trailing_counts_across_slices(spark):
+    rng = random.Random(3)
+    times = [rng.choice((0, 2, 64 * 2 * k, 64 * 2 * k - 2, rng.randrange(-300, 900))) for k in range(400)]
+    df = spark.createDataFrame([(i, "c", "VehicleEnter", micros(t)) for i, t in enumerate(times)], "event_id long, device_id string, event_type string, us long")
+    want = {i: sum(t - 2 <= u <= t for u in times) for i, t in enumerate(times)}
+    assert {r["event_id"]: r["flow"] for r in flow.trailing(df, ["device_id"], 2).collect()} == want
+    assert {r["event_id"]: round(r["v_in"] / 30) for r in flow.directional(df, 2).collect()} == want
+    asked = df.select("device_id", "us", F.col("event_id").alias("report_id"))
+    assert {r["report_id"]: r["flow"] for r in flow.at_reports(df, asked, 2).collect()} == want
+
+
+def test_delivery_in_order_with_backoff(spark, tmp_path):
+    log = str(tmp_path / "log")
+    spark.createDataFrame([], delivery.LOG).write.parquet(log)
+    outbox = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "b"), (5, "c")], "event_id long, device_id string")
+
+    def down(rows):
+        raise ConnectionError
+
+    sends = [lambda rows: [i not in (3, 5) for i in rows["event_id"]]] * 2 + [lambda rows: [True] * len(rows), down] + [lambda rows: [True] * len(rows)] * 3
+    heads = []
+    for second, send in enumerate(sends):
+        heads.append(sorted(r["event_id"] for r in delivery.due_heads(outbox, spark.read.parquet(log), micros(second)).collect()))
+        delivery.deliver(outbox, log, send, micros(second))
+    assert heads == [[1, 3, 5], [2], [3, 5], [4], [], [4], []]
+
+
+def test_forecast_by_model_falls_back(spark):
+    rows = spark.createDataFrame([([1, 2, 3],), ([4, 4, 4],), ([],)], "h array<long>").repartition(1)
+    mean = forecast.by_model(lambda hs: np.array([[sum(h) - 10, sum(h), sum(h) + 4] for h in hs]))
+    assert sorted(r[0] for r in rows.select(mean(F.col("h"))).collect()) == [0.0, 4.0, 10.0]
+
+    def broken(hs):
+        raise MemoryError
+
+    assert sorted(r[0] for r in rows.select(forecast.by_model(broken)(F.col("h"))).collect()) == [0.0, 4.0, 4.0]
+
+
 def test_suppression_is_greedy(spark):
     rng = random.Random(1)
     rows = [(f"r{rng.randrange(3)}", micros(rng.randrange(100_000))) for _ in range(400)]
@@ -188,8 +236,8 @@ def test_sinks(spark, tmp_path):
     sinks.replace_table(dim.limit(1), str(tmp_path / "t"))
     assert spark.read.parquet(str(tmp_path / "t")).count() == 1
     sinks.append_capped(dim, str(tmp_path / "t"))
-    sinks.write_report(dim, dim, str(tmp_path / "r"))
-    assert spark.read.json(f"{tmp_path}/r/events").count() == 2
+    sinks.write_report(str(tmp_path / "r"), dim, dim, alarms=dim.limit(1), trace=dim)
+    assert [spark.read.json(f"{tmp_path}/r/{n}").count() for n in ("events", "alarms", "trace")] == [2, 1, 2]
 
 
 def test_readers(spark, tmp_path):

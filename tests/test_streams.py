@@ -69,6 +69,22 @@ def test_ledger_takes_each_id_once(spark, folder):
     assert spark.read.parquet(f"{folder}/ledger").count() == 40
 
 
+def test_archive_is_acknowledged_by_version(spark, folder):
+    df = spark.createDataFrame(rows(100), SCHEMA).where("event_type != 'Invalid'")
+    df.write.parquet(f"{folder}/facts")
+    sink = streams.archive_again(*(f"{folder}/{n}" for n in ("facts", "late", "done", "archive")))
+    hour = df.where("device_id = 'cam-0' and hour(occurred_at) = 0")
+    for k in (0, 0, 1):  # a batch that runs again, and a batch without news
+        sink(hour if k == 0 else hour.limit(0), k)
+        assert [tuple(r) for r in spark.read.parquet(f"{folder}/done").collect()] == [("cam-0", "2024-01-01", 0, hour.count())]
+    late = spark.createDataFrame([(9000, "cam-0", "VehicleEnter", datetime.datetime(2024, 1, 1, 0, 30))], SCHEMA)
+    late.write.mode("append").parquet(f"{folder}/facts")
+    sink(late, 2)
+    assert sorted(r["version"] for r in spark.read.parquet(f"{folder}/done").collect()) == [hour.count(), hour.count() + 1]
+    archive = spark.read.parquet(f"{folder}/archive")
+    assert archive.count() == 1 and archive.first()["vehicle_in"] == hour.where("event_type = 'VehicleEnter'").count() + 1
+
+
 def test_late_hours_are_counted_again(spark, folder):
     df = spark.createDataFrame(rows(100), SCHEMA).where("event_type != 'Invalid'")
     df.write.parquet(f"{folder}/facts")
