@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowspark.functions import arrays, geometry, text, timing
-from flowspark.operators import alerts, allocate, congestion, counters, delivery, enrich, events, flow, forecast, frames, liveness
+from flowspark.operators import alerts, allocate, congestion, counters, delivery, enrich, events, flow, folds, forecast, frames, liveness
 from flowspark.sources import sinks, tables
 
 
@@ -258,3 +258,22 @@ def test_readers(spark, tmp_path):
     with pytest.raises(ValueError):
         tables.paged(lambda p, n: {"total": 5, "list": items[:n]}, 2)
     assert tables.synthetic_events(spark, 8, 24, [2.0] * 24, 1.0).count() == pytest.approx(384, rel=0.2)
+
+
+def test_fold_gets_whole_units_and_one_state_a_key(spark):
+    """Units that Arrow batches cut arrive in one call; the state starts anew with each key."""
+    rng = random.Random(5)
+    rows = [(rng.choice(("a", "b", None)), rng.randrange(12)) for _ in range(500)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+
+        def fold(key, part, seen):
+            units = part["u"].to_pylist()
+            assert not set(units) & (seen or set()) and units == sorted(units)
+            return part.group_by(["k", "u"]).aggregate([("u", "count")]).select(["k", "u", "u_count"]), (seen or set()) | set(units)
+
+        got = folds.fold_sorted(spark.createDataFrame(rows, "k string, u long"), ["k"], ["u"], fold, "k string, u long, n long", together="u").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {(r[0], r[1]): r[2] for r in got} == {x: rows.count(x) for x in rows} and len(got) == len(set(rows))
