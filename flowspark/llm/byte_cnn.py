@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.llm.common import hashed_sample, small_batches, sub_batches
+from flowspark.llm.common import hashed_sample, sub_batches
 
 SEGMENT, WIDTH, STRIDE = 256, 8, 2
 EMBEDDING, FILTERS = 5, 16
@@ -228,7 +228,7 @@ def score(docs: DataFrame, net: ByteNet, threshold: float = THRESHOLD) -> DataFr
             texts = pc.fill_null(batch.column("text").cast(pa.large_binary()), b"").to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(net.score(texts), pa.float64())], ["doc_id", "score"])
 
-    scored = small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -240,4 +240,4 @@ def accept(docs: DataFrame, net: ByteNet, threshold: float = THRESHOLD) -> DataF
             texts = pc.fill_null(batch.column("text").cast(pa.large_binary()), b"").to_pylist()
             yield batch.filter(pa.array(net.score(texts) >= threshold))
 
-    return small_batches(docs).mapInArrow(sift, docs.schema)
+    return docs.mapInArrow(sift, docs.schema)

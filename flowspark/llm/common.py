@@ -11,6 +11,7 @@ import ctypes
 import sys
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,11 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 21
 #: Bytes that are hashed at once; their powers stay in memory.
 HASH_BYTES = 1 << 18
-BATCH_ROWS = 2500
+BATCH_ROWS, BATCH_BYTES = 2500, "16MB"
+_BATCHES = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+_own_folders: dict[str, str] = {}
+#: Folders of tables that ``materialize`` wrote.
+_written: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _WINDOW_BASE = 0xD1342543DE82EF95 | 1
@@ -34,35 +39,52 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="flowspark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _own_folders.get(spark.sparkContext.applicationId) or tempfile.mkdtemp(prefix="flowspark-")
+        _own_folders[spark.sparkContext.applicationId] = folder
     return folder.rstrip("/")
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, after the session's Arrow batches are bounded for rows with whole texts: a batch stands in memory twice."""
-    conf = df.sparkSession.conf  # read when a plan is made: smaller settings of the session's own stay
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, str((1 << 31) - 1), "2147483647b"):
-        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16MB")
-    return df
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While this is open, the session's Arrow batches are bounded for rows with whole texts; then they are as before.
+
+    Spark reads these settings when a job starts, so that the job must be run inside. Smaller settings of the session stay.
+    """
+    conf, before = spark.conf, {k: spark.conf.get(k, None) for k in _BATCHES}
+    rows, size = _BATCHES
+    if int(conf.get(rows)) > BATCH_ROWS:
+        conf.set(rows, BATCH_ROWS)
+    if before[size] in (None, str((1 << 31) - 1), "2147483647b"):
+        conf.set(size, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                conf.unset(k)
+            else:
+                conf.set(k, v)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut and lost executors cost nothing."""
+    """Write ``df`` to the shared folder and read it back: lineage is cut and lost executors cost nothing.
+
+    Written in small Arrow batches; the session's own settings are left as they were.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    _written[written] = path
+    return written
 
 
 def discard(df: DataFrame) -> None:
     """Remove a table made by ``materialize`` that nothing reads any more."""
     jvm = df.sparkSession.sparkContext._jvm
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(folder)
-        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    p = jvm.org.apache.hadoop.fs.Path(_written.pop(df))
+    p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -116,10 +138,10 @@ class Words:
 
     ``data``: all texts, each ended by a line feed; ``start``/``end``: byte offsets of each word; ``doc``: index of
     its document; ``first``: index of the first word of each document (length n + 1); ``ends``: offset of the
-    line feed of each document.
+    line feed of each document. ``outside``: for each byte, whether it parts words; a line feed must.
     """
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, outside: np.ndarray = _SPACE):
         texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
         joined = pc.binary_join_element_wise(texts, pa.scalar(b"", pa.large_binary()), pa.scalar(b"\n", pa.large_binary())) if len(texts) else texts
         buffers, n, at = joined.buffers(), len(joined), joined.offset
@@ -130,7 +152,7 @@ class Words:
             self.data = self.data + (upper.view(np.uint8) << 5)
         self.ends = offsets[1:] - offsets[0] - 1
         self.begins = offsets[:-1] - offsets[0]
-        inside = ~_SPACE[self.data]
+        inside = ~outside[self.data]
         edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         if len(inside) and inside[0]:
             edge = np.concatenate(([0], edge))

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.llm.common import Words, doc_windows, free_name, materialize, small_batches, sub_batches, window_hashes
+from flowspark.llm.common import Words, doc_windows, free_name, materialize, sub_batches, window_hashes
 
 SEED = 5
 COVERAGE = 0.5
@@ -198,7 +198,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, see
             keep[[d for d, *_ in bench.leaks(batch.column("text"), coverage)]] = False
             yield batch.filter(pa.array(keep))
 
-    return small_batches(docs).mapInArrow(sift, docs.schema)
+    return docs.mapInArrow(sift, docs.schema)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed: int = SEED, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -213,7 +213,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, see
             ids = batch.column("doc_id")
             yield _table([_row(ids[d].as_py(), *rest) for d, *rest in bench.leaks(batch.column("text"), coverage)])
 
-    return small_batches(docs).select("doc_id", "text").mapInArrow(search, PAIRS)
+    return docs.select("doc_id", "text").mapInArrow(search, PAIRS)
 
 
 def _joined(docs: DataFrame, benchmark: DataFrame, coverage: float, seed: int) -> DataFrame:

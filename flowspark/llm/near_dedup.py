@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowspark.llm.common import Words, discard, doc_windows, free_name, materialize, mix64, small_batches, sub_batches
+from flowspark.llm.common import Words, discard, doc_windows, free_name, materialize, mix64, sub_batches
 from flowspark.llm.components import components
 
 SHINGLE, PERCENT = 5, 80
@@ -103,7 +103,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                     bands[i], odd[i], bitmap[i] = k, o, b
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1), pa.array(f2), pa.array(bands, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64())), pa.array(bitmap, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "f1", "f2", "bands", "sketch", "bitmap"])
 
-    return small_batches(docs).select("doc_id", "text").mapInArrow(sketch, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sketch array<long>, bitmap array<long>")
+    return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sketch array<long>, bitmap array<long>")
 
 
 def weakest_parity(percent: int, samples: int = BANDS * ROWS, bits: int = SKETCH_BITS) -> int:

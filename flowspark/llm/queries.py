@@ -78,19 +78,38 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowspark.llm.simhash import link
+
+    return link(_table(spark, sf_dir, "documents"))
+
+
+def _written(name: str, query: Query) -> Query:
+    """``query`` with its rows written: its Arrow batches are small, and the session's settings stay as they are."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from flowspark.llm.common import materialize
+
+        return materialize(query(spark, sf_dir), name)
+
+    return run
+
+
 def queries() -> dict[str, Query]:
-    return {
-        "op1_token_store": op1_token_store,
-        "op2_pii": op2_pii,
-        "op3_byte_cnn": op3_byte_cnn,
-        "op4_best_fit_packing": op4_best_fit_packing,
-        "op5_warc_derivatives": op5_warc_derivatives,
-        "op6_near_dedup": op6_near_dedup,
-        "op7_substring_dedup": op7_substring_dedup,
-        "op8_edit_counts": op8_edit_counts,
-        "op9_quality_rules": op9_quality_rules,
-        "op10_decontamination": op10_decontamination,
-    }
+    every = (
+        op1_token_store,
+        op2_pii,
+        op3_byte_cnn,
+        op4_best_fit_packing,
+        op5_warc_derivatives,
+        op6_near_dedup,
+        op7_substring_dedup,
+        op8_edit_counts,
+        op9_quality_rules,
+        op10_decontamination,
+        op13_simhash_dedup,
+    )
+    return {q.__name__: _written(q.__name__, q) for q in every}
 
 
 def oracle_sql() -> dict[str, str]:
