@@ -1,7 +1,7 @@
 """The corpus pipeline: documents to packed training sequences.
 
-Each stage takes (spark, docs, sf_dir) and returns the rows that it keeps; ``run`` writes them as Parquet in the shared
-folder and reads them again as the next stage's docs. All but the last return the columns of ``documents``, and any
+Each stage takes (spark, docs, sf_dir), writes the rows that it keeps as Parquet in the shared folder, in small Arrow
+batches that leave the session's settings alone, and returns them read again, as the next stage's docs. All but the last return the columns of ``documents``, and any
 others that come with them, whatever their names. An empty table passes through all stages.
 """
 
@@ -20,7 +20,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """
     from flowspark.llm.byte_cnn import accept, train
 
-    return accept(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return materialize(accept(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))), "quality_classifier")
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,14 +30,14 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """
     from flowspark.llm.near_dedup import keep_first
 
-    return keep_first(docs)
+    return materialize(keep_first(docs), "minhash_near_dedup")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item. Texts without words, and rows without a doc_id, are judged alike: by text."""
     from flowspark.llm.decontaminate import clean
 
-    return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return materialize(clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "benchmark_decontamination")
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,14 +48,14 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from flowspark.llm.pii import redact
 
     masked = redact(docs)
-    return masked.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else masked
+    return materialize(masked.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else masked, "pii")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all pieces of all documents in sequences of at most 4096 tokens; a null text is an empty document."""
     from flowspark.llm.packing import pack, token_pieces
 
-    return pack(token_pieces(docs))
+    return materialize(pack(token_pieces(docs)), "best_fit_packing")
 
 
 STAGES = [
@@ -73,8 +73,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = None
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+    for _, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
         if before is not None:
             discard(before)
         before = docs
