@@ -78,6 +78,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowspark.llm.merkle import tampered, verify
+
+    docs = _table(spark, sf_dir, "documents")
+    return verify(docs, tampered(docs))
+
+
 def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowspark.llm.simhash import link
 
@@ -107,12 +114,13 @@ def queries() -> dict[str, Query]:
         op8_edit_counts,
         op9_quality_rules,
         op10_decontamination,
+        op11_merkle_manifest,
         op13_simhash_dedup,
     )
     return {q.__name__: _written(q.__name__, q) for q in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    from flowspark.llm import warc_derivatives
+    from flowspark.llm import merkle, warc_derivatives
 
-    return {"op5_warc_derivatives": warc_derivatives.oracle_sql()}
+    return {"op5_warc_derivatives": warc_derivatives.oracle_sql(), "op11_merkle_manifest": merkle.oracle_sql()}
