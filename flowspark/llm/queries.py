@@ -85,6 +85,13 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify(docs, tampered(docs))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowspark.llm.ranked_search import build_index, search
+
+    index = build_index(_table(spark, sf_dir, "documents"))
+    return search(index, _table(spark, sf_dir, "benchmark"))
+
+
 def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowspark.llm.simhash import link
 
@@ -115,12 +122,13 @@ def queries() -> dict[str, Query]:
         op9_quality_rules,
         op10_decontamination,
         op11_merkle_manifest,
+        op12_ranked_search,
         op13_simhash_dedup,
     )
     return {q.__name__: _written(q.__name__, q) for q in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    from flowspark.llm import merkle, warc_derivatives
+    from flowspark.llm import merkle, ranked_search, warc_derivatives
 
-    return {"op5_warc_derivatives": warc_derivatives.oracle_sql(), "op11_merkle_manifest": merkle.oracle_sql()}
+    return {"op5_warc_derivatives": warc_derivatives.oracle_sql(), "op11_merkle_manifest": merkle.oracle_sql(), "op12_ranked_search": ranked_search.oracle_sql()}
