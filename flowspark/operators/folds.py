@@ -24,10 +24,11 @@ def starts(rows: pa.Table, columns: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def fold_sorted(df: DataFrame, keys: list[str], order: list[str], fold: Fold, schema, together: str | None = None) -> DataFrame:
+def fold_sorted(df: DataFrame, keys: list[str], order: list[str], fold: Fold, schema, together: str | None = None, finish: Callable[[tuple, object], pa.Table] | None = None) -> DataFrame:
     """``fold`` along each key in order. A task holds an Arrow batch and the state of one key, whatever a key's size.
 
-    Rows of a key with equal ``together`` reach ``fold`` in one call. A lost task folds its keys again from the shuffle.
+    Rows of a key with equal ``together`` reach ``fold`` in one call. ``finish`` gets each key and its last state. A lost
+    task folds its keys again from the shuffle.
     """
 
     def run(batches):
@@ -35,6 +36,8 @@ def fold_sorted(df: DataFrame, keys: list[str], order: list[str], fold: Fold, sc
         for batch in itertools.chain(batches, [None]):
             parts = [t for t in (held, None if batch is None else pa.Table.from_batches([batch])) if t is not None and t.num_rows]
             if not parts:
+                if batch is None and finish is not None and key is not None:
+                    yield from finish(key, state).combine_chunks().to_batches()
                 continue
             rows = pa.concat_tables(parts).combine_chunks()
             cut = rows.num_rows if batch is None or together is None else int(starts(rows, [*keys, together])[-1])
@@ -44,9 +47,13 @@ def fold_sorted(df: DataFrame, keys: list[str], order: list[str], fold: Fold, sc
                 part = rows.slice(a, b - a)
                 now = tuple(part[k][0].as_py() for k in keys)
                 if now != key:
+                    if finish is not None and key is not None:
+                        out.append(finish(key, state))
                     key, state = now, None
                 got, state = fold(now, part, state)
                 out.append(got)
+            if batch is None and finish is not None:
+                out.append(finish(key, state))
             if out:
                 yield from pa.concat_tables(out).combine_chunks().to_batches()
 

@@ -73,14 +73,46 @@ def test_congestion_score(spark):
     assert abs(out["score"] - 0.8) < 1e-12 and out["congested"]
 
 
-def test_suppression_of_one_key_over_many_batches(spark):
-    """A key that never pauses, more rows than an Arrow batch holds, equal times, null keys and times."""
-    rows = [("a", micros(t // 2), 2**60 + t) for t in range(25_000)] + [(None, micros(t), t) for t in range(0, 90, 10)] + [("a", None, 1), ("a", None, None)]
-    got = alerts.suppressed(spark.createDataFrame(rows, "rule_id string, us long, n long"), ["rule_id"], 60).collect()
+@pytest.mark.parametrize("size", [1, 7, 10_000])
+def test_suppression_of_one_key_over_many_batches(spark, monkeypatch, size):
+    """A key that never pauses, more rows than an Arrow batch holds, batches without an emission, equal times, null keys and times."""
+    monkeypatch.setattr(alerts, "SLICE", 3)
+    many = 25_000 if size > 100 else 900
+    rows = [("a", micros(t // 2), 2**60 + t) for t in range(many)] + [(None, micros(t), t) for t in range(0, 90, 10)] + [("a", None, 1), ("a", None, None)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        got = alerts.suppressed(spark.createDataFrame(rows, "rule_id string, us long, n long"), ["rule_id"], 60).collect()
+        dense = alerts.suppressed(spark.createDataFrame([("a", t, t) for t in range(many)], "rule_id string, us long, n long"), ["rule_id"], 1).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     a = sorted((r["us"], r["n"]) for r in got if r["rule_id"] == "a" and r["us"] is not None)
-    assert a == [(micros(t), 2**60 + 2 * t) for t in range(0, 12_500, 60)]
+    assert a == [(micros(t), 2**60 + 2 * t) for t in range(0, many // 2, 60)]
     assert sorted(r["us"] for r in got if r["rule_id"] is None) == [0, micros(60)]
     assert sum(r["us"] is None for r in got) == 2
+    assert [(r["us"], r["n"]) for r in dense] == [(0, 0)]
+
+
+@pytest.mark.parametrize("slice_", [1, 5])
+def test_suppression_in_slices_equals_the_loop(spark, monkeypatch, slice_):
+    """Periods that never meet, pauses over many slices, times before 1970, times at the edges of slices."""
+    monkeypatch.setattr(alerts, "SLICE", slice_)
+    rng = random.Random(slice_)
+    rows = [("odd", micros(7 * k) + rng.randrange(3)) for k in range(-200, 400)]
+    rows += [("rare", micros(rng.randrange(-50_000, 50_000))) for _ in range(60)]
+    rows += [("edge", micros(60 * slice_ * k) + d) for k in range(-5, 30) for d in (-1, 0, 1)]
+    rows += [("dense", rng.randrange(micros(700))) for _ in range(3000)]
+    got = {k: [] for k, _ in rows}
+    for r in alerts.suppressed(spark.createDataFrame(rows, "rule_id string, us long"), ["rule_id"], 60).collect():
+        got[r["rule_id"]].append(r["us"])
+    for key, found in got.items():
+        last, want = None, []
+        for us in sorted(u for k, u in rows if k == key):
+            if last is None or us - last >= micros(60):
+                last = us
+                want.append(us)
+        assert sorted(found) == want
+    assert alerts.suppressed(spark.createDataFrame(rows[:3], "rule_id string, us long"), ["rule_id"], 0).count() == 3
 
 
 def test_trailing_counts_across_slices(spark):
