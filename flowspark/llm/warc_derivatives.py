@@ -1,11 +1,12 @@
 """WARC derivatives: linked metadata and plain-text conversion records for response records.
 
-All in SQL functions, a row at a time: no shuffle. ``read_warc`` reads the records of WARC files, ``responses`` wraps a
-table of pages as response records; ``derive`` gives each response a ``metadata`` record (its source's status and headers
-as they came, digests and counts, as warc-fields) and a ``conversion`` record (its text), both with WARC-Refers-To the
-response and digests of their own. ``serialize`` and ``write_warc`` make WARC 1.1 text of any of these.
+No shuffle. ``read_warc`` reads the records of WARC files by their lengths in bytes, ``responses`` wraps a table of pages
+as response records; ``derive`` gives each response a ``metadata`` record (its source's status and headers as they came,
+digests and counts, as warc-fields) and a ``conversion`` record (its text), both with WARC-Refers-To the response and
+digests of their own, in SQL functions. ``serialize`` and ``write_warc`` make WARC 1.1 files of any of these.
 
-Text is UTF-8 throughout. Of entities, the five of XML and &nbsp; are decoded; others stay as they are.
+Derived records are UTF-8. A payload is decoded by the charset that its HTTP header, or else the page, names; its digest
+and length are those of its bytes. Of entities, the five of XML and &nbsp; are decoded; others stay as they are.
 
 Nulls: a null payload is an empty one, null http_headers leave their lines out; a null target URI or content type leaves that header out. Repeated rows give
 repeated records with equal ids. Columns named in ``keep`` are carried. An empty table gives no records.
@@ -13,8 +14,20 @@ repeated records with equal ids. Columns named in ``keep`` are carried. An empty
 
 from __future__ import annotations
 
+import codecs
+import gzip
+import re
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
+from hashlib import sha256
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 WARC_DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
@@ -65,36 +78,119 @@ def responses(pages: DataFrame, date: str = WARC_DATE, keep: tuple[str, ...] = (
     ).withColumn("payload_digest", digest(F.col("payload"))).withColumn("block_digest", digest(F.col("block")))
 
 
+def _header(head: str, name: str) -> str | None:
+    found = re.search(rf"(?im)^{name}:[ \t]*([^\r\n]*)", head)
+    return found[1].strip() or None if found else None
+
+
+def _charset(content_type: str | None, payload: bytes) -> str:
+    """The charset that the HTTP header names, else the page in its first KB, else UTF-8; unknown names count as UTF-8."""
+    named = re.search(r"(?i)charset=[\"']?([\w.:-]+)", content_type or "") or re.search(r"(?i)<meta[^>]*charset=[\"']?([\w.:-]+)", payload[:1024].decode("latin-1"))
+    try:
+        return codecs.lookup(named[1]).name if named else "utf-8"
+    except LookupError:
+        return "utf-8"
+
+
+def _as_text(raw: bytes) -> str:
+    try:
+        return raw.decode("utf-8")
+    except UnicodeDecodeError:
+        return raw.decode("latin-1")
+
+
+def parse_record(piece: bytes) -> tuple:
+    """A row of ``RECORDS`` from a record's bytes after ``WARC/``."""
+    head, gap, rest = piece.partition(b"\r\n\r\n")
+    text = _as_text(head)
+    stated = _header(text, "Content-Length")
+    length = int(stated) if stated and stated.isdigit() else None
+    block = rest if length is None else rest[:length]
+    complete = bool(gap) and length is not None and len(rest) >= length
+    kind, http, payload, charset = _header(text, "WARC-Type"), None, None, None
+    if kind == "response" and b"\r\n\r\n" in block:
+        own, _, payload = block.partition(b"\r\n\r\n")
+        http = _as_text(own)
+        charset = _charset(_header(http, "Content-Type"), payload)
+    return (
+        text.split("\r\n", 1)[0],
+        *[kind if n == "WARC-Type" else _header(text, n) for n in _NAMES],
+        block.decode("utf-8", "replace"),
+        block,
+        complete,
+        http,
+        http and _header(http, "Content-Type"),
+        charset,
+        None if payload is None else payload.decode(charset, "replace"),
+        None if payload is None else len(payload),
+        None if payload is None else f"sha256:{sha256(payload).hexdigest()}",
+        f"sha256:{sha256(block).hexdigest()}",
+    )
+
+
+_NAMES = ("WARC-Type", "WARC-Record-ID", "WARC-Refers-To", "WARC-Target-URI", "WARC-Date", "Content-Type")
+RECORDS = "version string, record_type string, record_id string, refers_to string, target_uri string, date string, content_type string, block string, block_bytes binary, complete boolean, http_headers string, http_content_type string, charset string, payload string, payload_length long, payload_digest string, block_digest string"
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC 1.1 files of text, gzipped or not: their headers as columns, and their blocks.
+    """Records (``RECORDS``) of WARC 1.0 and 1.1 files, gzipped as a whole or a member a record, or not.
 
-    Of responses, also ``http_headers`` (status line and headers as they came), ``http_content_type`` and ``payload``.
-    ``complete``: whether the block has the length that its header states; one that holds a record of its own hasn't.
+    A block has as many bytes as its header states, also where it holds a record of its own; ``block_bytes`` are these
+    bytes, ``block`` the same as UTF-8 text. Of responses, also the status line and headers as they came, and the payload
+    as text in its charset. What has no length, or fewer bytes than it states, comes with what there is and ``complete``
+    false: count these rows; nothing is passed over. That also holds for a record with another one in it that a split of
+    an uncompressed file cuts in two; gzipped files aren't split.
     """
-    raw = spark.read.option("lineSep", f"{CRLF * 2}WARC/1.1{CRLF}").text(path).withColumn("value", F.regexp_replace("value", r"^WARC/1\.1\r\n", ""))
-    gap = F.locate(CRLF * 2, F.col("value"))
-    parted = raw.where(gap > 0).select(F.substring("value", F.lit(1), gap + 1).alias("head"), F.encode(F.substring("value", gap + 4, F.length("value")), "UTF-8").alias("rest"))
-    named = lambda name, of="head": F.nullif(F.regexp_extract(of, rf"(?im)^{name}: *([^\r\n]*)", 1), F.lit(""))
-    length = F.coalesce(named("Content-Length").cast("int"), F.lit(0))
-    names = (("record_type", "WARC-Type"), ("record_id", "WARC-Record-ID"), ("refers_to", "WARC-Refers-To"), ("target_uri", "WARC-Target-URI"), ("date", "WARC-Date"), ("content_type", "Content-Type"))
-    rows = parted.select(*[named(header).alias(name) for name, header in names], F.decode(F.substring("rest", F.lit(1), length), "UTF-8").alias("block"), (F.length("rest") >= length).alias("complete"))
-    cut = F.locate(CRLF * 2, F.col("block"))
-    response = (F.col("record_type") == "response") & (cut > 0)
-    rows = rows.withColumns({"http_headers": F.when(response, F.substring("block", F.lit(1), cut - 1)), "payload": F.when(response, F.substring("block", cut + 4, F.length("block")))})
-    return rows.withColumns({"http_content_type": named("Content-Type", "http_headers"), "payload_digest": digest(F.col("payload")), "block_digest": digest(F.col("block"))})
+    sep = b"\r\n\r\nWARC/1."
+    raw = spark.read.option("lineSep", sep.decode()).text(path).select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"))
+    columns = [c.split()[0] for c in RECORDS.split(", ")]
+    kinds = to_arrow_schema(StructType.fromDDL(RECORDS))
+
+    def whole(piece: bytes) -> bool:
+        head, gap, rest = piece.partition(b"\r\n\r\n")
+        length = _header(_as_text(head), "Content-Length") if gap else None
+        return not length or not length.isdigit() or len(rest) >= int(length)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, source = None, None
+
+        def rows(pieces: list[bytes]) -> pa.RecordBatch:
+            got = list(zip(*map(parse_record, pieces), strict=True)) or [[]] * len(kinds)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(got, kinds, strict=True)], columns)
+
+        for batch in batches:
+            done = []
+            for value, file in zip(batch.column("value").to_pylist(), batch.column("file").to_pylist(), strict=True):
+                if file != source and held is not None:
+                    done.append(held)
+                    held = None
+                if held is None:
+                    held = value[7:] if value.startswith(b"WARC/1.") else value
+                else:  # the separator stood inside a block
+                    held += sep + value
+                source = file
+                if whole(held):
+                    done.append(held)
+                    held = None
+            if done:
+                yield rows(done)
+        if held is not None:
+            yield rows([held])
+
+    return raw.mapInArrow(parse, RECORDS).withColumn("version", F.concat(F.lit("WARC/1."), "version"))
 
 
 def derive(records: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """A metadata and a conversion record for each response record; other records are passed over."""
     own = records.where("record_type = 'response'").withColumn("text", plain_text(F.col("payload")))
     line = lambda name, c: F.when(c.isNotNull(), F.concat(F.lit(f"{name}: "), c.cast("string"), F.lit(CRLF))).otherwise("")
-    headers = F.split("http_headers", CRLF)
+    length = F.col("payload_length") if "payload_length" in records.columns else F.octet_length("payload")
     fields = F.concat(
         line("source-content-type", F.col("http_content_type")),
-        line("source-content-length", F.octet_length("payload")),
+        line("source-content-length", length),
         line("source-payload-digest", F.col("payload_digest")),
         line("source-block-digest", F.col("block_digest")),
-        F.when(F.col("http_headers").isNull(), "").otherwise(F.concat(line("source-status", headers[0]), F.array_join(F.transform(F.slice(headers, F.lit(2), F.size(headers)), lambda h: F.concat(F.lit("source-header: "), h, F.lit(CRLF))), ""))),
+        F.when(F.col("http_headers").isNull(), "").otherwise(F.concat(F.lit("source-status: "), F.replace("http_headers", F.lit(CRLF), F.lit(f"{CRLF}source-header: ")), F.lit(CRLF))),
         line("title", F.regexp_replace(F.regexp_extract("payload", TITLE, 1), r"[ \t\r\n]+", " ")),
         line("outlinks", F.regexp_count("payload", F.lit(LINKS))),
         line("text-digest", digest(F.col("text"))),
@@ -110,16 +206,79 @@ def derive(records: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFram
 
 
 def serialize(records: DataFrame) -> DataFrame:
-    """Each record as one string ``value`` of WARC headers and block, without the closing blank lines."""
+    """Each record as one binary ``value`` of WARC headers and block, without the closing blank lines.
+
+    The block is ``block_bytes`` where there are any, else ``block`` in UTF-8.
+    """
     header = lambda name, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{name}: "), F.col(c).cast("string"), F.lit(CRLF))).otherwise("")
-    have = records.withColumn("content_length", F.octet_length("block"))
+    text = F.col("block").cast("binary")
+    block = F.coalesce("block_bytes", text) if "block_bytes" in records.columns else text
+    have = records.withColumn("_block", block).withColumn("content_length", F.octet_length("_block"))
     names = (("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "date"), ("Content-Type", "content_type"), ("WARC-Payload-Digest", "payload_digest"), ("WARC-Block-Digest", "block_digest"), ("Content-Length", "content_length"))
-    return have.select(F.concat(F.lit(f"WARC/1.1{CRLF}"), *[header(n, c) for n, c in names if c in have.columns], F.lit(CRLF), F.col("block")).alias("value"))
+    head = F.concat(F.lit(f"WARC/1.1{CRLF}"), *[header(n, c) for n, c in names if c in have.columns], F.lit(CRLF))
+    return have.select(F.concat(head.cast("binary"), F.col("_block")).alias("value"))
+
+
+class _Writer(DataSourceArrowWriter):
+    """WARC files, one for each task, whose names begin with ``_`` until the job is committed."""
+
+    def __init__(self, path: str, compressed: bool):
+        self.path, self.compressed, self.job = path, compressed, uuid.uuid4().hex
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
+        from pyarrow.fs import FileSystem
+        from pyspark import TaskContext
+
+        fs, folder = FileSystem.from_uri(self.path)
+        fs.create_dir(folder)
+        task = TaskContext.get()
+        name = f"part-{task.partitionId():05d}-{self.job}-{task.taskAttemptId()}.warc" + (".gz" if self.compressed else "")
+        with fs.open_output_stream(f"{folder}/_{name}", compression=None) as out:
+            for batch in iterator:
+                for value in batch.column("value").to_pylist():
+                    record = value + CRLF.encode() * 2
+                    out.write(gzip.compress(record, 6, mtime=0) if self.compressed else record)
+        return _Written(name)
+
+    def commit(self, messages: list) -> None:
+        self._end(messages, lambda fs, folder, name: fs.move(f"{folder}/_{name}", f"{folder}/{name}"))
+
+    def abort(self, messages: list) -> None:
+        self._end(messages, lambda fs, folder, name: fs.delete_file(f"{folder}/_{name}"))
+
+    def _end(self, messages: list, act) -> None:
+        from pyarrow.fs import FileSystem
+
+        fs, folder = FileSystem.from_uri(self.path)
+        for m in messages:
+            if m is not None:
+                act(fs, folder, m.name)
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    name: str
+
+
+class WarcFiles(DataSource):
+    """``records.write.format("warc")``: serialized records (``value``) as WARC files."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "warc"
+
+    def schema(self) -> str:
+        return "value binary"
+
+    def writer(self, schema: StructType, overwrite: bool) -> _Writer:
+        return _Writer(self.options["path"], self.options.get("compression", "gzip") == "gzip")
 
 
 def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None:
-    """WARC files under ``path``, one for each partition, by Spark's own text writer."""
-    serialize(records).write.option("lineSep", CRLF * 2).option("compression", compression).text(path)
+    """WARC files under ``path``, one for each partition; gzipped, each record is a member of its own and can be sought."""
+    spark = records.sparkSession
+    spark.dataSource.register(WarcFiles)
+    serialize(records).write.format("warc").option("compression", compression).mode("append").save(path)
 
 
 def oracle_sql() -> str:

@@ -331,6 +331,57 @@ def test_warc_files_of_others(spark, tmp_path):
     assert "source-status: HTTP/1.1 404 Not Found\r\nsource-header: X-Own: ü 1\r\nsource-header: content-type: text/html\r\n" in fields
 
 
+@pytest.mark.parametrize("version", ["1.0", "1.1"])
+@pytest.mark.parametrize("packed", ["plain", "members", "whole"])
+def test_warc_records_by_length(spark, tmp_path, version, packed):
+    """Five records of either version: other charsets, one within another, one cut off, one without a length."""
+    latin = "HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=iso-8859-1\r\n\r\n<p>x\xe9 0</p>".encode("latin-1")
+    meta = b'HTTP/1.1 200 OK\r\nX: 1\r\n\r\n<meta charset="windows-1251"><p>' + "да".encode("cp1251")
+    inner = f"WARC/{version}\r\nContent-Length: 3\r\nWARC-Type: resource\r\n\r\nabc\r\n\r\n".encode()
+    outer = b"HTTP/1.1 200 OK\r\n\r\nsee\r\n\r\n" + inner + b"end"
+    bad = b"\xff\xfe\x00"
+    blocks = [("response", latin), ("response", meta), ("response", outer), ("resource", bad), ("response", b"HTTP/1.1 200 OK\r\n\r\nshort")]
+    parts = [f"WARC/{version}\r\nWARC-Type: {k}\r\nWARC-Record-ID: <urn:{i}>\r\nContent-Length: {len(b) + (9 if i == 4 else 0)}\r\n\r\n".encode() + b + b"\r\n\r\n" for i, (k, b) in enumerate(blocks)]
+    (tmp_path / "w").mkdir()
+    data = b"".join(parts) if packed == "plain" else b"".join(map(gzip.compress, parts)) if packed == "members" else gzip.compress(b"".join(parts))
+    (tmp_path / "w" / ("a.warc" if packed == "plain" else "a.warc.gz")).write_bytes(data)
+    (tmp_path / "w" / "b.warc").write_bytes(f"WARC/{version}\r\nWARC-Type: metadata\r\nWARC-Record-ID: <urn:z>\r\n\r\nno length".encode())
+    rows = {r["record_id"]: r for r in warc_derivatives.read_warc(spark, str(tmp_path / "w")).collect()}
+    assert sorted(rows) == [f"<urn:{i}>" for i in (*range(5), "z")] and {r["version"] for r in rows.values()} == {f"WARC/{version}"}
+    assert [rows[f"<urn:{i}>"]["complete"] for i in (*range(5), "z")] == [True] * 4 + [False] * 2
+    for i, (_, b) in enumerate(blocks[:4]):
+        assert bytes(rows[f"<urn:{i}>"]["block_bytes"]) == b and rows[f"<urn:{i}>"]["block_digest"] == f"sha256:{hashlib.sha256(b).hexdigest()}"
+    first = rows["<urn:0>"]
+    assert first["payload"] == "<p>xé 0</p>" and first["payload_length"] == 11 and first["charset"] == "iso8859-1"
+    assert first["payload_digest"] == f"sha256:{hashlib.sha256(latin.split(b'\r\n\r\n')[1]).hexdigest()}"
+    assert rows["<urn:1>"]["payload"].endswith("да") and rows["<urn:2>"]["payload"].startswith("see\r\n\r\nWARC/")
+    made = warc_derivatives.derive(warc_derivatives.read_warc(spark, str(tmp_path / "w")), keep=()).where("refers_to = '<urn:0>'").collect()
+    assert {r["record_type"]: r["block"] for r in made}["conversion"] == "xé 0"
+    assert "source-content-length: 11\r\n" in {r["record_type"]: r["block"] for r in made}["metadata"]
+
+
+def test_warc_writes_a_member_a_record(spark, tmp_path):
+    """Each gzip member is one record, bytes that aren't UTF-8 included, and a failed job leaves no file to be read."""
+    rows = [("resource", f"<urn:{i}>", None if i == 2 else f"bl\u00f6ck {i}", b"\xff\xfe" if i == 2 else None) for i in range(6)]
+    records = spark.createDataFrame(rows, "record_type string, record_id string, block string, block_bytes binary").coalesce(2)
+    warc_derivatives.write_warc(records, str(tmp_path / "w"))
+    members = 0
+    for f in (tmp_path / "w").glob("[!_.]*.gz"):
+        data = f.read_bytes()
+        while data:
+            one = zlib.decompressobj(31)
+            text = one.decompress(data)
+            assert text.startswith(b"WARC/1.1\r\n") and text.endswith(b"\r\n\r\n") and one.eof
+            data, members = one.unused_data, members + 1
+    assert members == 6
+    back = {r["record_id"]: bytes(r["block_bytes"]) for r in warc_derivatives.read_warc(spark, str(tmp_path / "w")).collect()}
+    assert back == {i: b if b is not None else t.encode() for _, i, t, b in rows}
+    broken = records.withColumn("record_id", F.raise_error(F.lit("no")).cast("string"))
+    with pytest.raises(Exception, match="no"):
+        warc_derivatives.write_warc(broken, str(tmp_path / "x"))
+    assert not list((tmp_path / "x").glob("[!_.]*"))
+
+
 def test_warc_metadata_holds_the_whole_title(spark):
     title = "".join(f"Wört {i} " for i in range(400)) + "end"
     pages = spark.createDataFrame([(1, "u", f"<title>{title}</title>")], "page_id long, url string, html string")
