@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowspark.functions.timing import minute_floor
-from flowspark.operators.events import EVENT_TYPES, deltas
+from flowspark.operators.events import deltas
 
 MEASURES = {"vehicle_in": "VehicleEnter", "vehicle_out": "VehicleExit", "person_in": "PersonEnter", "person_out": "PersonExit"}
 
@@ -89,16 +89,23 @@ def reset_current(events: DataFrame, resets: DataFrame) -> DataFrame:
     return device_current(events.join(last, "device_id", "left").where("reset_us is null or us > reset_us"))
 
 
-def event_type_check() -> tuple[str, ...]:
-    return EVENT_TYPES
-
-
 def passage_index(scores: DataFrame, score: str = "score") -> DataFrame:
     """100 less the mean score in hundredths, rounded half up and kept in 0 to 100, with its level."""
     index = F.greatest(F.lit(0), F.least(F.lit(100), F.round(100 - 100 * F.avg(score)).cast("int")))
     return scores.agg(index.alias("passage_index")).withColumn("level", F.when(F.col("passage_index") > 85, "smooth").when(F.col("passage_index") > 70, "slow").otherwise("congested"))
 
 
+def present(late: DataFrame, facts: DataFrame) -> DataFrame:
+    """Late events, once each, whose ids are among the facts; those without an id are taken as they come.
+
+    Facts are looked up within the dates of the late events only.
+    """
+    day = F.date_format("occurred_at", "yyyy-MM-dd")
+    known = late.where("event_id is not null").dropDuplicates(["event_id"]).withColumn("_day", day)
+    there = facts.select("event_id", day.alias("_day")).join(F.broadcast(known.select("_day").distinct()), "_day", "left_semi")
+    return known.join(there, ["event_id", "_day"], "left_semi").drop("_day").unionByName(late.where("event_id is null"))
+
+
 def late_marks(late: DataFrame) -> DataFrame:
     """Hours that late events touched, with a version that every further late event raises."""
     hours = late.select("device_id", F.date_format("occurred_at", "yyyy-MM-dd").alias("stat_date"), F.hour("occurred_at").alias("hour"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowspark.functions import timing
+from flowspark.functions.canonical import event_digest
 from flowspark.operators import congestion, counters, events, flow
 from flowspark.plans.base import FOUR, HOURS, INGEST, REPORTS, SUMS, query
 from flowspark.sources import tables
@@ -56,6 +57,19 @@ def prj01(spark, sf):
     return rows.select("event_id", events.content_digest("event_type", "device_id").alias("digest"))
 
 
+_NESTED = """'{"event":{"device_id":"' || device_id || '","event_id":' || event_id::VARCHAR || ',"event_type":"' || event_type || '"},"evidence":{"a":[1,{"b":null,"c":"é"}],"track":{"k":' || (event_id % 97)::VARCHAR || ',"z":' || CASE event_id % 2 WHEN 0 THEN 'true' ELSE '0.5' END || '}}}'"""
+
+
+@query("prj01_canonical_digest", f"""WITH {INGEST} SELECT event_id, sha256({_NESTED}) AS digest FROM ing""")
+def prj01_nested(spark, sf):
+    """Evidence as devices send it, in two orders of keys and with white space; one digest for the same content."""
+    n, z = (F.col("event_id") % 97).cast("string"), F.when(F.col("event_id") % 2 == 0, "true").otherwise("0.50")
+    one = F.concat(F.lit('{"track": {"z": '), z, F.lit(', "k": '), n, F.lit('}, "a": [1, {"c": "é", "b": null}]}'))
+    other = F.concat(F.lit('{"a":[1,{"b":null,"c":"\\u00e9"}],"track":{"k":'), n, F.lit(',"z":'), z, F.lit("}}"))
+    rows = tables.ingest(spark, sf).withColumn("evidence", F.when(F.col("event_id") % 3 == 0, one).otherwise(other))
+    return rows.select("event_id", event_digest(["event_type", "device_id", "event_id"], "evidence").alias("digest"))
+
+
 @query("prj02_identity_digest", f"""WITH {INGEST} SELECT event_id, sha256('["' || device_id || '",' || CASE WHEN event_id % 9 = 0 THEN 'null' ELSE '"' || event_type || '"' END || ',"' || strftime(occurred_at, '%Y-%m-%dT%H:%M:%S') || '"]') AS digest FROM ing""")
 def prj02(spark, sf):
     rows = tables.ingest(spark, sf).withColumn("event_type", F.when(F.col("event_id") % 9 != 0, F.col("event_type")))

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def upsert_partitions(rows: DataFrame, path: str, column: str = "stat_date") -> None:
     """Replace the partitions that ``rows`` hold; others stay. Again with the same rows: no change."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
@@ -16,14 +21,12 @@ def upsert_partitions(rows: DataFrame, path: str, column: str = "stat_date") ->
 def merge_hours(rows: DataFrame, path: str, keys: tuple[str, ...] = ("device_id", "stat_date", "hour")) -> None:
     """Upsert by key into an archive by date: only the dates touched are read and written."""
     spark = rows.sparkSession
-    dates = rows.select("stat_date").distinct()
-    try:
-        old = spark.read.parquet(path).join(F.broadcast(dates), "stat_date", "left_semi")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    if not exists(spark, path):
         upsert_partitions(rows, path)
         return
+    dates = rows.select("stat_date").distinct()
+    # an archive of no rows has no file to tell its columns
+    old = spark.read.schema(rows.schema).parquet(path).join(F.broadcast(dates), "stat_date", "left_semi")
     merged = rows.unionByName(old.join(rows.select(*keys), list(keys), "left_anti").select(*rows.columns))
     staged = f"{path.rstrip('/')}-staged-{uuid.uuid4().hex}"
     merged.write.parquet(staged)

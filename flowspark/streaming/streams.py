@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from flowspark.functions.canonical import event_digest
 from flowspark.operators import crossing
 from flowspark.operators.counters import four_counts
 from flowspark.operators.events import EVENT_TYPES
+from flowspark.sources.sinks import exists, merge_hours
 
 
 def read(spark: SparkSession, folder: str, schema: str, pattern: str = "*.parquet", files: int = 100) -> DataFrame:
@@ -30,18 +32,16 @@ def first_within(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return events.withColumn("at", F.col("occurred_at").cast("timestamp")).withWatermark("at", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 class ConflictError(ValueError):
     """An id came with other content than before."""
 
 
-def append_new(path: str, key: str = "event_id", conflicts: str | None = None):
+def append_new(path: str, key: str = "event_id", conflicts: str | None = None, evidence: str | None = None):
     """A foreachBatch sink that appends rows of new ids to a ledger at ``path``.
 
+    Content is compared in its canonical form: the order of keys, also in ``evidence`` (a column of JSON text) and in
+    nested columns, makes no conflict.
+
     The batch's number names a partition that is overwritten, so that a batch that runs again changes nothing. Ids
     come once in a batch, and are anti-joined with the ledger of other batches; rows without an id are all appended.
     An id with other content than in the ledger or in the same batch raises before anything is written, or, where
@@ -51,11 +51,11 @@ def append_new(path: str, key: str = "event_id", conflicts: str | None = None):
     def sink(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         cols = [c for c in batch.columns if c != key]
-        content = F.sha2(F.to_json(F.struct(*sorted(cols)), {"ignoreNullFields": "false"}), 256).alias("_d")
+        content = event_digest([c for c in cols if c != evidence], evidence).alias("_d")
         known = batch.where(F.col(key).isNotNull())
         once = known.groupBy(key).agg(F.min(F.struct(*cols)).alias("_s")).select(key, "_s.*").select(*batch.columns)
         first = once.select(key, content)
-        if _exists(spark, path):
+        if exists(spark, path):
             ledger = spark.read.parquet(path).where(F.col("batch") != number)
             first = ledger.where(F.col(key).isNotNull()).select(key, content).unionByName(first.join(ledger.select(key), key, "left_anti"))
             once = once.join(ledger.select(key), key, "left_anti")
@@ -97,23 +97,24 @@ def recompute_hours(facts_path: str, archive_path: str):
 def archive_again(facts_path: str, late_path: str, done_path: str, archive_path: str):
     """A foreachBatch sink of late events: hours whose version isn't acknowledged are archived, then acknowledged.
 
-    The batch's late events are kept under its number. Versions are counts of late events, read before the facts, so
-    that what comes in between leaves its hour marked. A round that dies before the acknowledgement archives again.
+    The batch's late events are kept under its number. An hour's version is the number of its late events that are among
+    the facts that it is counted from: one that the ledger hasn't taken yet raises the version when it is there, and the
+    next batch, also an empty one, archives the hour again. A round that dies before the acknowledgement does so too.
     """
-    from flowspark.operators.counters import archived_again, late_marks, unacknowledged
-    from flowspark.sources.sinks import merge_hours
+    from flowspark.operators.counters import archived_again, late_marks, present, unacknowledged
 
     def sink(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        late = batch.select("device_id", "occurred_at").withColumn("batch", F.lit(number))
+        late = batch.select("event_id", "device_id", "occurred_at").withColumn("batch", F.lit(number))
         late.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(late_path)
-        marks = late_marks(spark.read.parquet(late_path))
-        if _exists(spark, done_path):
-            marks = unacknowledged(marks, spark.read.parquet(done_path))
+        facts = spark.read.parquet(facts_path)  # the files there are now: versions and counts are of the same facts
+        marks = late_marks(present(spark.read.parquet(late_path), facts))
+        if exists(spark, done_path):
+            marks = unacknowledged(marks, spark.read.schema(marks.schema).parquet(done_path))
         staged = f"{late_path.rstrip('/')}-marks"
         marks.write.mode("overwrite").parquet(staged)
-        marks = spark.read.parquet(staged)
-        merge_hours(archived_again(spark.read.parquet(facts_path), marks).drop("version"), archive_path)
+        marks = spark.read.schema(marks.schema).parquet(staged)
+        merge_hours(archived_again(facts, marks).drop("version"), archive_path)
         marks.write.mode("append").parquet(done_path)
 
     return sink
@@ -134,18 +135,19 @@ def crossings(observations: DataFrame, lines: dict[str, crossing.Line], rules: c
 
 
 def suppressed(alerts: DataFrame, seconds: int = 300) -> DataFrame:
-    """Alerts (rule_id, us) that are ``seconds`` after the last one emitted of their rule."""
+    """Alerts (rule_id, us) that are ``seconds`` after the last one emitted of their rule; those without a time are all emitted."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
-        out = []
-        for us in sorted(u for b in batches for u in b["us"]):
+        rows = pd.concat(list(batches), ignore_index=True)["us"]
+        out = [(key[0], None)] * int(rows.isna().sum())
+        for us in sorted(rows.dropna().astype("int64")):
             if last is None or us - last >= seconds * 1_000_000:
                 last = us
-                out.append((key[0], us))
+                out.append((key[0], int(us)))
         if last is not None:
             state.update((int(last),))
-        yield pd.DataFrame(out, columns=["rule_id", "us"])
+        yield pd.DataFrame(out, columns=["rule_id", "us"]).astype({"us": "Int64"})
 
     return alerts.groupBy("rule_id").applyInPandasWithState(run, "rule_id string, us long", "last long", "append", GroupStateTimeout.NoTimeout)
 

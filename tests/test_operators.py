@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowspark.functions import arrays, geometry, text, timing
+from flowspark.functions import arrays, canonical, geometry, text, timing
 from flowspark.operators import alerts, allocate, congestion, counters, delivery, enrich, events, flow, folds, forecast, frames, liveness
 from flowspark.sources import sinks, tables
 
@@ -115,6 +115,21 @@ def test_suppression_in_slices_equals_the_loop(spark, monkeypatch, slice_):
     assert alerts.suppressed(spark.createDataFrame(rows[:3], "rule_id string, us long"), ["rule_id"], 0).count() == 3
 
 
+def test_canonical_json_at_any_depth(spark):
+    import hashlib
+    import json
+
+    texts = ['{"b":{"z":1,"a":[{"y":2.50,"x":1e5}]},"a":"\\u00e9 \\ud83d\\ude00"}', "[]", '"x"', "nope", '{"a":NaN}', "", None, '{"a":1,"a":2}', "[" * 5000, '{"ﬀ":1,"😀":2}']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: r["c"] for r in df.select("i", canonical.canonical_json("t").alias("c")).collect()}
+    form = lambda v: json.dumps(v, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
+    assert got == {i: form(json.loads(t)) if i in (0, 1, 2, 7, 9) else None for i, t in enumerate(texts)}
+    nested = spark.sql("select 1 as id, named_struct('z', 1, 'a', array(named_struct('k', null, 'b', 'x'))) as s, '{\"q\": 1, \"c\": {}}' as evidence")
+    want = form({"event": {"id": 1, "s": {"z": 1, "a": [{"k": None, "b": "x"}]}}, "evidence": {"q": 1, "c": {}}})
+    row = nested.select(canonical.event_body(["id", "s"], "evidence").alias("b"), canonical.event_digest(["s", "id"], "evidence").alias("d")).first()
+    assert row["b"] == want and row["d"] == hashlib.sha256(want.encode()).hexdigest()
+
+
 def test_trailing_counts_across_slices(spark):
     rng = random.Random(3)
     times = [rng.choice((0, 2, 64 * 2 * k, 64 * 2 * k - 2, rng.randrange(-300, 900))) for k in range(400)]

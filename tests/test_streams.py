@@ -85,6 +85,36 @@ def test_archive_is_acknowledged_by_version(spark, folder):
     assert archive.count() == 1 and archive.first()["vehicle_in"] == hour.where("event_type = 'VehicleEnter'").count() + 1
 
 
+def test_archive_waits_for_the_ledger(spark, folder):
+    """A late event that reaches the facts after its batch: the hour isn't acknowledged for it until it is counted."""
+    paths = [f"{folder}/{n}" for n in ("facts", "late", "done", "archive")]
+    sink = streams.archive_again(*paths)
+    at = datetime.datetime(2024, 1, 1, 5, 10)
+    facts = spark.createDataFrame([(1, "cam-0", "VehicleEnter", at)], SCHEMA)
+    late = spark.createDataFrame([(2, "cam-0", "VehicleEnter", at), (2, "cam-0", "VehicleEnter", at)], SCHEMA)
+    facts.write.parquet(paths[0])
+    sink(late, 0)  # the ledger is behind
+    assert spark.read.schema("version long").parquet(paths[2]).count() == 0
+    late.limit(1).write.mode("append").parquet(paths[0])
+    for number in (1, 1, 2):
+        sink(late.limit(0), number)
+        assert [r["version"] for r in spark.read.parquet(paths[2]).collect()] == [1]
+        assert [r["vehicle_in"] for r in spark.read.parquet(paths[3]).collect()] == [2]
+
+
+def test_ledger_compares_canonical_content(spark, folder):
+    rows = [(1, '{"b": {"y": 1, "x": [2, 1]}, "a": null}'), (2, "no json"), (3, None)]
+    same = [(1, '{"a":null,"b":{"x":[2,1],"y":1}}'), (2, "no json"), (3, None)]
+    sink = streams.append_new(f"{folder}/ledger", evidence="evidence")
+    schema = "event_id long, evidence string"
+    sink(spark.createDataFrame(rows, schema), 0)
+    sink(spark.createDataFrame(same, schema), 1)
+    assert spark.read.parquet(f"{folder}/ledger").count() == 3
+    for odd in ((1, '{"a":null,"b":{"x":[1,2],"y":1}}'), (2, "other"), (3, "{}")):
+        with pytest.raises(streams.ConflictError):
+            sink(spark.createDataFrame([odd], schema), 2)
+
+
 def test_late_hours_are_counted_again(spark, folder):
     df = spark.createDataFrame(rows(100), SCHEMA).where("event_type != 'Invalid'")
     df.write.parquet(f"{folder}/facts")
@@ -113,6 +143,10 @@ def test_cooldown(spark, folder):
     put(spark, f"{folder}/in", [df.where("us < 300000000"), df.where("us >= 300000000")])
     drain(streams.suppressed(streams.read(spark, f"{folder}/in", "rule_id string, us long", files=1)), f"{folder}/c", "cool")
     assert sorted(r["us"] // 1_000_000 for r in spark.table("cool").collect()) == [0, 300, 601]
+    (folder / "none").mkdir()
+    put(spark, f"{folder}/none", [spark.createDataFrame([("r", None), ("r", 5), ("r", None)], "rule_id string, us long")])
+    drain(streams.suppressed(streams.read(spark, f"{folder}/none", "rule_id string, us long")), f"{folder}/c2", "untimed")
+    assert sorted(str(r["us"]) for r in spark.table("untimed").collect()) == ["5", "None", "None"]
 
 
 def test_latest_and_partitions(spark, folder):
