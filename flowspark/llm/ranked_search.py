@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from flowspark.llm.common import Words, discard, materialize, small_batches, sub_batches
 
 #: Documents of a cluster, and documents and postings of a block that a task reorders.
-CLUSTER, BLOCK_DOCS, BLOCK_POSTINGS = 256, 4096, 1 << 20
+CLUSTER, BLOCK_DOCS, BLOCK_POSTINGS = 256, 4096, 1 << 19
 #: Rounds of swaps in a node.
 SWAPS = 6
 #: Clusters that a query visits first, and distinct terms of a block of queries.
@@ -43,7 +43,7 @@ _OUTSIDE = np.ones(256, bool)
 _OUTSIDE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 #: Sums of doubles are exact below this.
 EXACT = 1 << 53
-CLUSTERS = "cluster long, terms array<long>, dfs array<int>, best array<int>, doc_ids array<long>, lengths array<long>, places array<int>, tfs array<long>"
+CLUSTERS = "cluster long, terms array<long>, dfs array<int>, best array<int>, doc_ids array<long>, lengths array<long>, places array<int>, tfs array<int>"
 LAST = np.iinfo(np.int64).max
 
 
@@ -67,10 +67,10 @@ def counted(docs: DataFrame, key: str) -> DataFrame:
             first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))) if len(h) else np.zeros(0, np.int64)
             tfs = np.diff(np.append(first, len(h)))
             at = np.searchsorted(d[first], np.arange(batch.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(w.counts.astype(np.int64)), _list(h[first], at), _list(tfs.astype(np.int64), at)], [key, "n", "terms", "tfs"])
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(w.counts.astype(np.int64)), _list(h[first], at), _list(tfs.astype(np.int32), at)], [key, "n", "terms", "tfs"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "text").mapInArrow(count, f"{key} {kind}, n long, terms array<long>, tfs array<long>")
+    return docs.select(key, "text").mapInArrow(count, f"{key} {kind}, n long, terms array<long>, tfs array<int>")
 
 
 def bisect(doc: np.ndarray, term: np.ndarray, n: int, leaf: int = CLUSTER, swaps: int = SWAPS) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +155,7 @@ def build_index(docs: DataFrame, cluster: int = CLUSTER, block_docs: int = BLOCK
         at = place[doc]
         number = np.searchsorted(cuts, at, "right") - 1
         by = np.lexsort((at, term, number))
-        term, tf, at, number, impact = term[by], tf[by], at[by], number[by], impacts(tf, length[doc], documents, terms)[by]
+        term, tf, at, number, impact = term[by], tf[by], at[by], number[by], impacts(tf.astype(np.int64), length[doc], documents, terms)[by]
         ends = np.searchsorted(number, np.arange(len(cuts)))
         base = TaskContext.get().partitionId() << 24
         for k in range(len(cuts) - 1):
@@ -172,7 +172,7 @@ def build_index(docs: DataFrame, cluster: int = CLUSTER, block_docs: int = BLOCK
                 _one([ids[i] for i in own], pa.int64()),
                 _one(length[own], pa.int64()),
                 _one((at[a:b] - cuts[k]).astype(np.int32), pa.int32()),
-                _one(tf[a:b], pa.int64()),
+                _one(tf[a:b], pa.int32()),
             ]
             yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in CLUSTERS.split(", ")])
 
@@ -217,7 +217,7 @@ class Cluster:
         self.place, self.dfs = place, _values(batch, "dfs", r).astype(np.int64)
         self.ptr = np.cumsum(self.dfs) - self.dfs
         self.docs = _values(batch, "places", r)
-        self.impact = impacts(_values(batch, "tfs", r), _values(batch, "lengths", r)[self.docs], documents, terms)
+        self.impact = impacts(_values(batch, "tfs", r).astype(np.int64), _values(batch, "lengths", r)[self.docs], documents, terms)
         self.ids = batch.column("doc_ids")[r].values.fill_null(LAST).to_numpy()
 
     def top(self, queries: Queries, i: int, bound: int, least: int, k: int) -> list[tuple[int, int]]:
