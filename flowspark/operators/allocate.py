@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -42,25 +39,25 @@ def targets(demands: DataFrame, total: int, least: int = 1) -> DataFrame:
 
 
 def movements(plan: DataFrame, limit: int) -> DataFrame:
-    """Moves from regions with officers to spare to those that lack some, nearest pairs first, ``limit`` in all."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ordinal", ignore_index=True)
-        spare = {r.region: r.officers - r.target for r in rows.itertuples()}
-        place = {r.region: (r.center_x, r.center_y) for r in rows.itertuples()}
-        order = list(rows["region"])
-        pairs = sorted((math.dist(place[a], place[b]), i, j, a, b) for i, a in enumerate(order) if spare[a] > 0 for j, b in enumerate(order) if spare[b] < 0)
-        left, out = limit, []
-        for d, _, _, a, b in pairs:
-            n = min(spare[a], -spare[b], left)
-            if n > 0:
-                out.append((a, b, n, d))
-                spare[a] -= n
-                spare[b] += n
-                left -= n
-        return pd.DataFrame(out, columns=["from_region", "to_region", "count", "distance"])
-
-    return plan.groupBy(F.lit(0).alias("_one")).applyInPandas(run, "from_region string, to_region string, count int, distance double")
+    """Moves from regions with officers to spare to those that lack some, nearest pairs first, ``limit`` in all.
+
+    Each move depends on those before it: the pairs, in order, are folded in one row of arrays. Regions are few.
+    """
+    own = F.struct("ordinal", "region", "center_x", "center_y", (F.col("officers") - F.col("target")).cast("int").alias("spare"))
+    regions = plan.agg(F.array_sort(F.collect_list(own)).alias("r"))
+    far = lambda a, b: F.sqrt((a["center_x"] - b["center_x"]) * (a["center_x"] - b["center_x"]) + (a["center_y"] - b["center_y"]) * (a["center_y"] - b["center_y"]))
+    met = lambda a, i: F.transform("r", lambda b, j: F.when((a["spare"] > 0) & (b["spare"] < 0), F.struct(far(a, b).alias("distance"), i.alias("i"), j.alias("j"))))
+    pairs = regions.withColumn("pairs", F.array_sort(F.array_compact(F.flatten(F.transform("r", met)))))
+    start = F.struct(F.transform("r", lambda a: a["spare"]).alias("spare"), F.lit(limit).alias("left"), F.array().cast("array<struct<i:int,j:int,count:int,distance:double>>").alias("moves"))
+
+    def move(done: Column, p: Column) -> Column:
+        n = F.greatest(F.lit(0), F.least(F.get(done["spare"], p["i"]), -F.get(done["spare"], p["j"]), done["left"]))
+        spare = F.transform(done["spare"], lambda s, k: s - F.when(k == p["i"], n).when(k == p["j"], -n).otherwise(0))
+        more = F.when(n > 0, F.array_append(done["moves"], F.struct(p["i"].alias("i"), p["j"].alias("j"), n.alias("count"), p["distance"].alias("distance")))).otherwise(done["moves"])
+        return F.struct(spare.alias("spare"), (done["left"] - n).alias("left"), more.alias("moves"))
+
+    moved = pairs.select("r", F.explode(F.aggregate("pairs", start, move)["moves"]).alias("m"))
+    return moved.select(F.get("r", F.col("m.i"))["region"].alias("from_region"), F.get("r", F.col("m.j"))["region"].alias("to_region"), "m.count", "m.distance")
 
 
 def scores(plan: DataFrame, moves: DataFrame, total: int) -> DataFrame:

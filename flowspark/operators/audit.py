@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowspark.functions.text import MARKERS, METRICS, metric, rejections
+from flowspark.operators.quantiles import quantiles
 
 #: Fixed value: the log format.
 HEADER = r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\.\d+) \|\s*(\w+)\s*\|\s*([^ ]+) - (.*)$"
@@ -42,8 +43,10 @@ def windows(rows: DataFrame) -> DataFrame:
 def summary(stats: DataFrame) -> DataFrame:
     """n, mean, median, nearest-rank 95th hundredth, least and most of each metric."""
     names = [*METRICS, "drop_pct"]
-    pairs = stats.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in names])).alias("p")).select("p.*").where("v is not null")
-    return pairs.groupBy("metric").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.expr("percentile(v, 0.5)").alias("p50"), F.expr("percentile_disc(0.95) within group (order by v)").alias("p95"), F.min("v").alias("least"), F.max("v").alias("most"))
+    pairs = stats.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in names])).alias("p")).select("p.*").where("v is not null")
+    plain = pairs.groupBy("metric").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.min("v").alias("least"), F.max("v").alias("most"))
+    ranks = quantiles(pairs, ["metric"], "v", {"p50": 0.5, "p95": 0.95}, between=("p50",))
+    return plain.join(ranks, "metric").select("metric", "n", "mean", "p50", "p95", "least", "most")
 
 
 def weighted_drop(stats: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowspark.operators.quantiles import quantiles
+
 HEALTHY_FPS = 5
 
 
@@ -87,6 +89,6 @@ def confirmed(samples: DataFrame, confirm: int = 3) -> DataFrame:
     return held.withColumn("phase", event).where("phase is not null").select("device_id", "n", F.coalesce("state", "before").alias("type"), "phase")
 
 
-def percentiles(rows: DataFrame, keys: list[Column | str], value: str) -> DataFrame:
+def percentiles(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Nearest-rank 95th and 99th hundredths of a value."""
-    return rows.groupBy(*keys).agg(*[F.expr(f"percentile_disc({p}) within group (order by {value})").alias(n) for n, p in (("p95", 0.95), ("p99", 0.99))])
+    return quantiles(rows, keys, value, {"p95": 0.95, "p99": 0.99})

@@ -344,15 +344,30 @@ def mdl07(spark, sf):
     return _plan(spark, sf).select("region", "officers", "target")
 
 
-@query("mdl08_staff_movements")
+_MOVES = f"""{TARGETS}, spa AS (SELECT *, officers - target AS spare, row_number() OVER (ORDER BY ordinal) AS k FROM tar),
+par AS (SELECT *, row_number() OVER (ORDER BY distance, ai, bi) AS n FROM (SELECT a.k AS ai, b.k AS bi, a.region AS from_region, b.region AS to_region,
+  sqrt((a.center_x - b.center_x) * (a.center_x - b.center_x) + (a.center_y - b.center_y) * (a.center_y - b.center_y)) AS distance FROM spa a, spa b WHERE a.spare > 0 AND b.spare < 0)),
+mov AS (SELECT 0::BIGINT AS n, (SELECT list(spare::INT ORDER BY k) FROM spa) AS s, 18 AS rest, 0 AS c
+  UNION ALL SELECT n + 1, list_transform(s, lambda v, i: CASE i WHEN ai THEN v - m WHEN bi THEN v + m ELSE v END), rest - m, m
+  FROM (SELECT mov.n, s, rest, ai, bi, greatest(0, least(s[ai], -s[bi], rest)) AS m FROM mov JOIN par ON par.n = mov.n + 1)),
+mvs AS (SELECT from_region, to_region, c AS count, distance FROM mov JOIN par USING (n) WHERE c > 0)"""
+
+
+@query("mdl08_staff_movements", f"WITH RECURSIVE {_MOVES} SELECT from_region, to_region, count, round(distance, 6) AS distance FROM mvs")
 def mdl08(spark, sf):
-    return allocate.movements(_plan(spark, sf), 18)
+    return allocate.movements(_plan(spark, sf), 18).withColumn("distance", F.round("distance", 6))
 
 
-@query("mdl09_plan_scores")
+@query(
+    "mdl09_plan_scores",
+    f"""WITH RECURSIVE {_MOVES}, w AS (SELECT coalesce(max(distance), 1) AS far, coalesce(sum(distance * count), 0) AS work FROM mvs), cov AS (SELECT avg(demand / greatest(1, target)) AS coverage FROM tar),
+e AS (SELECT coverage, 1 - work / (35 * CASE WHEN far = 0 THEN 1 ELSE far END) AS efficiency FROM w, cov)
+SELECT round(coverage, 6) AS coverage, round(efficiency, 6) AS efficiency, round(0.7 * least(coverage, 1) + 0.3 * greatest(0, efficiency), 6) AS score FROM e""",
+)
 def mdl09(spark, sf):
     plan = _plan(spark, sf)
-    return allocate.scores(plan, allocate.movements(plan, 18), 35)
+    out = allocate.scores(plan, allocate.movements(plan, 18), 35)
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
 _JOURNAL = "jou AS (SELECT event_id, event_id % 3 <> 0 AS d, event_id % 6 <> 1 AS a FROM events WHERE event_id % 20 <> 0), led AS (SELECT event_id, event_id % 9 = 0 AS bad, event_id % 4 <> 0 AS m FROM events WHERE event_id % 7 <> 0), ded AS (SELECT event_id, event_id % 11 = 0 AS bad FROM events WHERE event_id % 5 <> 0)"

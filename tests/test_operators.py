@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime
+import math
 import random
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowspark.functions import arrays, canonical, geometry, text, timing
-from flowspark.operators import alerts, allocate, congestion, counters, delivery, enrich, events, flow, folds, forecast, frames, liveness
+from flowspark.operators import alerts, allocate, congestion, counters, delivery, enrich, events, flow, folds, forecast, frames, liveness, quantiles
 from flowspark.sources import sinks, tables
 
 
@@ -130,6 +131,48 @@ def test_canonical_json_at_any_depth(spark):
     assert row["b"] == want and row["d"] == hashlib.sha256(want.encode()).hexdigest()
 
 
+@pytest.mark.parametrize("few", [100_000, 4])
+def test_quantiles_by_selection(spark, monkeypatch, few):
+    """Against sorting: skewed values, equal ones, huge and infinite ones, a null key, nulls and NaNs left out."""
+    monkeypatch.setattr(quantiles, "CELLS", 16 if few == 4 else 1024)
+    rng = random.Random(few)
+    groups = {
+        "flat": [rng.uniform(-5, 5) for _ in range(300)],
+        "skewed": [2.0 ** rng.randrange(-300, 300) for _ in range(200)] + [-1e308, 1e308],
+        "equal": [7.0] * 50,
+        "ends": [float("-inf")] * 9 + [0.0, -0.0, 1.0] * 5 + [float("inf")] * 9,
+        "one": [3.0],
+        None: [float(i % 11) for i in range(100)],
+    }
+    rows = [(k, v) for k, vs in groups.items() for v in vs] + [("flat", None), ("flat", float("nan")), ("none", None)]
+    rng.shuffle(rows)
+    got = quantiles.quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", {"p50": 0.5, "p95": 0.95, "p0": 0.0, "p100": 1.0}, ("p50",), few).collect()
+    assert {r["k"] for r in got} == set(groups)
+    for r in got:
+        v = sorted(groups[r["k"]])
+        n = len(v)
+        rank = lambda p: v[max(1, math.ceil(n * p)) - 1]
+        assert (r["p95"], r["p0"], r["p100"]) == (rank(0.95), v[0], v[-1])
+        low, part = divmod((n - 1) * 0.5, 1)
+        assert r["p50"] == (v[int(low)] if not part else v[int(low)] * 0.5 + v[int(low) + 1] * 0.5)
+
+
+def test_movements_equal_the_loop(spark):
+    rng = random.Random(8)
+    rows = [(i, f"r{i}", rng.randrange(9) * 1.0, rng.randrange(9) * 1.0, rng.randrange(9), rng.randrange(9)) for i in range(9)]
+    for limit in (0, 7, 100):
+        spare = [o - t for *_, o, t in rows]
+        left, want = limit, []
+        for d, i, j in sorted((math.sqrt((a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2), a[0], b[0]) for a in rows for b in rows if a[4] > a[5] and b[4] < b[5]):
+            n = min(spare[i], -spare[j], left)
+            if n > 0:
+                want.append((f"r{i}", f"r{j}", n, d))
+                spare[i], spare[j], left = spare[i] - n, spare[j] + n, left - n
+        plan = spark.createDataFrame(rows, "ordinal int, region string, center_x double, center_y double, officers int, target int")
+        assert [tuple(r) for r in allocate.movements(plan, limit).collect()] == want
+    assert allocate.movements(plan.limit(0), 5).count() == 0
+
+
 def test_trailing_counts_across_slices(spark):
     rng = random.Random(3)
     times = [rng.choice((0, 2, 64 * 2 * k, 64 * 2 * k - 2, rng.randrange(-300, 900))) for k in range(400)]
