@@ -21,6 +21,7 @@ from pyspark.sql.types import StructType
 
 from flowspark.functions.geometry import clip_intervals, point_in_ring
 from flowspark.operators.folds import fold_sorted
+from flowspark.sources.saved import saved
 
 PERSONS, VEHICLES = ("person", "bicycle", "motorcycle"), ("car", "truck", "bus")
 EVENTS = "device_id string, track_id string, event_type string, direction string, t_cross double, x double, y double"
@@ -129,6 +130,14 @@ class Device:
     def dumps(self) -> str:
         return json.dumps({"tracks": {k: asdict(t) for k, t in self.tracks.items()}, "counted": [[*k, *v] for k, v in self.counted.items()], "seen": self.seen, "clock": self.clock})
 
+    def settled(self, now: float, rules: Rules) -> str:
+        """What a frame at ``now`` finds of this state that can still matter; equal for states that act alike from then on."""
+        kept = {k: t for k, t in self.tracks.items() if now - t.times[-1] <= rules.longest_gap}
+        told = {k: asdict(t) if t.crossing else {"kind": t.kind, "points": t.points, "times": t.times} for k, t in kept.items()}
+        ttl = max(rules.counted_ttl, rules.dedup_window, rules.reverse_cooldown)
+        counted = sorted([*k, *v] for k, v in self.counted.items() if k[0] in kept and now - v[0] <= ttl)
+        return json.dumps([told, counted, sorted(set(self.seen) & set(kept))], sort_keys=True)
+
     @staticmethod
     def loads(text: str) -> Device:
         d = json.loads(text)
@@ -155,7 +164,7 @@ def _velocity(t: Track) -> tuple[float, float]:
 
 
 def _continued(dev: Device, s: Seen, now: float, present: set, rules: Rules) -> str | None:
-    """The vanished track of the same class that ``s`` continues best."""
+    """The vanished track of the same class that ``s`` continues best; of equal ones, the least id."""
     best = None
     for tid, t in dev.tracks.items():
         if tid == s.track_id or tid in present or tid in dev.seen or t.kind != s.kind or len(t.points) < 3:
@@ -170,7 +179,7 @@ def _continued(dev: Device, s: Seen, now: float, present: set, rules: Rules) ->
         error = math.hypot(px + vx * gap - s.x, py + vy * gap - s.y)
         if moved < 1e-9 or error > rules.stitch_jump * math.hypot(s.w, s.h) or (gx * vx + gy * vy) / moved < rules.stitch_cosine:
             continue
-        if best is None or error < best[0]:
+        if best is None or (error, tid) < best:
             best = (error, tid)
     return best and best[1]
 
@@ -366,23 +375,72 @@ def run_device(dev: Device, rows: pd.DataFrame, line: Line, rules: Rules) -> tup
     return events, rejects
 
 
-def crossings(observations: DataFrame, lines: dict[str, Line], rules: Rules = Rules(), rejected: bool = False) -> DataFrame:
+#: Seconds of a slice of a device's time.
+SLICE = 3600.0
+
+
+def crossings(observations: DataFrame, lines: dict[str, Line], rules: Rules = Rules(), rejected: bool = False, slice_s: float = SLICE, warm: float | None = None) -> DataFrame:
     """Crossing events (or refusals) of observations (OBSERVED) of the devices that have a line.
 
-    A device's tracks depend on each other and its clock runs on, so a device is one sequence. Sessions that a pause
-    longer than all windows parts are independent, and are dealt apart. A session is folded frame by frame: a task
-    holds a batch of observations and the device's state, as the stream form does.
+    Each frame depends on those before it, but what happened long ago doesn't matter any more. So a device's time is cut
+    into slices, which are folded side by side, each from ``warm`` seconds before it: longer than all windows. Where the
+    state that a slice began with isn't the one that the slice before it ended in, in all that can still matter, it is
+    folded again from there, until all slices follow from each other: then the events are those of one fold from the
+    beginning. A task holds a batch of observations and one state. Observations without finite times are left out.
     """
-    w = Window.partitionBy("device_id").orderBy("t_mono")
-    apart = max(rules.counted_ttl, rules.longest_gap, rules.idle)
-    new = F.coalesce((F.col("t_mono") - F.lag("t_mono").over(w) > apart).cast("int"), F.lit(0))
-    parted = observations.where(F.col("device_id").isin(*lines)).withColumn("_new", new).withColumn("_session", F.sum("_new").over(w)).drop("_new")
+    warm = rules.counted_ttl + rules.history * rules.longest_gap + rules.idle if warm is None else warm
+    slice_s = max(slice_s, warm)
+    finite = lambda c: F.abs(F.col(c)) < float("inf")
+    rows = observations.select(*OBSERVED).where(F.col("device_id").isin(*lines) & finite("t_mono") & finite("t_wall"))
+    place = F.floor(F.col("t_mono") / slice_s)
+    ends = (place + 1) * slice_s - warm
+    own = rows.withColumn("_slice", place)
+    copies = own.where(F.col("t_mono") >= ends).withColumn("_slice", F.col("_slice") + 1)
     schema = REJECTS if rejected else EVENTS
-    out = to_arrow_schema(StructType.fromDDL(schema))
-
-    def fold(key: tuple, part: pa.Table, dev: Device | None) -> tuple[pa.Table, Device]:
-        dev = dev or Device()
-        found = run_device(dev, part.to_pandas(), lines[key[0]], rules)[int(rejected)]
-        return pa.table([pa.array(c, f.type) for c, f in zip(list(zip(*found)) or [[]] * len(out), out)], out), dev
-
-    return fold_sorted(parted, ["device_id", "_session"], ["t_mono", *(c for c in OBSERVED[1:] if c != "t_mono")], fold, schema, together="t_mono")
+    told = f"{schema}, _slice long, _start string, _first double, _end string"
+    out = to_arrow_schema(StructType.fromDDL(told))
+    n = len(out) - 4
+
+    def table(rows: list[tuple]) -> pa.Table:
+        return pa.table([pa.array(c, f.type) for c, f in zip(list(zip(*rows, strict=True)) or [[]] * len(out), out, strict=True)], schema=out)
+
+    def fold(key: tuple, part: pa.Table, state: tuple | None) -> tuple[pa.Table, tuple]:
+        device, number = key
+        dev, begun = state or (Device(), None)
+        prior = part["_prior"].drop_null()
+        if len(prior):
+            dev = Device.loads(prior[0].as_py())
+        found = []
+        for now, wall, seen in frames(part.drop_columns(["_prior"]).to_pandas()):
+            if now >= number * slice_s and begun is None:
+                begun = (dev.settled(now, rules), now)
+            got, refused = step(dev, seen, lines[device], now, wall, rules)
+            if begun is not None and rejected:
+                found += [(device, t, now, r, number, None, None, None) for t, r in refused]
+            elif begun is not None:
+                found += [(device, e["track_id"], e["event_type"], e["direction"], e["t_cross"], e["x"], e["y"], number, None, None, None) for e in got]
+        return table(found), (dev, begun)
+
+    def finish(key: tuple, state: tuple) -> pa.Table:
+        dev, begun = state
+        return table([] if begun is None else [(key[0], *[None] * (n - 1), key[1], *begun, dev.dumps())])
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            odd = [Device.loads(b).settled(f, rules) != s for b, f, s in zip(*(batch.column(c).to_pylist() for c in ("_before", "_first", "_start")), strict=True)]
+            yield batch.select(["device_id", "_slice", "_before"]).filter(pa.array(odd, pa.bool_()))
+
+    def run(some: DataFrame) -> DataFrame:
+        return saved(fold_sorted(some, ["device_id", "_slice"], ["t_mono", *(c for c in OBSERVED[1:] if c != "t_mono")], fold, told, together="t_mono", finish=finish))
+
+    done = run(own.unionByName(copies).withColumn("_prior", F.lit(None).cast("string")))
+    before = F.lag("_end").over(Window.partitionBy("device_id").orderBy("_slice"))
+    while True:
+        states = done.where("_end is not null").select("device_id", "_slice", "_start", "_first", before.alias("_before")).where("_before is not null")
+        odd = saved(states.mapInArrow(apart, "device_id string, _slice long, _before string"))
+        if odd.isEmpty():
+            return done.where("_end is null").drop("_slice", "_start", "_first", "_end")
+        which = odd.select("device_id", "_slice")
+        heads = odd.select("device_id", "_slice", F.col("_before").alias("_prior"))
+        again = own.join(which, ["device_id", "_slice"], "left_semi").unionByName(heads, allowMissingColumns=True)
+        done = run(again).unionByName(done.join(which, ["device_id", "_slice"], "left_anti"))

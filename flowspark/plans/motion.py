@@ -315,3 +315,25 @@ def reject_reasons(spark, sf):
     from flowspark.operators.crossing import Rules, crossings
 
     return crossings(_crossing_input(spark, sf), _device_lines(), Rules(hold_frames=1, min_motion=0.5), rejected=True).groupBy("device_id", "reason").agg(F.count("*").alias("n"))
+
+
+@query(
+    "cep_planted_crossings",
+    """WITH p AS (SELECT event_id AS e, 'cam-' || (event_id % 32)::VARCHAR AS device_id, 180.5 + event_id % 7 * 60 AS y, (CASE event_id % 2 WHEN 0 THEN 1 ELSE -1 END) * (20 + event_id % 5 * 8) AS v FROM events),
+k AS (SELECT *, (360 - y) / v AS k FROM p)
+SELECT device_id, e::VARCHAR AS track_id, (CASE WHEN e % 6 < 3 THEN 'Person' ELSE 'Vehicle' END) || (CASE WHEN v > 0 THEN 'Enter' ELSE 'Exit' END) AS event_type, CASE WHEN v > 0 THEN 'outer_to_inner' ELSE 'inner_to_outer' END AS direction,
+  round(e // 32 * 10 + 0.2 * k, 3) AS t_cross, 200.0::DOUBLE + e % 10 * 90 AS x FROM k WHERE k > 0 AND k < 9 AND abs(v) * (9 - k) >= 20""",
+)
+def planted_crossings(spark, sf):
+    """A straight track for each event, one after the other on each device, ten frames at five a second: what crosses is known."""
+    from flowspark.operators.crossing import Line, Rules, crossings
+
+    e, k = F.col("event_id"), F.col("k")
+    tracks = tables.table(spark, sf, "events").select("event_id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k"))
+    classes = F.array(*[F.lit(c) for c in ("person", "bicycle", "motorcycle", "car", "truck", "bus")])
+    t = F.floor(e / 32) * 10 + k * 0.2
+    y = 180.5 + e % 7 * 60 + k * F.when(e % 2 == 0, 1).otherwise(-1) * (20 + e % 5 * 8)
+    seen = tracks.select(F.concat(F.lit("cam-"), (e % 32).cast("string")).alias("device_id"), e.cast("string").alias("track_id"), F.get(classes, (e % 6).cast("int")).alias("class_name"), (200.0 + e % 10 * 90).alias("x"), y.cast("double").alias("y"), F.lit(40.0).alias("w"), F.lit(40.0).alias("h"), t.alias("t_mono"), t.alias("t_wall"))
+    lines = {f"cam-{i}": Line([(0.05, 0.5), (0.95, 0.5)], (0.5, 0.9), 1280, 720) for i in range(32)}
+    found = crossings(seen, lines, Rules(hold_frames=1))
+    return found.select("device_id", "track_id", "event_type", "direction", F.round("t_cross", 3).alias("t_cross"), "x")

@@ -200,3 +200,16 @@ def test_batch_equals_the_fold(spark):
         want += [(e[0], e[1], e[2], round(e[4], 6)) for e in run_device(Device(), part, lines[d], Rules())[0]]
     assert got == sorted(want) and len(got) > 5
     assert crossings(df, lines, rejected=True).count() > 0
+
+
+@pytest.mark.parametrize("slice_s, warm", [(5.0, None), (2.0, 0.0), (1.5, 0.4)])
+def test_slices_of_a_busy_camera_equal_one_fold(spark, slice_s, warm):
+    """A camera without pauses, in slices; with too short a warm-up they are folded again until they follow from each other."""
+    rules = Rules(hold_frames=1, min_motion=0.5, counted_ttl=3.0, history=6, longest_gap=0.7, idle=1.0, dedup_window=2.0)
+    rows = pd.concat([observed(seed, 2, 6).assign(track_id=lambda d, s=seed: d.track_id + f"-{s % 3}", t_mono=lambda d, s=seed: d.t_mono + 3.8 * s, t_wall=lambda d, s=seed: d.t_wall + 3.8 * s) for seed in range(6)])
+    rows = pd.concat([rows, rows.head(3).assign(t_mono=[math.nan, math.inf, 1.0], t_wall=[1.0, 1.0, math.nan])]).sample(frac=1, random_state=1)
+    lines = {f"cam-{d}": line() for d in range(2)}
+    for rejected in (False, True):
+        want = sorted(str(r) for _, part in rows.groupby("device_id") for r in run_device(Device(), part, line(), rules)[rejected])
+        got = sorted(str(tuple(r)) for r in crossings(spark.createDataFrame(rows), lines, rules, rejected, slice_s, warm).collect())
+        assert got == want and len(got) > 20
