@@ -6,7 +6,7 @@ import random
 import pandas as pd
 import pytest
 
-from flowspark.functions.geometry import clip_intervals, validate
+from flowspark.functions.geometry import clip_intervals, point_in_ring, validate
 from flowspark.operators.crossing import OBSERVED, Device, Line, Rules, Seen, crossings, run_device, step
 
 LINE, ANCHOR = [(0.1, 0.5), (0.9, 0.5)], (0.5, 0.9)
@@ -179,6 +179,32 @@ def test_geometry():
             validate(*case)
 
 
+def test_stretches_of_lines_in_rings():
+    """Against points along the line: rings with corners and edges on it, concave ones, lines that only touch."""
+    rng = random.Random(5)
+    for _ in range(400):
+        n = rng.randint(3, 9)
+        turn = sorted(rng.uniform(0, 2 * math.pi) for _ in range(n))
+        ring = [(4 + round(r * math.cos(u)), 4 + round(r * math.sin(u))) for u, r in ((u, rng.uniform(1, 4)) for u in turn)]
+        if abs(sum(ring[i - 1][0] * ring[i][1] - ring[i][0] * ring[i - 1][1] for i in range(n))) < 1e-9:
+            continue
+        a, b = ((rng.randint(0, 8), rng.randint(0, 8)) for _ in range(2))
+        got = clip_intervals(a, b, ring)
+        assert all(0 <= x < y <= 1 for x, y in got) and all(y < x for (_, y), (x, _) in zip(got, got[1:], strict=False))
+        if a == b:
+            assert got == []
+            continue
+        for k in range(199):
+            t = (k + 0.3719) / 199  # no corner lies there
+            p = (a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1]))
+            near_end = any(abs(t - e) < 1e-6 for i in got for e in i)
+            assert near_end or any(x <= t <= y for x, y in got) == point_in_ring(p, ring), (a, b, ring, t)
+    square = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
+    assert clip_intervals((-1.0, 1.0), (2.0, 1.0), square) == [(1 / 3, 2 / 3)]
+    assert clip_intervals((-1.0, 1.0), (1.0, 3.0), square) == []
+    assert clip_intervals((0.5, 0.5), (0.5, 0.5), square) == []
+
+
 def observed(seed=3, devices=3, tracks=12):
     rng = random.Random(seed)
     rows = []
