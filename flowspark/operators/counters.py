@@ -15,10 +15,14 @@ def four_counts() -> list[Column]:
     return [F.count_if(F.col("event_type") == t).cast("long").alias(m) for m, t in MEASURES.items()]
 
 
-def _hour_blocks(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Events with their running sum inside an hour, and per hour the sum and lowest prefix of all hours before."""
+#: Microseconds of a block, in which one task orders a stream's events.
+BLOCK = 60_000_000
+
+
+def _blocks(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events with their running sum inside a block, and per block the sum and lowest prefix of all blocks before."""
     inside = Window.partitionBy("stream", "block").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    run = deltas(events).withColumn("block", F.floor(F.col("us") / 3_600_000_000)).withColumn("s", F.sum("delta").over(inside)).withColumn("low", F.min("s").over(inside))
+    run = deltas(events).withColumn("block", F.floor(F.col("us") / BLOCK)).withColumn("s", F.sum("delta").over(inside)).withColumn("low", F.min("s").over(inside))
     sums = run.groupBy("stream", "block").agg(F.sum("delta").alias("total"), F.min("s").alias("lowest"))
     w = Window.partitionBy("stream").orderBy("block")
     chained = sums.withColumn("base", F.coalesce(F.sum("total").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("below", F.coalesce(F.min(F.col("base") + F.col("lowest")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -28,20 +32,20 @@ def _hour_blocks(events: DataFrame) -> tuple[DataFrame, DataFrame]:
 def floored_current(events: DataFrame) -> DataFrame:
     """Running count of each stream, never below 0 after any event, in order of time and id.
 
-    S minus its lowest prefix below 0 equals clamping after each step. Hours are summed apart and chained by one row
-    each, so that no task holds a whole stream.
+    S minus its lowest prefix below 0 equals clamping after each step. Minutes are summed apart and chained by one row
+    each, so that no task holds a whole stream, or all devices' events of an hour.
     """
-    run, hours = _hour_blocks(events)
-    joined = run.join(hours.select("stream", "block", "base", "below"), ["stream", "block"])
+    run, blocks = _blocks(events)
+    joined = run.join(blocks.select("stream", "block", "base", "below"), ["stream", "block"])
     current = F.col("base") + F.col("s") - F.least(F.lit(0), F.col("below"), F.col("base") + F.col("low"))
     return joined.withColumn("current", current.cast("long")).drop("block", "s", "low", "base", "below")
 
 
 def floored_total(events: DataFrame) -> DataFrame:
     """The last value of ``floored_current`` for each stream."""
-    _, hours = _hour_blocks(events)
+    _, blocks = _blocks(events)
     final = F.max_by(F.col("base") + F.col("total"), "block") - F.least(F.lit(0), F.min(F.col("base") + F.col("lowest")))
-    return hours.groupBy("stream").agg(final.cast("long").alias("current"))
+    return blocks.groupBy("stream").agg(final.cast("long").alias("current"))
 
 
 def device_current(events: DataFrame) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from flowspark.functions.text import normalized
 
@@ -43,12 +47,42 @@ def nearest(points: DataFrame, regions: DataFrame) -> DataFrame:
     return points.join(F.broadcast(listed)).withColumn("_b", best).withColumns({"nearest": F.col("_b.nearest"), "distance2": F.col("_b.d")}).drop("_regions", "_b")
 
 
-def longest_contained(points: DataFrame, names: DataFrame, name: str = "name", found: str = "short", least: int = 1) -> DataFrame:
-    """The longest of a few names that each name contains, or null."""
-    listed = names.where(F.length(found) >= least).agg(F.array_sort(F.collect_set(found)).alias("_names"))
-    hits = F.filter("_names", lambda s: F.contains(F.col(name), s))
-    best = F.aggregate(hits, F.lit(None).cast("string"), lambda a, s: F.when(a.isNull() | (F.length(s) > F.length(a)), s).otherwise(a))
-    return points.join(F.broadcast(listed)).withColumn(found, best).drop("_names")
+def longest_contained(points: DataFrame, names: DataFrame, name: str = "name", found: str = "short", least: int = 1, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The longest of ``names`` (column ``found``) that each point's name contains, or null; of equal ones the least.
+
+    Up to ``most`` names are sent to the tasks, which look for all of them in one pass over each text, by an automaton
+    built once a task. More are joined: a text's substrings of the lengths that names have, by equality.
+    """
+    listed = names.select(F.col(found).alias("_short")).where(F.length("_short") >= max(1, least)).distinct()
+    points = points.drop(found)
+    some = [r[0] for r in listed.limit(most + 1).collect()]
+    if len(some) > most:
+        lengths = listed.select(F.length("_short").alias("_l")).distinct().agg(F.array_sort(F.collect_list("_l")).alias("_lengths"))
+        texts = points.select(F.col(name).alias("_text")).where("_text is not null").distinct().join(F.broadcast(lengths))
+        starts = lambda n: F.when(F.length("_text") >= n, F.transform(F.sequence(F.lit(1), F.length("_text") - n + 1), lambda i: F.substring(F.col("_text"), i, n))).otherwise(F.array().cast("array<string>"))
+        parts = texts.select("_text", F.explode(F.array_distinct(F.flatten(F.transform("_lengths", starts)))).alias("_short"))
+        best = parts.join(listed, "_short").groupBy("_text").agg(F.min_by("_short", F.struct(-F.length("_short"), "_short")).alias(found))
+        return points.join(best, F.col(name) == F.col("_text"), "left").drop("_text")
+    held = points.sparkSession.sparkContext.broadcast(some)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for s in held.value:
+            automaton.add_word(s, (-len(s), s))
+        automaton.make_automaton()
+
+        def best(text: str | None) -> str | None:
+            return min((v for _, v in automaton.iter(text)), default=(0, None))[1] if text and held.value else None
+
+        for batch in batches:
+            texts = batch.column(name).dictionary_encode()
+            hits = pa.array([best(t) for t in texts.dictionary.to_pylist()], pa.string()).take(texts.indices)
+            yield pa.RecordBatch.from_arrays([*batch.columns, hits], [*batch.schema.names, found])
+
+    schema = StructType([*points.schema.fields, StructField(found, StringType())])
+    return points.mapInArrow(mark, schema)
 
 
 def _prefixes(key: str) -> Column:

@@ -64,7 +64,7 @@ def join13(spark, sf):
 def join14(spark, sf):
     t = tables.regions(spark, sf).withColumn("spare", F.col("officers") - 7)
     a, b = t.where("spare > 0").alias("a"), t.where("spare < 0").alias("b")
-    return a.join(F.broadcast(b)).select(F.col("a.region").alias("from_region"), F.col("b.region").alias("to_region"), F.least("a.spare", -F.col("b.spare")).alias("most"), F.round(F.hypot(F.col("a.center_x") - F.col("b.center_x"), F.col("a.center_y") - F.col("b.center_y")), 6).alias("distance"))
+    return a.join(enrich.small(b)).select(F.col("a.region").alias("from_region"), F.col("b.region").alias("to_region"), F.least("a.spare", -F.col("b.spare")).alias("most"), F.round(F.hypot(F.col("a.center_x") - F.col("b.center_x"), F.col("a.center_y") - F.col("b.center_y")), 6).alias("distance"))
 
 
 @query("join16_gate_cards", f"WITH {DEVICES}, c AS (SELECT 'NATION_' || i::VARCHAR AS gate FROM range(20, 30) t(i)), d AS (SELECT nation AS gate, count(*) AS devices FROM dev GROUP BY nation) SELECT coalesce(c.gate, d.gate) AS gate, c.gate IS NOT NULL AS configured, coalesce(devices, 0) AS devices FROM c FULL JOIN d ON c.gate = d.gate")
@@ -80,7 +80,7 @@ def join17(spark, sf):
     c = F.col("device_key")
     wanted = F.array(c + 1, F.when(c % 8 == 0, F.lit(100000000).cast("long")))
     slots = dev.where("device_key % 4 = 0").select(c.alias("card"), F.posexplode(wanted).alias("slot", "wanted"))
-    found = slots.join(F.broadcast(dev), F.col("wanted") == F.col("device_key"), "left")
+    found = slots.join(enrich.small(dev), F.col("wanted") == F.col("device_key"), "left")
     return found.select("card", "slot", F.coalesce("device_key", F.col("card") + 2).alias("device_key"))
 
 

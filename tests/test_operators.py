@@ -173,6 +173,20 @@ def test_movements_equal_the_loop(spark):
     assert allocate.movements(plan.limit(0), 5).count() == 0
 
 
+@pytest.mark.parametrize("most", [100_000, 3])
+def test_longest_contained_name(spark, most):
+    """By the automaton and by joins alike: names within names, ties, nulls, empty texts and names, many names."""
+    rng = random.Random(most)
+    word = lambda n: "".join(rng.choice("abcé") for _ in range(n))
+    names = [word(rng.randint(1, 5)) for _ in range(60)] + ["ab", "ba", "", None]
+    texts = [word(rng.randint(0, 30)) for _ in range(200)] + [None, "", "zz", "xxabba"]
+    points = spark.createDataFrame([(i, t, "old") for i, t in enumerate(texts)], "i int, name string, short string")
+    got = enrich.longest_contained(points, spark.createDataFrame([(n,) for n in names], "short string"), least=2, most=most)
+    want = {i: min(((-len(n), n) for n in set(names) if n and len(n) >= 2 and t and n in t), default=(0, None))[1] for i, t in enumerate(texts)}
+    assert {r["i"]: r["short"] for r in got.collect()} == want and any(want.values())
+    assert enrich.longest_contained(points, spark.createDataFrame([], "short string")).where("short is not null").count() == 0
+
+
 def test_trailing_counts_across_slices(spark):
     rng = random.Random(3)
     times = [rng.choice((0, 2, 64 * 2 * k, 64 * 2 * k - 2, rng.randrange(-300, 900))) for k in range(400)]
