@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowspark.functions.arrays import digest_number
@@ -52,8 +52,6 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Track observations: (device_id, track_id, class_name, n, t, x, y) at 5 a second for each track."""
     e = table(spark, sf_dir, "events")
-    from pyspark.sql import Window
-
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     classes = F.array(*[F.lit(c) for c in ("person", "bicycle", "motorcycle", "car", "truck", "bus")])
     return e.select(
@@ -110,9 +108,17 @@ def read_seed_json(spark: SparkSession, path: str, excluded_prefix: str = "_") -
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, value) of a text log of one file: line numbers follow the file."""
-    raw = spark.read.text(path, wholetext=True)
-    return raw.select(F.posexplode(F.split("value", "\r?\n")).alias("i", "value")).where("value != ''").select((F.col("i") + 1).cast("long").alias("line_no"), "value")
+    """(line_no, value) of text logs, without empty lines: numbers follow each file, and count empty lines.
+
+    A file is read in splits. Each counts its lines, sums of the counts before it give the number of its first line, and
+    no task holds more than a split. Lines end in LF, CR or both.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    upto = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    begins = blocks.select("file", "block", "first", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    numbered = lines.join(begins, ["file", "block"])
+    return numbered.where("value != ''").select((F.col("before") + F.col("at") - F.col("first") + 1).alias("line_no"), "value")
 
 
 def read_jdbc(spark: SparkSession, url: str, query: str, partition: tuple[str, str, str, int] | None = None, **options: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -134,6 +135,47 @@ def crossings(observations: DataFrame, lines: dict[str, crossing.Line], rules: c
     return some.groupBy("device_id").applyInPandasWithState(run, crossing.EVENTS, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
+GEOMETRY = "device_id string, since double, version long, line array<array<double>>, anchor array<double>, width int, height int, ring array<array<double>>, count_only string"
+
+
+def crossings_of_versions(observations: DataFrame, geometry: DataFrame, rules: crossing.Rules = crossing.Rules()) -> DataFrame:
+    """Crossing events where devices' lines may change while the query runs, with the ``version`` that each was judged by.
+
+    ``geometry`` (GEOMETRY) is a stream too: a version holds from ``since`` on, or from when it comes, if that is later. A
+    device's state is its geometry and what the tracks did under it; another version begins with no tracks, and an older
+    or equal one changes nothing. Frames of a device before its first version, and late ones, are left out.
+    """
+    facts = observations.select(*crossing.OBSERVED)
+    told = geometry.select("device_id", F.col("since").alias("t_mono"), F.to_json(F.struct("version", "line", "anchor", "width", "height", "ring", "count_only")).alias("_geometry"))
+    both = facts.unionByName(told, allowMissingColumns=True)
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now, dump = state.get if state.exists else (None, None)
+        dev = crossing.Device.loads(dump) if dump else crossing.Device()
+        rows = pd.concat(list(batches), ignore_index=True)
+        changes = rows[rows["_geometry"].notna()].sort_values("t_mono", kind="stable")
+        seen = rows[rows["_geometry"].isna()]
+        out = []
+
+        def judge(some: pd.DataFrame) -> None:
+            if now is not None and len(some):
+                g = json.loads(now)
+                line = crossing.Line(g["line"], g["anchor"], g["width"], g["height"], g.get("ring"), g.get("count_only"))
+                out.extend((*e, g["version"]) for e in crossing.run_device(dev, some, line, rules)[0])
+
+        for since, change in zip(changes["t_mono"], changes["_geometry"], strict=True):
+            judge(seen[seen["t_mono"] < since])
+            seen = seen[~(seen["t_mono"] < since)]
+            if now is None or json.loads(change)["version"] > json.loads(now)["version"]:
+                now, dev = change, crossing.Device(clock=dev.clock)
+        judge(seen)
+        if now is not None:
+            state.update((now, dev.dumps()))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in f"{crossing.EVENTS}, version long".split(", ")])
+
+    return both.where("device_id is not null").groupBy("device_id").applyInPandasWithState(run, f"{crossing.EVENTS}, version long", "geometry string, state string", "append", GroupStateTimeout.NoTimeout)
+
+
 def suppressed(alerts: DataFrame, seconds: int = 300) -> DataFrame:
     """Alerts (rule_id, us) that are ``seconds`` after the last one emitted of their rule; those without a time are all emitted."""
 
