@@ -96,6 +96,24 @@ def split_late(events: DataFrame, hour: Column, now_hour: Column, oldest_hour: C
     return events.withColumn("route", F.when(hour >= now_hour, "on_time").when(hour >= oldest_hour, "late").otherwise("quarantine"))
 
 
+def apply_late(late: DataFrame, buckets: DataFrame, quarantined: DataFrame, now_us: Column) -> DataFrame:
+    """``late`` events (device_id, hour_us, ...) with ``route``: ``apply`` only where their hour is provably intact.
+
+    ``buckets``: hourly counts that are there, (device_id, hour_us, expires_us), and those of all devices together with a
+    null device_id. ``quarantined``: (device_id, hour_us) given up before. Both counts must be there and not expired at
+    ``now_us``, a column of ``late``; else the event goes to ``quarantine``, with the ``reason``, and its hour with it: part
+    of an hour's events must not replace its archive. The hours to add are the distinct ones of that route.
+    """
+    at = ["device_id", "hour_us"]
+    own = buckets.where("device_id is not null").groupBy(*at).agg(F.max("expires_us").alias("_own"))
+    all_ = buckets.where("device_id is null").groupBy("hour_us").agg(F.max("expires_us").alias("_all"))
+    given_up = quarantined.select(*at, F.lit(True).alias("_gone")).distinct()
+    joined = late.join(own, at, "left").join(all_, "hour_us", "left").join(given_up, at, "left")
+    missing, until = F.col("_own").isNull() | F.col("_all").isNull(), F.least("_own", "_all")
+    reason = F.when(F.coalesce("_gone", F.lit(False)), "quarantined before").when(missing, "no bucket").when(until <= now_us, "expired")
+    return joined.withColumn("reason", reason).withColumn("route", F.when(F.col("reason").isNull(), "apply").otherwise("quarantine")).select(*late.columns, "route", "reason")
+
+
 def consecutive(df: DataFrame, key: str, order: list[str], flag: Column) -> DataFrame:
     """Edges of a flag along each key: onset where it turns true, recovery where it turns false."""
     w = Window.partitionBy(key).orderBy(*order)

@@ -187,6 +187,23 @@ def win07(spark, sf):
     return events.head_of_queue(pending, "device_id", "event_id", F.col("wait") <= 2).select("device_id", "event_id")
 
 
+@query(
+    "str03_intact_buckets",
+    f"""WITH {INGEST}, v AS (SELECT *, us // 3600000000 * 3600000000 AS h FROM val), m AS (SELECT max(us) AS now FROM v),
+own AS (SELECT device_id, h, h + 864000000000 AS e FROM v WHERE event_id % 5 > 0 GROUP BY device_id, h), every AS (SELECT DISTINCT h FROM own), q AS (SELECT DISTINCT device_id, h FROM v WHERE event_id % 97 = 0)
+SELECT v.event_id, CASE WHEN q.h IS NOT NULL THEN 'quarantined before' WHEN own.h IS NULL OR every.h IS NULL THEN 'no bucket' WHEN e <= now THEN 'expired' END AS reason
+FROM v CROSS JOIN m LEFT JOIN q ON q.device_id = v.device_id AND q.h = v.h LEFT JOIN own ON own.device_id = v.device_id AND own.h = v.h LEFT JOIN every ON every.h = v.h WHERE v.event_id % 5 = 0""",
+)
+def intact_buckets(spark, sf):
+    """Every fifth event came late; the others made the hours' buckets, which last ten days. Some hours were given up."""
+    rows = tables.valid(spark, sf).withColumn("hour_us", F.floor(F.col("us") / 3_600_000_000) * 3_600_000_000)
+    own = rows.where("event_id % 5 > 0").select("device_id", "hour_us", (F.col("hour_us") + 864_000_000_000).alias("expires_us")).distinct()
+    buckets = own.unionByName(own.withColumn("device_id", F.lit(None).cast("string")).distinct())
+    gone = rows.where("event_id % 97 = 0").select("device_id", "hour_us")
+    late = rows.where("event_id % 5 = 0").join(F.broadcast(rows.agg(F.max("us").alias("now"))))
+    return events.apply_late(late, buckets, gone, F.col("now")).select("event_id", "reason")
+
+
 @query("str03_late_routes", f"WITH {INGEST}, m AS (SELECT max(us) // 3600000000 AS h FROM val) SELECT CASE WHEN us // 3600000000 >= h - 24 THEN 'on_time' WHEN us // 3600000000 >= h - 240 THEN 'late' ELSE 'quarantine' END AS route, count(*) AS n FROM val, m GROUP BY route")
 def str03(spark, sf):
     rows = tables.valid(spark, sf)
