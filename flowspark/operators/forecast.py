@@ -20,7 +20,8 @@ def series(events: DataFrame, now_us: Column | int, minutes: int = 15, steps: in
     last = F.floor(F.lit(now_us) / width)
     rows = events if kind is None else events.where(F.startswith("event_type", F.lit(kind)))
     counted = rows.withColumn("slot", F.floor(F.col("us") / width)).where((F.col("slot") > last - steps) & (F.col("slot") <= last)).groupBy("slot").agg(F.count("*").alias("n"))
-    return counted.agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("m")).select(F.transform(F.sequence(last - steps + 1, last), lambda s: F.coalesce(F.element_at("m", s), F.lit(0))).alias("history"))
+    one = counted.agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("m")).withColumn("last", last)
+    return one.select(F.transform(F.sequence(F.col("last") - steps + 1, F.col("last")), lambda s: F.coalesce(F.element_at("m", s), F.lit(0))).alias("history"))
 
 
 def converted(history: Column, seed: int = 1) -> Column:

@@ -294,14 +294,14 @@ SERIES = "m AS (SELECT max(us) // 900000000 AS l FROM val), g AS (SELECT i FROM
 @query("mdl01_interval_series", f"WITH {INGEST}, {SERIES} SELECT i::INT AS slot, n FROM ser")
 def mdl01(spark, sf):
     rows = tables.valid(spark, sf)
-    one = forecast.series(rows, rows.agg(F.max("us")).first()[0])
+    one = forecast.series(rows, rows.agg(F.max("us")).scalar())
     return one.select(F.posexplode("history").alias("slot", "n"))
 
 
 @query("mdl03_trend_forecast", f"WITH {INGEST}, {SERIES}, q AS (SELECT min(n) FILTER (WHERE i = 6) AS a, min(n) FILTER (WHERE i = 29) AS b FROM ser) SELECT round(greatest(0, b + (b - a) / 23.0::DOUBLE), 6) AS forecast FROM q")
 def mdl03(spark, sf):
     rows = tables.valid(spark, sf)
-    return forecast.series(rows, rows.agg(F.max("us")).first()[0]).select(F.round(forecast.trend(F.col("history")), 6).alias("forecast"))
+    return forecast.series(rows, rows.agg(F.max("us")).scalar()).select(F.round(forecast.trend(F.col("history")), 6).alias("forecast"))
 
 
 def _passengers(n: str) -> str:
@@ -314,7 +314,7 @@ PASSENGERS = f"veh AS (SELECT g.i, count(val.event_id) AS n FROM g CROSS JOIN m
 @query("mdl05_total_forecast", f"WITH {INGEST}, {SERIES}, {PASSENGERS}, per AS (SELECT g.i, count(val.event_id) AS n FROM g CROSS JOIN m LEFT JOIN val ON us // 900000000 = l - 29 + g.i AND event_type LIKE 'Person%' GROUP BY g.i), tot AS (SELECT i, persons + n AS n FROM pas JOIN per USING (i)) SELECT array_to_string(list(n ORDER BY i), ',') AS history, round(greatest(0, min(n) FILTER (WHERE i = 29) + (min(n) FILTER (WHERE i = 29) - min(n) FILTER (WHERE i = 6)) / 23.0::DOUBLE), 6) AS predicted_total FROM tot")
 def mdl05(spark, sf):
     rows = tables.valid(spark, sf)
-    now = rows.agg(F.max("us")).first()[0]
+    now = rows.agg(F.max("us")).scalar()
     out = forecast.total_persons(forecast.series(rows, now, kind="Vehicle"), forecast.series(rows, now, kind="Person"))
     return out.select(F.array_join(F.col("history").cast("array<string>"), ",").alias("history"), F.round("predicted_total", 6).alias("predicted_total"))
 
@@ -441,14 +441,14 @@ def agg17(spark, sf):
 @query("prj05_online_flag", f"WITH {INGEST}, m AS (SELECT max(us) AS now FROM val), l AS (SELECT device_id, max(us) AS us FROM val GROUP BY device_id) SELECT device_id, now - us < 7200000000 AS online FROM l, m")
 def prj05(spark, sf):
     rows = tables.valid(spark, sf)
-    now = rows.agg(F.max("us")).first()[0]
+    now = rows.agg(F.max("us")).scalar()
     return rows.groupBy("device_id").agg((F.lit(now) - F.max("us") < 7_200_000_000).alias("online"))
 
 
 @query("prj04_device_rows", f"WITH {INGEST}, k AS (SELECT 'cam-' || i::VARCHAR AS device_id, i FROM range(0, 36) t(i)), c AS (SELECT device_id, count(*) AS events, max(us) AS us FROM val GROUP BY device_id), m AS (SELECT max(us) AS now FROM val) SELECT device_id, coalesce(events, 0) AS events, CASE WHEN us IS NULL THEN 'registered' WHEN now - us > 7200000000 THEN 'offline' WHEN i % 2 = 0 THEN 'running' ELSE 'online' END AS status FROM k LEFT JOIN c USING (device_id), m")
 def prj04(spark, sf):
     rows = tables.valid(spark, sf)
-    now = rows.agg(F.max("us")).first()[0]
+    now = rows.agg(F.max("us")).scalar()
     known = spark.range(36).select(F.concat(F.lit("cam-"), F.col("id").cast("string")).alias("device_id"), F.col("id").alias("i"))
     stats = rows.groupBy("device_id").agg(F.count("*").alias("events"), F.max("us").alias("us"))
     status = F.when(F.col("us").isNull(), "registered").when(F.lit(now) - F.col("us") > 7_200_000_000, "offline").when(F.col("i") % 2 == 0, "running").otherwise("online")

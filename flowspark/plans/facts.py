@@ -263,7 +263,7 @@ def agg24(spark, sf):
 @query("agg20_latest_report", f"WITH {REPORTS}, m AS (SELECT max(us) AS now FROM rep) SELECT device_id, report_id, us::BIGINT AS us FROM (SELECT * FROM rep QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY us DESC, report_id DESC) = 1), m WHERE now - us <= 86400 * 1000000::BIGINT")
 def agg20(spark, sf):
     rows = tables.reports(spark, sf).select("device_id", "report_id", "us")
-    now = rows.agg(F.max("us")).first()[0]
+    now = rows.agg(F.max("us")).scalar()
     return congestion.latest(rows, "device_id", ["us", "report_id"], now, 86400)
 
 

@@ -54,7 +54,7 @@ def str08(spark, sf):
 @query("str18_last_positions", f"WITH {INGEST}, m AS (SELECT max(us) AS now FROM ing), l AS (SELECT device_id, max(us) AS us, max(event_id) AS event_id FROM ing GROUP BY device_id) SELECT device_id, now - us < 1800000000 AS online FROM l, m WHERE now - us <= 7200000000")
 def str18(spark, sf):
     rows = tables.ingest(spark, sf).select("device_id", "us", "event_id")
-    now = rows.agg(F.max("us")).first()[0]
+    now = rows.agg(F.max("us")).scalar()
     return congestion.latest(rows, "device_id", ["us", "event_id"], now, 7200).select("device_id", (F.lit(now) - F.col("us") < 1_800_000_000).alias("online"))
 
 
@@ -215,7 +215,7 @@ def set04(spark, sf):
 @query("str11_offline_alerts", f"WITH {INGEST}, m AS (SELECT max(us) AS now FROM val), d AS (SELECT device_id, max(us) AS last_us FROM val GROUP BY device_id) SELECT device_id, 'device ' || device_id || ' offline' AS message FROM d, m WHERE now - last_us > 3600000000")
 def str11(spark, sf):
     rows = tables.valid(spark, sf)
-    now = rows.agg(F.max("us")).first()[0]
+    now = rows.agg(F.max("us")).scalar()
     last = rows.groupBy("device_id").agg(F.max("us").alias("last_us")).withColumn("status", F.lit("online"))
     gone = liveness.heartbeat_status(last, now, 3600).where("alert")
     return gone.select("device_id", alerts.message("device {id} offline", id=F.col("device_id")).alias("message"))
@@ -280,7 +280,7 @@ def mdl02(spark, sf):
     from flowspark.operators import forecast
 
     rows = tables.valid(spark, sf)
-    one = forecast.series(rows, rows.agg(F.max("us")).first()[0], kind="Vehicle")
+    one = forecast.series(rows, rows.agg(F.max("us")).scalar(), kind="Vehicle")
     return one.select(F.posexplode(forecast.converted(F.col("history"))).alias("slot", "persons"))
 
 

@@ -201,7 +201,7 @@ _LAST = f"{INGEST}, m AS (SELECT max(us) AS now FROM val), d AS (SELECT device_i
 @query("str11_heartbeat_status", f"WITH {_LAST} SELECT device_id, CASE WHEN now - last_us > 7200000000 THEN 'offline' WHEN status = 'offline' THEN 'online' ELSE status END AS new_status, now - last_us > 7200000000 AND status <> 'offline' AS alert FROM d, m")
 def heartbeat(spark, sf):
     rows = tables.valid(spark, sf)
-    now = rows.agg(F.max("us")).first()[0]
+    now = rows.agg(F.max("us")).scalar()
     last = rows.groupBy("device_id").agg(F.max("us").alias("last_us")).withColumn("status", F.when(F.substring("device_id", 5, 3).cast("int") % 5 == 0, "offline").otherwise("online"))
     return liveness.heartbeat_status(last, now, 7200).select("device_id", "new_status", "alert")
 
@@ -209,7 +209,7 @@ def heartbeat(spark, sf):
 @query("str11_timeouts", f"WITH {INGEST}, m AS (SELECT max(us) AS now FROM val), g AS (SELECT device_id, us, lead(us) OVER (PARTITION BY device_id ORDER BY us) AS nxt FROM val) SELECT device_id, (us + 21600000000)::BIGINT AS offline_us, nxt::BIGINT AS recovered_us FROM g, m WHERE coalesce(nxt, now) - us > 21600000000")
 def timeouts(spark, sf):
     rows = tables.valid(spark, sf)
-    return liveness.timeouts(rows, 21600, rows.agg(F.max("us")).first()[0])
+    return liveness.timeouts(rows, 21600, rows.agg(F.max("us")).scalar())
 
 
 @query(
