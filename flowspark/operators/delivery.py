@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from flowspark.functions.timing import backoff
 from flowspark.operators.events import head_of_queue
 
-LOG = "event_id long, at_us long, ok boolean"
+LOG = "event_id long, at_us long, ok boolean, error string"
 
 
 def pending(outbox: DataFrame, log: DataFrame, key: str = "event_id") -> DataFrame:
@@ -33,17 +33,19 @@ def due_heads(outbox: DataFrame, log: DataFrame, now_us: Column | int, queue: st
 def deliver(outbox: DataFrame, log_path: str, send: Callable[[pd.DataFrame], list[bool]], now_us: int, queue: str = "device_id") -> None:
     """One round: send the due heads in batches on the executors and append what came of each.
 
-    ``send`` tells for each row whether it arrived; a batch for which it raises counts as refused.
+    ``send`` tells for each row whether it arrived; a batch for which it raises counts as refused, with the error in the
+    log.
     """
     spark = outbox.sparkSession
     heads = due_heads(outbox, spark.read.schema(LOG).parquet(log_path), now_us, queue)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
+            error = None
             try:
                 ok = [bool(x) for x in send(rows)]
-            except Exception:  # noqa: BLE001 whatever the other side does, the round goes on and the row waits
-                ok = [False] * len(rows)
-            yield pd.DataFrame({"event_id": rows["event_id"], "at_us": now_us, "ok": ok})
+            except Exception as e:  # noqa: BLE001 whatever the other side does, the round goes on and the row waits
+                ok, error = [False] * len(rows), repr(e)
+            yield pd.DataFrame({"event_id": rows["event_id"], "at_us": now_us, "ok": ok, "error": pd.Series([error] * len(rows), rows.index, dtype=object)})
 
     heads.mapInPandas(run, LOG).write.mode("append").parquet(log_path)

@@ -212,6 +212,7 @@ def test_delivery_in_order_with_backoff(spark, tmp_path):
         heads.append(sorted(r["event_id"] for r in delivery.due_heads(outbox, spark.read.parquet(log), micros(second)).collect()))
         delivery.deliver(outbox, log, send, micros(second))
     assert heads == [[1, 3, 5], [2], [3, 5], [4], [], [4], []]
+    assert [(r["event_id"], r["error"]) for r in spark.read.schema(delivery.LOG).parquet(log).where("error is not null").collect()] == [(4, "ConnectionError()")]
 
 
 def test_forecast_by_model_falls_back(spark):
