@@ -7,11 +7,14 @@ whether it has crossed the counting line and stays across; each refusal has a na
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field, fields
+from operator import itemgetter
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -357,10 +360,15 @@ OBSERVED = ("device_id", "track_id", "class_name", "x", "y", "w", "h", "t_mono",
 
 def frames(rows: pd.DataFrame) -> Iterator[tuple[float, float, list[Seen]]]:
     """Frames of one device's observations, in order of time. Times that aren't finite are left out."""
-    ok = rows[rows["t_mono"].map(math.isfinite) & rows["t_wall"].map(math.isfinite)].sort_values(["t_mono", "track_id"], kind="stable")
-    for now, part in ok.groupby("t_mono", sort=False):
-        unique = part.drop_duplicates("track_id")
-        yield float(now), float(part["t_wall"].iloc[0]), [Seen(str(r.track_id), r.class_name, float(r.x), float(r.y), float(r.w), float(r.h)) for r in unique.itertuples()]
+    t, wall = (rows[c].to_numpy(float) for c in ("t_mono", "t_wall"))
+    ok = rows[np.isfinite(t) & np.isfinite(wall)].sort_values(["t_mono", "track_id"], kind="stable")
+    columns = [ok[c].tolist() for c in ("t_mono", "t_wall", *OBSERVED[1:-2])]
+    for now, part in itertools.groupby(zip(*columns, strict=True), key=itemgetter(0)):
+        first = {}
+        for r in part:
+            first.setdefault(r[2], r)
+        seen = list(first.values())
+        yield float(now), float(seen[0][1]), [Seen(str(i), kind, float(x), float(y), float(w), float(h)) for _, _, i, kind, x, y, w, h in seen]
 
 
 def run_device(dev: Device, rows: pd.DataFrame, line: Line, rules: Rules) -> tuple[list[tuple], list[tuple]]:

@@ -2,12 +2,13 @@ from __future__ import annotations
 
 import math
 import random
+import time
 
 import pandas as pd
 import pytest
 
 from flowspark.functions.geometry import clip_intervals, point_in_ring, validate
-from flowspark.operators.crossing import OBSERVED, Device, Line, Rules, Seen, crossings, run_device, step
+from flowspark.operators.crossing import OBSERVED, Device, Line, Rules, Seen, crossings, frames, run_device, step
 
 LINE, ANCHOR = [(0.1, 0.5), (0.9, 0.5)], (0.5, 0.9)
 
@@ -239,3 +240,15 @@ def test_slices_of_a_busy_camera_equal_one_fold(spark, slice_s, warm):
         want = sorted(str(r) for _, part in rows.groupby("device_id") for r in run_device(Device(), part, line(), rules)[rejected])
         got = sorted(str(tuple(r)) for r in crossings(spark.createDataFrame(rows), lines, rules, rejected, slice_s, warm).collect())
         assert got == want and len(got) > 20
+
+
+def test_frames_cost_little_each():
+    """One track a frame, as on a quiet road: a frame costs microseconds, not a group of a table."""
+    n = 20_000
+    rows = pd.DataFrame({"device_id": "d", "track_id": [str(i // 10) for i in range(n)], "class_name": "car", "x": 1.0, "y": 2.0, "w": 40.0, "h": 40.0, "t_mono": [n - i * 0.2 for i in range(n)], "t_wall": 5.0})
+    again = pd.DataFrame([("d", "a", "bus", 9.0, 9.0, 40.0, 40.0, float(n), 7.0), ("d", "0", "bus", 9.0, 9.0, 40.0, 40.0, float(n), 6.0), ("d", "b", "bus", 9.0, 9.0, 40.0, 40.0, math.nan, 6.0), ("d", "b", "bus", 9.0, 9.0, 40.0, 40.0, 0.0, math.inf)], columns=list(OBSERVED))
+    began = time.process_time()
+    found = list(frames(pd.concat([rows, again], ignore_index=True)))
+    assert time.process_time() - began < 5
+    assert len(found) == n and [f[0] for f in found] == sorted(f[0] for f in found)
+    assert found[-1] == (float(n), 5.0, [Seen("0", "car", 1.0, 2.0), Seen("a", "bus", 9.0, 9.0)])
