@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 Point = tuple[Column, Column]
 
 
+def rounded(c: Column | str, digits: int) -> Column:
+    """Half away from zero after scaling, in doubles, as SQL engines do: Spark's own rounding goes by decimal digits."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c * 10.0**digits) / 10.0**digits
+
+
 def normal(p1: Point, p2: Point, anchor: Point) -> Point:
     """Normal of the line, as long as it, on the anchor's side."""
     nx, ny = -(p2[1] - p1[1]), p2[0] - p1[0]

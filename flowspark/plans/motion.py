@@ -148,15 +148,15 @@ _OFF = "((x - 0.1) * -0.1::DOUBLE + (y - 0.45) * 0.8::DOUBLE)"
 
 def _line():
     p1, p2 = [tuple(F.lit(c) for c in p) for p in _LINE]
-    return p1, p2, g.normal(p1, p2, (F.lit(0.5), F.lit(0.9)))
+    return p1, p2, tuple(F.round(c, 12) for c in g.normal(p1, p2, (F.lit(0.5), F.lit(0.9))))  # 0.1, not 0.55 - 0.45 in doubles
 
 
 @query("geo02_05_line_relations", f"WITH {OBS}, t AS (SELECT *, ((x - 0.1) * 0.8::DOUBLE + (y - 0.45) * 0.1::DOUBLE) / 0.65::DOUBLE AS f FROM obs) SELECT track_id, n, round({_OFF}, 9) AS off, sign(round({_OFF}, 9))::INT AS side, round(f, 6) AS foot, round(sqrt(pow(x - (0.1 + greatest(0, least(1, f)) * 0.8), 2) + pow(y - (0.45 + greatest(0, least(1, f)) * 0.1), 2)), 6) AS distance FROM t")
 def line_relations(spark, sf):
     p1, p2, n = _line()
     p = F.col("x"), F.col("y")
-    off = F.round(g.offset(p, p1, n), 9)
-    return tables.observations(spark, sf).select("track_id", "n", off.alias("off"), F.signum(off).cast("int").alias("side"), F.round(g.projection(p, p1, p2), 6).alias("foot"), F.round(g.segment_distance(p, p1, p2), 6).alias("distance"))
+    off = g.rounded(g.offset(p, p1, n), 9)
+    return tables.observations(spark, sf).select("track_id", "n", off.alias("off"), F.signum(off).cast("int").alias("side"), g.rounded(g.projection(p, p1, p2), 6).alias("foot"), g.rounded(g.segment_distance(p, p1, p2), 6).alias("distance"))
 
 
 @query(
@@ -174,7 +174,7 @@ def candidates(spark, sf):
     rows = rows.withColumns({"po": g.offset(prev, p1, n), "o": g.offset(cur, p1, n)}).where("po * o < 0")
     cx, cy = g.crossing_point(prev, cur, F.col("po"), F.col("o"))
     met = rows.where(g.fast_enough(prev, cur, g.unit(n), F.lit(0.2), 0.5)).withColumns({"cx": cx, "cy": cy})
-    return met.where(F.round(g.projection((F.col("cx"), F.col("cy")), p1, p2), 9).between(0, 1)).select("track_id", "n", F.when(F.col("o") > 0, "enter").otherwise("exit").alias("direction"), F.round("cx", 6).alias("cross_x"), F.round("cy", 6).alias("cross_y"))
+    return met.where(g.rounded(g.projection((F.col("cx"), F.col("cy")), p1, p2), 9).between(0, 1)).select("track_id", "n", F.when(F.col("o") > 0, "enter").otherwise("exit").alias("direction"), g.rounded("cx", 6).alias("cross_x"), g.rounded("cy", 6).alias("cross_y"))
 
 
 @query("geo15_adaptive_pixel", f"WITH {OBS} SELECT track_id, n, greatest(30.0::DOUBLE, 0.3::DOUBLE * greatest(x * 200, y * 200)) AS least FROM obs")
