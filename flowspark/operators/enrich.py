@@ -120,17 +120,20 @@ def stitched(starts: DataFrame, ends: DataFrame, gap_s: float = 0.48, jump: floa
     """Pairs of a vanished track and the new one that continues it, on one device and of one class.
 
     ``ends``: (device_id, track_id, class_name, t, x, y, vx, vy); ``starts``: the same without speed, with ``diag``.
-    Time is cut into slices of the gap: an equi-join on the slice, not a product. Each side is used once: a pair is
-    kept if it is the best of both.
+    Time is cut into slices a little longer than the gap: an equi-join on the slice, not a product. Each side is used
+    once: a pair is kept if it is the best of both. Gaps are compared to a billionth of a second; distances are plain
+    roots of squares, so that pairs that tie in SQL tie here.
     """
-    slice_ = lambda t: F.floor(t / gap_s)
+    slice_ = lambda t: F.floor(t / (gap_s * 1.001))
+    norm = lambda a, b: F.sqrt(a * a + b * b)
     old = ends.select("device_id", "class_name", F.col("track_id").alias("old_id"), F.col("t").alias("t0"), F.col("x").alias("x0"), F.col("y").alias("y0"), "vx", "vy").withColumn("slice", F.explode(F.array(slice_(F.col("t0")), slice_(F.col("t0")) + 1)))
     new = starts.select("device_id", "class_name", F.col("track_id").alias("new_id"), "t", "x", "y", "diag").withColumn("slice", slice_(F.col("t")))
     dt = F.col("t") - F.col("t0")
-    error = F.hypot(F.col("x0") + F.col("vx") * dt - F.col("x"), F.col("y0") + F.col("vy") * dt - F.col("y"))
+    gap = F.round(dt, 9)
+    error = norm(F.col("x0") + F.col("vx") * dt - F.col("x"), F.col("y0") + F.col("vy") * dt - F.col("y"))
     gx, gy = F.col("x") - F.col("x0"), F.col("y") - F.col("y0")
-    lengths = F.hypot(gx, gy) * F.hypot(F.col("vx"), F.col("vy"))
-    near = old.join(new, ["device_id", "class_name", "slice"]).where("old_id != new_id").where((dt > 0) & (dt <= gap_s) & (error <= jump * F.col("diag")) & (lengths > 1e-12)).where((gx * F.col("vx") + gy * F.col("vy")) / lengths >= cosine).withColumn("error", error)
+    lengths = norm(gx, gy) * norm(F.col("vx"), F.col("vy"))
+    near = old.join(new, ["device_id", "class_name", "slice"]).where("old_id != new_id").where((gap > 0) & (gap <= gap_s) & (error <= jump * F.col("diag")) & (lengths > 1e-12)).where((gx * F.col("vx") + gy * F.col("vy")) / lengths >= cosine).withColumn("error", error)
     for side in ("new_id", "old_id"):
         other = "old_id" if side == "new_id" else "new_id"
         w = Window.partitionBy("device_id", side).orderBy("error", other)

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flowspark.functions import arrays, text
+from flowspark.functions.geometry import rounded
 from flowspark.functions.timing import micros
 from flowspark.operators import allocate, audit, enrich, forecast, reconcile
 from flowspark.plans.base import DEVICES, INGEST, OBS, REGIONS, digest_number, query
@@ -94,10 +95,10 @@ a AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY device_id, new_id
 SELECT device_id, old_id, new_id, round(error, 6) AS error FROM a QUALIFY row_number() OVER (PARTITION BY device_id, old_id ORDER BY error, new_id) = 1""",
 )
 def join19(spark, sf):
-    obs = tables.observations(spark, sf).withColumn("t", F.round(F.col("n") * 0.01, 9))
+    obs = tables.observations(spark, sf).withColumn("t", F.col("n") * 0.01)
     ends = obs.where("n % 20 = 0").withColumns({"vx": F.lit(0.3), "vy": F.lit(0.1)})
     starts = obs.where("n % 20 = 7").withColumn("diag", F.lit(0.1))
-    return enrich.stitched(starts, ends).select("device_id", "old_id", "new_id", F.round("error", 6).alias("error"))
+    return enrich.stitched(starts, ends).select("device_id", "old_id", "new_id", rounded("error", 6).alias("error"))
 
 
 @query("enr03_gate_region", f"WITH {DEVICES}, g AS (SELECT nation AS gate, CASE WHEN count(DISTINCT CASE WHEN device_key % 6 = 0 THEN 'x' ELSE region END) = 1 THEN min(CASE WHEN device_key % 6 = 0 THEN 'x' ELSE region END) END AS r FROM dev GROUP BY nation) SELECT device_key, r AS gate_region FROM dev LEFT JOIN g ON nation = gate")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import datetime
+import random
 
 import duckdb
+import pytest
 
 from flowspark import plans
 
@@ -23,3 +25,11 @@ def both(spark, tmp_path, name, events):
 def test_crossing_points_on_a_tie(spark, tmp_path):
     got, want = both(spark, tmp_path, "cep05_candidate_crossings", [(854, 50.14, 69), (854, 73.39, 55), (130, 144.73, 67), (130, 90.48, 73)])
     assert got == want and len(got) == 2
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_stitched_pairs_of_nearly_equal_error(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    events = [(1 + 96 * (i % 60), rng.randrange(11) * 10.0, rng.randrange(11) * 10) for i in range(60 * 200)]
+    got, want = both(spark, tmp_path, "join19_track_stitching", events)
+    assert got == want and got
