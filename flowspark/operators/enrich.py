@@ -97,10 +97,13 @@ def unique_prefix(short: DataFrame, dim: DataFrame, key: str = "key", full: str
 
 
 def longest_prefix(long: DataFrame, dim: DataFrame, key: str = "key", alias: str = "alias") -> DataFrame:
-    """The longest alias that the key starts with; null if two of that length fit. ``dim``: (alias, id)."""
+    """The longest alias that the key starts with; null if two of that length fit. ``dim``: (alias, id).
+
+    Aliases that are equal without spaces are counted first: a key meets each of its prefixes once, however many share it.
+    """
     rows = long.select(key).distinct().select(key, _prefixes(key).alias("_p"))
-    hit = rows.join(dim.withColumn("_p", normalized(F.col(alias))), "_p")
-    best = hit.groupBy(key, "_p").agg(F.count("*").alias("_n"), F.min(alias).alias(alias)).groupBy(key).agg(F.max(F.struct(F.length("_p").alias("_l"), "_n", alias)).alias("_b"))
+    known = dim.groupBy(normalized(F.col(alias)).alias("_p")).agg(F.count("*").alias("_n"), F.min(alias).alias(alias))
+    best = rows.join(known, "_p").groupBy(key).agg(F.max(F.struct(F.length("_p").alias("_l"), "_n", alias)).alias("_b"))
     return long.join(best.select(key, F.when(F.col("_b._n") == 1, F.col(f"_b.{alias}")).alias(alias)), key, "left")
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -293,6 +294,17 @@ def test_enrichment_edges(spark):
     assert [r["nearest"] for r in enrich.nearest(points, regions).orderBy("longitude").collect()] == ["a", "b"]
 
 
+def test_longest_prefix_with_an_alias_that_many_share(spark):
+    """Keys and equal aliases in numbers: the join must not hold their product."""
+    n = 6000
+    names = spark.range(n).select(F.concat(F.lit("gate"), F.format_string("%05d", "id"), F.lit("-tail")).alias("key"))
+    aliases = spark.range(n).select(F.lit("gate ").alias("alias")).union(spark.createDataFrame([("gate00001",), ("ga te00002",), ("gate00002",)], "alias string"))
+    began = time.monotonic()
+    out = {r["key"]: r["alias"] for r in enrich.longest_prefix(names, aliases).collect()}
+    assert time.monotonic() - began < 20
+    assert len(out) == n and {k: v for k, v in out.items() if v is not None} == {"gate00001-tail": "gate00001"}
+
+
 def test_polygon_column_equals_the_function(spark):
     ring = [(0.2, 0.1), (0.8, 0.1), (0.8, 0.3), (0.5, 0.3), (0.5, 0.6), (0.2, 0.6)]
     rng = random.Random(5)
