@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowspark.operators.enrich import BROADCAST_ROWS
+from flowspark.sources.saved import saved
+
 
 @dataclass(frozen=True)
 class Limits:
@@ -55,32 +58,57 @@ def measures(pixels: np.ndarray, before: np.ndarray | None, limits: Limits) -> t
     return ("flower_screen" if noisy and odd else None), m, grey
 
 
-def anomalies(frames: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """(device_id, n, anomaly, brightness, noise) of frames (device_id, n, width, height, pixels).
+_TOLD = "device_id string, n long, anomaly string, brightness double, noise double, undecided boolean"
+_GREY = "height int, width int, grey binary"
 
-    Each frame comes with the last whole one before it of its device, so that a task holds a batch of frames only.
-    """
 
-    whole = (F.col("width") > 0) & (F.col("height") > 0) & (F.length("pixels") == F.col("width") * F.col("height") * 3)
-    earlier = Window.partitionBy("device_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(whole, F.struct("width", "height", "pixels")), ignorenulls=True).over(earlier)
-    paired = frames.select("device_id", "n", "width", "height", F.when(whole, F.col("pixels")).alias("pixels"), last.alias("b")).select("device_id", "n", "width", "height", "pixels", F.col("b.width").alias("bw"), F.col("b.height").alias("bh"), F.col("b.pixels").alias("bp"))
+def _told(frames: DataFrame, limits: Limits, grey: bool) -> DataFrame:
+    """Each frame judged by itself: ``undecided`` where the change from the frame before decides. Its grey picture, if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
-                if r["pixels"] is None:
-                    out.append((None, None, None))
+            for h, w, p in zip(*(batch.column(c).to_pylist() for c in ("height", "width", "pixels")), strict=True):
+                if p is None or not h or not w or min(h, w) < 0 or len(p) != h * w * 3:
+                    out.append((None, None, None, False, None, None, None))
                     continue
-                picture = lambda p, h, w: np.frombuffer(p, np.uint8).reshape(h, w, 3)
-                before = measures(picture(r["bp"], r["bh"], r["bw"]), None, limits)[2] if r["bp"] is not None else None
-                kind, m, _ = measures(picture(r["pixels"], r["height"], r["width"]), before, limits)
-                out.append((kind, m["brightness"], m.get("noise")))
-            types = (pa.string(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column("device_id"), batch.column("n"), *(pa.array([o[i] for o in out], t) for i, t in enumerate(types))], ["device_id", "n", "anomaly", "brightness", "noise"])
-
-    return paired.mapInArrow(run, "device_id string, n long, anomaly string, brightness double, noise double")
+                kind, m, g = measures(np.frombuffer(p, np.uint8).reshape(h, w, 3), None, limits)
+                noisy = m.get("noise", 0.0) > limits.noise and m["uniformity"] > limits.uniformity
+                out.append((kind, m["brightness"], m.get("noise"), kind is None and noisy, *g.shape, g.tobytes() if grey else None))
+            types = (pa.string(), pa.float64(), pa.float64(), pa.bool_(), *((pa.int32(), pa.int32(), pa.binary()) if grey else ()))
+            names = ("anomaly", "brightness", "noise", "undecided", "height", "width", "grey")[: len(types)]
+            yield pa.RecordBatch.from_arrays([batch.column("device_id"), batch.column("n"), *(pa.array([o[i] for o in out], t) for i, t in enumerate(types))], ["device_id", "n", *names])
+
+    return frames.select("device_id", F.col("n").cast("long").alias("n"), "width", "height", "pixels").mapInArrow(run, f"{_TOLD}, {_GREY}" if grey else _TOLD)
+
+
+def anomalies(frames: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """(device_id, n, anomaly, brightness, noise) of frames (device_id, n, width, height, pixels).
+
+    Frames are judged where they are read. Only for those that the change from the last whole frame before them decides
+    do pictures travel, grey and scaled down: theirs and the ones before. A task holds a batch of frames only.
+    """
+    told, result = saved(_told(frames, limits, False)), ["device_id", "n", "anomaly", "brightness", "noise"]
+    if told.where("undecided").isEmpty():
+        return told.select(result)
+    by_n = Window.partitionBy("device_id").orderBy("n")
+    last = F.max(F.when(F.col("brightness").isNotNull(), F.col("n"))).over(by_n.rangeBetween(Window.unboundedPreceding, -1))
+    asked = told.withColumn("last", last).where("undecided").select(F.col("device_id").alias("_d"), F.explode(F.array("n", "last")).alias("_n")).distinct()
+    if asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # beyond that, all grey pictures are sorted
+        frames = frames.join(F.broadcast(asked), F.col("device_id").eqNullSafe(F.col("_d")) & F.col("n").eqNullSafe(F.col("_n")), "left_semi")
+    before = F.last(F.when(F.col("grey").isNotNull(), F.struct("height", "width", "grey")), ignorenulls=True).over(by_n.rowsBetween(Window.unboundedPreceding, -1))
+    paired = _told(frames, limits, True).withColumn("before", before).where("undecided")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = []
+            for h, w, g, b in zip(*(batch.column(c).to_pylist() for c in ("height", "width", "grey", "before")), strict=True):
+                alike = b is not None and (b["height"], b["width"]) == (h, w)
+                change = np.abs(np.frombuffer(g, np.uint8).astype(np.int16) - np.frombuffer(b["grey"], np.uint8)).mean() if alike else 0
+                kinds.append("flower_screen" if change > limits.change else None)
+            yield pa.RecordBatch.from_arrays([batch.column("device_id"), batch.column("n"), pa.array(kinds, pa.string()), batch.column("brightness"), batch.column("noise")], result)
+
+    return told.where("not undecided").select(result).unionByName(paired.mapInArrow(compare, "device_id string, n long, anomaly string, brightness double, noise double"))
 
 
 def timestamp90k(b: bytes) -> int:

@@ -326,6 +326,33 @@ def test_frames(spark):
     assert [(r["n"], r["type"], r["phase"]) for r in liveness.confirmed(runs, 3).orderBy("n").collect()] == [(3, "b", "onset"), (4, "f", "onset"), (5, "f", "recovery")]
 
 
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_frames_decided_by_the_change(spark, monkeypatch, broadcast):
+    """Grey noise is only found by its change from the last whole frame of the device; twins, gaps and other sizes included."""
+    monkeypatch.setattr(frames, "BROADCAST_ROWS", broadcast)
+    rng = np.random.default_rng(2)
+    grey = lambda w=64: np.repeat(rng.integers(0, 256, (48, w, 1), dtype=np.uint8), 3, 2)
+    same = grey()
+    plain = np.full((48, 64, 3), 127, np.uint8)
+    pictures = [("a", 0, same), ("a", 1, same), ("a", 3, grey()), ("a", 4, grey(32)), ("b", 0, plain), ("b", 1, same), ("b", 2, same), (None, 1, same), (None, 2, grey())]
+    rows = [(d, n, p.shape[1], 48, bytearray(p.tobytes())) for d, n, p in pictures] + [("a", 2, 64, 48, bytearray(5)), ("b", 3, None, None, None)]
+    made = spark.createDataFrame(rows, "device_id string, n long, width int, height int, pixels binary").repartition(3)
+    out = {(r["device_id"], r["n"]): r["anomaly"] for r in frames.anomalies(made).collect()}
+    last, want = {}, {}
+    for d, n, p in sorted(pictures, key=lambda r: (r[0] or "", r[1])):
+        want[d, n], _, last[d] = frames.measures(p, last.get(d), frames.Limits())
+    assert out == want | {("a", 2): None, ("b", 3): None}
+    assert want["a", 3] == want["b", 1] == want[None, 2] == "flower_screen" and want["a", 1] is want["b", 2] is None
+
+
+def test_frames_decided_alone_send_no_pictures(spark):
+    """Plain and coloured frames: the plan of the result shuffles nothing."""
+    pixels = F.unhex(F.repeat(F.lit("7f7f7f"), 64 * 48))
+    made = spark.range(20).select(F.lit("d").alias("device_id"), F.col("id").alias("n"), F.lit(64).alias("width"), F.lit(48).alias("height"), pixels.alias("pixels"))
+    out = frames.anomalies(made)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 20
+
+
 def test_stream_headers(spark, tmp_path):
     pts = 3600
     head = bytes([0x21 | (pts >> 30 & 7) << 1, pts >> 22 & 255, (pts >> 15 & 127) << 1 | 1, pts >> 7 & 255, (pts & 127) << 1 | 1])
