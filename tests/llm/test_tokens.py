@@ -96,6 +96,43 @@ def test_store(spark, plain, tmp_path):
     assert round_trip(frame(spark, [])).count() == 0
 
 
+def test_frames_of_a_shard_are_even(spark, plain, tmp_path, monkeypatch):
+    """No frame holds much more than its share, and none is a small rest, which would take as many steps."""
+    monkeypatch.setattr("flowspark.llm.token_store.FRAME_IDS", 1000, raising=False)
+    rows = [(i, f"some words of document {i} " * 8) for i in range(70)] + [(70, "long " * 3000)]
+    write_store(frame(spark, rows).coalesce(1), str(tmp_path / "even"))
+    own = spark.read.parquet(str(tmp_path / "even")).select("shard", "n_ids", "lengths").collect()
+    for shard in {r["shard"] for r in own}:
+        sizes = [r["n_ids"] for r in own if r["shard"] == shard and max(r["lengths"]) < 1000]
+        assert max(sizes, default=0) < 1100 and (len(sizes) < 2 or 3 * min(sizes) > max(sizes))
+    assert len(own) > 3
+    got = {r["doc_id"]: r for r in read_store(spark, str(tmp_path / "even")).collect()}
+    start = 0
+    for d, t in rows:
+        a = np.array(plain(t) + [2], "<u4")
+        assert (got[d]["start"], got[d]["n_tokens"], got[d]["ids_crc32"]) == (start, len(a), zlib.crc32(a.tobytes()))
+        start += len(a)
+
+
+def test_contexts_of_known_ids_are_found_for_many_steps_at_once(monkeypatch):
+    calls, contexts = [], getattr(token_codec._Model, "contexts", None)
+    monkeypatch.setattr(token_codec._Model, "contexts", lambda self, *a: calls.append(1) or contexts(self, *a), raising=False)
+    ids = np.random.default_rng(7).integers(0, 50, 5 * 2048 + 77).astype(np.uint32)
+    frame_ = token_codec.encode(ids)
+    assert 0 < len(calls) <= token_codec.BLOCK // 8
+    assert (token_codec.decode(frame_) == ids).all()
+
+
+def test_words_of_the_merge_model(plain):
+    """Words that the merge model gets together have the ids that each has alone; so have those of a model without ends."""
+    encoder = Encoder()
+    words = [w for w in "a straße être naïve ÿ ñandú thiswordisnotinanyvocabulary ß xyzzy".split()] * 150
+    for last in (encoder.last, np.zeros_like(encoder.last)):
+        encoder.last = last
+        ids, n = encoder._words(words)
+        assert n.tolist() == [len(plain(w)) for w in words] and ids.tolist() == [i for w in words for i in plain(w)]
+
+
 def test_pieces_and_packing(spark, plain):
     rows = [*corpus(), (None, "null id"), (7, "again"), (7, "again")]
     pieces = token_pieces(frame(spark, rows), with_ids=True)
