@@ -49,6 +49,24 @@ def test_a_full_store_keeps_ids_right(plain, monkeypatch):
         assert ids.tolist() == [i for t in texts for i in plain(t)]
 
 
+def test_a_store_grows_while_few_runs_are_encoded(plain):
+    encoder = Encoder()
+    room = len(encoder.length) - encoder.stored
+    encoder.lengths([f"{i}x" for i in range(room - 10)])
+    few = [f"{i}y" for i in range(30)]
+    assert encoder.lengths(few).tolist() == [len(plain(r)) for r in few]
+    assert len(encoder.length) > room + 1
+
+
+def test_few_runs_keep_the_store_bounded(plain, monkeypatch):
+    monkeypatch.setattr("flowspark.llm.tokens.CACHE_ENTRIES", 50)
+    encoder = Encoder()
+    for k in range(40):
+        few = ["the", *(f"{k}z{i}" for i in range(9))]
+        assert encoder.lengths(few).tolist() == [len(plain(r)) for r in few]
+        assert len(encoder.known) <= 50 + len(few)
+
+
 @pytest.mark.parametrize("n", [0, 1, 2047, 2048, 2049, 9000])
 @pytest.mark.parametrize("high", [1, 3, 400, 49_408, 1 << 32])
 def test_codec_round_trip(n, high):
