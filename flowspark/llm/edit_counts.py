@@ -16,7 +16,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -112,9 +111,9 @@ def count_edited(docs: DataFrame, path: str | None = None) -> DataFrame:
         encoder = shared(path)
 
         def count(slots: list[str]) -> np.ndarray:
-            words = [s.strip(SPACE) for s in slots]
-            codes, distinct = pd.factorize(np.array(words, dtype=object)) if words else (np.zeros(0, np.int64), [])
-            return encoder.lengths(list(distinct))[codes] if words else np.zeros(0, np.int64)
+            number: dict[str, int] = {}  # not pandas' factorize, which takes strings as equal up to a U+0000
+            codes = [number.setdefault(s.strip(SPACE), len(number)) for s in slots]
+            return encoder.lengths(list(number))[codes] if codes else np.zeros(0, np.int64)
 
         for batch in sub_batches(batches, "text", encoders=False):
             slots = [_SLOT.findall(t or "") for t in batch.column("text").to_pylist()]

@@ -216,6 +216,13 @@ def test_edit_counts(spark, plain):
     assert count_edited(df.limit(0)).count() == 0
 
 
+def test_edits_of_words_with_nul(spark, plain):
+    text = "one a\0b a\0longerword a two"
+    df = spark.createDataFrame([(1, text, [(3, 3, " x\0y x\0anotherlongerword")])], "doc_id long, text string, edits array<struct<start:long,stop:long,text:string>>")
+    row = count_edited(df).first()
+    assert (row["n_tokens"], row["n_tokens_edited"]) == (len(plain(text)), len(plain(text[:3] + " x\0y x\0anotherlongerword" + text[3:])))
+
+
 def test_edits_at_one_place(plain):
     """Edits inside a long insertion encode their own slots again, not the insertion."""
     encoder, rng = Encoder(), random.Random(4)
